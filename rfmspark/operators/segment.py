@@ -1,0 +1,174 @@
+"""Segmentation: business labels, nearest centroid, seeded segmentation and Spark ML
+clustering (SURVEY §2.8). Centroid tables have one row per segment (k is a small,
+checked parameter), so they are the only thing broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rfmspark.functions.scalar import fn_round_half_up
+from rfmspark.operators.stats import exact_quantiles
+from rfmspark.schemas import SCALED_FEATURES, SEGMENT_ORDER
+
+MAX_CENTROIDS = 1024
+
+
+def segment_order(df: DataFrame, col: str = "Segment", out: str = "Segment_Order") -> DataFrame:
+    m = F.create_map(*[x for k, v in SEGMENT_ORDER.items() for x in (F.lit(k), F.lit(v))])
+    return df.withColumn(out, m[F.col(col)])
+
+
+def cluster_profile(df: DataFrame, cluster: str = "KMeans_Cluster",
+                    cols: tuple[str, ...] = ("Recency", "Frequency", "Monetary")) -> DataFrame:
+    return df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def cluster_noise_stats(df: DataFrame, cluster: str = "DBSCAN_Cluster") -> DataFrame:
+    n = F.count(F.lit(1))
+    noise = F.count_if(F.col(cluster) == -1)
+    return df.agg(F.countDistinct(F.when(F.col(cluster) != -1, F.col(cluster))).alias("n_clusters"),
+                  noise.alias("n_noise"), (noise * 100.0 / n).alias("noise_pct"))
+
+
+def label_segments(df: DataFrame, cluster: str = "KMeans_Cluster", monetary: str = "Monetary",
+                   recency: str = "Recency") -> DataFrame:
+    """Mapping cluster -> label for four clusters: highest mean Monetary = Champions,
+    lowest = Lost Customers; of the middle two the higher mean Recency is At-Risk
+    (equal Recency: the one with lower Monetary), the other Loyal Customers."""
+    prof = df.groupBy(cluster).agg(F.avg(monetary).alias("_m"), F.avg(recency).alias("_r"))
+    # at most k rows: the ranking windows run over a bounded table
+    by_m = Window.orderBy(F.col("_m").desc(), F.col(cluster))
+    prof = prof.withColumn("_pos", F.row_number().over(by_m)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy()))
+    mid = (F.col("_pos") > 1) & (F.col("_pos") < F.col("_k"))
+    by_r = Window.partitionBy(mid).orderBy(F.col("_r").desc(), F.col("_pos").desc())
+    prof = prof.withColumn("_rpos", F.row_number().over(by_r))
+    label = (F.when(F.col("_pos") == 1, "Champions")
+             .when(F.col("_pos") == F.col("_k"), "Lost Customers")
+             .when(F.col("_rpos") == 1, "At-Risk")
+             .otherwise("Loyal Customers"))
+    return prof.select(F.col(cluster), label.alias("Segment"))
+
+
+def join_map_label(df: DataFrame, mapping: DataFrame, cluster: str = "KMeans_Cluster") -> DataFrame:
+    """Attach the label of each cluster id (mapping has one row per cluster)."""
+    return df.join(F.broadcast(mapping), cluster, "left")
+
+
+def segment_centroids(df: DataFrame, cols: list[str] | None = None, segment: str = "Segment") -> DataFrame:
+    cols = cols or SCALED_FEATURES
+    return df.groupBy(segment).agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def pack_centroids(centroids: DataFrame, cols: list[str], segment: str = "Segment") -> DataFrame:
+    """One row holding ``array<struct<segment, c: array<double>>>``; fails if k is not small."""
+    k = centroids.count()
+    if k > MAX_CENTROIDS:
+        raise ValueError(f"{k} centroids exceed the broadcast bound {MAX_CENTROIDS}")
+    return centroids.agg(F.collect_list(F.struct(F.col(segment).alias("segment"),
+                                                 F.array(*[F.col(c).cast("double") for c in cols]).alias("c")))
+                         .alias("_cents"))
+
+
+def nearest_centroid(df: DataFrame, centroids: DataFrame, cols: list[str], segment: str = "Segment",
+                     out: str = "Predicted_Segment", dist_out: str | None = "Centroid_Distance",
+                     centroid_cols: list[str] | None = None) -> DataFrame:
+    """Nearest centroid by Euclidean distance; ties go to the alphabetically first
+    segment; ``Unknown`` when there are no centroids. A narrow transformation: the
+    k centroids are broadcast as one array and folded per row (no k-fold rows)."""
+    packed = pack_centroids(centroids, centroid_cols or cols, segment)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def dist(c):
+        sq = F.zip_with(x, c["c"], lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+
+    best = F.array_min(F.transform("_cents", lambda c: F.struct(dist(c).alias("d"), c["segment"].alias("s"))))
+    res = df.crossJoin(F.broadcast(packed)).withColumn("_best", best)
+    res = res.withColumn(out, F.coalesce(F.col("_best.s"), F.lit("Unknown")))
+    if dist_out:
+        res = res.withColumn(dist_out, F.col("_best.d"))
+    return res.drop("_cents", "_best")
+
+
+def seeded_segments(scaled: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Deterministic segmentation (used where an exact twin in SQL is wanted):
+    quartiles of Monetary (cents) seed four clusters, the clusters get business
+    labels, and one nearest-centroid step on the scaled features refines them.
+    Returns the input plus ``Seed_Cluster``, ``Segment``, ``Segment_Order``."""
+    cols = cols or SCALED_FEATURES
+    base = scaled.withColumn("_mc", fn_round_half_up(F.col("Monetary"), 2))
+    q = exact_quantiles(base, "_mc", [0.25, 0.5, 0.75]).groupBy().agg(
+        *[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(f"_q{i}") for i in range(3)])
+    seeded = base.crossJoin(F.broadcast(q)).withColumn(
+        "Seed_Cluster", F.when(F.col("_mc") <= F.col("_q0"), 0).when(F.col("_mc") <= F.col("_q1"), 1)
+        .when(F.col("_mc") <= F.col("_q2"), 2).otherwise(3)).drop("_q0", "_q1", "_q2", "_mc")
+    labels = label_segments(seeded, "Seed_Cluster")
+    first = seeded.join(F.broadcast(labels), "Seed_Cluster").withColumnRenamed("Segment", "_seed_segment")
+    cents = segment_centroids(first, cols, "_seed_segment").withColumnRenamed("_seed_segment", "Segment")
+    out = nearest_centroid(first, cents, cols, out="Segment", dist_out=None).drop("_seed_segment")
+    return segment_order(out)
+
+
+def assign_segment(df: DataFrame, centroids: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    return nearest_centroid(df, centroids, cols or SCALED_FEATURES)
+
+
+# --------------------------------------------------------------------------- Spark ML clustering
+
+
+def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
+
+
+def kmeans_fit(df: DataFrame, cols: list[str] | None = None, k: int = 4, restarts: int = 10, seed: int = 42,
+               max_iter: int = 300, out: str = "KMeans_Cluster"):
+    """K-Means (k-means|| init) restarted with ``restarts`` seeds; the lowest
+    training cost wins. Returns (labelled DataFrame, model)."""
+    from pyspark.ml.clustering import KMeans
+    cols = cols or SCALED_FEATURES
+    vec = _vectors(df, cols).persist()
+    best = None
+    for i in range(restarts):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", featuresCol="features",
+                   predictionCol=out).fit(vec)
+        if best is None or m.summary.trainingCost < best.summary.trainingCost:
+            best = m
+    res = best.transform(vec).drop("features")
+    vec.unpersist()
+    return res, best
+
+
+def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, ks=range(2, 11), seed: int = 42,
+                 restarts: int = 1) -> DataFrame:
+    """(k, inertia, silhouette) per k; silhouette by ``ClusteringEvaluator`` (squared Euclidean)."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    cols = cols or SCALED_FEATURES
+    spark = df.sparkSession
+    rows = []
+    for k in ks:
+        res, model = kmeans_fit(df, cols, k=k, restarts=restarts, seed=seed, out="prediction")
+        sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
+                                  distanceMeasure="squaredEuclidean").evaluate(_vectors(res, cols))
+        rows.append((int(k), float(model.summary.trainingCost), float(sil)))
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette_sq_euclidean double")
+
+
+def pca_2d(df: DataFrame, cols: list[str] | None = None, id_col: str = "CustomerID"):
+    """Two principal components of the centred features (sign fixed so the largest
+    loading is positive). Returns (projected DataFrame, explained variance ratios)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+    cols = cols or SCALED_FEATURES
+    means = df.agg(*[F.avg(c).alias(c) for c in cols])
+    centred = df.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"_m_{c}") for c in cols])))
+    for c in cols:
+        centred = centred.withColumn(f"_c_{c}", F.col(c) - F.col(f"_m_{c}"))
+    vec = _vectors(centred, [f"_c_{c}" for c in cols])
+    model = PCA(k=2, inputCol="features", outputCol="pcs").fit(vec)
+    pc = model.pc.toArray()
+    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
+    out = model.transform(vec).select(id_col, vector_to_array("pcs").alias("_p"))
+    out = out.select(id_col, (F.col("_p")[0] * signs[0]).alias("PCA1"), (F.col("_p")[1] * signs[1]).alias("PCA2"))
+    return out, [float(v) for v in model.explainedVariance.toArray()]

@@ -1,74 +1,132 @@
-"""Exact order statistics without sending a whole column to one task.
+"""Exact order statistics and ordered running sums without a single-task global sort.
 
 ``percentile`` (exact) keeps a value->count map of every distinct value in one
-buffer per group, which does not scale for continuous columns. Instead:
-
-1. one aggregate per group: ``n`` and ``percentile_approx`` at p -/+ margin. Its
-   rank error is at most n/accuracy, so the exact order statistics needed for p
-   lie in the returned band [lo, hi];
-2. one pass counts rows below ``lo`` (partial aggregation) and keeps only the
-   rows inside a band (about 8·n/accuracy rows per probability);
-3. a window over each band (distinct values with counts) finds the value at the
-   exact rank. Small groups (n < 4·accuracy) use the whole group as the band.
-
-Interpolation is linear between the order statistics at floor(h) and floor(h)+1,
-h = (n-1)·p, as NumPy's default and SQL ``percentile_cont``.
+buffer per group, and a window ``ORDER BY`` without ``PARTITION BY`` moves every
+row to one task. Neither scales. The two building blocks here avoid both:
+
+* :func:`values_at_ranks` - the value at given 0-based ranks, per group:
+  1. row counts per group (one small collected row per group) fix the ranks;
+  2. for large groups ``percentile_approx`` at rank/n -/+ margin gives a band
+     [lo, hi] that must contain the wanted order statistic (rank error <= n/accuracy);
+  3. one pass counts rows below ``lo`` (partial aggregation) and keeps only rows
+     inside a band (about 6·n/accuracy rows per rank);
+  4. a window over each band (distinct values with counts) finds the exact value.
+  Groups smaller than 4·accuracy use the whole group as the band.
+* :func:`cumulative_by_order` - running sums in value order: rows are cut into
+  value ranges by approximate quantiles (equal values always share a range), the
+  per-range totals (a few hundred rows) give each range its offset, and a window
+  inside each range finishes the sum. Every task holds one range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Returns ``group_cols..., p_index int, p double, n bigint, q double`` (one row per group and p)."""
+MAX_RANK_GROUPS = 100_000
+
+
+def values_at_ranks(df: DataFrame, value_col: str, rank_fns: list[Callable[[int], int]],
+                    group_cols: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """``group_cols..., r_index, n, rank, value``: the value at 0-based rank
+    ``rank_fns[i](n)`` in ascending order of ``value_col`` (NULLs ignored), per group.
+
+    The per-group row counts are collected first (one row per group, bounded by
+    ``MAX_RANK_GROUPS``); ranks are then literals. Groups below ``4·accuracy`` rows are
+    solved directly by a window over their distinct values; larger groups first
+    narrow each rank to a band with ``percentile_approx`` (rank error <= n/accuracy)."""
     g = list(group_cols or [])
-    probs = [float(p) for p in probs]
-    k = len(probs)
+    spark = df.sparkSession
     d = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    margin = 4.0 / accuracy
-    approx_p = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
-                              F.percentile_approx("_x", approx_p, accuracy).alias("_ap"))
-    small = F.col("_n") < F.lit(4 * accuracy)
-    stats = stats.select(
-        *g, "_n",
-        F.array(*[F.when(small, F.lit(float("-inf"))).otherwise(F.col("_ap")[i]) for i in range(k)]).alias("_lo"),
-        F.array(*[F.when(small, F.lit(float("inf"))).otherwise(F.col("_ap")[k + i]) for i in range(k)]).alias("_hi"),
-    )
-    # one row per group: joined by key (or cross-joined when there are no groups, a single row)
-    j = d.join(stats, on=g, how="inner") if g else d.crossJoin(F.broadcast(stats))
-
-    below = j.groupBy(*g).agg(*[F.sum(F.when(F.col("_x") < F.col("_lo")[i], 1).otherwise(0)).cast("bigint")
+    counts = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_RANK_GROUPS + 1).collect()
+    if len(counts) > MAX_RANK_GROUPS:
+        raise ValueError(f"more than {MAX_RANK_GROUPS} groups: rank selection per group is not bounded")
+    rows = []
+    for row in counts:
+        n = int(row["_n"])
+        for i, fn in enumerate(rank_fns):
+            r = min(max(int(fn(n)), 0), n - 1)
+            rows.append(tuple(row[c] for c in g) + (i, n, r))
+    gschema = [f for f in d.schema.fields if f.name in g]
+    from pyspark.sql import types as T
+    schema = T.StructType(gschema + [T.StructField("r_index", T.IntegerType()), T.StructField("n", T.LongType()),
+                                     T.StructField("rank", T.LongType())])
+    ranks = spark.createDataFrame(rows, schema)
+    big = [r for r in rows if r[-2] >= 4 * accuracy]
+    keys = g + ["r_index"]
+    if not big:
+        # every group is small: the whole group is the band
+        band = d.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*g).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        band = band.withColumn("_end", F.sum("_c").over(w))
+        sel = (band.join(F.broadcast(ranks), on=g, how="inner") if g else band.crossJoin(F.broadcast(ranks)))
+        sel = sel.where(F.col("_end") > F.col("rank")).groupBy(*keys).agg(F.min("_x").alias("value"))
+        return ranks.join(sel, on=keys, how="left").select(*g, "r_index", "n", "rank", "value")
+    # large groups: band [lo, hi] around each rank from approximate quantiles at literal fractions
+    margin = 3.0 / accuracy
+    fracs = sorted({min(1.0, max(0.0, (r[-1] + 0.5) / r[-2] + s)) for r in rows for s in (-margin, margin)})
+    approx = d.groupBy(*g).agg(F.percentile_approx("_x", fracs, accuracy).alias("_ap"))
+    pos = {f: i for i, f in enumerate(fracs)}
+    band_rows = []
+    for r in rows:
+        n, rank = r[-2], r[-1]
+        if n < 4 * accuracy:
+            band_rows.append(r + (-1, -1))
+        else:
+            band_rows.append(r + (pos[min(1.0, max(0.0, (rank + 0.5) / n - margin))],
+                                  pos[min(1.0, max(0.0, (rank + 0.5) / n + margin))]))
+    bschema = T.StructType(schema.fields + [T.StructField("_ilo", T.IntegerType()), T.StructField("_ihi", T.IntegerType())])
+    bands = spark.createDataFrame(band_rows, bschema)
+    bands = (bands.join(approx, on=g, how="inner") if g else bands.crossJoin(approx)).select(
+        *keys, "rank",
+        F.when(F.col("_ilo") < 0, F.lit(float("-inf"))).otherwise(F.element_at("_ap", F.col("_ilo") + 1)).alias("_lo"),
+        F.when(F.col("_ihi") < 0, F.lit(float("inf"))).otherwise(F.element_at("_ap", F.col("_ihi") + 1)).alias("_hi"))
+    k = len(rank_fns)
+    packed = bands.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("r_index", "_lo", "_hi"))).alias("_b"))
+    j = d.join(F.broadcast(packed), on=g, how="inner") if g else d.crossJoin(F.broadcast(packed))
+    below = j.groupBy(*g).agg(*[F.sum(F.when(F.col("_x") < F.col("_b")[i]["_lo"], 1).otherwise(0)).cast("bigint")
                                 .alias(f"_b{i}") for i in range(k)])
-    below = below.select(*g, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("p_index"), F.col(f"_b{i}").alias("_below")) for i in range(k)])).alias("_s")
-    ).select(*g, "_s.*")
-
+    below = below.select(*g, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(k)])).alias("r_index", "_below"))
     in_band = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
-                       lambda i: (F.col("_x") >= F.col("_lo")[i]) & (F.col("_x") <= F.col("_hi")[i]))
-    band = (j.select(*g, "_x", F.explode(in_band).alias("p_index"))
-            .groupBy(*g, "p_index", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*g, "p_index").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                       lambda i: (F.col("_x") >= F.col("_b")[i]["_lo"]) & (F.col("_x") <= F.col("_b")[i]["_hi"]))
+    band = (j.select(*g, "_x", F.explode(in_band).alias("r_index"))
+            .groupBy(*g, "r_index", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*g, "r_index").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     band = band.withColumn("_cum", F.sum("_c").over(w))
+    sel = (band.join(below, on=keys).join(F.broadcast(ranks.select(*keys, "rank")), on=keys)
+           .where(F.col("_below") + F.col("_cum") > F.col("rank"))
+           .groupBy(*keys).agg(F.min("_x").alias("value")))
+    return ranks.join(sel, on=keys, how="left").select(*g, "r_index", "n", "rank", "value")
 
-    pt = stats.select(*g, "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("p_index", "p"))
-    pt = (pt.withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-          .withColumn("_r0", F.floor("_h").cast("bigint"))
-          .withColumn("_frac", F.col("_h") - F.col("_r0"))
-          .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)))
-    keys = g + ["p_index"]
-    sel = (band.join(below, on=keys).join(pt.select(*keys, "_r0", "_r1"), on=keys)
-           .withColumn("_end", F.col("_below") + F.col("_cum"))
-           .groupBy(*keys).agg(F.min(F.when(F.col("_end") > F.col("_r0"), F.col("_x"))).alias("_v0"),
-                               F.min(F.when(F.col("_end") > F.col("_r1"), F.col("_x"))).alias("_v1")))
-    out = pt.join(sel, on=keys, how="left")
-    q = F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
-    return out.select(*g, F.col("p_index").cast("int"), "p", F.col("_n").alias("n"), q.alias("q"))
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Linear-interpolated quantiles (NumPy default, SQL ``percentile_cont``):
+    ``group_cols..., p_index, p, n, q``. Between order statistics floor(h) and
+    floor(h)+1 with h = (n-1)·p."""
+    g = list(group_cols or [])
+    probs = [float(p) for p in probs]
+    fns = []
+    for p in probs:
+        fns.append(lambda n, p=p: math.floor((n - 1) * p))
+        fns.append(lambda n, p=p: math.floor((n - 1) * p) + 1)
+    v = values_at_ranks(df, value_col, fns, g, accuracy)
+    wide = v.groupBy(*g).agg(F.first("n").alias("n"), *[
+        F.max(F.when(F.col("r_index") == i, F.col("value"))).alias(f"_v{i}") for i in range(2 * len(probs))])
+    rows = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1).cast("double") * F.lit(p)
+        fr = h - F.floor(h)
+        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        q = F.when(fr == 0, lo).otherwise(lo + (hi - lo) * fr)
+        rows.append(F.struct(F.lit(i).alias("p_index"), F.lit(p).alias("p"), q.alias("q")))
+    return wide.select(*g, "n", F.explode(F.array(*rows)).alias("_s")).select(*g, "_s.p_index", "_s.p", "n", "_s.q")
 
 
 def quantile_row(df: DataFrame, value_col: str, probs: list[float], names: list[str],
@@ -78,6 +136,29 @@ def quantile_row(df: DataFrame, value_col: str, probs: list[float], names: list[
     return q.groupBy().agg(*[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
+def cumulative_by_order(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
+                        descending: bool = False, ranges: int = 64, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Adds ``cum_<c>`` = sum of ``c`` over rows whose ``order_col`` comes before or
+    equals the current row's (RANGE frame: ties share the value), per group."""
+    g = list(group_cols or [])
+    o = F.col(order_col).cast("double")
+    key = -o if descending else o
+    d = df.withColumn("_k", key)
+    cuts = [i / ranges for i in range(1, ranges)]
+    b = d.groupBy(*g).agg(F.array_distinct(F.percentile_approx("_k", cuts, accuracy)).alias("_cuts"))
+    d = (d.join(b, on=g, how="inner") if g else d.crossJoin(F.broadcast(b)))
+    d = d.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
+    tot = d.groupBy(*g, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wr = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(wr), F.lit(0)).alias(f"_o_{c}")
+                                      for c in sum_cols])
+    d = d.join(offs, on=g + ["_range"], how="inner")
+    wi = Window.partitionBy(*g, "_range").orderBy("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in sum_cols:
+        d = d.withColumn(f"cum_{c}", F.sum(c).over(wi) + F.col(f"_o_{c}"))
+    return d.drop("_k", "_range", *[f"_o_{c}" for c in sum_cols])
+
+
 def stack_columns(df: DataFrame, cols: list[str], key_cols: list[str] | None = None,
                   name_col: str = "feature", value_col: str = "value") -> DataFrame:
     """Unpivot ``cols`` to (name, value) rows, one pass, no shuffle."""

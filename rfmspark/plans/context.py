@@ -32,14 +32,15 @@ class Ctx:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        """T2 without Description/Country (the feature jobs never read them)."""
+        """T2 without Description/Country (the feature jobs never read them). The
+        row-filtered input of the two IQR passes is checkpointed once."""
         raw = self.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"])
-        return clean.clean_transactions(raw)
+        return clean.clean_transactions(raw, materialize=True)
 
     @cached_property
     def cleaned_full(self) -> DataFrame:
         """T2 with every column (for dashboards that show names and countries)."""
-        return clean.clean_transactions(self.retail())
+        return clean.clean_transactions(self.retail(), materialize=True)
 
     @cached_property
     def raw_subset(self) -> DataFrame:
@@ -52,10 +53,11 @@ class Ctx:
 
     @cached_property
     def features_scaled(self) -> DataFrame:
-        """T4: F9 + logs + scaled model features (population std)."""
+        """T4: F9 + logs + scaled model features (population std). Written once to the
+        checkpoint folder: segmentation and drift read it several times."""
         f = features.add_log_features(self.features)
         scaled, _ = features.standard_scale(f, MODEL_FEATURES)
-        return scaled
+        return scaled.checkpoint(eager=True)
 
     @cached_property
     def scaler_params(self) -> DataFrame:
