@@ -78,13 +78,20 @@ def pr_curve(scored: DataFrame, label: str = "Target", score: str = "probability
 
 
 def pr_auc(scored: DataFrame, label: str = "Target", score: str = "probability") -> DataFrame:
-    """Trapezoid area under the PR curve (points ordered by recall, closed at (0, 1))."""
-    pts = pr_curve(scored, label, score)
-    pts = pts.withColumn("_ord", F.coalesce(-F.col("threshold"), F.lit(float("-inf"))))
-    # one curve point per distinct score: the previous point comes from ordered running sums
-    w = Window.orderBy("_ord")  # over the distinct thresholds of a hold-out set
-    seg = pts.withColumn("_pr", F.lag("recall").over(w)).withColumn("_pp", F.lag("precision").over(w))
-    return seg.agg(F.sum((F.col("recall") - F.col("_pr")) * (F.col("precision") + F.col("_pp")) / 2).alias("pr_auc"))
+    """Trapezoid area under the PR curve closed at (recall 0, precision 1). The previous
+    curve point of each threshold is its running sums minus its own counts, so every
+    trapezoid is computed row-locally (no ordering window over the thresholds)."""
+    c = cumulative_by_order(_score_counts(scored, label, score), "threshold", ["pos", "neg"], descending=True)
+    tot = c.agg(F.sum("pos").alias("P"))
+    c = c.crossJoin(F.broadcast(tot))
+    full = c.where(F.col("cum_pos") == F.col("P")).agg(F.max("threshold").alias("_tmin"))
+    c = c.crossJoin(F.broadcast(full)).where(F.col("threshold") >= F.col("_tmin"))
+    tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
+    tp0, fp0 = (F.col("cum_pos") - F.col("pos")).cast("double"), (F.col("cum_neg") - F.col("neg")).cast("double")
+    rec, rec0 = tp / F.col("P"), tp0 / F.col("P")
+    prec = tp / (tp + fp)
+    prec0 = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
+    return c.agg(F.sum((rec - rec0) * (prec + prec0) / 2).alias("pr_auc"))
 
 
 def evaluate(scored: DataFrame, label: str = "Target", score: str = "probability", pred: str = "prediction") -> DataFrame:

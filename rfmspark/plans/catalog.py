@@ -83,3 +83,262 @@ SELECT * , {r('CAST(rows_out AS DOUBLE) * 100.0 / rows_in')} AS retained_pct FRO
   UNION ALL SELECT 6, 'overall', (SELECT count(*) FROM retail), (SELECT count(*) FROM cleaned))""", "cleaned"))
 def q_cleaning_audit(ctx: Ctx) -> DataFrame:
     return clean.cleaning_audit(ctx.retail(["InvoiceNo", "Quantity", "UnitPrice", "CustomerID"]))
+
+
+# ============================================================== filters / projections on the transactions
+
+_RAW_SQL = "InvoiceNo, StockCode, Description, Quantity, InvoiceDate, {u}, CustomerID, Country".format(u=rnd(["UnitPrice"]))
+_RAW6 = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"]
+
+
+@query("drop_cancelled", with_ctes(f"""
+SELECT InvoiceNo, CustomerID, Quantity FROM retail
+WHERE NOT coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "retail"))
+def q_drop_cancelled(ctx: Ctx) -> DataFrame:
+    return clean.drop_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"]))
+
+
+@query("only_cancelled", with_ctes("""
+SELECT InvoiceNo, CustomerID, Quantity FROM retail WHERE coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "retail"))
+def q_only_cancelled(ctx: Ctx) -> DataFrame:
+    return clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"]))
+
+
+@query("positive_qty_price", with_ctes(f"""
+SELECT InvoiceNo, CustomerID, Quantity, {rnd(['UnitPrice'])} FROM retail WHERE Quantity > 0 AND UnitPrice > 0""", "retail"))
+def q_positive_qty_price(ctx: Ctx) -> DataFrame:
+    return rounded(clean.positive_qty_price(ctx.retail(["InvoiceNo", "CustomerID", "Quantity", "UnitPrice"])))
+
+
+@query("drop_null_customer", with_ctes("""
+SELECT InvoiceNo, CustomerID FROM retail WHERE CustomerID IS NOT NULL""", "retail"))
+def q_drop_null_customer(ctx: Ctx) -> DataFrame:
+    return clean.drop_null_customer(ctx.retail(["InvoiceNo", "CustomerID"]))
+
+
+@query("drop_null_keys", with_ctes("""
+SELECT InvoiceNo, CustomerID, InvoiceDate FROM retail WHERE CustomerID IS NOT NULL AND InvoiceDate IS NOT NULL""", "retail"))
+def q_drop_null_keys(ctx: Ctx) -> DataFrame:
+    return clean.drop_null_keys(ctx.retail(["InvoiceNo", "CustomerID", "InvoiceDate"]))
+
+
+@query("country_filter", with_ctes("""
+SELECT InvoiceNo, CustomerID, Country FROM retail WHERE Country = 'NATION_7'""", "retail"))
+def q_country_filter(ctx: Ctx) -> DataFrame:
+    return clean.country_filter(ctx.retail(["InvoiceNo", "CustomerID", "Country"]), "NATION_7")
+
+
+@query("total_price", with_ctes(f"""
+SELECT InvoiceNo, StockCode, {rnd(['TotalPrice'])} FROM (SELECT *, Quantity * UnitPrice AS TotalPrice FROM retail)""", "retail"))
+def q_total_price(ctx: Ctx) -> DataFrame:
+    return rounded(clean.total_price(ctx.retail(["InvoiceNo", "StockCode", "Quantity", "UnitPrice"]))
+                   .select("InvoiceNo", "StockCode", "TotalPrice"))
+
+
+@query("select_canonical", with_ctes(f"SELECT {_RAW_SQL} FROM retail", "retail"))
+def q_select_canonical(ctx: Ctx) -> DataFrame:
+    return rounded(clean.select_canonical(ctx.retail()))
+
+
+@query("src_column_pruned", with_ctes("SELECT CustomerID, InvoiceNo FROM retail", "retail"))
+def q_src_column_pruned(ctx: Ctx) -> DataFrame:
+    return ctx.retail(["CustomerID", "InvoiceNo"])
+
+
+@query("sink_raw_subset", with_ctes("SELECT CustomerID, InvoiceNo, InvoiceDate FROM retail", "retail"))
+def q_sink_raw_subset(ctx: Ctx) -> DataFrame:
+    return ctx.raw_subset
+
+
+@query("before_split", with_ctes("""
+SELECT InvoiceNo, CustomerID, InvoiceDate FROM cleaned, sup_split WHERE InvoiceDate < split""", "cleaned", "sup_split"))
+def q_before_split(ctx: Ctx) -> DataFrame:
+    from rfmspark.operators.learn import split_date_value
+    return clean.before_split(ctx.cleaned, split_date_value(ctx.cleaned, 70)).select("InvoiceNo", "CustomerID", "InvoiceDate")
+
+
+@query("after_split", with_ctes("""
+SELECT InvoiceNo, CustomerID, InvoiceDate FROM cleaned, sup_split WHERE InvoiceDate >= split""", "cleaned", "sup_split"))
+def q_after_split(ctx: Ctx) -> DataFrame:
+    from rfmspark.operators.learn import split_date_value
+    return clean.after_split(ctx.cleaned, split_date_value(ctx.cleaned, 70)).select("InvoiceNo", "CustomerID", "InvoiceDate")
+
+
+@query("customer_lookup", with_ctes(f"""
+SELECT InvoiceNo, StockCode, Quantity, {rnd(['TotalPrice'])} FROM cleaned
+WHERE CustomerID = (SELECT CustomerID FROM cleaned GROUP BY CustomerID ORDER BY count(*) DESC, CustomerID LIMIT 1)""",
+                                      "cleaned"))
+def q_customer_lookup(ctx: Ctx) -> DataFrame:
+    """Rows of the most active customer (the id is looked up, then pushed as a literal)."""
+    top = (ctx.cleaned.groupBy("CustomerID").count().orderBy(F.col("count").desc(), F.col("CustomerID"))
+           .first()["CustomerID"])
+    return rounded(clean.customer_lookup(ctx.cleaned, top).select("InvoiceNo", "StockCode", "Quantity", "TotalPrice"))
+
+
+# ============================================================== aggregates on features
+
+@query("rfm_core", with_ctes(f"""
+SELECT CustomerID, LastPurchase, FirstPurchase, Frequency, {rnd(['Monetary'])}, TotalQuantity, UniqueProducts
+FROM rfm_core""", "rfm_core"))
+def q_rfm_core(ctx: Ctx) -> DataFrame:
+    return rounded(features.rfm_core(ctx.cleaned))
+
+
+@query("snapshot_date", with_ctes("SELECT snapshot FROM snap", "snap"))
+def q_snapshot_date(ctx: Ctx) -> DataFrame:
+    return features.snapshot_date(ctx.cleaned)
+
+
+@query("unique_products", with_ctes("""
+SELECT CustomerID, count(DISTINCT StockCode) AS UniqueProducts FROM cleaned GROUP BY CustomerID""", "cleaned"))
+def q_unique_products(ctx: Ctx) -> DataFrame:
+    return features.unique_products(ctx.cleaned)
+
+
+@query("return_rate", with_ctes(f"SELECT CustomerID, {rnd(['ReturnRate'])} FROM return_rate", "return_rate"))
+def q_return_rate(ctx: Ctx) -> DataFrame:
+    return rounded(features.return_rate(ctx.raw_subset))
+
+
+@query("join_unique_products", with_ctes("""
+SELECT c.CustomerID, c.Frequency, u.UniqueProducts FROM rfm_core c
+LEFT JOIN (SELECT CustomerID, count(DISTINCT StockCode) AS UniqueProducts FROM cleaned GROUP BY CustomerID) u
+  ON c.CustomerID = u.CustomerID""", "rfm_core"))
+def q_join_unique_products(ctx: Ctx) -> DataFrame:
+    core = features.rfm_core(ctx.cleaned).select("CustomerID", "Frequency")
+    return features.join_unique_products(core, ctx.cleaned)
+
+
+@query("join_return_rate", with_ctes(f"""
+SELECT c.CustomerID, c.Frequency, {r('coalesce(rr.ReturnRate, 0.0)')} AS ReturnRate
+FROM rfm_core c LEFT JOIN return_rate rr ON c.CustomerID = rr.CustomerID""", "rfm_core", "return_rate"))
+def q_join_return_rate(ctx: Ctx) -> DataFrame:
+    core = features.rfm_core(ctx.cleaned).select("CustomerID", "Frequency")
+    return rounded(features.join_return_rate(core, features.return_rate(ctx.raw_subset)))
+
+
+@query("align_divide", with_ctes(f"""
+SELECT d.CustomerID, {r('coalesce(CAST(n.c AS DOUBLE) / d.c, 0.0)')} AS ReturnRate
+FROM (SELECT CustomerID, count(DISTINCT trim(InvoiceNo)) AS c FROM retail WHERE CustomerID IS NOT NULL GROUP BY 1) d
+LEFT JOIN (SELECT CustomerID, count(DISTINCT trim(InvoiceNo)) AS c FROM retail
+           WHERE CustomerID IS NOT NULL AND starts_with(trim(InvoiceNo), 'C') GROUP BY 1) n
+  ON d.CustomerID = n.CustomerID""", "retail"))
+def q_align_divide(ctx: Ctx) -> DataFrame:
+    """Cancelled invoices / invoices per customer as two key-aligned series."""
+    raw = clean.drop_null_customer(ctx.raw_subset).withColumn("InvoiceNo", F.trim("InvoiceNo"))
+    den = raw.groupBy("CustomerID").agg(F.countDistinct("InvoiceNo").alias("c"))
+    num = clean.only_cancelled(raw).groupBy("CustomerID").agg(F.countDistinct("InvoiceNo").alias("n"))
+    return rounded(features.align_divide(num, den, "CustomerID", "n", "c", "ReturnRate"))
+
+
+@query("features_scaled", with_ctes("SELECT CustomerID, " + ", ".join(
+    f"{r(c)} AS {c}" for c in [f"{m}_log" for m in ["Recency", "Frequency", "Monetary"]] + [f"{m}_scaled" for m in MODEL_FEATURES])
+    + " FROM scaled", "scaled"))
+def q_features_scaled(ctx: Ctx) -> DataFrame:
+    """T4 logs and scaled model features (population std, zero variance -> 1)."""
+    cols = [f"{m}_log" for m in ["Recency", "Frequency", "Monetary"]] + [f"{m}_scaled" for m in MODEL_FEATURES]
+    return rounded(ctx.features_scaled.select("CustomerID", *cols))
+
+
+@query("standard_scale", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, {r('m_' + c)} AS mean, {r('s_' + c)} AS scale FROM scaler"
+    for i, c in enumerate(MODEL_FEATURES)), "scaler"))
+def q_standard_scale(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.scaler_params)
+
+
+@query("summary_describe", with_ctes(" UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std,
+       {r(f'min({c})')} AS min, {r(f'max({c})')} AS max, {r(f'quantile_cont({c}, 0.25)')} AS q25,
+       {r(f'quantile_cont({c}, 0.5)')} AS q50, {r(f'quantile_cont({c}, 0.75)')} AS q75 FROM cleaned"""
+                                                        for c in ["Quantity", "TotalPrice"]), "cleaned"))
+def q_summary_describe(ctx: Ctx) -> DataFrame:
+    return rounded(features.summary_describe(ctx.cleaned, ["Quantity", "TotalPrice"]))
+
+
+_SKEW_COLS = ["Recency", "Frequency", "Monetary", "Recency_log", "Frequency_log", "Monetary_log"]
+
+
+@query("skewness", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r(f'skewness({c})')} AS skew FROM features_log" for c in _SKEW_COLS), "features_log"))
+def q_skewness(ctx: Ctx) -> DataFrame:
+    """Bias-corrected skew (pandas/DuckDB ``skewness``) before and after log1p."""
+    return rounded(features.skewness(features.add_log_features(ctx.features), _SKEW_COLS))
+
+
+@query("correlation_matrix", with_ctes(" UNION ALL ".join(
+    f"SELECT '{a}' AS f1, '{b}' AS f2, {r('max(1.0)' if a == b else f'corr({a}, {b})')} AS r FROM features"
+    for a in FEATURES for b in FEATURES), "features"))
+def q_correlation_matrix(ctx: Ctx) -> DataFrame:
+    return rounded(features.correlation_matrix(ctx.features, FEATURES))
+
+
+# ============================================================== segments
+
+from rfmspark.operators import dashboard, segment  # noqa: E402
+from rfmspark.plans.sqlparts import SCALED, SEG_ORDER_SQL, dist_sql  # noqa: E402
+from rfmspark.schemas import SCALED_FEATURES  # noqa: E402
+
+
+@query("seeded_segments", with_ctes("SELECT CustomerID, Seed_Cluster, Segment, Segment_Order FROM segmented", "segmented"))
+def q_seeded_segments(ctx: Ctx) -> DataFrame:
+    return ctx.segmented.select("CustomerID", "Seed_Cluster", "Segment", "Segment_Order")
+
+
+@query("label_segments", with_ctes("SELECT Seed_Cluster, Segment FROM seed_labels", "seed_labels"))
+def q_label_segments(ctx: Ctx) -> DataFrame:
+    return segment.label_segments(ctx.segmented, "Seed_Cluster")
+
+
+@query("join_map_label", with_ctes("SELECT CustomerID, Seed_Cluster, seed_segment AS Segment FROM seed_first", "seed_first"))
+def q_join_map_label(ctx: Ctx) -> DataFrame:
+    labels = segment.label_segments(ctx.segmented, "Seed_Cluster")
+    return segment.join_map_label(ctx.segmented.select("CustomerID", "Seed_Cluster"), labels, "Seed_Cluster")
+
+
+@query("segment_order", with_ctes(f"""
+SELECT DISTINCT Segment, {SEG_ORDER_SQL.format(c='Segment')} AS Segment_Order FROM segmented""", "segmented"))
+def q_segment_order(ctx: Ctx) -> DataFrame:
+    return segment.segment_order(ctx.segmented.select("Segment").distinct())
+
+
+@query("cluster_profile", with_ctes(f"""
+SELECT Seed_Cluster, {r('avg(Recency)')} AS Recency, {r('avg(Frequency)')} AS Frequency, {r('avg(Monetary)')} AS Monetary
+FROM seeded GROUP BY Seed_Cluster""", "seeded"))
+def q_cluster_profile(ctx: Ctx) -> DataFrame:
+    return rounded(segment.cluster_profile(ctx.segmented, "Seed_Cluster"))
+
+
+@query("segment_distribution", with_ctes(f"""
+SELECT Segment, count(*) AS count, {r('count(*) * 100.0 / sum(count(*)) OVER ()')} AS percentage
+FROM segmented GROUP BY Segment""", "segmented"))
+def q_segment_distribution(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.segment_distribution(ctx.segmented))
+
+
+_RAW_CENT = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "UniqueProducts", "ReturnRate"]
+
+
+@query("segment_centroids_raw", with_ctes("SELECT Segment, " + ", ".join(f"{r(f'avg({c})')} AS {c}" for c in _RAW_CENT)
+                                          + " FROM segmented GROUP BY Segment", "segmented"))
+def q_segment_centroids_raw(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.segment_centroids_raw(ctx.segmented))
+
+
+@query("segment_centroids_scaled", with_ctes("SELECT Segment, " + ", ".join(f"{r(c)} AS {c}" for c in SCALED)
+                                             + " FROM seg_cents", "seg_cents"))
+def q_segment_centroids_scaled(ctx: Ctx) -> DataFrame:
+    return rounded(segment.segment_centroids(ctx.segmented, SCALED_FEATURES))
+
+
+@query("nearest_centroid", with_ctes(f"""
+SELECT CustomerID, Predicted_Segment, {r('d')} AS Centroid_Distance FROM (
+  SELECT s.CustomerID, c.Segment AS Predicted_Segment, {dist_sql(['s.' + x for x in SCALED], ['c.' + x for x in SCALED])} AS d,
+         row_number() OVER (PARTITION BY s.CustomerID
+                            ORDER BY {dist_sql(['s.' + x for x in SCALED], ['c.' + x for x in SCALED])}, c.Segment) AS rn
+  FROM segmented s CROSS JOIN seg_cents c) WHERE rn = 1""", "segmented", "seg_cents"))
+def q_nearest_centroid(ctx: Ctx) -> DataFrame:
+    """Every customer against the segment centroids (a second assignment step)."""
+    cents = segment.segment_centroids(ctx.segmented, SCALED_FEATURES)
+    out = segment.nearest_centroid(ctx.segmented.select("CustomerID", *SCALED_FEATURES), cents, SCALED_FEATURES)
+    return rounded(out.select("CustomerID", "Predicted_Segment", "Centroid_Distance"))

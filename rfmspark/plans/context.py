@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from rfmspark.functions.scalar import fn_round_half_up
 from rfmspark.operators import clean, features
 from rfmspark.schemas import MODEL_FEATURES
+
+FEATURE_MONTHS = 70  # the first nine months hold one class only in the driver data (SURVEY §7.1)
 from rfmspark.session import prepare
 from rfmspark.sources import tables
 
@@ -59,6 +61,45 @@ class Ctx:
         scaled, _ = features.standard_scale(f, MODEL_FEATURES)
         return scaled.checkpoint(eager=True)
 
+    @cached_property
+    def segmented(self) -> DataFrame:
+        """T5 (seeded segmentation, exact SQL twin)."""
+        from rfmspark.operators.segment import seeded_segments
+        return seeded_segments(self.features_scaled).checkpoint(eager=True)
+
+    @cached_property
+    def supervised(self) -> DataFrame:
+        """T6 with the feature period of the build plan (70 months)."""
+        from rfmspark.operators.learn import supervised_dataset
+        return supervised_dataset(self.cleaned, self.raw_subset, FEATURE_MONTHS).checkpoint(eager=True)
+
+    @cached_property
+    def holdout(self):
+        """(scored hold-out rows, train scaler, scorer weights) of the class-mean scorer."""
+        from rfmspark.operators.learn import holdout_scores
+        scored, params, weights = holdout_scores(self.supervised)
+        return scored.checkpoint(eager=True), params, weights
+
+    @cached_property
+    def split_flags(self) -> DataFrame:
+        from rfmspark.operators.learn import stratified_split
+        return stratified_split(self.supervised).checkpoint(eager=True)
+
+    @cached_property
+    def baseline_scored(self) -> DataFrame:
+        from rfmspark.operators.learn import majority_baseline
+        d = self.split_flags
+        return majority_baseline(d.where(~F.col("is_test")), d.where(F.col("is_test")))
+
+    @cached_property
+    def model_metrics(self) -> DataFrame:
+        """(model, model_order, nine metrics) for the scorer and the majority baseline."""
+        from rfmspark.operators import evaluate as ev
+        m1 = ev.evaluate(self.holdout[0])
+        m2 = ev.evaluate(self.baseline_scored).withColumn("cv_roc_auc_mean", F.lit(0.5)).withColumn(
+            "cv_roc_auc_std", F.lit(0.0))
+        return ev.metrics_table({"class_mean_linear": m1, "baseline_majority": m2}).checkpoint(eager=True)
+
     @cached_property
     def scaler_params(self) -> DataFrame:
         return features.fit_scaler(features.add_log_features(self.features), MODEL_FEATURES)
