@@ -38,7 +38,7 @@ def histogram_by_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
     idx = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1
     idx = F.when(F.col("value") == F.element_at("edges", -1), m - 2).otherwise(idx)
     valid = (m >= 2) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
-    b = j.select("feature", F.when(valid, idx).alias("bin"))
+    b = j.select("feature", F.when(valid, idx).otherwise(F.lit(-1)).alias("bin"))  # -1: outside the edges
     return b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -55,8 +55,8 @@ def psi(ref: DataFrame, prod: DataFrame, cols: list[str] | None = None, bins: in
     na = ha.groupBy("feature").agg(F.sum("count").alias("n_a"))
     grid = edges.select("feature", "n_edges", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0))))
                         .alias("bin")).where(F.col("n_edges") >= 2)
-    g = (grid.join(he.where(F.col("bin").isNotNull()).withColumnRenamed("count", "c_e"), ["feature", "bin"], "left")
-         .join(ha.where(F.col("bin").isNotNull()).withColumnRenamed("count", "c_a"), ["feature", "bin"], "left")
+    g = (grid.join(he.where(F.col("bin") >= 0).withColumnRenamed("count", "c_e"), ["feature", "bin"], "left")
+         .join(ha.where(F.col("bin") >= 0).withColumnRenamed("count", "c_a"), ["feature", "bin"], "left")
          .join(ne, "feature").join(na, "feature", "left"))
     share_e = F.coalesce(F.col("c_e"), F.lit(0)) / F.col("n_e")
     share_a = F.coalesce(F.col("c_a"), F.lit(0)) / F.col("n_a")

@@ -24,11 +24,20 @@ def snapshot_date(tx: DataFrame) -> DataFrame:
     return tx.agg((F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).alias("snapshot"))
 
 
+MONEY = "decimal(38,4)"
+
+
+def money_sum(c) -> Column:
+    """Exact sum of amounts at 1e-4 resolution, returned as double: the result does
+    not depend on summation order (partitioning), so equal row sets give equal sums."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY)).cast("double")
+
+
 def rfm_core(tx: DataFrame) -> DataFrame:
     """Per customer: last/first purchase, distinct invoices, spend, quantity, distinct products."""
     return (tx.groupBy("CustomerID")
             .agg(F.max("InvoiceDate").alias("LastPurchase"), F.min("InvoiceDate").alias("FirstPurchase"),
-                 F.countDistinct("InvoiceNo").alias("Frequency"), F.sum("TotalPrice").alias("Monetary"),
+                 F.countDistinct("InvoiceNo").alias("Frequency"), money_sum("TotalPrice").alias("Monetary"),
                  F.sum("Quantity").cast("bigint").alias("TotalQuantity"),
                  F.countDistinct("StockCode").alias("UniqueProducts")))
 

@@ -342,3 +342,351 @@ def q_nearest_centroid(ctx: Ctx) -> DataFrame:
     cents = segment.segment_centroids(ctx.segmented, SCALED_FEATURES)
     out = segment.nearest_centroid(ctx.segmented.select("CustomerID", *SCALED_FEATURES), cents, SCALED_FEATURES)
     return rounded(out.select("CustomerID", "Predicted_Segment", "Centroid_Distance"))
+
+
+# ============================================================== dashboard
+
+@query("dataset_stats", with_ctes("""
+SELECT count(*) AS total_records, count(DISTINCT CustomerID) AS total_customers,
+       count(DISTINCT InvoiceNo) AS total_transactions, strftime(min(InvoiceDate), '%Y-%m-%d') AS start_date,
+       strftime(max(InvoiceDate), '%Y-%m-%d') AS end_date FROM cleaned""", "cleaned"))
+def q_dataset_stats(ctx: Ctx) -> DataFrame:
+    return dashboard.dataset_stats(ctx.cleaned)
+
+
+@query("country_breakdown", with_ctes("""
+SELECT Country, count(*) AS count FROM cleaned WHERE Country IS NOT NULL GROUP BY Country""", "cleaned"))
+def q_country_breakdown(ctx: Ctx) -> DataFrame:
+    return dashboard.country_breakdown(ctx.cleaned_full)
+
+
+@query("top_products", with_ctes(f"""
+SELECT Description AS description, CAST(sum(Quantity) AS BIGINT) AS quantity, {r('sum(TotalPrice)')} AS revenue
+FROM cleaned WHERE Description IS NOT NULL GROUP BY Description ORDER BY quantity DESC, Description LIMIT 10""", "cleaned"))
+def q_top_products(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.top_products(ctx.cleaned_full, 10))
+
+
+@query("top5_products", with_ctes(f"""
+SELECT CASE WHEN length(description) > 20 THEN substr(description, 1, 20) || '...' ELSE description END AS name,
+       quantity, revenue FROM (
+  SELECT Description AS description, CAST(sum(Quantity) AS BIGINT) AS quantity, {r('sum(TotalPrice)')} AS revenue
+  FROM cleaned WHERE Description IS NOT NULL GROUP BY Description ORDER BY quantity DESC, Description LIMIT 5)""", "cleaned"))
+def q_top5_products(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.top5_products(ctx.cleaned_full))
+
+
+@query("customer_summary", with_ctes(f"""
+SELECT CustomerID, {r('sum(TotalPrice)')} AS total_spend, CAST(sum(Quantity) AS BIGINT) AS total_quantity,
+       count(DISTINCT InvoiceNo) AS num_invoices FROM cleaned GROUP BY CustomerID""", "cleaned"))
+def q_customer_summary(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.customer_summary(ctx.cleaned))
+
+
+_TOP_ITEMS_SQL = f"""
+SELECT * FROM (
+  SELECT CustomerID, StockCode, Description, quantity, revenue,
+         row_number() OVER (PARTITION BY CustomerID ORDER BY quantity DESC, StockCode, Description) AS rank
+  FROM (SELECT CustomerID, StockCode, Description, CAST(sum(Quantity) AS BIGINT) AS quantity, sum(TotalPrice) AS revenue
+        FROM cleaned GROUP BY CustomerID, StockCode, Description)) WHERE rank <= 10"""
+
+
+@query("customer_top_items", with_ctes(f"""
+SELECT CustomerID, StockCode, Description, quantity, {r('revenue')} AS revenue, rank FROM ({_TOP_ITEMS_SQL})""", "cleaned"))
+def q_customer_top_items(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.customer_top_items(ctx.cleaned_full))
+
+
+@query("customer_report", with_ctes(f"""
+SELECT CustomerID, line_no, line FROM (
+  SELECT CustomerID, 0 AS line_no, printf('Transaction Summary for Customer ID %s:', CustomerID) AS line FROM s
+  UNION ALL SELECT CustomerID, 1, printf('- Total Spend: £%.2f', total_spend) FROM s
+  UNION ALL SELECT CustomerID, 2, printf('- Total Quantity Purchased: %d', total_quantity) FROM s
+  UNION ALL SELECT CustomerID, 3, printf('- Unique Invoices count: %d', num_invoices) FROM s
+  UNION ALL SELECT CustomerID, 4, 'Top Purchased Products:' FROM s
+  UNION ALL SELECT CustomerID, 5, 'StockCode | Description | Quantity | Total Revenue' FROM s
+  UNION ALL SELECT CustomerID, rank + 5, printf('%s | %s | %d | £%.2f', StockCode, Description, quantity, revenue)
+            FROM ({_TOP_ITEMS_SQL}))""".replace(
+    "FROM s", "FROM (SELECT CustomerID, sum(TotalPrice) AS total_spend, CAST(sum(Quantity) AS BIGINT) AS total_quantity, "
+              "count(DISTINCT InvoiceNo) AS num_invoices FROM cleaned GROUP BY CustomerID)"), "cleaned"))
+def q_customer_report(ctx: Ctx) -> DataFrame:
+    return dashboard.customer_report(ctx.cleaned_full)
+
+
+@query("join_segment_inner", with_ctes(f"""
+SELECT c.InvoiceNo, c.StockCode, c.CustomerID, s.Segment, {r('c.TotalPrice')} AS TotalPrice
+FROM cleaned c JOIN segmented s ON c.CustomerID = s.CustomerID""", "cleaned", "segmented"))
+def q_join_segment_inner(ctx: Ctx) -> DataFrame:
+    j = dashboard.join_segment_inner(ctx.cleaned, ctx.segmented)
+    return rounded(j.select("InvoiceNo", "StockCode", "CustomerID", "Segment", "TotalPrice"))
+
+
+_TREND_SQL = """
+SELECT strftime(c.InvoiceDate, '%Y-%m') AS Month, s.Segment, sum(c.TotalPrice) AS spend,
+       count(DISTINCT c.CustomerID) AS customers
+FROM cleaned c JOIN segmented s ON c.CustomerID = s.CustomerID GROUP BY 1, 2"""
+
+
+@query("monthly_segment_trend", with_ctes(f"SELECT Month, Segment, {r('spend')} AS spend, customers FROM ({_TREND_SQL})",
+                                          "cleaned", "segmented"))
+def q_monthly_segment_trend(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.monthly_segment_trend(ctx.cleaned, ctx.segmented))
+
+
+@query("monthly_trend_pivot", with_ctes("SELECT Month, " + ", ".join(
+    f"""{r(f"coalesce(sum(CASE WHEN Segment = '{sname}' THEN spend END), 0)")} AS "{sname}\""""
+    for sname in ["At-Risk", "Champions", "Lost Customers", "Loyal Customers"])
+    + f" FROM ({_TREND_SQL}) GROUP BY Month", "cleaned", "segmented"))
+def q_monthly_trend_pivot(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.monthly_trend_pivot(ctx.cleaned, ctx.segmented, "spend"))
+
+
+@query("monthly_revenue", with_ctes(f"SELECT Month, {r('sum(spend)', 2)} AS revenue FROM ({_TREND_SQL}) GROUP BY Month",
+                                    "cleaned", "segmented"))
+def q_monthly_revenue(ctx: Ctx) -> DataFrame:
+    return dashboard.monthly_revenue(ctx.cleaned, ctx.segmented)
+
+
+_HIST_FIELDS = ["Recency", "Frequency", "Monetary"]
+_HV = " UNION ALL ".join(f"SELECT Segment, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM segmented" for f in _HIST_FIELDS)
+
+
+@query("quantile_histogram", with_ctes(f"""
+WITH hv AS ({_HV}),
+hr AS (SELECT *, row_number() OVER (PARTITION BY Segment, field ORDER BY v) - 1 AS rk,
+              count(*) OVER (PARTITION BY Segment, field) AS n FROM hv),
+he AS (SELECT Segment, field, list_sort(list_distinct(list(v))) AS edges
+       FROM hr, (SELECT unnest(range(0, 11)) AS i) g
+       WHERE rk = least(CAST(floor((i / 10) * n) AS BIGINT), n - 1) OR rk = n - 1 GROUP BY Segment, field)
+SELECT Segment, field,
+       {r("CASE WHEN len(edges) <= 2 THEN v ELSE edges[len(list_filter(edges[1:len(edges) - 1], lambda e: e <= v))] END")} AS bin_start,
+       {r("CASE WHEN len(edges) <= 2 THEN v ELSE edges[len(list_filter(edges[1:len(edges) - 1], lambda e: e <= v)) + 1] END")} AS bin_end,
+       count(*) AS count
+FROM hv JOIN he USING (Segment, field) GROUP BY ALL""".replace("WITH hv AS", "SELECT * FROM (WITH hv AS", 1) + ")",
+                                       "segmented"))
+def q_quantile_histogram(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.quantile_histogram(ctx.segmented, _HIST_FIELDS, 10))
+
+
+@query("distinct_values", with_ctes("SELECT DISTINCT CustomerID FROM cleaned", "cleaned"))
+def q_distinct_values(ctx: Ctx) -> DataFrame:
+    return dashboard.distinct_values(ctx.cleaned, ["CustomerID"])
+
+
+@query("union_append", with_ctes(f"""
+SELECT InvoiceNo, CustomerID, {rnd(['TotalPrice'])} FROM cleaned
+UNION ALL
+SELECT InvoiceNo, CustomerID, {rnd(['TotalPrice'])} FROM (SELECT *, Quantity * UnitPrice AS TotalPrice FROM retail)
+WHERE coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "cleaned", "retail"))
+def q_union_append(ctx: Ctx) -> DataFrame:
+    """Cleaned rows with the cancelled raw rows appended (no de-duplication)."""
+    new = clean.total_price(clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity", "UnitPrice"])))
+    return rounded(dashboard.union_append(ctx.cleaned.select("InvoiceNo", "CustomerID", "TotalPrice"),
+                                          new.select("InvoiceNo", "CustomerID", "TotalPrice")))
+
+
+# ============================================================== supervised dataset, split, scorer, metrics
+
+from rfmspark.operators import drift as drift_ops  # noqa: E402
+from rfmspark.operators import evaluate as ev  # noqa: E402
+from rfmspark.operators import learn  # noqa: E402
+
+_F9_SQL = ("CustomerID, Recency, Frequency, " + rnd(["Monetary", "AvgOrderValue"]) + ", UniqueProducts, "
+           + rnd(["ReturnRate"]) + ", CustomerLifetimeDays, " + rnd(["PurchaseFrequencyMonthly", "AvgQuantityPerOrder"]))
+
+
+@query("supervised_dataset", with_ctes(f"SELECT {_F9_SQL}, Target FROM supervised", "supervised"))
+def q_supervised_dataset(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.supervised)
+
+
+@query("target_label", with_ctes("SELECT CustomerID, Target FROM supervised", "supervised"))
+def q_target_label(ctx: Ctx) -> DataFrame:
+    return ctx.supervised.select("CustomerID", "Target")
+
+
+@query("semi_join_target", with_ctes("""
+SELECT CustomerID FROM sup_features f WHERE EXISTS (SELECT 1 FROM sup_target t WHERE t.CustomerID = f.CustomerID)""",
+                                     "sup_features", "sup_target"))
+def q_semi_join_target(ctx: Ctx) -> DataFrame:
+    split = learn.split_date_value(ctx.cleaned, 70)
+    after = clean.after_split(ctx.cleaned, split)
+    return learn.semi_join_target(ctx.supervised.select("CustomerID"), after)
+
+
+@query("stratified_split", with_ctes("SELECT CustomerID, Target, is_test FROM ho_flag", "ho_flag"))
+def q_stratified_split(ctx: Ctx) -> DataFrame:
+    return ctx.split_flags.select("CustomerID", "Target", "is_test")
+
+
+@query("class_balance", with_ctes("SELECT Target, count(*) AS count FROM supervised GROUP BY Target", "supervised"))
+def q_class_balance(ctx: Ctx) -> DataFrame:
+    return features.class_balance(ctx.supervised)
+
+
+@query("scale_pos_weight", with_ctes(f"""
+SELECT {r('CAST(count_if(Target = 0) AS DOUBLE) / count_if(Target = 1)')} AS scale_pos_weight
+FROM ho_flag WHERE NOT is_test""", "ho_flag"))
+def q_scale_pos_weight(ctx: Ctx) -> DataFrame:
+    return rounded(features.scale_pos_weight(ctx.split_flags.where(~F.col("is_test"))))
+
+
+@query("standard_scale_train_only", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r('m_' + c)} AS mean, {r('s_' + c)} AS scale FROM ho_scaler" for c in MODEL_FEATURES),
+    "ho_scaler"))
+def q_standard_scale_train_only(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.holdout[1].select("feature", "mean", "scale"))
+
+
+@query("class_mean_scorer", with_ctes(f"SELECT CustomerID, Target, {r('margin')} AS margin, {r('probability')} AS probability, "
+                                      "prediction FROM ho_scored", "ho_scored"))
+def q_class_mean_scorer(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.holdout[0].select("CustomerID", "Target", "margin", "probability", "prediction"))
+
+
+@query("majority_baseline", with_ctes(f"SELECT CustomerID, Target, prediction, {r('probability')} AS probability "
+                                      "FROM ho_baseline", "ho_baseline"))
+def q_majority_baseline(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.baseline_scored.select("CustomerID", "Target", "prediction", "probability"))
+
+
+@query("confusion_matrix", with_ctes("""
+SELECT a.actual, p.predicted, count(s.Target) AS count
+FROM (SELECT 0 AS actual UNION ALL SELECT 1) a CROSS JOIN (SELECT 0 AS predicted UNION ALL SELECT 1) p
+LEFT JOIN ho_scored s ON s.Target = a.actual AND s.prediction = p.predicted GROUP BY 1, 2""", "ho_scored"))
+def q_confusion_matrix(ctx: Ctx) -> DataFrame:
+    return ev.confusion_matrix(ctx.holdout[0])
+
+
+_METRIC_COLS = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc", "mcc"]
+
+
+@query("classification_metrics", with_ctes(
+    "SELECT " + ", ".join(f"{r(c)} AS {c}" for c in ["accuracy", "precision", "recall", "f1_score", "mcc"])
+    + " FROM model_metrics WHERE model = 'class_mean_linear'", "model_metrics"))
+def q_classification_metrics(ctx: Ctx) -> DataFrame:
+    m = ev.classification_metrics(ctx.holdout[0])
+    return rounded(m.select("accuracy", "precision", "recall", "f1_score", "mcc"))
+
+
+@query("roc_auc", with_ctes(f"SELECT model, {r('roc_auc')} AS roc_auc FROM model_metrics", "model_metrics"))
+def q_roc_auc(ctx: Ctx) -> DataFrame:
+    a = ev.roc_auc(ctx.holdout[0]).select(F.lit("class_mean_linear").alias("model"), "roc_auc")
+    b = ev.roc_auc(ctx.baseline_scored).select(F.lit("baseline_majority").alias("model"), "roc_auc")
+    return rounded(a.unionByName(b))
+
+
+@query("pr_auc", with_ctes(f"SELECT model, {r('pr_auc')} AS pr_auc FROM model_metrics", "model_metrics"))
+def q_pr_auc(ctx: Ctx) -> DataFrame:
+    a = ev.pr_auc(ctx.holdout[0]).select(F.lit("class_mean_linear").alias("model"), "pr_auc")
+    b = ev.pr_auc(ctx.baseline_scored).select(F.lit("baseline_majority").alias("model"), "pr_auc")
+    return rounded(a.unionByName(b))
+
+
+@query("roc_curve", with_ctes(f"""
+SELECT {r('t')} AS threshold, {r('CAST(cum_neg AS DOUBLE) / N')} AS fpr, {r('CAST(cum_pos AS DOUBLE) / P')} AS tpr
+FROM (SELECT * FROM (__CUM__))""".replace("__CUM__", __import__("rfmspark.plans.sqlparts", fromlist=["x"]).cum_sql("ho_scored")),
+                              "ho_scored"))
+def q_roc_curve(ctx: Ctx) -> DataFrame:
+    return rounded(ev.roc_curve(ctx.holdout[0]))
+
+
+@query("pr_curve", with_ctes(f"""
+SELECT {r('t')} AS threshold, {r('CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg)')} AS precision,
+       {r('CAST(cum_pos AS DOUBLE) / P')} AS recall
+FROM (__CUM__) x WHERE t >= (SELECT max(t) FROM (__CUM__) y WHERE cum_pos = P)
+UNION ALL SELECT NULL, 1.0, 0.0""".replace("__CUM__", __import__("rfmspark.plans.sqlparts", fromlist=["x"]).cum_sql("ho_scored")),
+                             "ho_scored"))
+def q_pr_curve(ctx: Ctx) -> DataFrame:
+    return rounded(ev.pr_curve(ctx.holdout[0]))
+
+
+_MM_SQL = "model, " + ", ".join(f"{r(c)} AS {c}" for c in _METRIC_COLS + ["cv_roc_auc_mean", "cv_roc_auc_std"])
+
+
+@query("model_metrics", with_ctes(f"SELECT {_MM_SQL} FROM model_metrics", "model_metrics"))
+def q_model_metrics(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.model_metrics.drop("model_order"))
+
+
+@query("model_leaderboard", with_ctes(f"""
+SELECT model AS recommended_model, {r('s')} AS score,
+       printf('Model recommends ''%s'' due to highest 3-Fold Cross-Validation ROC-AUC of %.4f.',
+              list_aggr(list_transform(string_split(replace(model, '_', ' '), ' '),
+                                       lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' '), s) AS recommendation_reason
+FROM (SELECT *, coalesce(CASE WHEN cv_roc_auc_mean <> 0 THEN cv_roc_auc_mean END, roc_auc, 0.0) AS s FROM model_metrics)
+ORDER BY s DESC, model_order LIMIT 1""", "model_metrics"))
+def q_model_leaderboard(ctx: Ctx) -> DataFrame:
+    return rounded(ev.model_leaderboard(ctx.model_metrics))
+
+
+@query("best_per_metric", with_ctes("SELECT " + ", ".join(f"{r(f'max({c})')} AS {c}" for c in _METRIC_COLS)
+                                    + " FROM model_metrics", "model_metrics"))
+def q_best_per_metric(ctx: Ctx) -> DataFrame:
+    return rounded(ev.best_per_metric(ctx.model_metrics))
+
+
+_GATE_SQL = f"""
+SELECT {r('new_auc')} AS new_auc, {r('old_auc')} AS old_auc, NOT (new_auc < 0.55) AND NOT (new_auc < old_auc - 0.05) AS accepted,
+       concat_ws(', ', CASE WHEN new_auc < 0.55 THEN printf('AUC too low: %.4f < 0.55', new_auc) END,
+                 CASE WHEN new_auc < old_auc - 0.05
+                      THEN printf('Deteriorated from benchmark: %.4f vs benchmark %.4f', new_auc, old_auc) END) AS reasons
+FROM (SELECT coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'class_mean_linear'), 0.0) AS new_auc,
+             coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'baseline_majority'), 0.5) AS old_auc)"""
+
+
+@query("model_gate", with_ctes(_GATE_SQL, "model_metrics"))
+def q_model_gate(ctx: Ctx) -> DataFrame:
+    """Candidate = the class-mean scorer, benchmark = the majority baseline."""
+    m = ctx.model_metrics
+    new = m.where(F.col("model") == "class_mean_linear")
+    old = m.where(F.col("model") == "baseline_majority").withColumn("model", F.lit("class_mean_linear"))
+    return rounded(ev.model_gate(new, old, model="class_mean_linear"))
+
+
+# ============================================================== drift
+
+_DRIFT_COLS = ["psi_value", "training_mean", "production_mean"]
+
+
+@query("psi_bin_edges", with_ctes(f"""
+SELECT feature, CAST(i AS INTEGER) AS edge_index, {r('edges[i + 1]', 6)} AS edge
+FROM (SELECT feature, edges, unnest(range(0, len(edges))) AS i FROM drift_edges)""", "drift_edges"))
+def q_psi_bin_edges(ctx: Ctx) -> DataFrame:
+    e = drift_ops.psi_bin_edges(features.stack_columns(ctx.supervised, FEATURES))
+    return e.select("feature", F.posexplode("edges").alias("edge_index", "edge")).select(
+        "feature", F.col("edge_index").cast("int"), fround("edge", 6).alias("edge"))
+
+
+@query("histogram_by_edges", with_ctes("SELECT feature, CAST(bin AS INTEGER) AS bin, cnt AS count FROM drift_ha",
+                                       "drift_ha"))
+def q_histogram_by_edges(ctx: Ctx) -> DataFrame:
+    """Production counts per reference bin (bin NULL = outside the reference range)."""
+    e = drift_ops.psi_bin_edges(features.stack_columns(ctx.supervised, FEATURES))
+    h = drift_ops.histogram_by_edges(features.stack_columns(ctx.features, FEATURES), e)
+    return h.select("feature", F.col("bin").cast("int"), "count")
+
+
+@query("psi", with_ctes(f"SELECT feature, {r('psi_value', 6)} AS psi_value FROM drift_psi", "drift_psi"))
+def q_psi(ctx: Ctx) -> DataFrame:
+    p = drift_ops.psi(ctx.supervised, ctx.features, FEATURES)
+    return p.select("feature", fround("psi_value", 6).alias("psi_value"))  # already rounded: not passed to rounded()
+
+
+@query("drift_report", with_ctes(f"""
+SELECT feature, {r('psi_value')} AS psi_value, status, {rnd(['training_mean', 'production_mean'])}, overall_status
+FROM drift_report""", "drift_report"))
+def q_drift_report(ctx: Ctx) -> DataFrame:
+    return rounded(drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES))
+
+
+@query("feature_means", with_ctes(f"SELECT feature, {rnd(['training_mean', 'production_mean'])} FROM drift_report",
+                                  "drift_report"))
+def q_feature_means(ctx: Ctx) -> DataFrame:
+    return rounded(features.feature_means(ctx.supervised, ctx.features, FEATURES))
+
+
+@query("retrain_trigger", with_ctes("""
+SELECT max(psi_value) > 0.25 OR bool_or(overall_status = 'Retrain Alert') AS retrain FROM drift_report""", "drift_report"))
+def q_retrain_trigger(ctx: Ctx) -> DataFrame:
+    return drift_ops.retrain_trigger(drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES))

@@ -62,7 +62,7 @@ cte("snap", ["cleaned"], "SELECT max(InvoiceDate) + INTERVAL 1 DAY AS snapshot F
 
 cte("rfm_core", ["cleaned"], """
 SELECT CustomerID, max(InvoiceDate) AS LastPurchase, min(InvoiceDate) AS FirstPurchase,
-       count(DISTINCT InvoiceNo) AS Frequency, sum(TotalPrice) AS Monetary,
+       count(DISTINCT InvoiceNo) AS Frequency, CAST(sum(CAST(TotalPrice AS DECIMAL(38, 4))) AS DOUBLE) AS Monetary,
        CAST(sum(Quantity) AS BIGINT) AS TotalQuantity, count(DISTINCT StockCode) AS UniqueProducts
 FROM cleaned GROUP BY CustomerID""")
 
@@ -196,7 +196,7 @@ FEATURE_MONTHS = 70
 cte("sup_split", ["cleaned"], f"SELECT min(InvoiceDate) + INTERVAL {FEATURE_MONTHS} MONTH AS split FROM cleaned")
 cte("sup_core", ["cleaned", "sup_split"], """
 SELECT CustomerID, max(InvoiceDate) AS LastPurchase, min(InvoiceDate) AS FirstPurchase,
-       count(DISTINCT InvoiceNo) AS Frequency, sum(TotalPrice) AS Monetary,
+       count(DISTINCT InvoiceNo) AS Frequency, CAST(sum(CAST(TotalPrice AS DECIMAL(38, 4))) AS DOUBLE) AS Monetary,
        CAST(sum(Quantity) AS BIGINT) AS TotalQuantity, count(DISTINCT StockCode) AS UniqueProducts
 FROM cleaned, sup_split WHERE InvoiceDate < split GROUP BY CustomerID""")
 cte("sup_rr", ["retail", "sup_split"], """
@@ -302,7 +302,7 @@ def hist_sql(src: str) -> str:
     return f"""
 SELECT feature, CASE WHEN n_edges >= 2 AND value >= edges[1] AND value <= edges[n_edges] THEN
                   CASE WHEN value = edges[n_edges] THEN n_edges - 2 ELSE len(list_filter(edges, lambda x: x <= value)) - 1 END
-                END AS bin, count(*) AS cnt
+                ELSE -1 END AS bin, count(*) AS cnt
 FROM {src} JOIN drift_edges USING (feature) GROUP BY ALL"""
 
 
