@@ -8,8 +8,6 @@ into ``salt_buckets`` parallel sorts of its distinct items.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +132,8 @@ def quantile_histogram(seg: DataFrame, fields: list[str], bins: int = 10) -> Dat
         F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])).alias("kv")
     ).select("Segment", "kv.field", "kv.v").where(F.col("v").isNotNull())
     # positions as floating point, floor((i / bins) * n), like the dashboard computes them
-    fns = [lambda n, i=i: min(math.floor((i / bins) * n), n - 1) for i in range(bins + 1)] + [lambda n: n - 1]
-    edges_long = values_at_ranks(long, "v", fns, ["Segment", "field"])
+    specs = [(i / bins, lambda n, i=i: F.least(F.floor(F.lit(i / bins) * n), n - 1)) for i in range(bins + 1)]
+    edges_long = values_at_ranks(long, "v", specs + [(1.0, lambda n: n - 1)], ["Segment", "field"])
     edges = edges_long.groupBy("Segment", "field").agg(F.array_sort(F.collect_set("value")).alias("edges"))
     j = long.join(F.broadcast(edges), ["Segment", "field"])  # <= bins+2 edges per (segment, field)
     m = F.size("edges")

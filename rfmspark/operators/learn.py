@@ -74,7 +74,7 @@ def stratified_split(df: DataFrame, label: str = "Target", id_col: str = "Custom
     key hash are the test rows. Adds ``is_test``. The per-class cut is found by
     distributed rank selection (no class is sorted in one task)."""
     d = df.withColumn("_h", key_hash(id_col, seed))
-    cut = values_at_ranks(d, "_h", [lambda n: int(test * n + 0.5) - 1], [label])
+    cut = values_at_ranks(d, "_h", [(test, lambda n: F.floor(n * F.lit(test) + F.lit(0.5)) - 1)], [label])
     cut = cut.select(label, F.col("value").alias("_cut"), F.col("n").alias("_n"))
     d = d.join(F.broadcast(cut), label, "left")  # one row per class
     n_test = F.floor(F.col("_n") * F.lit(test) + F.lit(0.5))

@@ -4,14 +4,14 @@
 buffer per group, and a window ``ORDER BY`` without ``PARTITION BY`` moves every
 row to one task. Neither scales. The two building blocks here avoid both:
 
-* :func:`values_at_ranks` - the value at given 0-based ranks, per group:
-  1. row counts per group (one small collected row per group) fix the ranks;
-  2. for large groups ``percentile_approx`` at rank/n -/+ margin gives a band
-     [lo, hi] that must contain the wanted order statistic (rank error <= n/accuracy);
-  3. one pass counts rows below ``lo`` (partial aggregation) and keeps only rows
-     inside a band (about 6·n/accuracy rows per rank);
-  4. a window over each band (distinct values with counts) finds the exact value.
-  Groups smaller than 4·accuracy use the whole group as the band.
+* :func:`values_at_ranks` - the value at given 0-based ranks, per group, in one plan:
+  1. one aggregate per group: n, approximate distinct count, and
+     ``percentile_approx`` around each wanted rank; the rank error of the sketch is
+     at most n/accuracy, so [lo, hi] must contain the order statistic;
+  2. one pass counts rows below ``lo`` (partial aggregation) and keeps only rows
+     inside a band (about 8·n/accuracy rows per rank); a window over each band's
+     distinct values (with counts) finds the exact value.
+  Small groups, or groups with few distinct values, are one band each.
 * :func:`cumulative_by_order` - running sums in value order: rows are cut into
   value ranges by approximate quantiles (equal values always share a range), the
   per-range totals (a few hundred rows) give each range its offset, and a window
@@ -20,7 +20,6 @@ row to one task. Neither scales. The two building blocks here avoid both:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,80 +28,54 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 10_000
 
 
-MAX_RANK_GROUPS = 100_000
-
-
-def values_at_ranks(df: DataFrame, value_col: str, rank_fns: list[Callable[[int], int]],
+def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Callable[[Column], Column]]],
                     group_cols: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``group_cols..., r_index, n, rank, value``: the value at 0-based rank
-    ``rank_fns[i](n)`` in ascending order of ``value_col`` (NULLs ignored), per group.
-
-    The per-group row counts are collected first (one row per group, bounded by
-    ``MAX_RANK_GROUPS``); ranks are then literals. Groups below ``4·accuracy`` rows are
-    solved directly by a window over their distinct values; larger groups first
-    narrow each rank to a band with ``percentile_approx`` (rank error <= n/accuracy)."""
+    """``group_cols..., r_index, n, rank, value``: for each spec ``(p, rank_of)`` the value at
+    0-based rank ``rank_of(n)`` (a Column expression of the group size ``n``) in ascending
+    order of ``value_col`` (NULLs ignored), per group. ``p`` is that rank as a fraction of
+    n, to within two rows.
+
+    One plan, no driver round trip: an aggregate per group gives n and
+    ``percentile_approx`` at p -/+ 4/accuracy. The sketch's rank error is at most
+    n/accuracy, so each wanted order statistic lies in that band. Rows inside a band
+    are counted per distinct value, a window over the band turns counts into ranks
+    (offset by the rows below the band), and the value at the rank is read off.
+    Groups with fewer than 4·accuracy rows form a single band."""
     g = list(group_cols or [])
-    spark = df.sparkSession
     d = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    counts = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_RANK_GROUPS + 1).collect()
-    if len(counts) > MAX_RANK_GROUPS:
-        raise ValueError(f"more than {MAX_RANK_GROUPS} groups: rank selection per group is not bounded")
-    rows = []
-    for row in counts:
-        n = int(row["_n"])
-        for i, fn in enumerate(rank_fns):
-            r = min(max(int(fn(n)), 0), n - 1)
-            rows.append(tuple(row[c] for c in g) + (i, n, r))
-    gschema = [f for f in d.schema.fields if f.name in g]
-    from pyspark.sql import types as T
-    schema = T.StructType(gschema + [T.StructField("r_index", T.IntegerType()), T.StructField("n", T.LongType()),
-                                     T.StructField("rank", T.LongType())])
-    ranks = spark.createDataFrame(rows, schema)
-    big = [r for r in rows if r[-2] >= 4 * accuracy]
-    keys = g + ["r_index"]
-    if not big:
-        # every group is small: the whole group is the band
-        band = d.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*g).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        band = band.withColumn("_end", F.sum("_c").over(w))
-        sel = (band.join(F.broadcast(ranks), on=g, how="inner") if g else band.crossJoin(F.broadcast(ranks)))
-        sel = sel.where(F.col("_end") > F.col("rank")).groupBy(*keys).agg(F.min("_x").alias("value"))
-        return ranks.join(sel, on=keys, how="left").select(*g, "r_index", "n", "rank", "value")
-    # large groups: band [lo, hi] around each rank from approximate quantiles at literal fractions
-    margin = 3.0 / accuracy
-    fracs = sorted({min(1.0, max(0.0, (r[-1] + 0.5) / r[-2] + s)) for r in rows for s in (-margin, margin)})
-    approx = d.groupBy(*g).agg(F.percentile_approx("_x", fracs, accuracy).alias("_ap"))
-    pos = {f: i for i, f in enumerate(fracs)}
-    band_rows = []
-    for r in rows:
-        n, rank = r[-2], r[-1]
-        if n < 4 * accuracy:
-            band_rows.append(r + (-1, -1))
-        else:
-            band_rows.append(r + (pos[min(1.0, max(0.0, (rank + 0.5) / n - margin))],
-                                  pos[min(1.0, max(0.0, (rank + 0.5) / n + margin))]))
-    bschema = T.StructType(schema.fields + [T.StructField("_ilo", T.IntegerType()), T.StructField("_ihi", T.IntegerType())])
-    bands = spark.createDataFrame(band_rows, bschema)
-    bands = (bands.join(approx, on=g, how="inner") if g else bands.crossJoin(approx)).select(
-        *keys, "rank",
-        F.when(F.col("_ilo") < 0, F.lit(float("-inf"))).otherwise(F.element_at("_ap", F.col("_ilo") + 1)).alias("_lo"),
-        F.when(F.col("_ihi") < 0, F.lit(float("inf"))).otherwise(F.element_at("_ap", F.col("_ihi") + 1)).alias("_hi"))
-    k = len(rank_fns)
-    packed = bands.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("r_index", "_lo", "_hi"))).alias("_b"))
-    j = d.join(F.broadcast(packed), on=g, how="inner") if g else d.crossJoin(F.broadcast(packed))
-    below = j.groupBy(*g).agg(*[F.sum(F.when(F.col("_x") < F.col("_b")[i]["_lo"], 1).otherwise(0)).cast("bigint")
-                                .alias(f"_b{i}") for i in range(k)])
-    below = below.select(*g, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(k)])).alias("r_index", "_below"))
-    in_band = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
-                       lambda i: (F.col("_x") >= F.col("_b")[i]["_lo"]) & (F.col("_x") <= F.col("_b")[i]["_hi"]))
-    band = (j.select(*g, "_x", F.explode(in_band).alias("r_index"))
-            .groupBy(*g, "r_index", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*g, "r_index").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    band = band.withColumn("_cum", F.sum("_c").over(w))
-    sel = (band.join(below, on=keys).join(F.broadcast(ranks.select(*keys, "rank")), on=keys)
-           .where(F.col("_below") + F.col("_cum") > F.col("rank"))
-           .groupBy(*keys).agg(F.min("_x").alias("value")))
-    return ranks.join(sel, on=keys, how="left").select(*g, "r_index", "n", "rank", "value")
+    m = 4.0 / accuracy
+    fr = sorted({min(1.0, max(0.0, p + sgn)) for p, _ in specs for sgn in (-m, m)})
+    pos = {f: i for i, f in enumerate(fr)}
+    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", fr, accuracy).alias("_ap"))
+    n = F.col("_n")
+    whole = n < F.lit(4 * accuracy)
+    entries = []
+    for i, (p, rank_of) in enumerate(specs):
+        entries.append(F.struct(
+            F.lit(i).alias("ri"),
+            F.when(whole, F.lit(-1)).otherwise(F.lit(i)).alias("bi"),
+            F.least(F.greatest(rank_of(n).cast("bigint"), F.lit(0).cast("bigint")), n - 1).alias("rank"),
+            F.when(whole, F.lit(float("-inf"))).otherwise(F.element_at("_ap", pos[min(1.0, max(0.0, p - m))] + 1)).alias("lo"),
+            F.when(whole, F.lit(float("inf"))).otherwise(F.element_at("_ap", pos[min(1.0, max(0.0, p + m))] + 1)).alias("hi")))
+    # one row per group carrying its k rank entries
+    stats = stats.select(*g, "_n", F.array(*entries).alias("_r"))
+    j = d.join(stats, on=g, how="inner") if g else d.crossJoin(F.broadcast(stats))
+    bands = F.array_distinct(F.transform("_r", lambda e: F.struct(e["bi"].alias("bi"), e["lo"].alias("lo"))))
+    below = (j.select(*g, F.inline(F.transform(bands, lambda b: F.struct(
+        b["bi"].alias("_bi"), (F.col("_x") < b["lo"]).cast("bigint").alias("_lt")))))
+        .groupBy(*g, "_bi").agg(F.sum("_lt").alias("_below")))
+    hit = F.array_distinct(F.transform(F.filter("_r", lambda e: (F.col("_x") >= e["lo"]) & (F.col("_x") <= e["hi"])),
+                                       lambda e: e["bi"]))
+    band = (j.select(*g, "_n", "_r", "_x", F.explode(hit).alias("_bi"))
+            .groupBy(*g, "_bi", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_r").alias("_r"),
+                                          F.first("_n").alias("_n")))
+    w = Window.partitionBy(*g, "_bi").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    band = band.withColumn("_cum", F.sum("_c").over(w)).join(below, on=g + ["_bi"])
+    cand = band.select(*g, "_n", "_x", (F.col("_below") + F.col("_cum")).alias("_end"), F.inline(
+        F.filter("_r", lambda e: e["bi"] == F.col("_bi"))))
+    return (cand.where(F.col("_end") > F.col("rank"))
+            .groupBy(*g, F.col("ri").alias("r_index"))
+            .agg(F.first("_n").alias("n"), F.first("rank").alias("rank"), F.min("_x").alias("value")))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
@@ -112,11 +85,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     floor(h)+1 with h = (n-1)·p."""
     g = list(group_cols or [])
     probs = [float(p) for p in probs]
-    fns = []
+    specs = []
     for p in probs:
-        fns.append(lambda n, p=p: math.floor((n - 1) * p))
-        fns.append(lambda n, p=p: math.floor((n - 1) * p) + 1)
-    v = values_at_ranks(df, value_col, fns, g, accuracy)
+        specs.append((p, lambda n, p=p: F.floor((n - 1).cast("double") * F.lit(p))))
+        specs.append((p, lambda n, p=p: F.floor((n - 1).cast("double") * F.lit(p)) + 1))
+    v = values_at_ranks(df, value_col, specs, g, accuracy)
     wide = v.groupBy(*g).agg(F.first("n").alias("n"), *[
         F.max(F.when(F.col("r_index") == i, F.col("value"))).alias(f"_v{i}") for i in range(2 * len(probs))])
     rows = []

@@ -49,8 +49,7 @@ SELECT b.lo AS lower, b.hi AS upper, (SELECT count(*) FROM after_qty) AS rows_ke
 UNION ALL
 SELECT {r('b.lo')}, {r('b.hi')}, (SELECT count(*) FROM cleaned), 'TotalPrice' FROM tp_bounds b""", "cleaned"))
 def q_iqr_filter(ctx: Ctx) -> DataFrame:
-    raw = ctx.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"])
-    pre = clean.total_price(clean.positive_qty_price(clean.drop_cancelled(clean.drop_null_customer(raw))))
+    pre = ctx.cleaning[0]  # the row-filtered transactions (materialised stage table)
     after_q = clean.iqr_filter(pre, "Quantity")
     after_tp = clean.iqr_filter(after_q, "TotalPrice")
     qb = clean.iqr_bounds(pre, "Quantity").crossJoin(after_q.agg(F.count(F.lit(1)).alias("rows_kept")))
@@ -82,7 +81,8 @@ SELECT * , {r('CAST(rows_out AS DOUBLE) * 100.0 / rows_in')} AS retained_pct FRO
   UNION ALL SELECT 5, 'iqr_total_price', (SELECT count(*) FROM after_qty), (SELECT count(*) FROM cleaned)
   UNION ALL SELECT 6, 'overall', (SELECT count(*) FROM retail), (SELECT count(*) FROM cleaned))""", "cleaned"))
 def q_cleaning_audit(ctx: Ctx) -> DataFrame:
-    return clean.cleaning_audit(ctx.retail(["InvoiceNo", "Quantity", "UnitPrice", "CustomerID"]))
+    return clean.cleaning_audit(ctx.retail(["InvoiceNo", "Quantity", "UnitPrice", "CustomerID"]),
+                                bounds=ctx.cleaning[1])
 
 
 # ============================================================== filters / projections on the transactions

@@ -21,6 +21,25 @@ from rfmspark.session import prepare
 from rfmspark.sources import tables
 
 
+# Stage outputs (cleaned transactions, features, segments, supervised set, hold-out scores)
+# are materialised once per application and data folder into the reliable checkpoint
+# folder and then shared by every query, as the pipeline's stage tables are.
+_ARTIFACTS: dict[tuple, object] = {}
+
+
+def artifact(fn):
+    """Like ``cached_property`` but shared by all contexts of one application + folder."""
+    name = fn.__name__
+
+    def get(self):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _ARTIFACTS:
+            _ARTIFACTS[key] = fn(self)
+        return _ARTIFACTS[key]
+    get.__doc__ = fn.__doc__
+    return property(get)
+
+
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
@@ -32,17 +51,24 @@ class Ctx:
     def retail(self, columns: list[str] | None = None) -> DataFrame:
         return tables.retail(self.spark, self.sf_dir, columns)
 
-    @cached_property
+    @artifact
     def cleaned(self) -> DataFrame:
         """T2 without Description/Country (the feature jobs never read them). The
         row-filtered input of the two IQR passes is checkpointed once."""
+        pre, bounds = self.cleaning
+        return clean.apply_bounds(pre, bounds).checkpoint(eager=True)
+
+    @artifact
+    def cleaning(self):
+        """(row-filtered transactions before IQR, IQR bounds as literals)."""
         raw = self.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"])
-        return clean.clean_transactions(raw, materialize=True)
+        return clean.cleaning_bounds(raw, materialize=True)
 
     @cached_property
     def cleaned_full(self) -> DataFrame:
-        """T2 with every column (for dashboards that show names and countries)."""
-        return clean.clean_transactions(self.retail(), materialize=True)
+        """T2 with every column (for dashboards that show names and countries): the
+        cleaned rows plus the two lookup columns, which cleaning never reads."""
+        return tables.add_lookups(self.spark, self.sf_dir, self.cleaned)
 
     @cached_property
     def raw_subset(self) -> DataFrame:
@@ -50,37 +76,38 @@ class Ctx:
 
     @cached_property
     def features(self) -> DataFrame:
-        """F9 per customer as of the snapshot date."""
-        return features.rfm_features(self.cleaned, self.raw_subset)
+        """F9 per customer as of the snapshot date (the F9 columns of ``features_scaled``)."""
+        from rfmspark.schemas import FEATURES
+        return self.features_scaled.select("CustomerID", *FEATURES)
 
-    @cached_property
+    @artifact
     def features_scaled(self) -> DataFrame:
         """T4: F9 + logs + scaled model features (population std). Written once to the
         checkpoint folder: segmentation and drift read it several times."""
-        f = features.add_log_features(self.features)
+        f = features.add_log_features(features.rfm_features(self.cleaned, self.raw_subset))
         scaled, _ = features.standard_scale(f, MODEL_FEATURES)
         return scaled.checkpoint(eager=True)
 
-    @cached_property
+    @artifact
     def segmented(self) -> DataFrame:
         """T5 (seeded segmentation, exact SQL twin)."""
         from rfmspark.operators.segment import seeded_segments
         return seeded_segments(self.features_scaled).checkpoint(eager=True)
 
-    @cached_property
+    @artifact
     def supervised(self) -> DataFrame:
         """T6 with the feature period of the build plan (70 months)."""
         from rfmspark.operators.learn import supervised_dataset
         return supervised_dataset(self.cleaned, self.raw_subset, FEATURE_MONTHS).checkpoint(eager=True)
 
-    @cached_property
+    @artifact
     def holdout(self):
         """(scored hold-out rows, train scaler, scorer weights) of the class-mean scorer."""
         from rfmspark.operators.learn import holdout_scores
         scored, params, weights = holdout_scores(self.supervised)
         return scored.checkpoint(eager=True), params, weights
 
-    @cached_property
+    @artifact
     def split_flags(self) -> DataFrame:
         from rfmspark.operators.learn import stratified_split
         return stratified_split(self.supervised).checkpoint(eager=True)
@@ -91,7 +118,7 @@ class Ctx:
         d = self.split_flags
         return majority_baseline(d.where(~F.col("is_test")), d.where(F.col("is_test")))
 
-    @cached_property
+    @artifact
     def model_metrics(self) -> DataFrame:
         """(model, model_order, nine metrics) for the scorer and the majority baseline."""
         from rfmspark.operators import evaluate as ev
