@@ -690,3 +690,147 @@ def q_feature_means(ctx: Ctx) -> DataFrame:
 SELECT max(psi_value) > 0.25 OR bool_or(overall_status = 'Retrain Alert') AS retrain FROM drift_report""", "drift_report"))
 def q_retrain_trigger(ctx: Ctx) -> DataFrame:
     return drift_ops.retrain_trigger(drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES))
+
+
+# ============================================================== scoring and the prediction log (T7)
+
+from rfmspark.operators import score as score_ops  # noqa: E402
+from rfmspark.plans.sqlparts import score_sql  # noqa: E402
+from rfmspark.schemas import LOG_FEATURE_COLUMNS  # noqa: E402
+
+_LOGF = list(LOG_FEATURE_COLUMNS.values())
+_T7_DOUBLES = _LOGF + [f"{p}_prob" for p in ["lr", "rf", "xgb", "lgb", "stacking"]]
+_T7_SQL = ", ".join(["id", "timestamp", "customer_id"] + [f"{r(c)} AS {c}" for c in _LOGF] + ["predicted_segment"]
+                    + [x for p in ["lr", "rf", "xgb", "lgb", "stacking"] for x in (f"{p}_pred", f"{r(p + '_prob')} AS {p}_prob")])
+
+
+def _seg_pieces(ctx: Ctx):
+    cents = segment.segment_centroids(ctx.segmented, SCALED_FEATURES)
+    return ctx.scaler_params, cents, ctx.holdout[1], ctx.holdout[2]
+
+
+@query("score_batch", with_ctes(f"""
+SELECT CustomerID, Predicted_Segment, Predicted_Purchase_Label, {r('Purchase_Probability')} AS Purchase_Probability
+FROM ({score_sql('features')})""", "features", "scaler", "seg_cents", "ho_scaler", "ho_w"))
+def q_score_batch(ctx: Ctx) -> DataFrame:
+    """Every customer's current features: segment, purchase label and probability."""
+    s = score_ops.score_batch(ctx.features, *_seg_pieces(ctx))
+    return rounded(s.select("CustomerID", "Predicted_Segment", "Predicted_Purchase_Label", "Purchase_Probability"))
+
+
+@query("assign_segment", with_ctes("SELECT CustomerID, Predicted_Segment FROM (" + score_sql("log_run1") + ")",
+                                   "log_run1", "scaler", "seg_cents", "ho_scaler", "ho_w"))
+def q_assign_segment(ctx: Ctx) -> DataFrame:
+    """Feature-period customers placed in the current segments (nearest centroid with the
+    scaler the centroids were made with)."""
+    s = score_ops.score_batch(ctx.supervised.select("CustomerID", *FEATURES), *_seg_pieces(ctx))
+    return s.select("CustomerID", "Predicted_Segment")
+
+
+@query("sink_prediction_log", with_ctes(f"SELECT {_T7_SQL} FROM prediction_log", "prediction_log"))
+def q_sink_prediction_log(ctx: Ctx) -> DataFrame:
+    """The two scoring runs appended to a Parquet log table and read back."""
+    from rfmspark.sources import files
+    path = files.scratch_table(ctx.spark, "prediction_logs")
+    log = ctx.prediction_log
+    for ts in [r_["timestamp"] for r_ in log.select("timestamp").distinct().orderBy("timestamp").collect()]:
+        files.sink_append(log.where(F.col("timestamp") == F.lit(ts)), path)
+    return rounded(files.read_parquet(ctx.spark, path))
+
+
+@query("score_fanout", with_ctes(f"""
+SELECT id, customer_id, stacking_pred, {r('stacking_prob')} AS stacking_prob, true AS other_models_null
+FROM prediction_log""", "prediction_log"))
+def q_score_fanout(ctx: Ctx) -> DataFrame:
+    """Log rows with only the ensemble's own model columns (compat=False): the other
+    pairs are NULL for every row."""
+    f = score_ops.score_fanout(ctx.prediction_log, compat=False)
+    others = F.lit(True)
+    for p in ["lr", "rf", "xgb", "lgb"]:
+        others = others & F.col(f"{p}_pred").isNull() & F.col(f"{p}_prob").isNull()
+    return rounded(f.select("id", "customer_id", "stacking_pred", "stacking_prob", others.alias("other_models_null")))
+
+
+_HIST_COLS = ["id", "timestamp"] + _LOGF + ["predicted_segment"] + [
+    x for p in ["lr", "rf", "xgb", "lgb", "stacking"] for x in (f"{p}_pred", f"{p}_prob")]
+
+
+@query("history_latest", with_ctes("SELECT " + ", ".join(
+    [f"{r(c)} AS {c}" if c in _T7_DOUBLES else c for c in _HIST_COLS]) + " FROM prediction_log ORDER BY id DESC LIMIT 50",
+                                   "prediction_log"))
+def q_history_latest(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.history_latest(ctx.prediction_log, 50))
+
+
+_PROJ = ["id", "timestamp", "CASE WHEN customer_id IS NULL OR customer_id = '' THEN 'N/A' ELSE customer_id END AS customer_id"] \
+    + [f"{r(c)} AS {c}" for c in _LOGF] + ["predicted_segment", "stacking_pred", f"{r('stacking_prob')} AS stacking_prob"]
+
+
+@query("history_project", with_ctes("SELECT " + ", ".join(_PROJ) + " FROM prediction_log", "prediction_log"))
+def q_history_project(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.history_project(ctx.prediction_log))
+
+
+@query("history_page", with_ctes("SELECT " + ", ".join(_PROJ) + " FROM prediction_log ORDER BY id DESC LIMIT 200 OFFSET 100",
+                                 "prediction_log"))
+def q_history_page(ctx: Ctx) -> DataFrame:
+    """Second-and-a-half page: 200 rows after skipping the newest 100."""
+    return rounded(dashboard.history_page(ctx.prediction_log, limit=200, offset=100))
+
+
+@query("history_count", with_ctes("SELECT count(*) AS total FROM prediction_log", "prediction_log"))
+def q_history_count(ctx: Ctx) -> DataFrame:
+    return dashboard.history_count(ctx.prediction_log)
+
+
+_EXPORT = ["id AS Inference_ID", "timestamp AS Timestamp", "coalesce(customer_id, '') AS CustomerID"] + [
+    f"{r(v)} AS {k}" for k, v in LOG_FEATURE_COLUMNS.items()] + [
+    "predicted_segment AS Predicted_Segment", "stacking_pred AS Prediction_Repurchase",
+    f"{r('stacking_prob')} AS Repurchase_Probability"]
+
+
+@query("history_export", with_ctes("SELECT " + ", ".join(_EXPORT) + " FROM prediction_log", "prediction_log"))
+def q_history_export(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.history_export(ctx.prediction_log))
+
+
+@query("latest_per_customer", with_ctes(f"""
+SELECT * EXCLUDE (rn) FROM (SELECT customer_id, {", ".join(c for c in _T7_SQL.split(", ") if not c.startswith("customer_id"))},
+       row_number() OVER (PARTITION BY customer_id ORDER BY id DESC) AS rn FROM prediction_log) WHERE rn = 1""",
+                                        "prediction_log"))
+def q_latest_per_customer(ctx: Ctx) -> DataFrame:
+    return rounded(dashboard.latest_per_customer(ctx.prediction_log))
+
+
+@query("latest_feature_lookup", with_ctes(f"""
+SELECT CustomerID, source, {rnd(FEATURES)} FROM (
+  SELECT f.CustomerID, CASE WHEN l.customer_id IS NOT NULL THEN 'log' ELSE 'features' END AS source,
+         {", ".join(f"CASE WHEN l.customer_id IS NOT NULL THEN l.{v} ELSE CAST(f.{k} AS DOUBLE) END AS {k}"
+                    for k, v in LOG_FEATURE_COLUMNS.items())}
+  FROM features f LEFT JOIN (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY id DESC) AS rn FROM prediction_log)
+    WHERE rn = 1) l ON l.customer_id = f.CustomerID)""", "features", "prediction_log"))
+def q_latest_feature_lookup(ctx: Ctx) -> DataFrame:
+    """Every current customer: newest log row if logged, else the feature table."""
+    return rounded(score_ops.latest_feature_lookup(ctx.features.select("CustomerID"), ctx.prediction_log, ctx.features))
+
+
+@query("what_if_order_value", with_ctes(f"""
+SELECT CustomerID, Frequency, {rnd(['Monetary'])},
+       CASE WHEN Frequency > 0 THEN {r('Monetary / Frequency', 2)} ELSE {r('AvgOrderValue')} END AS AvgOrderValue
+FROM (SELECT CustomerID, Frequency, Monetary * 1.1 AS Monetary, AvgOrderValue FROM features)""", "features"))
+def q_what_if_order_value(ctx: Ctx) -> DataFrame:
+    """Spend raised by 10%: the order value follows."""
+    d = ctx.features.select("CustomerID", "Frequency", (F.col("Monetary") * 1.1).alias("Monetary"), "AvgOrderValue")
+    return rounded(score_ops.what_if_order_value(d))
+
+
+@query("running_accuracy", with_ctes(f"""
+SELECT id, Target, prediction,
+       count(*) OVER (ORDER BY id) AS total_processed,
+       {r('sum(CAST(Target = prediction AS INTEGER)) OVER (ORDER BY id) * 100.0 / count(*) OVER (ORDER BY id)')} AS running_accuracy
+FROM (SELECT CAST(CustomerID AS BIGINT) AS id, Target, prediction FROM ho_scored)""", "ho_scored"))
+def q_running_accuracy(ctx: Ctx) -> DataFrame:
+    """Hold-out rows replayed in customer order: cumulative accuracy (%)."""
+    d = ctx.holdout[0].select(F.col("CustomerID").cast("bigint").alias("id"), "Target", "prediction")
+    return rounded(dashboard.running_accuracy(d, "id"))

@@ -127,6 +127,30 @@ class Ctx:
             "cv_roc_auc_std", F.lit(0.0))
         return ev.metrics_table({"class_mean_linear": m1, "baseline_majority": m2}).checkpoint(eager=True)
 
+    @artifact
+    def prediction_log(self) -> DataFrame:
+        """T7 from two scoring runs: every supervised customer with its feature-period
+        values at the split date, then the hold-out customers with current values at
+        the snapshot. id = 2·customer key + run, so a customer's newest row has the
+        highest id."""
+        from rfmspark.operators.learn import split_date_value
+        from rfmspark.operators.score import prediction_log_rows, score_batch
+        from rfmspark.operators.segment import segment_centroids
+        from rfmspark.schemas import FEATURES, SCALED_FEATURES
+        _, model_params, weights = self.holdout
+        cents = segment_centroids(self.segmented, SCALED_FEATURES)
+        split = split_date_value(self.cleaned, FEATURE_MONTHS)
+        snap = features.snapshot_date(self.cleaned).first()["snapshot"]
+        run1 = self.supervised.select("CustomerID", *FEATURES)
+        test_ids = self.split_flags.where(F.col("is_test")).select("CustomerID")
+        run2 = self.features.join(test_ids, "CustomerID", "left_semi")
+        key = F.col("CustomerID").cast("bigint") * 2
+        rows = []
+        for run, (src, ts) in enumerate([(run1, split), (run2, snap)]):
+            scored = score_batch(src, self.scaler_params, cents, model_params, weights)
+            rows.append(prediction_log_rows(scored, key + run, F.lit(ts)))
+        return rows[0].unionByName(rows[1]).checkpoint(eager=True)
+
     @cached_property
     def scaler_params(self) -> DataFrame:
         return features.fit_scaler(features.add_log_features(self.features), MODEL_FEATURES)

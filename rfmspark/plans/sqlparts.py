@@ -330,3 +330,47 @@ FROM (SELECT p.feature, p.psi_value,
       FROM drift_psi p
       JOIN (SELECT feature, avg(value) AS training_mean FROM drift_ref GROUP BY feature) a USING (feature)
       JOIN (SELECT feature, avg(value) AS production_mean FROM drift_prod GROUP BY feature) b USING (feature))""")
+
+
+# ------------------------------------------------------------------ batch scoring and the prediction log (T7)
+
+
+def score_sql(src: str) -> str:
+    """Score a table with F9 columns: segment by nearest centroid in the full-data scaled
+    space, class-mean scorer on the training scaler. Adds Predicted_* columns."""
+    seg = [f"({c} - m_{c}) / s_{c}" for c in MODEL_FEATURES]
+    d = dist_sql(seg, [f"c.{x}" for x in SCALED])
+    mdl = "w0" + "".join(f" + w_{c} * ((t.{c} - hs.m_{c}) / hs.s_{c})" for c in MODEL_FEATURES)
+    return f"""
+SELECT t.* EXCLUDE (Recency_log, Frequency_log, Monetary_log), n.Predicted_Segment,
+       CAST(({mdl}) > 0 AS INTEGER) AS Predicted_Purchase_Label,
+       1.0 / (1.0 + exp(-({mdl}))) AS Purchase_Probability
+FROM (SELECT *, ln(1 + Recency) AS Recency_log, ln(1 + Frequency) AS Frequency_log, ln(1 + Monetary) AS Monetary_log
+      FROM {src}) t
+JOIN (SELECT CustomerID, Segment AS Predicted_Segment FROM (
+        SELECT x.CustomerID, c.Segment, row_number() OVER (PARTITION BY x.CustomerID ORDER BY {d}, c.Segment) AS rn
+        FROM (SELECT *, ln(1 + Recency) AS Recency_log, ln(1 + Frequency) AS Frequency_log,
+                     ln(1 + Monetary) AS Monetary_log FROM {src}) x, scaler, seg_cents c) WHERE rn = 1) n
+  ON t.CustomerID = n.CustomerID
+CROSS JOIN ho_scaler hs CROSS JOIN ho_w"""
+
+
+_LOG_FEATS = ", ".join(f"CAST({k} AS DOUBLE) AS {v}" for k, v in [
+    ("Recency", "recency"), ("Frequency", "frequency"), ("Monetary", "monetary"), ("AvgOrderValue", "avg_order_value"),
+    ("UniqueProducts", "unique_products"), ("ReturnRate", "return_rate"),
+    ("CustomerLifetimeDays", "customer_lifetime_days"), ("PurchaseFrequencyMonthly", "purchase_frequency_monthly"),
+    ("AvgQuantityPerOrder", "avg_quantity_per_order")])
+_PAIRS = ", ".join(f"Predicted_Purchase_Label AS {p}_pred, Purchase_Probability AS {p}_prob"
+                   for p in ["lr", "rf", "xgb", "lgb", "stacking"])
+
+cte("log_run1", ["supervised"], "SELECT " + ", ".join(["CustomerID"] + list(FEATURES)) + " FROM supervised")
+cte("log_run2", ["features", "ho_flag"], "SELECT " + ", ".join(["f.CustomerID"] + [f"f.{c}" for c in FEATURES])
+    + " FROM features f JOIN ho_flag h ON f.CustomerID = h.CustomerID WHERE h.is_test")
+cte("prediction_log", ["log_run1", "log_run2", "scaler", "seg_cents", "ho_scaler", "ho_w", "sup_split", "snap"], f"""
+SELECT CAST(CustomerID AS BIGINT) * 2 AS id, (SELECT split FROM sup_split) AS timestamp, CustomerID AS customer_id,
+       {_LOG_FEATS}, Predicted_Segment AS predicted_segment, {_PAIRS}
+FROM ({score_sql('log_run1')})
+UNION ALL
+SELECT CAST(CustomerID AS BIGINT) * 2 + 1, (SELECT snapshot FROM snap), CustomerID,
+       {_LOG_FEATS}, Predicted_Segment, {_PAIRS}
+FROM ({score_sql('log_run2')})""")
