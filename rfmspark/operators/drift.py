@@ -106,3 +106,12 @@ def latest_drift(drift_log: DataFrame) -> DataFrame:
 def sample_production(df: DataFrame, frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Random sample of a fraction of the rows (Bernoulli, seeded)."""
     return df.sample(withReplacement=False, fraction=frac, seed=seed)
+
+
+def drift_log_rows(report: DataFrame, ts, first_id: int = 1) -> DataFrame:
+    """Drift report -> drift_metrics rows (T8) sharing one timestamp; ids follow the
+    feature order of the report's column list."""
+    pos = F.create_map(*[x for i, c in enumerate(FEATURES) for x in (F.lit(c), F.lit(i))])
+    return report.select((F.lit(first_id) + pos[F.col("feature")]).cast("bigint").alias("id"),
+                         F.lit(ts).cast("timestamp_ntz").alias("timestamp"), F.col("feature").alias("feature_name"),
+                         "psi_value", "status", "training_mean", "production_mean")

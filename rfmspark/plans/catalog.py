@@ -834,3 +834,224 @@ def q_running_accuracy(ctx: Ctx) -> DataFrame:
     """Hold-out rows replayed in customer order: cumulative accuracy (%)."""
     d = ctx.holdout[0].select(F.col("CustomerID").cast("bigint").alias("id"), "Target", "prediction")
     return rounded(dashboard.running_accuracy(d, "id"))
+
+
+# ============================================================== drift log (T8) and registry (T9)
+
+_T8_SQL = f"id, timestamp, feature_name, {r('psi_value')} AS psi_value, status, {rnd(['training_mean', 'production_mean'])}"
+_T9_SQL = f"id, timestamp, model_name, filepath, {rnd(['accuracy', 'roc_auc', 'f1_score', 'mcc'])}, is_active"
+
+
+@query("sink_drift_log", with_ctes(f"SELECT {_T8_SQL} FROM drift_log", "drift_log"))
+def q_sink_drift_log(ctx: Ctx) -> DataFrame:
+    """Both drift runs appended to a Parquet table (one shared timestamp per run), read back."""
+    from rfmspark.sources import files
+    path = files.scratch_table(ctx.spark, "drift_metrics")
+    for ts in [x["timestamp"] for x in ctx.drift_log.select("timestamp").distinct().orderBy("timestamp").collect()]:
+        files.sink_append(ctx.drift_log.where(F.col("timestamp") == F.lit(ts)), path)
+    return rounded(files.read_parquet(ctx.spark, path))
+
+
+@query("latest_drift", with_ctes(f"""
+SELECT {_T8_SQL}, CASE max(CASE status WHEN 'Stable' THEN 0 WHEN 'Monitor' THEN 1 ELSE 2 END) OVER ()
+                   WHEN 0 THEN 'Stable' WHEN 1 THEN 'Monitor' ELSE 'Retrain Alert' END AS overall_status
+FROM drift_log WHERE timestamp = (SELECT timestamp FROM drift_log ORDER BY id DESC LIMIT 1)""", "drift_log"))
+def q_latest_drift(ctx: Ctx) -> DataFrame:
+    return rounded(drift_ops.latest_drift(ctx.drift_log))
+
+
+@query("registry_promote", with_ctes(f"SELECT {_T9_SQL} FROM registry", "registry"))
+def q_registry_promote(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.registry)
+
+
+@query("active_models", with_ctes(f"SELECT {_T9_SQL} FROM registry WHERE is_active = 1", "registry"))
+def q_active_models(ctx: Ctx) -> DataFrame:
+    return rounded(ev.active_models(ctx.registry))
+
+
+@query("sink_model_registry", with_ctes(f"SELECT {_T9_SQL} FROM registry", "registry"))
+def q_sink_model_registry(ctx: Ctx) -> DataFrame:
+    from rfmspark.sources import files
+    path = files.scratch_table(ctx.spark, "model_metadata")
+    files.sink_append(ctx.registry, path)
+    return rounded(files.read_parquet(ctx.spark, path))
+
+
+@query("psi_status", with_ctes("SELECT feature, status FROM drift_report", "drift_report"))
+def q_psi_status(ctx: Ctx) -> DataFrame:
+    return drift_ops.psi_status(drift_ops.psi(ctx.supervised, ctx.features, FEATURES)).select("feature", "status")
+
+
+@query("sample_production")
+def q_sample_production(ctx: Ctx) -> DataFrame:
+    """A seeded 20% Bernoulli sample of the customer features (a sampling operator: rows-only)."""
+    return drift_ops.sample_production(ctx.features, 0.2, 42)
+
+
+# ============================================================== sources and sinks (round trips through files)
+
+from rfmspark.sources import files  # noqa: E402
+
+_T1_ROUND = f"InvoiceNo, StockCode, Description, Quantity, InvoiceDate, {rnd(['UnitPrice'])}, CustomerID, Country"
+
+
+def _write_csv(df: DataFrame, path: str) -> str:
+    (df.write.mode("overwrite").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return path
+
+
+@query("src_transactions_csv", with_ctes(f"SELECT {_T1_ROUND}, {r('Quantity * UnitPrice')} AS TotalPrice FROM retail",
+                                         "retail"))
+def q_src_transactions_csv(ctx: Ctx) -> DataFrame:
+    """Transactions written as UTF-8 CSV, read back with the declared text schema and
+    coerced by the upload rules."""
+    path = _write_csv(ctx.retail(), files.scratch_table(ctx.spark, "transactions_csv"))
+    return rounded(clean.ingest_upload(files.src_transactions_csv(ctx.spark, path)))
+
+
+@query("ingest_upload", with_ctes(f"""
+SELECT InvoiceNo, '85123A' AS StockCode, 'Added via Upload console' AS Description, Quantity, InvoiceDate,
+       {rnd(['UnitPrice'])}, CustomerID, 'United Kingdom' AS Country, {r('Quantity * UnitPrice')} AS TotalPrice
+FROM retail""", "retail"))
+def q_ingest_upload(ctx: Ctx) -> DataFrame:
+    """An upload with synonym headers and without the optional columns: names are
+    normalised, types coerced, defaults filled."""
+    src = ctx.retail(["InvoiceNo", "Quantity", "UnitPrice", "InvoiceDate", "CustomerID"]).toDF(
+        "Invoice_No", "qty", "price", "date", "Customer ID")
+    path = _write_csv(src, files.scratch_table(ctx.spark, "upload_csv"))
+    raw = ctx.spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return rounded(clean.ingest_upload(raw))
+
+
+@query("normalize_columns", with_ctes("SELECT InvoiceNo, Quantity, CustomerID FROM retail", "retail"))
+def q_normalize_columns(ctx: Ctx) -> DataFrame:
+    src = ctx.retail(["InvoiceNo", "Quantity", "CustomerID"]).toDF(" invoice id ", "QTY", "customer_id")
+    return clean.normalize_columns(src)
+
+
+@query("default_columns", with_ctes("""
+SELECT InvoiceNo, CustomerID, '85123A' AS StockCode, 'Added via Upload console' AS Description,
+       'United Kingdom' AS Country FROM retail""", "retail"))
+def q_default_columns(ctx: Ctx) -> DataFrame:
+    return clean.default_columns(ctx.retail(["InvoiceNo", "CustomerID"]))
+
+
+@query("src_customer_features_csv", with_ctes(f"SELECT {_F9_SQL} FROM features", "features"))
+def q_src_customer_features_csv(ctx: Ctx) -> DataFrame:
+    path = _write_csv(ctx.features, files.scratch_table(ctx.spark, "features_csv"))
+    f = files.src_customer_features_csv(ctx.spark, path)
+    return rounded(f.select("CustomerID", *[F.col(c).cast(features_type(c)) for c in FEATURES]))
+
+
+def features_type(c: str) -> str:
+    from rfmspark.schemas import F9_TYPES
+    return F9_TYPES[c].simpleString()
+
+
+@query("sink_csv", with_ctes("SELECT CustomerID, Segment, Segment_Order FROM segmented", "segmented"))
+def q_sink_csv(ctx: Ctx) -> DataFrame:
+    path = files.sink_csv(ctx.segmented.select("CustomerID", "Segment", "Segment_Order"),
+                          files.scratch_table(ctx.spark, "segments_csv"))
+    return ctx.spark.read.schema("CustomerID string, Segment string, Segment_Order int").option("header", True).csv(path)
+
+
+@query("sink_append", with_ctes(f"""
+SELECT InvoiceNo, CustomerID, {rnd(['TotalPrice'])} FROM cleaned
+UNION ALL SELECT InvoiceNo, CustomerID, {r('Quantity * UnitPrice')} FROM retail""", "cleaned", "retail"))
+def q_sink_append(ctx: Ctx) -> DataFrame:
+    """Cleaned rows, then every raw row appended as an upload would be (no de-duplication)."""
+    path = files.scratch_table(ctx.spark, "cleaned_append")
+    files.sink_append(ctx.cleaned.select("InvoiceNo", "CustomerID", "TotalPrice"), path)
+    new = clean.total_price(ctx.retail(["InvoiceNo", "CustomerID", "Quantity", "UnitPrice"]))
+    files.sink_append(new.select("InvoiceNo", "CustomerID", "TotalPrice"), path)
+    return rounded(files.read_parquet(ctx.spark, path))
+
+
+@query("src_metrics_json", with_ctes(f"SELECT {_MM_SQL} FROM model_metrics", "model_metrics"))
+def q_src_metrics_json(ctx: Ctx) -> DataFrame:
+    path = files.sink_metrics_json(ctx.model_metrics, files.scratch_table(ctx.spark, "model_metrics_json"))
+    return rounded(files.src_metrics_json(ctx.spark, path))
+
+
+@query("src_drift_json", with_ctes(f"""
+SELECT feature, {r('psi_value')} AS psi_value, status, {rnd(['training_mean', 'production_mean'])}, overall_status
+FROM drift_report""", "drift_report"))
+def q_src_drift_json(ctx: Ctx) -> DataFrame:
+    rep = drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES)
+    path = files.sink_drift_json(rep, files.scratch_table(ctx.spark, "drift_report_json"), "run")
+    return rounded(files.src_drift_json(ctx.spark, path))
+
+
+@query("sink_json_report", with_ctes("SELECT overall_status, count(*) AS n_metrics FROM drift_report GROUP BY 1",
+                                     "drift_report"))
+def q_sink_json_report(ctx: Ctx) -> DataFrame:
+    """Drift report nested under ``metrics`` per overall status, read back and counted."""
+    rep = drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES)
+    path = files.sink_json_report(rep, files.scratch_table(ctx.spark, "drift_nested"), "metrics", ["overall_status"])
+    back = ctx.spark.read.json(path)
+    return back.select("overall_status", F.size("metrics").cast("bigint").alias("n_metrics"))
+
+
+@query("src_tables", with_ctes("""
+SELECT 'prediction_logs' AS table_name, count(*) AS row_count FROM prediction_log
+UNION ALL SELECT 'drift_metrics', count(*) FROM drift_log
+UNION ALL SELECT 'model_metadata', count(*) FROM registry""", "prediction_log", "drift_log", "registry"))
+def q_src_tables(ctx: Ctx) -> DataFrame:
+    base = files.scratch_table(ctx.spark, "db")
+    for name, df in [("prediction_logs", ctx.prediction_log), ("drift_metrics", ctx.drift_log),
+                     ("model_metadata", ctx.registry)]:
+        files.sink_parquet(df, f"{base}/{name}")
+    tabs = files.src_tables(ctx.spark, ["prediction_logs", "drift_metrics", "model_metadata"], base)
+    out = None
+    for name, df in tabs.items():
+        row = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ============================================================== read-only SQL and the customer report
+
+from rfmspark.plans import jobs  # noqa: E402
+
+SQL_EXAMPLE = ("SELECT customer_id, monetary FROM prediction_logs WHERE predicted_segment = 'Champions' "
+               "ORDER BY monetary DESC, customer_id LIMIT 5")
+
+
+@query("sql_query", with_ctes("""
+SELECT customer_id, monetary FROM prediction_log WHERE predicted_segment = 'Champions'
+ORDER BY monetary DESC, customer_id LIMIT 5""", "prediction_log"))
+def q_sql_query(ctx: Ctx) -> DataFrame:
+    """A read-only question over the registered log tables (first 100 rows at most)."""
+    return jobs.sql_query(ctx.spark, SQL_EXAMPLE, {"prediction_logs": ctx.prediction_log,
+                                                   "drift_metrics": ctx.drift_log, "model_metadata": ctx.registry})
+
+
+# ============================================================== scalar functions over the transactions
+
+from rfmspark.functions import scalar as fn  # noqa: E402
+
+
+@query("scalar_functions", with_ctes(f"""
+SELECT InvoiceNo, StockCode,
+       strftime(InvoiceDate, '%Y-%m') AS month, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS ts_text,
+       trim(regexp_replace(CustomerID || '.0', '\\.0$', '')) AS clean_id,
+       CAST(CAST(CAST(CustomerID AS DOUBLE) AS BIGINT) AS VARCHAR) AS id_text,
+       coalesce(CAST(trunc(TRY_CAST(trim(CAST(UnitPrice AS VARCHAR)) AS DOUBLE)) AS INTEGER), 1) AS price_int,
+       CASE WHEN length(Description) > 20 THEN substr(Description, 1, 20) || '...' ELSE Description END AS label,
+       starts_with(trim(InvoiceNo), 'C') AS cancelled,
+       least(greatest(Quantity, 5), 40) AS qty_clipped,
+       CASE WHEN Quantity - 25 > 0 THEN 'positive' ELSE 'negative' END AS influence,
+       {r('ln(1 + UnitPrice)')} AS price_log1p
+FROM retail""", "retail"))
+def q_scalar_functions(ctx: Ctx) -> DataFrame:
+    t = ctx.retail(["InvoiceNo", "StockCode", "InvoiceDate", "CustomerID", "UnitPrice", "Description", "Quantity"])
+    return rounded(t.select(
+        "InvoiceNo", "StockCode", fn.fn_month("InvoiceDate").alias("month"), fn.fn_format_ts("InvoiceDate").alias("ts_text"),
+        fn.fn_clean_customer_id(F.concat("CustomerID", F.lit(".0"))).alias("clean_id"),
+        fn.fn_id_float_to_str("CustomerID").alias("id_text"),
+        fn.fn_to_int_default(F.col("UnitPrice").cast("string"), 1).alias("price_int"),
+        fn.fn_truncate_label("Description").alias("label"), fn.fn_is_cancelled("InvoiceNo").alias("cancelled"),
+        fn.fn_clip(F.col("Quantity"), 5, 40).alias("qty_clipped"), fn.fn_influence(F.col("Quantity") - 25).alias("influence"),
+        fn.fn_log1p("UnitPrice").alias("price_log1p")))

@@ -151,6 +151,38 @@ class Ctx:
             rows.append(prediction_log_rows(scored, key + run, F.lit(ts)))
         return rows[0].unionByName(rows[1]).checkpoint(eager=True)
 
+    @artifact
+    def drift_log(self) -> DataFrame:
+        """T8 with two runs: the feature period against itself at the split date, then
+        against the current features at the snapshot (ids by feature position)."""
+        from rfmspark.operators.drift import drift_log_rows, drift_report
+        from rfmspark.operators.learn import split_date_value
+        from rfmspark.schemas import FEATURES
+        split = split_date_value(self.cleaned, FEATURE_MONTHS)
+        snap = features.snapshot_date(self.cleaned).first()["snapshot"]
+        ref = self.supervised.select("CustomerID", *FEATURES)
+        a = drift_log_rows(drift_report(ref, ref), split, 1)
+        b = drift_log_rows(drift_report(ref, self.features), snap, 1 + len(FEATURES))
+        return a.unionByName(b).checkpoint(eager=True)
+
+    @artifact
+    def registry(self) -> DataFrame:
+        """T9: the baseline registered (active) at the split date, then the class-mean
+        scorer proposed at the snapshot and promoted only if it passes the gate."""
+        from rfmspark.operators import evaluate as ev
+        from rfmspark.operators.learn import split_date_value
+        m = self.model_metrics
+        split = split_date_value(self.cleaned, FEATURE_MONTHS)
+        snap = features.snapshot_date(self.cleaned).first()["snapshot"]
+        base = m.where(F.col("model") == "baseline_majority").select(
+            F.lit(1).cast("bigint").alias("id"), F.lit(split).cast("timestamp_ntz").alias("timestamp"),
+            F.col("model").alias("model_name"), F.lit("models/baseline_majority.pkl").alias("filepath"),
+            "accuracy", "roc_auc", "f1_score", "mcc", F.lit(1).alias("is_active"))
+        cand = m.where(F.col("model") == "class_mean_linear")
+        old = m.where(F.col("model") == "baseline_majority").withColumn("model", F.lit("class_mean_linear"))
+        accepted = bool(ev.model_gate(cand, old, model="class_mean_linear").first()["accepted"])
+        return ev.registry_promote(base, cand, accepted, snap).checkpoint(eager=True)
+
     @cached_property
     def scaler_params(self) -> DataFrame:
         return features.fit_scaler(features.add_log_features(self.features), MODEL_FEATURES)

@@ -374,3 +374,32 @@ UNION ALL
 SELECT CAST(CustomerID AS BIGINT) * 2 + 1, (SELECT snapshot FROM snap), CustomerID,
        {_LOG_FEATS}, Predicted_Segment, {_PAIRS}
 FROM ({score_sql('log_run2')})""")
+
+
+# ------------------------------------------------------------------ drift log (T8) and model registry (T9)
+
+FEATURE_POS_SQL = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FEATURES)) + " END"
+
+cte("drift_log", ["drift_report", "drift_ref", "sup_split", "snap"], f"""
+SELECT 1 + {FEATURE_POS_SQL} AS id, (SELECT split FROM sup_split) AS timestamp, feature AS feature_name,
+       0.0 AS psi_value, 'Stable' AS status, avg(value) AS training_mean, avg(value) AS production_mean
+FROM drift_ref GROUP BY feature
+UNION ALL
+SELECT 1 + {len(FEATURES)} + {FEATURE_POS_SQL}, (SELECT snapshot FROM snap), feature, psi_value, status, training_mean,
+       production_mean FROM drift_report""")
+
+cte("gate", ["model_metrics"], """
+SELECT NOT (new_auc < 0.55) AND NOT (new_auc < old_auc - 0.05) AS accepted
+FROM (SELECT coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'class_mean_linear'), 0.0) AS new_auc,
+             coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'baseline_majority'), 0.5) AS old_auc)""")
+
+cte("registry", ["model_metrics", "gate", "sup_split", "snap"], """
+SELECT 1 AS id, (SELECT split FROM sup_split) AS timestamp, model AS model_name, 'models/baseline_majority.pkl' AS filepath,
+       accuracy, roc_auc, f1_score, mcc, CASE WHEN (SELECT accepted FROM gate) THEN 0 ELSE 1 END AS is_active
+FROM model_metrics WHERE model = 'baseline_majority'
+UNION ALL
+SELECT 2, (SELECT snapshot FROM snap), model,
+       CASE WHEN (SELECT accepted FROM gate) THEN 'models/' || model || '_' || strftime((SELECT snapshot FROM snap), '%Y%m%d_%H%M%S') || '.pkl'
+            ELSE 'HEALTH_CHECK_FAILED' END,
+       accuracy, roc_auc, f1_score, mcc, CASE WHEN (SELECT accepted FROM gate) THEN 1 ELSE 0 END
+FROM model_metrics WHERE model = 'class_mean_linear'""")
