@@ -1055,3 +1055,84 @@ def q_scalar_functions(ctx: Ctx) -> DataFrame:
         fn.fn_truncate_label("Description").alias("label"), fn.fn_is_cancelled("InvoiceNo").alias("cancelled"),
         fn.fn_clip(F.col("Quantity"), 5, 40).alias("qty_clipped"), fn.fn_influence(F.col("Quantity") - 25).alias("influence"),
         fn.fn_log1p("UnitPrice").alias("price_log1p")))
+
+
+# ============================================================== streaming (drained with availableNow)
+
+from rfmspark.streaming import stream as st  # noqa: E402
+
+
+def _replay_stream(ctx: Ctx):
+    """The hold-out customers (feature period, with labels) laid out as four files in
+    replay order, read back as a file-source stream one file per micro-batch."""
+    rows = (ctx.supervised.join(ctx.split_flags.where(F.col("is_test")).select("CustomerID"), "CustomerID", "left_semi")
+            .withColumn("seq", F.col("CustomerID").cast("bigint")))
+    src = st.write_replay_files(rows, files.scratch_table(ctx.spark, "replay_src"), "seq", files=4)
+    return st.replay_source(ctx.spark, src, rows.schema, files_per_trigger=1)
+
+
+def _scored_stream(ctx: Ctx):
+    return st.stream_score(_replay_stream(ctx), *_seg_pieces(ctx))
+
+
+@query("stream_score", with_ctes(f"""
+SELECT CustomerID, seq, Target, Predicted_Segment, Predicted_Purchase_Label, {r('Purchase_Probability')} AS Purchase_Probability,
+       correct FROM replay_scored""", "replay_scored"))
+def q_stream_score(ctx: Ctx) -> DataFrame:
+    out = files.scratch_table(ctx.spark, "stream_scored")
+    s = _scored_stream(ctx).select("CustomerID", "seq", "Target", "Predicted_Segment", "Predicted_Purchase_Label",
+                                   "Purchase_Probability", "correct")
+    st.run_to_table(s, out, out + "_ckpt", "append")
+    return rounded(files.read_parquet(ctx.spark, out))
+
+
+@query("stream_running_accuracy", with_ctes(f"""
+SELECT count(*) AS total_processed, CAST(sum(correct) AS BIGINT) AS correct,
+       {r('sum(correct) * 100.0 / count(*)')} AS running_accuracy FROM replay_scored""", "replay_scored"))
+def q_stream_running_accuracy(ctx: Ctx) -> DataFrame:
+    out = files.scratch_table(ctx.spark, "stream_accuracy")
+    st.run_to_table(st.stream_running_accuracy(_scored_stream(ctx)), out, out + "_ckpt", "complete")
+    return rounded(files.read_parquet(ctx.spark, out))
+
+
+@query("stream_segment_counts", with_ctes("""
+SELECT Predicted_Segment AS segment, count(*) AS count FROM replay_scored GROUP BY 1""", "replay_scored"))
+def q_stream_segment_counts(ctx: Ctx) -> DataFrame:
+    out = files.scratch_table(ctx.spark, "stream_segments")
+    st.run_to_table(st.stream_segment_counts(_scored_stream(ctx)), out, out + "_ckpt", "complete")
+    return files.read_parquet(ctx.spark, out)
+
+
+@query("stream_throughput", """
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end,
+       count(*) AS records FROM events GROUP BY 1, 2""")
+def q_stream_throughput(ctx: Ctx) -> DataFrame:
+    """Events replayed as a stream in time order: records per one-minute event-time window."""
+    ev = ctx.table("events", ["event_id", "ts", "event_type"])
+    src = st.write_replay_files(ev, files.scratch_table(ctx.spark, "events_src"), "ts", files=4)
+    s = st.replay_source(ctx.spark, src, ev.schema, files_per_trigger=1)
+    out = files.scratch_table(ctx.spark, "stream_throughput")
+    st.run_to_table(st.stream_throughput(s, "ts", "1 minute", "10 minutes"), out, out + "_ckpt", "complete")
+    return files.read_parquet(ctx.spark, out)
+
+
+@query("stream_log", with_ctes(f"""
+SELECT CAST(CustomerID AS BIGINT) AS id, CustomerID AS customer_id, {", ".join(f"{r(f'CAST({k} AS DOUBLE)')} AS {v}"
+                                                                            for k, v in LOG_FEATURE_COLUMNS.items())},
+       Predicted_Segment AS predicted_segment, Predicted_Purchase_Label AS stacking_pred,
+       {r('Purchase_Probability')} AS stacking_prob FROM replay_scored""", "replay_scored"))
+def q_stream_log(ctx: Ctx) -> DataFrame:
+    out = files.scratch_table(ctx.spark, "stream_log")
+    st.stream_log(_scored_stream(ctx), out, out + "_ckpt", "seq")
+    log = files.read_parquet(ctx.spark, out)
+    return rounded(log.select("id", "customer_id", *_LOGF, "predicted_segment", "stacking_pred", "stacking_prob"))
+
+
+@query("stream_feed_last50", with_ctes(f"""
+SELECT seq, CustomerID, Predicted_Segment, {r('Purchase_Probability')} AS Purchase_Probability
+FROM replay_scored ORDER BY seq DESC LIMIT 50""", "replay_scored"))
+def q_stream_feed_last50(ctx: Ctx) -> DataFrame:
+    out = files.scratch_table(ctx.spark, "stream_feed")
+    s = _scored_stream(ctx).select("seq", "CustomerID", "Predicted_Segment", "Purchase_Probability")
+    path = st.stream_feed_last50(s, out, out + "_ckpt", "seq", 50)
+    return rounded(files.read_parquet(ctx.spark, path))

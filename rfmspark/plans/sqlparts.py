@@ -403,3 +403,12 @@ SELECT 2, (SELECT snapshot FROM snap), model,
             ELSE 'HEALTH_CHECK_FAILED' END,
        accuracy, roc_auc, f1_score, mcc, CASE WHEN (SELECT accepted FROM gate) THEN 1 ELSE 0 END
 FROM model_metrics WHERE model = 'class_mean_linear'""")
+
+
+# ------------------------------------------------------------------ replayed hold-out stream
+
+cte("replay", ["supervised", "ho_flag"], "SELECT " + ", ".join(["s.CustomerID"] + [f"s.{c}" for c in FEATURES])
+    + ", s.Target, CAST(s.CustomerID AS BIGINT) AS seq FROM supervised s JOIN ho_flag h ON s.CustomerID = h.CustomerID"
+    " WHERE h.is_test")
+cte("replay_scored", ["replay", "scaler", "seg_cents", "ho_scaler", "ho_w"],
+    "SELECT *, CAST(Predicted_Purchase_Label = Target AS INTEGER) AS correct FROM (" + score_sql("replay") + ")")
