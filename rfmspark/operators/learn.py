@@ -206,3 +206,82 @@ def feature_importance(model, cols: list[str]) -> DataFrame:
     imp = model.featureImportances.toArray()
     rows = sorted(zip(cols, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
+
+
+# --------------------------------------------------------------------------- cross-validation, search, stacking
+
+def _auc(scored: DataFrame, label: str = "Target") -> float:
+    from rfmspark.operators.evaluate import roc_auc
+    return float(roc_auc(scored, label, "probability").first()["roc_auc"])
+
+
+def cv_score(train: DataFrame, fit, cols: list[str], k: int = 3, label: str = "Target") -> DataFrame:
+    """k-fold ROC-AUC (folds balanced per class): one row (cv_roc_auc_mean, cv_roc_auc_std)
+    with the population std, plus the per-fold values."""
+    folded = stratified_kfold(train, label, k=k).persist()
+    aucs = []
+    for f in range(k):
+        model = fit(folded.where(F.col("fold") != f))
+        aucs.append(_auc(score_model(model, folded.where(F.col("fold") == f), cols), label))
+    folded.unpersist()
+    spark = train.sparkSession
+    mean = sum(aucs) / k
+    std = (sum((a - mean) ** 2 for a in aucs) / k) ** 0.5
+    return spark.createDataFrame([(mean, std, aucs)], "cv_roc_auc_mean double, cv_roc_auc_std double, fold_auc array<double>")
+
+
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [6, 10, 15], "minInstancesPerNode": [2, 5, 10]}
+
+
+def random_search_forest(train: DataFrame, cols: list[str], n_iter: int = 5, k: int = 3, seed: int = 42,
+                         label: str = "Target") -> DataFrame:
+    """Seeded sample of ``n_iter`` grid points, each scored by k-fold ROC-AUC."""
+    import itertools
+    import random
+    points = list(itertools.product(*FOREST_GRID.values()))
+    picks = random.Random(seed).sample(points, min(n_iter, len(points)))
+    rows = []
+    for n_trees, depth, min_inst in picks:
+        cv = cv_score(train, lambda d: random_forest(d, cols, label, n_trees, depth, min_inst), cols, k, label).first()
+        rows.append((n_trees, depth, min_inst, cv["cv_roc_auc_mean"], cv["cv_roc_auc_std"]))
+    rows.sort(key=lambda t: -t[3])
+    return train.sparkSession.createDataFrame(
+        rows, "num_trees int, max_depth int, min_instances int, cv_roc_auc_mean double, cv_roc_auc_std double")
+
+
+STACK_ROUNDS = 50  # trees / boosting rounds per stacked base learner (20 fits per stacking run)
+
+
+def _base_learners(cols: list[str], label: str):
+    return {
+        "rf": lambda d: random_forest(d, cols, label, STACK_ROUNDS, 10),
+        "gbt_a": lambda d: gbt(class_weight(d, label), cols, label, STACK_ROUNDS, 4, 0.1, weight_col="weight"),
+        "gbt_b": lambda d: gbt(d, cols, label, STACK_ROUNDS, 5, 0.05),
+        "lr_c01": lambda d: logreg(d, cols, label, C=0.1),
+        "gb": lambda d: gbt(d, cols, label, STACK_ROUNDS, 3, 0.05),
+    }
+
+
+def stacking(train: DataFrame, test: DataFrame, cols: list[str], k: int = 3, label: str = "Target",
+             id_col: str = "CustomerID") -> DataFrame:
+    """Out-of-fold probabilities of the base learners (k folds) train a logistic
+    meta-learner; the bases are refit on all training rows to score the test rows."""
+    bases = _base_learners(cols, label)
+    folded = stratified_kfold(train, label, k=k).persist()
+    oof = None
+    for f in range(k):
+        held = folded.where(F.col("fold") == f).select(id_col, label, *cols)
+        part = held
+        for name, fit in bases.items():
+            p = score_model(fit(folded.where(F.col("fold") != f)), held, cols).select(
+                id_col, F.col("probability").alias(f"p_{name}"))
+            part = part.join(p, id_col)
+        oof = part if oof is None else oof.unionByName(part)
+    meta_cols = [f"p_{n}" for n in bases]
+    meta = logreg(oof, meta_cols, label, C=1.0)
+    scored = test.select(id_col, label, *cols)
+    for name, fit in bases.items():
+        p = score_model(fit(train), test, cols).select(id_col, F.col("probability").alias(f"p_{name}"))
+        scored = scored.join(p, id_col)
+    folded.unpersist()
+    return score_model(meta, scored, meta_cols)

@@ -1136,3 +1136,171 @@ def q_stream_feed_last50(ctx: Ctx) -> DataFrame:
     s = _scored_stream(ctx).select("seq", "CustomerID", "Predicted_Segment", "Purchase_Probability")
     path = st.stream_feed_last50(s, out, out + "_ckpt", "seq", 50)
     return rounded(files.read_parquet(ctx.spark, path))
+
+
+# ============================================================== contributions (linear Shapley values of the scorer)
+
+from rfmspark.operators import explain  # noqa: E402
+
+
+def _holdout_contrib(ctx: Ctx) -> DataFrame:
+    _, params, weights = ctx.holdout
+    d = learn.with_model_features(ctx.split_flags)
+    d = features.apply_scaler(d, params, MODEL_FEATURES, replace=True)
+    train_means = features.fit_scaler(d.where(~F.col("is_test")), MODEL_FEATURES)
+    return explain.linear_contributions(d.where(F.col("is_test")), weights, train_means)
+
+
+@query("shap_values", with_ctes("SELECT CustomerID, " + ", ".join(
+    f"{r(c)} AS {c}" for c in ["base_value", "margin"] + [f"contrib_{m}" for m in MODEL_FEATURES]) + " FROM ho_contrib",
+                                "ho_contrib"))
+def q_shap_values(ctx: Ctx) -> DataFrame:
+    """Exact per-feature contributions of the linear scorer (base + contributions = margin)."""
+    c = _holdout_contrib(ctx)
+    return rounded(c.select("CustomerID", "base_value", "margin", *[f"contrib_{m}" for m in MODEL_FEATURES]))
+
+
+_RANKED_SQL = """
+SELECT CustomerID, rank, feature, {v} AS shap_value, CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS influence
+FROM (SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(value) DESC, pos) AS rank FROM ho_contrib_long)
+WHERE rank <= {n}"""
+
+
+@query("top_contributions", with_ctes(_RANKED_SQL.format(v=r("value"), n=3), "ho_contrib_long"))
+def q_top_contributions(ctx: Ctx) -> DataFrame:
+    return rounded(explain.top_contributions(_holdout_contrib(ctx), n=3))
+
+
+@query("sort_contributions", with_ctes(_RANKED_SQL.format(v=r("value"), n=len(MODEL_FEATURES)), "ho_contrib_long"))
+def q_sort_contributions(ctx: Ctx) -> DataFrame:
+    return rounded(explain.sort_contributions(_holdout_contrib(ctx)))
+
+
+@query("mean_abs_contribution", with_ctes(f"SELECT feature, {r('avg(abs(value))')} AS mean_abs_contribution "
+                                          "FROM ho_contrib_long GROUP BY feature", "ho_contrib_long"))
+def q_mean_abs_contribution(ctx: Ctx) -> DataFrame:
+    return rounded(explain.mean_abs_contribution(_holdout_contrib(ctx)))
+
+
+@query("contribution_map", with_ctes(f"""
+SELECT CustomerID, replace(feature, '_log', '') AS feature, {r('value')} AS contribution FROM ho_contrib_long""",
+                                     "ho_contrib_long"))
+def q_contribution_map(ctx: Ctx) -> DataFrame:
+    """The map feature -> contribution (names without ``_log``), shown as its entries."""
+    m = explain.contribution_map(_holdout_contrib(ctx))
+    return rounded(m.select("CustomerID", F.explode("contributions").alias("feature", "contribution")))
+
+
+# ============================================================== Spark ML: clustering, PCA, learners (rows-only)
+
+
+def _train_test(ctx: Ctx):
+    _, params, _ = ctx.holdout
+    d = features.apply_scaler(learn.with_model_features(ctx.split_flags), params, MODEL_FEATURES, replace=True)
+    return d.where(~F.col("is_test")), d.where(F.col("is_test"))
+
+
+@query("kmeans_fit")
+def q_kmeans_fit(ctx: Ctx) -> DataFrame:
+    """K-Means (k=4, k-means||, 10 seeded restarts, lowest cost wins) on the scaled
+    features, then business labels from the cluster means."""
+    res, _ = segment.kmeans_fit(ctx.features_scaled, SCALED_FEATURES, k=4, restarts=10, seed=42)
+    labels = segment.label_segments(res, "KMeans_Cluster")
+    out = segment.segment_order(segment.join_map_label(res, labels, "KMeans_Cluster"))
+    return out.select("CustomerID", "KMeans_Cluster", "Segment", "Segment_Order")
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(ctx: Ctx) -> DataFrame:
+    """k = 2..10: inertia and silhouette (squared Euclidean) per k."""
+    return segment.kmeans_sweep(ctx.features_scaled, SCALED_FEATURES, range(2, 11), seed=42, restarts=1)
+
+
+@query("silhouette")
+def q_silhouette(ctx: Ctx) -> DataFrame:
+    """Silhouette of the seeded segmentation (squared Euclidean, Spark's evaluator)."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    v = segment._vectors(ctx.segmented.withColumn("cluster", F.col("Segment_Order").cast("double")), SCALED_FEATURES)
+    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(v)
+    return ctx.spark.range(1).select(F.lit(sil).alias("silhouette_sq_euclidean"))
+
+
+@query("pca_2d")
+def q_pca_2d(ctx: Ctx) -> DataFrame:
+    proj, ratios = segment.pca_2d(ctx.features_scaled, SCALED_FEATURES)
+    return proj.withColumn("explained_1", F.lit(ratios[0])).withColumn("explained_2", F.lit(ratios[1]))
+
+
+def _fit_and_score(ctx: Ctx, fit) -> DataFrame:
+    tr, te = _train_test(ctx)
+    model = fit(tr)
+    return learn.score_model(model, te, MODEL_FEATURES).select("CustomerID", "Target", "prediction", "probability")
+
+
+@query("logreg")
+def q_logreg(ctx: Ctx) -> DataFrame:
+    """Logistic regression (C=1, L2, no internal standardisation) scored on the hold-out."""
+    return _fit_and_score(ctx, lambda tr: learn.logreg(tr, MODEL_FEATURES, C=1.0))
+
+
+@query("random_forest")
+def q_random_forest(ctx: Ctx) -> DataFrame:
+    return _fit_and_score(ctx, lambda tr: learn.random_forest(tr, MODEL_FEATURES, n_trees=100, max_depth=10))
+
+
+@query("gbt_base")
+def q_gbt_base(ctx: Ctx) -> DataFrame:
+    """Gradient-boosted trees, 150 rounds, step 0.05."""
+    return _fit_and_score(ctx, lambda tr: learn.gbt(tr, MODEL_FEATURES, max_iter=150, max_depth=3, step=0.05))
+
+
+@query("gbt_a")
+def q_gbt_a(ctx: Ctx) -> DataFrame:
+    """Boosted trees with positive-class weighting (negatives/positives of the train set)."""
+    def fit(tr):
+        return learn.gbt(learn.class_weight(tr), MODEL_FEATURES, max_iter=100, max_depth=4, step=0.1, weight_col="weight")
+    return _fit_and_score(ctx, fit)
+
+
+@query("gbt_b")
+def q_gbt_b(ctx: Ctx) -> DataFrame:
+    return _fit_and_score(ctx, lambda tr: learn.gbt(tr, MODEL_FEATURES, max_iter=100, max_depth=5, step=0.05))
+
+
+@query("class_weight")
+def q_class_weight(ctx: Ctx) -> DataFrame:
+    tr, _ = _train_test(ctx)
+    return learn.class_weight(tr).select("CustomerID", "Target", "weight")
+
+
+@query("stratified_kfold")
+def q_stratified_kfold(ctx: Ctx) -> DataFrame:
+    tr, _ = _train_test(ctx)
+    return learn.stratified_kfold(tr).select("CustomerID", "Target", "fold")
+
+
+@query("cv_score")
+def q_cv_score(ctx: Ctx) -> DataFrame:
+    """3-fold ROC-AUC of logistic regression on the training set: mean and population std."""
+    tr, _ = _train_test(ctx)
+    return learn.cv_score(tr, lambda d: learn.logreg(d, MODEL_FEATURES, C=1.0), MODEL_FEATURES, k=3)
+
+
+@query("random_search")
+def q_random_search(ctx: Ctx) -> DataFrame:
+    """5 seeded draws from the forest grid, 3-fold ROC-AUC each (best first)."""
+    tr, _ = _train_test(ctx)
+    return learn.random_search_forest(tr, MODEL_FEATURES, n_iter=5, k=3, seed=42)
+
+
+@query("stacking")
+def q_stacking(ctx: Ctx) -> DataFrame:
+    """Five base learners -> out-of-fold probabilities (3 folds) -> logistic meta-learner."""
+    tr, te = _train_test(ctx)
+    return learn.stacking(tr, te, MODEL_FEATURES, k=3).select("CustomerID", "Target", "prediction", "probability")
+
+
+@query("feature_importance")
+def q_feature_importance(ctx: Ctx) -> DataFrame:
+    tr, _ = _train_test(ctx)
+    return learn.feature_importance(learn.random_forest(tr, MODEL_FEATURES, n_trees=100, max_depth=10), MODEL_FEATURES)

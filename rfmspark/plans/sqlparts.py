@@ -412,3 +412,16 @@ cte("replay", ["supervised", "ho_flag"], "SELECT " + ", ".join(["s.CustomerID"]
     " WHERE h.is_test")
 cte("replay_scored", ["replay", "scaler", "seg_cents", "ho_scaler", "ho_w"],
     "SELECT *, CAST(Predicted_Purchase_Label = Target AS INTEGER) AS correct FROM (" + score_sql("replay") + ")")
+
+
+# ------------------------------------------------------------------ linear contributions on the hold-out
+
+_base = "w0" + "".join(f" + w_{c} * m_{c}" for c in MODEL_FEATURES)
+_tm = ", ".join(f"avg({c}) AS m_{c}" for c in MODEL_FEATURES)
+cte("ho_contrib", ["ho_scaled", "ho_w"], f"""
+SELECT s.CustomerID, {_base} AS base_value, {_margin} AS margin,
+       {", ".join(f"w_{c} * (s.{c} - m_{c}) AS contrib_{c}" for c in MODEL_FEATURES)}
+FROM ho_scaled s, ho_w, (SELECT {_tm} FROM ho_scaled WHERE NOT is_test) tm WHERE s.is_test""")
+cte("ho_contrib_long", ["ho_contrib"], " UNION ALL ".join(
+    f"SELECT CustomerID, {i} AS pos, '{c}' AS feature, contrib_{c} AS value FROM ho_contrib"
+    for i, c in enumerate(MODEL_FEATURES)))

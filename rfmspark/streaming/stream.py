@@ -99,7 +99,7 @@ def stream_feed_last50(scored: DataFrame, out_path: str, checkpoint: str, seq_co
             cur = prev.unionByName(batch.select(*prev.columns))
         except Exception:  # noqa: BLE001 - first batch: no feed yet
             pass
-        top = cur.orderBy(F.col(seq_col).desc()).limit(n)
+        top = cur.dropDuplicates([seq_col]).orderBy(F.col(seq_col).desc()).limit(n)  # a retried batch adds nothing
         top.write.mode("overwrite").parquet(f"{out_path}/next")
         spark.read.parquet(f"{out_path}/next").write.mode("overwrite").parquet(f"{out_path}/current")
     q = scored.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
