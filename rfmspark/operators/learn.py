@@ -285,3 +285,41 @@ def stacking(train: DataFrame, test: DataFrame, cols: list[str], k: int = 3, lab
         scored = scored.join(p, id_col)
     folded.unpersist()
     return score_model(meta, scored, meta_cols)
+
+
+# --------------------------------------------------------------------------- SMOTE
+
+def smote(train: DataFrame, cols: list[str], label: str = "Target", id_col: str = "CustomerID", k: int = 5,
+          seed: int = 42) -> DataFrame:
+    """Oversample the minority class to parity: each synthetic row lies on the segment
+    between a minority row and one of its k nearest minority neighbours (exact kNN,
+    blocked). Rows per seed point are spread evenly; neighbour choice and position
+    come from a hash of (id, sample, seed), so reruns give the same rows."""
+    from rfmspark.operators.neighbors import knn
+    from rfmspark.operators.stats import cumulative_by_order
+    counts = {r_[label]: r_["n"] for r_ in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return train.select(id_col, *cols, label)
+    minority = min(counts, key=lambda v: (counts[v], v))
+    need = max(counts.values()) - counts[minority]
+    n_min = counts[minority]
+    if need == 0 or n_min < 2:
+        return train.select(id_col, *cols, label)
+    mino = train.where(F.col(label) == F.lit(minority)).select(F.col(id_col).cast("string").alias(id_col), *cols)
+    kk = min(k, n_min - 1)
+    nb = knn(mino, id_col, cols, kk + 1).select(id_col, F.slice("neighbors", 2, kk).alias("nb"))  # drop self
+    base, extra = divmod(need, n_min)
+    ordered = cumulative_by_order(mino.withColumn("_h", key_hash(id_col, seed)).withColumn("_one", F.lit(1).cast("bigint")),
+                                  "_h", ["_one"])
+    reps = ordered.withColumn("_reps", F.lit(base) + F.when(F.col("cum__one") <= extra, 1).otherwise(0)) \
+        .where(F.col("_reps") > 0).join(nb, id_col)
+    ex = reps.select(id_col, *cols, "nb", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)).alias("_s"))
+    hj = F.xxhash64(F.col(id_col), F.col("_s"), F.lit(seed))
+    ex = ex.withColumn("_nid", F.element_at("nb", (F.pmod(hj, F.size("nb")) + 1).cast("int"))["i"]) \
+        .withColumn("_u", F.pmod(F.xxhash64(F.col(id_col), F.col("_s"), F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30))
+    partner = mino.select(F.col(id_col).alias("_nid"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+    syn = ex.join(partner, "_nid").select(
+        F.concat(F.col(id_col), F.lit("_smote_"), F.col("_s").cast("string")).alias(id_col),
+        *[(F.col(c) + F.col("_u") * (F.col(f"_p_{c}") - F.col(c))).alias(c) for c in cols],
+        F.lit(minority).alias(label))
+    return train.select(F.col(id_col).cast("string").alias(id_col), *cols, label).unionByName(syn)

@@ -172,3 +172,71 @@ def pca_2d(df: DataFrame, cols: list[str] | None = None, id_col: str = "Customer
     out = model.transform(vec).select(id_col, vector_to_array("pcs").alias("_p"))
     out = out.select(id_col, (F.col("_p")[0] * signs[0]).alias("PCA1"), (F.col("_p")[1] * signs[1]).alias("PCA2"))
     return out, [float(v) for v in model.explainedVariance.toArray()]
+
+
+# --------------------------------------------------------------------------- two-stage Ward
+
+
+def _ward_merges(centroids, sizes):
+    """Ward agglomeration of weighted points (micro-cluster centroids): returns the
+    merge list [(left, right, height, size)] with scipy-style ids (leaves 0..m-1,
+    merged clusters m, m+1, ...) and height sqrt(2 * increase of the within SSE)."""
+    import numpy as np
+    c = {i: np.asarray(v, dtype=float) for i, v in enumerate(centroids)}
+    w = {i: float(s) for i, s in enumerate(sizes)}
+    nxt = len(c)
+    merges = []
+    while len(c) > 1:
+        keys = sorted(c)
+        best = None
+        for ai, a in enumerate(keys):
+            for b in keys[ai + 1:]:
+                inc = w[a] * w[b] / (w[a] + w[b]) * float(((c[a] - c[b]) ** 2).sum())
+                if best is None or inc < best[0]:
+                    best = (inc, a, b)
+        inc, a, b = best
+        size = w[a] + w[b]
+        c[nxt] = (c[a] * w[a] + c[b] * w[b]) / size
+        w[nxt] = size
+        merges.append((a, b, float((2 * inc) ** 0.5), int(size)))
+        del c[a], c[b], w[a], w[b]
+        nxt += 1
+    return merges
+
+
+def hierarchical_ward(df: DataFrame, id_col: str = "CustomerID", cols: list[str] | None = None, k: int = 4,
+                      micro: int = 200, seed: int = 42):
+    """Ward clustering in two stages: K-Means micro-clusters (at most ``micro``) on
+    Spark, then Ward merges of their size-weighted centroids (a bounded table), cut
+    at ``k`` clusters and mapped back with a broadcast join. Returns (labels, merges)."""
+    cols = cols or SCALED_FEATURES
+    n = df.count()
+    m = max(1, min(micro, n))
+    res, _ = kmeans_fit(df, cols, k=m, restarts=1, seed=seed, out="_micro")
+    stats = res.groupBy("_micro").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]) \
+        .orderBy("_micro").collect()  # <= micro rows
+    micro_ids = [r_["_micro"] for r_ in stats]
+    merges = _ward_merges([[r_[c] for c in cols] for r_ in stats], [r_["n"] for r_ in stats])
+    # cut: undo the last k-1 merges
+    members = {i: [i] for i in range(len(stats))}
+    nid = len(stats)
+    for a, b, _, _ in merges:
+        members[nid] = members.pop(a) + members.pop(b)
+        nid += 1
+        if len(members) == k:
+            break
+    groups = sorted(members.values(), key=lambda g: min(g))
+    mapping = [(int(micro_ids[i]), gi) for gi, g in enumerate(groups) for i in g]
+    spark = df.sparkSession
+    mp = spark.createDataFrame(mapping, "_micro int, Hierarchical_Cluster int")
+    labels = res.join(F.broadcast(mp), "_micro").select(id_col, "Hierarchical_Cluster")
+    tail = merges[-30:]
+    first = len(merges) - len(tail)
+    mt = spark.createDataFrame([(first + i + 1, int(a), int(b), float(h), int(sz)) for i, (a, b, h, sz) in enumerate(tail)],
+                               "step int, left_id int, right_id int, height double, size int")
+    return labels, mt
+
+
+def ward_merge_table(df: DataFrame, id_col: str = "CustomerID", cols: list[str] | None = None, last: int = 30,
+                     micro: int = 200) -> DataFrame:
+    return hierarchical_ward(df, id_col, cols, 4, micro)[1].orderBy("step")

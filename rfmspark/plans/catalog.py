@@ -1304,3 +1304,64 @@ def q_stacking(ctx: Ctx) -> DataFrame:
 def q_feature_importance(ctx: Ctx) -> DataFrame:
     tr, _ = _train_test(ctx)
     return learn.feature_importance(learn.random_forest(tr, MODEL_FEATURES, n_trees=100, max_depth=10), MODEL_FEATURES)
+
+
+# ============================================================== neighbours, DBSCAN, Ward, SMOTE
+
+from rfmspark.operators import neighbors as nbr  # noqa: E402
+
+_KNN_SQL = f"""
+SELECT a.CustomerID, b.CustomerID AS neighbor_id,
+       {dist_sql(['a.' + x for x in SCALED], ['b.' + x for x in SCALED])} AS dist FROM scaled a, scaled b"""
+
+
+@query("knn_self_join", with_ctes(f"""
+SELECT CustomerID, rank, neighbor_id, {r('dist')} AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY dist, neighbor_id) AS rank FROM ({_KNN_SQL}))
+WHERE rank <= 5""", "scaled"))
+def q_knn_self_join(ctx: Ctx) -> DataFrame:
+    """Five nearest customers in the scaled feature space (the customer itself first)."""
+    return rounded(nbr.knn_self_join(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 5))
+
+
+@query("k_distance", with_ctes(f"""
+SELECT CustomerID, {r('dist')} AS k_distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY dist, neighbor_id) AS rank FROM ({_KNN_SQL}))
+WHERE rank = 5""", "scaled"))
+def q_k_distance(ctx: Ctx) -> DataFrame:
+    return rounded(nbr.k_distance(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 5))
+
+
+@query("eps_range_join", with_ctes(f"""
+SELECT CustomerID, count(*) AS neighbors FROM ({_KNN_SQL}) WHERE dist <= 1.2 GROUP BY CustomerID""", "scaled"))
+def q_eps_range_join(ctx: Ctx) -> DataFrame:
+    """Customers within eps = 1.2 of each customer (counted, itself included)."""
+    return nbr.eps_neighbor_counts(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 1.2)
+
+
+@query("dbscan")
+def q_dbscan(ctx: Ctx) -> DataFrame:
+    """DBSCAN (eps 1.2, min_samples 5) on the scaled features."""
+    return nbr.dbscan(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 1.2, 5)
+
+
+@query("cluster_noise_stats")
+def q_cluster_noise_stats(ctx: Ctx) -> DataFrame:
+    return segment.cluster_noise_stats(nbr.dbscan(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 1.2, 5))
+
+
+@query("hierarchical_ward")
+def q_hierarchical_ward(ctx: Ctx) -> DataFrame:
+    return segment.hierarchical_ward(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 4, 200)[0]
+
+
+@query("ward_merge_table")
+def q_ward_merge_table(ctx: Ctx) -> DataFrame:
+    return segment.ward_merge_table(ctx.features_scaled, "CustomerID", SCALED_FEATURES, 30, 200)
+
+
+@query("smote")
+def q_smote(ctx: Ctx) -> DataFrame:
+    """Training rows plus synthetic minority rows up to class parity."""
+    tr, _ = _train_test(ctx)
+    return learn.smote(tr, MODEL_FEATURES, "Target", "CustomerID", 5, 42)
