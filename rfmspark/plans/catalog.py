@@ -1365,3 +1365,185 @@ def q_smote(ctx: Ctx) -> DataFrame:
     """Training rows plus synthetic minority rows up to class parity."""
     tr, _ = _train_test(ctx)
     return learn.smote(tr, MODEL_FEATURES, "Target", "CustomerID", 5, 42)
+
+
+# ============================================================== remaining projections
+
+from rfmspark.schemas import SEGMENT_ACTIONS  # noqa: E402
+
+_LIST8 = ["CustomerID", "Recency", "Frequency", "Monetary", "AvgOrderValue", "UniqueProducts", "ReturnRate", "Segment"]
+
+
+@query("customer_list", with_ctes(f"""
+SELECT CustomerID, Recency, Frequency, {rnd(['Monetary', 'AvgOrderValue'])}, UniqueProducts, {rnd(['ReturnRate'])}, Segment
+FROM segmented""", "segmented"))
+def q_customer_list(ctx: Ctx) -> DataFrame:
+    return rounded(ctx.segmented.select(*_LIST8))
+
+
+@query("feature_vector")
+def q_feature_vector(ctx: Ctx) -> DataFrame:
+    """The nine scaled model features assembled into one ML vector per customer."""
+    return segment._vectors(ctx.features_scaled, SCALED_FEATURES).select("CustomerID", "features")
+
+
+@query("drop_columns", with_ctes(f"SELECT {_F9_SQL} FROM scaled", "scaled"))
+def q_drop_columns(ctx: Ctx) -> DataFrame:
+    temp = [f"{c}_log" for c in ["Recency", "Frequency", "Monetary"]] + SCALED_FEATURES
+    return rounded(clean.drop_columns(ctx.features_scaled, temp))
+
+
+@query("segment_action", with_ctes("SELECT CustomerID, Segment, CASE Segment " + " ".join(
+    "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in SEGMENT_ACTIONS.items())
+    + " END AS action FROM segmented", "segmented"))
+def q_segment_action(ctx: Ctx) -> DataFrame:
+    m = F.create_map(*[x for k, v in SEGMENT_ACTIONS.items() for x in (F.lit(k), F.lit(v))])
+    return ctx.segmented.select("CustomerID", "Segment", m[F.col("Segment")].alias("action"))
+
+
+@query("drop_bad_dates", with_ctes("""
+SELECT InvoiceNo, InvoiceDate FROM retail WHERE NOT starts_with(InvoiceNo, 'C')""", "retail"))
+def q_drop_bad_dates(ctx: Ctx) -> DataFrame:
+    """Dates as text, unreadable for returned lines: those rows are dropped after parsing."""
+    t = ctx.retail(["InvoiceNo", "InvoiceDate"])
+    txt = F.when(F.col("InvoiceNo").startswith("C"), F.lit("bad")).otherwise(F.date_format("InvoiceDate", "M/d/yyyy H:mm"))
+    parsed = t.select("InvoiceNo", fn.fn_to_timestamp_safe(txt).alias("InvoiceDate"))
+    return clean.drop_bad_dates(parsed)
+
+
+@query("apply_scaler", with_ctes("SELECT CustomerID, " + ", ".join(
+    f"{r(f'({c} - m_{c}) / s_{c}')} AS {c}_scaled" for c in MODEL_FEATURES)
+    + " FROM (SELECT *, ln(1 + Recency) AS Recency_log, ln(1 + Frequency) AS Frequency_log, "
+      "ln(1 + Monetary) AS Monetary_log FROM supervised), scaler", "supervised", "scaler"))
+def q_apply_scaler(ctx: Ctx) -> DataFrame:
+    """Feature-period rows transformed with the stored full-data scaler parameters."""
+    d = features.add_log_features(ctx.supervised)
+    return rounded(features.apply_scaler(d, ctx.scaler_params, MODEL_FEATURES).select(
+        "CustomerID", *SCALED_FEATURES))
+
+
+@query("score_multi_model")
+def q_score_multi_model(ctx: Ctx) -> DataFrame:
+    """Label and probability of several fitted models per hold-out customer (one column pair each)."""
+    tr, te = _train_test(ctx)
+    models = {"lr": learn.logreg(tr, MODEL_FEATURES, C=1.0),
+              "rf": learn.random_forest(tr, MODEL_FEATURES, n_trees=50, max_depth=10),
+              "gb": learn.gbt(tr, MODEL_FEATURES, max_iter=20, max_depth=3, step=0.05)}
+    out = te.select("CustomerID", "Target")
+    for p, m in models.items():
+        s = learn.score_model(m, te, MODEL_FEATURES).select(
+            "CustomerID", F.col("prediction").alias(f"{p}_pred"), F.col("probability").alias(f"{p}_prob"))
+        out = out.join(s, "CustomerID")
+    return out
+
+
+@query("retrain_job")
+def q_retrain_job(ctx: Ctx) -> DataFrame:
+    """The retraining run as one job: clean -> features -> segments -> supervised set ->
+    scorer and metrics -> gate -> registry -> drift; one status row per phase."""
+    return jobs.retrain(ctx)
+
+
+# ============================================================== one query per scalar function
+
+from rfmspark.plans.sqlparts import _days  # noqa: E402
+
+_ZERO = [f"0.0" for _ in SCALED]
+_FN_SPECS = {
+    # name: (source, key columns, Spark column builder, SQL expression, sql source)
+    "fn_recency_days": ("core", ["CustomerID"], lambda: fn.fn_recency_days("LastPurchase", "snapshot"),
+                        _days("LastPurchase", "snapshot"), "rfm_core, snap"),
+    "fn_lifetime_days": ("core", ["CustomerID"], lambda: fn.fn_lifetime_days("FirstPurchase", "LastPurchase"),
+                         _days("FirstPurchase", "LastPurchase"), "rfm_core, snap"),
+    "fn_avg_order_value": ("core", ["CustomerID"], lambda: fn.fn_avg_order_value("Monetary", "Frequency"),
+                           r("Monetary / Frequency"), "rfm_core, snap"),
+    "fn_purchase_freq_monthly": ("feat", ["CustomerID"], lambda: fn.fn_purchase_freq_monthly("Frequency", "CustomerLifetimeDays"),
+                                 r("CAST(Frequency AS DOUBLE) / (CustomerLifetimeDays + 30) * 30.0"), "features"),
+    "fn_avg_qty_per_order": ("core", ["CustomerID"], lambda: fn.fn_avg_qty_per_order("TotalQuantity", "Frequency"),
+                             r("CAST(TotalQuantity AS DOUBLE) / Frequency"), "rfm_core, snap"),
+    "fn_log1p": ("feat", ["CustomerID"], lambda: fn.fn_log1p("Monetary"), r("ln(1 + Monetary)"), "features"),
+    "fn_month": ("clean", ["InvoiceNo", "StockCode"], lambda: fn.fn_month("InvoiceDate"),
+                 "strftime(InvoiceDate, '%Y-%m')", "cleaned"),
+    "fn_format_ts": ("clean", ["InvoiceNo", "StockCode"], lambda: fn.fn_format_ts("InvoiceDate"),
+                     "strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S')", "cleaned"),
+    "fn_clean_customer_id": ("clean", ["InvoiceNo", "StockCode"],
+                             lambda: fn.fn_clean_customer_id(F.concat(F.lit(" "), "CustomerID", F.lit(".0"))),
+                             "trim(regexp_replace(' ' || CustomerID || '.0', '\\.0$', ''))", "cleaned"),
+    "fn_id_float_to_str": ("clean", ["InvoiceNo", "StockCode"], lambda: fn.fn_id_float_to_str(F.col("CustomerID").cast("double")),
+                           "CAST(CAST(CAST(CustomerID AS DOUBLE) AS BIGINT) AS VARCHAR)", "cleaned"),
+    "fn_to_int_default": ("clean", ["InvoiceNo", "StockCode"],
+                          lambda: fn.fn_to_int_default(F.when(F.col("Quantity") > 25, F.lit("n/a"))
+                                                       .otherwise(F.col("UnitPrice").cast("string"))),
+                          "CASE WHEN Quantity > 25 THEN 1 ELSE CAST(trunc(UnitPrice) AS INTEGER) END", "cleaned"),
+    "fn_to_double_default": ("clean", ["InvoiceNo", "StockCode"],
+                             lambda: fn.fn_to_double_default(F.when(F.col("Quantity") > 25, F.lit("abc"))
+                                                             .otherwise(F.col("Quantity").cast("string"))),
+                             "CASE WHEN Quantity > 25 THEN 0.0 ELSE CAST(Quantity AS DOUBLE) END", "cleaned"),
+    "fn_to_timestamp_safe": ("clean", ["InvoiceNo", "StockCode"],
+                             lambda: fn.fn_to_timestamp_safe(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")),
+                             "InvoiceDate", "cleaned"),
+    "fn_strip": ("clean", ["StockCode"], lambda: fn.fn_strip(F.concat(F.lit("  "), "InvoiceNo", F.lit(" "))),
+                 "trim('  ' || InvoiceNo || ' ')", "cleaned"),
+    "fn_startswith": ("raw", ["StockCode", "InvoiceNo"], lambda: fn.fn_startswith(F.col("InvoiceNo"), "C"),
+                      "starts_with(InvoiceNo, 'C')", "retail"),
+    "fn_truncate_label": ("full", ["InvoiceNo", "StockCode"], lambda: fn.fn_truncate_label("Description"),
+                          "CASE WHEN length(Description) > 20 THEN substr(Description, 1, 20) || '...' ELSE Description END",
+                          "cleaned"),
+    "fn_title_case": ("seg", ["CustomerID"], lambda: fn.fn_title_case(F.regexp_replace(F.lower("Segment"), " ", "_")),
+                      "list_aggr(list_transform(string_split(lower(Segment), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')",
+                      "segmented"),
+    "fn_l2_distance": ("seg", ["CustomerID"], lambda: fn.fn_l2_distance(F.array(*SCALED_FEATURES), F.array(*[F.lit(0.0)] * 9)),
+                       r(dist_sql(SCALED, _ZERO)), "segmented"),
+    "fn_psi_term": ("feat", ["CustomerID"], lambda: fn.fn_psi_term(F.col("ReturnRate") + 0.01, F.lit(0.5)),
+                    r("((ReturnRate + 0.01) - 0.5) * ln((ReturnRate + 0.01) / 0.5)"), "features"),
+    "fn_psi_status": ("feat", ["CustomerID"], lambda: fn.fn_psi_status(F.col("ReturnRate")),
+                      "CASE WHEN ReturnRate < 0.1 THEN 'Stable' WHEN ReturnRate <= 0.25 THEN 'Monitor' ELSE 'Retrain Alert' END",
+                      "features"),
+    "fn_clip": ("clean", ["InvoiceNo", "StockCode"], lambda: fn.fn_clip(F.col("Quantity"), 5, 40),
+                "least(greatest(Quantity, 5), 40)", "cleaned"),
+    "fn_round": ("feat", ["CustomerID"], lambda: fn.fn_round_half_even(F.col("Monetary"), 0), "round_even(Monetary, 0)",
+                 "features"),
+    "fn_influence": ("seg", ["CustomerID"], lambda: fn.fn_influence(F.col("Recency_log_scaled")),
+                     "CASE WHEN Recency_log_scaled > 0 THEN 'positive' ELSE 'negative' END", "segmented"),
+    "fn_to_json": ("feat", ["CustomerID"], lambda: fn.fn_to_json("CustomerID", "Frequency", "UniqueProducts"),
+                   "to_json({'CustomerID': CustomerID, 'Frequency': Frequency, 'UniqueProducts': UniqueProducts})",
+                   "features"),
+    "fn_from_json": ("feat", ["CustomerID"],
+                     lambda: fn.fn_from_json(fn.fn_to_json("Frequency", "UniqueProducts"),
+                                             "Frequency bigint, UniqueProducts bigint")["UniqueProducts"],
+                     "UniqueProducts", "features"),
+}
+
+
+def _fn_source(ctx: Ctx, kind: str) -> DataFrame:
+    if kind == "core":
+        return features.rfm_core(ctx.cleaned).crossJoin(features.snapshot_date(ctx.cleaned))
+    if kind == "feat":
+        return ctx.features
+    if kind == "clean":
+        return ctx.cleaned
+    if kind == "full":
+        return ctx.cleaned_full
+    if kind == "raw":
+        return ctx.retail(["InvoiceNo", "StockCode"])
+    return ctx.segmented
+
+
+def _register_fn(name: str, spec) -> None:
+    kind, keys, build, sql_expr, src = spec
+    needed = [x.strip() for x in src.split(",")]
+
+    def run(ctx: Ctx) -> DataFrame:
+        return rounded(_fn_source(ctx, kind).select(*keys, build().alias("value")))
+    run.__name__ = f"q_{name}"
+    run.__doc__ = f"Scalar function {name} applied to every row."
+    REGISTRY[name] = (run, with_ctes(f"SELECT {', '.join(keys)}, {sql_expr} AS value FROM {src}", *needed))
+
+
+for _n, _spec in _FN_SPECS.items():
+    _register_fn(_n, _spec)
+
+
+@query("fn_split_date", with_ctes("SELECT split FROM sup_split", "sup_split"))
+def q_fn_split_date(ctx: Ctx) -> DataFrame:
+    return learn.split_date(ctx.cleaned, 70)

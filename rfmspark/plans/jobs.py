@@ -30,3 +30,33 @@ def sql_query(spark: SparkSession, query: str, views: dict[str, DataFrame], limi
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(q).limit(limit)
+
+
+def retrain(ctx) -> DataFrame:
+    """Phases of the retraining run (clean, features, segments, supervised set, scoring,
+    gate + registry, drift), each materialised as a stage table; returns
+    (phase_no, phase, status, rows)."""
+    from pyspark.sql import functions as F
+
+    from rfmspark.operators import drift as drift_ops
+    from rfmspark.schemas import FEATURES
+    phases = []
+
+    def step(name, fn):
+        try:
+            n = fn()
+            phases.append((len(phases) + 1, name, "completed", int(n)))
+        except Exception as e:  # noqa: BLE001 - a failed phase is reported, later ones are skipped
+            phases.append((len(phases) + 1, name, f"failed: {type(e).__name__}", 0))
+            raise
+    try:
+        step("clean", lambda: ctx.cleaned.count())
+        step("features", lambda: ctx.features_scaled.count())
+        step("segments", lambda: ctx.segmented.count())
+        step("supervised", lambda: ctx.supervised.count())
+        step("train_and_evaluate", lambda: ctx.model_metrics.count())
+        step("gate_and_registry", lambda: ctx.registry.where(F.col("is_active") == 1).count())
+        step("drift", lambda: drift_ops.drift_report(ctx.supervised, ctx.features, FEATURES).count())
+    except Exception:  # noqa: BLE001
+        pass
+    return ctx.spark.createDataFrame(phases, "phase_no int, phase string, status string, rows long")
