@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
+HIST_MAX_DISTINCT = 2_000_000   # distinct values one window task may rank
+BAND_TARGET = 1_000_000         # rows per exact band on the sketch path
+MAX_ACCURACY = 10_000_000       # sketch size cap
 
 
 def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Callable[[Column], Column]]],
@@ -43,6 +46,15 @@ def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Call
     Groups with fewer than 4·accuracy rows form a single band."""
     g = list(group_cols or [])
     d = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    # One small job first: the largest group size and distinct count. Groups with at most
+    # HIST_MAX_DISTINCT distinct values are ranked on their distinct-value histogram directly
+    # (a window partition holds that many rows at most). Otherwise the sketch accuracy is
+    # raised with n so that each exact band stays near BAND_TARGET rows at any scale.
+    pre = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_x").alias("_nd")) \
+        .agg(F.max("_n").alias("n"), F.max("_nd").alias("nd")).first()
+    if pre["nd"] is None or pre["nd"] <= HIST_MAX_DISTINCT:
+        return _histogram_ranks(d, g, specs)
+    accuracy = int(min(MAX_ACCURACY, max(accuracy, -(-8 * pre["n"] // BAND_TARGET))))
     m = 4.0 / accuracy
     fr = sorted({min(1.0, max(0.0, p + sgn)) for p, _ in specs for sgn in (-m, m)})
     pos = {f: i for i, f in enumerate(fr)}
@@ -78,6 +90,19 @@ def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Call
             .agg(F.first("_n").alias("n"), F.first("rank").alias("rank"), F.min("_x").alias("value")))
 
 
+def _histogram_ranks(d: DataFrame, g: list[str], specs) -> DataFrame:
+    """Rank selection over per-group distinct values with counts (bounded distinct count)."""
+    hist = d.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.withColumn("_end", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
+    n = F.col("_n")
+    h = h.select(*g, "_x", "_end", "_n", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ri"), F.least(F.greatest(rank_of(n).cast("bigint"), F.lit(0).cast("bigint")), n - 1)
+                 .alias("rank")) for i, (_, rank_of) in enumerate(specs)])))
+    return (h.where(F.col("_end") > F.col("rank")).groupBy(*g, F.col("ri").alias("r_index"))
+            .agg(F.first("_n").alias("n"), F.first("rank").alias("rank"), F.min("_x").alias("value")))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Linear-interpolated quantiles (NumPy default, SQL ``percentile_cont``):

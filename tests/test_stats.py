@@ -15,8 +15,10 @@ def test_quartile_and_population_std_and_skew(spark):  # D3
     assert s == pytest.approx(1.7636, abs=1e-4)
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 50])  # 50 forces the approximate-band path
-def test_exact_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy,hist_max", [(10_000, 2_000_000), (50, 10)])  # the second forces the band path
+def test_exact_quantiles_match_numpy(spark, monkeypatch, accuracy, hist_max):
+    monkeypatch.setattr(stats, "HIST_MAX_DISTINCT", hist_max)
+    monkeypatch.setattr(stats, "BAND_TARGET", 10 ** 9)
     rng = np.random.default_rng(7)
     vals = np.round(rng.exponential(10, 3000), 2)
     groups = rng.integers(0, 3, 3000)
