@@ -92,3 +92,20 @@ def test_linear_contributions_add_up(spark):
     means = spark.createDataFrame([("x", 0, 0.2, 1.0), ("y", 1, -0.3, 1.0)], "feature string, position int, mean double, scale double")
     c = explain.linear_contributions(df, w, means, ["x", "y"]).toPandas()
     assert np.allclose(c.base_value + c.contrib_x + c.contrib_y, c.margin)
+
+
+def test_tree_contributions_add_up_to_model_margin(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from rfmspark.operators import explain
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 3))
+    y = ((x[:, 0] + 0.5 * x[:, 1] * x[:, 2]) > 0).astype(int)
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(CustomerID=[str(i) for i in range(200)], Target=y)
+    df = spark.createDataFrame(pdf)
+    model = learn.gbt(df, ["a", "b", "c"], max_iter=10, max_depth=3, step=0.1)
+    c = explain.tree_contributions(df, model, ["a", "b", "c"]).toPandas().sort_values("CustomerID")
+    raw = model.transform(learn.assemble(df, ["a", "b", "c"])).select(
+        "CustomerID", vector_to_array("rawPrediction")[1].alias("m")).toPandas().sort_values("CustomerID")
+    assert np.allclose(c.margin.to_numpy(), raw.m.to_numpy())
+    assert np.allclose(c.base_value + c.contrib_a + c.contrib_b + c.contrib_c, c.margin)
