@@ -58,11 +58,17 @@ class Ctx:
         pre, bounds = self.cleaning
         return clean.apply_bounds(pre, bounds).checkpoint(eager=True)
 
+    @artifact
+    def raw_tx(self) -> DataFrame:
+        """The raw transactions (six columns) - the one fact-table join - written once; the
+        cleaning passes and the return rate both read this copy."""
+        return self.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"]) \
+            .checkpoint(eager=True)
+
     @artifact
     def cleaning(self):
         """(row-filtered transactions before IQR, IQR bounds as literals)."""
-        raw = self.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"])
-        return clean.cleaning_bounds(raw, materialize=True)
+        return clean.cleaning_bounds(self.raw_tx, materialize=False)
 
     @cached_property
     def cleaned_full(self) -> DataFrame:
@@ -72,7 +78,8 @@ class Ctx:
 
     @cached_property
     def raw_subset(self) -> DataFrame:
-        return tables.raw_subset(self.spark, self.sf_dir)
+        """T3: CustomerID, InvoiceNo, InvoiceDate of every raw row (from the stored raw copy)."""
+        return self.raw_tx.select("CustomerID", "InvoiceNo", "InvoiceDate")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -84,8 +91,8 @@ class Ctx:
     def features_scaled(self) -> DataFrame:
         """T4: F9 + logs + scaled model features (population std). Written once to the
         checkpoint folder: segmentation and drift read it several times."""
-        f = features.add_log_features(features.rfm_features(self.cleaned, self.raw_subset))
-        scaled, _ = features.standard_scale(f, MODEL_FEATURES)
+        f9 = features.rfm_features(self.cleaned, self.raw_subset).checkpoint(eager=True)  # scaler fit + apply read it twice
+        scaled, _ = features.standard_scale(features.add_log_features(f9), MODEL_FEATURES)
         return scaled.checkpoint(eager=True)
 
     @artifact
