@@ -95,13 +95,13 @@ _RAW6 = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "Cust
 SELECT InvoiceNo, CustomerID, Quantity FROM retail
 WHERE NOT coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "retail"))
 def q_drop_cancelled(ctx: Ctx) -> DataFrame:
-    return clean.drop_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"]))
+    return clean.drop_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"], returned=False))
 
 
 @query("only_cancelled", with_ctes("""
 SELECT InvoiceNo, CustomerID, Quantity FROM retail WHERE coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "retail"))
 def q_only_cancelled(ctx: Ctx) -> DataFrame:
-    return clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"]))
+    return clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity"], returned=True))
 
 
 @query("positive_qty_price", with_ctes(f"""
@@ -480,7 +480,8 @@ SELECT InvoiceNo, CustomerID, {rnd(['TotalPrice'])} FROM (SELECT *, Quantity * U
 WHERE coalesce(starts_with(trim(InvoiceNo), 'C'), false)""", "cleaned", "retail"))
 def q_union_append(ctx: Ctx) -> DataFrame:
     """Cleaned rows with the cancelled raw rows appended (no de-duplication)."""
-    new = clean.total_price(clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity", "UnitPrice"])))
+    new = clean.total_price(clean.only_cancelled(ctx.retail(["InvoiceNo", "CustomerID", "Quantity", "UnitPrice"],
+                                                            returned=True)))
     return rounded(dashboard.union_append(ctx.cleaned.select("InvoiceNo", "CustomerID", "TotalPrice"),
                                           new.select("InvoiceNo", "CustomerID", "TotalPrice")))
 

@@ -48,8 +48,8 @@ class Ctx:
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name, columns)
 
-    def retail(self, columns: list[str] | None = None) -> DataFrame:
-        return tables.retail(self.spark, self.sf_dir, columns)
+    def retail(self, columns: list[str] | None = None, returned: bool | None = None) -> DataFrame:
+        return tables.retail(self.spark, self.sf_dir, columns, returned)
 
     @artifact
     def cleaned(self) -> DataFrame:

@@ -52,12 +52,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
-def retail(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Raw transactions (T1). ``columns`` limits the output and therefore the joins."""
+def retail(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+           returned: bool | None = None) -> DataFrame:
+    """Raw transactions (T1). ``columns`` limits the output and therefore the joins.
+    ``returned`` keeps only returned (cancelled-invoice) lines or only the others; the
+    condition is on ``l_returnflag`` and so reaches the lineitem scan before the join
+    (a filter on the derived InvoiceNo cannot be pushed through it)."""
     from rfmspark.schemas import RAW_COLUMNS
     cols = list(columns or RAW_COLUMNS)
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"])
+    if returned is not None:
+        is_r = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))  # a NULL flag is not a return
+        li = li.where(is_r if returned else ~is_r)
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     tx = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     returned = F.col("l_returnflag") == F.lit("R")
