@@ -1449,7 +1449,7 @@ def q_retrain_job(ctx: Ctx) -> DataFrame:
 
 from rfmspark.plans.sqlparts import _days  # noqa: E402
 
-_ZERO = [f"0.0" for _ in SCALED]
+_ZERO = ["0.0"] * len(SCALED)
 _FN_SPECS = {
     # name: (source, key columns, Spark column builder, SQL expression, sql source)
     "fn_recency_days": ("core", ["CustomerID"], lambda: fn.fn_recency_days("LastPurchase", "snapshot"),
