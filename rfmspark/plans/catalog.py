@@ -392,13 +392,14 @@ SELECT * FROM (
 
 
 @query("customer_top_items", with_ctes(f"""
-SELECT CustomerID, StockCode, Description, quantity, {r('revenue')} AS revenue, rank FROM ({_TOP_ITEMS_SQL})""", "cleaned"))
+SELECT CustomerID, StockCode, Description, quantity, {r('revenue')} AS revenue, CAST(rank AS INTEGER) AS rank
+FROM ({_TOP_ITEMS_SQL})""", "cleaned"))
 def q_customer_top_items(ctx: Ctx) -> DataFrame:
     return rounded(dashboard.customer_top_items(ctx.cleaned_full))
 
 
 @query("customer_report", with_ctes(f"""
-SELECT CustomerID, line_no, line FROM (
+SELECT CustomerID, CAST(line_no AS INTEGER) AS line_no, line FROM (
   SELECT CustomerID, 0 AS line_no, printf('Transaction Summary for Customer ID %s:', CustomerID) AS line FROM s
   UNION ALL SELECT CustomerID, 1, printf('- Total Spend: £%.2f', total_spend) FROM s
   UNION ALL SELECT CustomerID, 2, printf('- Total Quantity Purchased: %d', total_quantity) FROM s
@@ -1162,7 +1163,8 @@ def q_shap_values(ctx: Ctx) -> DataFrame:
 
 
 _RANKED_SQL = """
-SELECT CustomerID, rank, feature, {v} AS shap_value, CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS influence
+SELECT CustomerID, CAST(rank AS INTEGER) AS rank, feature, {v} AS shap_value,
+       CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS influence
 FROM (SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(value) DESC, pos) AS rank FROM ho_contrib_long)
 WHERE rank <= {n}"""
 
@@ -1317,7 +1319,7 @@ SELECT a.CustomerID, b.CustomerID AS neighbor_id,
 
 
 @query("knn_self_join", with_ctes(f"""
-SELECT CustomerID, rank, neighbor_id, {r('dist')} AS dist FROM (
+SELECT CustomerID, CAST(rank AS INTEGER) AS rank, neighbor_id, {r('dist')} AS dist FROM (
   SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY dist, neighbor_id) AS rank FROM ({_KNN_SQL}))
 WHERE rank <= 5""", "scaled"))
 def q_knn_self_join(ctx: Ctx) -> DataFrame:
@@ -1507,7 +1509,7 @@ _FN_SPECS = {
     "fn_influence": ("seg", ["CustomerID"], lambda: fn.fn_influence(F.col("Recency_log_scaled")),
                      "CASE WHEN Recency_log_scaled > 0 THEN 'positive' ELSE 'negative' END", "segmented"),
     "fn_to_json": ("feat", ["CustomerID"], lambda: fn.fn_to_json("CustomerID", "Frequency", "UniqueProducts"),
-                   "to_json({'CustomerID': CustomerID, 'Frequency': Frequency, 'UniqueProducts': UniqueProducts})",
+                   "CAST(to_json({'CustomerID': CustomerID, 'Frequency': Frequency, 'UniqueProducts': UniqueProducts}) AS VARCHAR)",
                    "features"),
     "fn_from_json": ("feat", ["CustomerID"],
                      lambda: fn.fn_from_json(fn.fn_to_json("Frequency", "UniqueProducts"),

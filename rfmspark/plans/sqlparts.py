@@ -381,11 +381,11 @@ FROM ({score_sql('log_run2')})""")
 FEATURE_POS_SQL = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FEATURES)) + " END"
 
 cte("drift_log", ["drift_report", "drift_ref", "sup_split", "snap"], f"""
-SELECT 1 + {FEATURE_POS_SQL} AS id, (SELECT split FROM sup_split) AS timestamp, feature AS feature_name,
+SELECT CAST(1 + {FEATURE_POS_SQL} AS BIGINT) AS id, (SELECT split FROM sup_split) AS timestamp, feature AS feature_name,
        0.0 AS psi_value, 'Stable' AS status, avg(value) AS training_mean, avg(value) AS production_mean
 FROM drift_ref GROUP BY feature
 UNION ALL
-SELECT 1 + {len(FEATURES)} + {FEATURE_POS_SQL}, (SELECT snapshot FROM snap), feature, psi_value, status, training_mean,
+SELECT CAST(1 + {len(FEATURES)} + {FEATURE_POS_SQL} AS BIGINT), (SELECT snapshot FROM snap), feature, psi_value, status, training_mean,
        production_mean FROM drift_report""")
 
 cte("gate", ["model_metrics"], """
@@ -394,7 +394,7 @@ FROM (SELECT coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'cla
              coalesce((SELECT max(roc_auc) FROM model_metrics WHERE model = 'baseline_majority'), 0.5) AS old_auc)""")
 
 cte("registry", ["model_metrics", "gate", "sup_split", "snap"], """
-SELECT 1 AS id, (SELECT split FROM sup_split) AS timestamp, model AS model_name, 'models/baseline_majority.pkl' AS filepath,
+SELECT CAST(1 AS BIGINT) AS id, (SELECT split FROM sup_split) AS timestamp, model AS model_name, 'models/baseline_majority.pkl' AS filepath,
        accuracy, roc_auc, f1_score, mcc, CASE WHEN (SELECT accepted FROM gate) THEN 0 ELSE 1 END AS is_active
 FROM model_metrics WHERE model = 'baseline_majority'
 UNION ALL
