@@ -109,3 +109,64 @@ def test_tree_contributions_add_up_to_model_margin(spark):
         "CustomerID", vector_to_array("rawPrediction")[1].alias("m")).toPandas().sort_values("CustomerID")
     assert np.allclose(c.margin.to_numpy(), raw.m.to_numpy())
     assert np.allclose(c.base_value + c.contrib_a + c.contrib_b + c.contrib_c, c.margin)
+
+
+def _brute_expected(tree, X, known, node=0):
+    """E[tree(x) | x_S] by recursion over the whole tree (the definition)."""
+    f = tree["feature"][node]
+    if f < 0:
+        return np.full(X.shape[0], tree["value"][node])
+    lv = _brute_expected(tree, X, known, tree["left"][node])
+    rv = _brute_expected(tree, X, known, tree["right"][node])
+    if f in known:
+        return np.where(X[:, f] <= tree["threshold"][node], lv, rv)
+    cl, cr = tree["cover"][tree["left"][node]], tree["cover"][tree["right"][node]]
+    return (cl * lv + cr * rv) / (cl + cr)
+
+
+def _brute_shap(tree, X, m):
+    """Shapley values by enumerating every subset of the m features."""
+    import itertools
+    import math
+    phi = np.zeros((X.shape[0], m))
+    for i in range(m):
+        others = [j for j in range(m) if j != i]
+        for k in range(m):
+            w = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+            for s in itertools.combinations(others, k):
+                phi[:, i] += w * (_brute_expected(tree, X, set(s) | {i}) - _brute_expected(tree, X, set(s)))
+    return phi
+
+
+def _random_tree(rng, depth, m):
+    """A random tree that reuses features along paths (so repeated splits are covered)."""
+    t = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+    def add(level, cover):
+        i = len(t["feature"])
+        for a in t.values():
+            a.append(None)
+        t["cover"][i] = cover
+        if level == depth or cover < 2:
+            t["feature"][i], t["threshold"][i], t["left"][i], t["right"][i] = -1, 0.0, -1, -1
+            t["value"][i] = float(rng.normal())
+            return i
+        cl = float(rng.integers(1, cover))
+        t["feature"][i], t["threshold"][i], t["value"][i] = int(rng.integers(0, m)), float(rng.normal()), 0.0
+        t["left"][i] = add(level + 1, cl)
+        t["right"][i] = add(level + 1, cover - cl)
+        return i
+    add(0, 1000.0)
+    return t
+
+
+def test_polynomial_tree_shap_equals_subset_enumeration():
+    from rfmspark.operators import explain
+    rng = np.random.default_rng(3)
+    for depth, m in [(1, 2), (3, 3), (5, 4), (6, 5)]:
+        tree = _random_tree(rng, depth, m)
+        X = rng.normal(size=(64, m))
+        phi, base, margin = explain.tree_shap_batch(tree, explain.leaf_paths(tree), X, m)
+        assert np.allclose(phi, _brute_shap(tree, X, m), atol=1e-9)
+        assert np.isclose(base, _brute_expected(tree, X, set())[0])
+        assert np.allclose(margin, _brute_expected(tree, X, set(range(m))))
