@@ -218,19 +218,50 @@ def _auc(scored: DataFrame, label: str = "Target") -> float:
                  .evaluate(scored.withColumn(label, F.col(label).cast("double"))))
 
 
+FIT_PARALLELISM = 4  # independent model fits submitted at once (like CrossValidator's ``parallelism``)
+
+
+def run_parallel(tasks, parallelism: int = FIT_PARALLELISM) -> list:
+    """Run independent Spark jobs (model fits) from a small thread pool, results in
+    task order. Each task is its own distributed job; the pool only keeps the cluster
+    busy while a fit's stages are short (as Spark ML's CrossValidator does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+    tasks = list(tasks)
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())  # local properties and job tags
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
+        return list(pool.map(lambda t: inherit(t)(), tasks))
+
+
+def cv_fold_aucs(train: DataFrame, fit, cols: list[str], k: int = 3, label: str = "Target",
+                 parallelism: int = FIT_PARALLELISM) -> list[float]:
+    """ROC-AUC of each of the k folds (folds balanced per class); the fold fits run in parallel."""
+    folded = stratified_kfold(train, label, k=k).persist()
+
+    def one(f):
+        return lambda: _auc(score_model(fit(folded.where(F.col("fold") != f)), folded.where(F.col("fold") == f), cols),
+                            label)
+    aucs = run_parallel([one(f) for f in range(k)], parallelism)
+    folded.unpersist()
+    return aucs
+
+
+def _mean_std(aucs: list[float]) -> tuple[float, float]:
+    mean = sum(aucs) / len(aucs)
+    return mean, (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
+
+
 def cv_score(train: DataFrame, fit, cols: list[str], k: int = 3, label: str = "Target") -> DataFrame:
     """k-fold ROC-AUC (folds balanced per class): one row (cv_roc_auc_mean, cv_roc_auc_std)
     with the population std, plus the per-fold values."""
-    folded = stratified_kfold(train, label, k=k).persist()
-    aucs = []
-    for f in range(k):
-        model = fit(folded.where(F.col("fold") != f))
-        aucs.append(_auc(score_model(model, folded.where(F.col("fold") == f), cols), label))
-    folded.unpersist()
-    spark = train.sparkSession
-    mean = sum(aucs) / k
-    std = (sum((a - mean) ** 2 for a in aucs) / k) ** 0.5
-    return spark.createDataFrame([(mean, std, aucs)], "cv_roc_auc_mean double, cv_roc_auc_std double, fold_auc array<double>")
+    aucs = cv_fold_aucs(train, fit, cols, k, label)
+    mean, std = _mean_std(aucs)
+    return train.sparkSession.createDataFrame(
+        [(mean, std, aucs)], "cv_roc_auc_mean double, cv_roc_auc_std double, fold_auc array<double>")
 
 
 FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [6, 10, 15], "minInstancesPerNode": [2, 5, 10]}
@@ -238,15 +269,25 @@ FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [6, 10, 15], "minInstanc
 
 def random_search_forest(train: DataFrame, cols: list[str], n_iter: int = 5, k: int = 3, seed: int = 42,
                          label: str = "Target") -> DataFrame:
-    """Seeded sample of ``n_iter`` grid points, each scored by k-fold ROC-AUC."""
+    """Seeded sample of ``n_iter`` grid points, each scored by k-fold ROC-AUC; all
+    (point, fold) fits share one pool of parallel fits."""
     import itertools
     import random
     points = list(itertools.product(*FOREST_GRID.values()))
     picks = random.Random(seed).sample(points, min(n_iter, len(points)))
+    folded = stratified_kfold(train, label, k=k).persist()
+
+    def one(n_trees, depth, min_inst, f):
+        def run():
+            model = random_forest(folded.where(F.col("fold") != f), cols, label, n_trees, depth, min_inst)
+            return _auc(score_model(model, folded.where(F.col("fold") == f), cols), label)
+        return run
+    aucs = run_parallel([one(*p, f) for p in picks for f in range(k)])
+    folded.unpersist()
     rows = []
-    for n_trees, depth, min_inst in picks:
-        cv = cv_score(train, lambda d: random_forest(d, cols, label, n_trees, depth, min_inst), cols, k, label).first()
-        rows.append((n_trees, depth, min_inst, cv["cv_roc_auc_mean"], cv["cv_roc_auc_std"]))
+    for i, (n_trees, depth, min_inst) in enumerate(picks):
+        mean, std = _mean_std(aucs[i * k:(i + 1) * k])
+        rows.append((n_trees, depth, min_inst, mean, std))
     rows.sort(key=lambda t: -t[3])
     return train.sparkSession.createDataFrame(
         rows, "num_trees int, max_depth int, min_instances int, cv_roc_auc_mean double, cv_roc_auc_std double")
@@ -271,23 +312,29 @@ def stacking(train: DataFrame, test: DataFrame, cols: list[str], k: int = 3, lab
     meta-learner; the bases are refit on all training rows to score the test rows."""
     bases = _base_learners(cols, label)
     folded = stratified_kfold(train, label, k=k).persist()
+
+    def oof_fit(f, fit):
+        return lambda: fit(folded.where(F.col("fold") != f))
+    fold_models = run_parallel([oof_fit(f, fit) for f in range(k) for fit in bases.values()])
+    full_models = run_parallel([(lambda fit=fit: fit(train)) for fit in bases.values()])
     oof = None
     for f in range(k):
         held = folded.where(F.col("fold") == f).select(id_col, label, *cols)
         part = held
-        for name, fit in bases.items():
-            p = score_model(fit(folded.where(F.col("fold") != f)), held, cols).select(
+        for j, name in enumerate(bases):
+            p = score_model(fold_models[f * len(bases) + j], held, cols).select(
                 id_col, F.col("probability").alias(f"p_{name}"))
             part = part.join(p, id_col)
         oof = part if oof is None else oof.unionByName(part)
     meta_cols = [f"p_{n}" for n in bases]
     meta = logreg(oof, meta_cols, label, C=1.0)
     scored = test.select(id_col, label, *cols)
-    for name, fit in bases.items():
-        p = score_model(fit(train), test, cols).select(id_col, F.col("probability").alias(f"p_{name}"))
+    for j, name in enumerate(bases):
+        p = score_model(full_models[j], test, cols).select(id_col, F.col("probability").alias(f"p_{name}"))
         scored = scored.join(p, id_col)
+    out = score_model(meta, scored, meta_cols)
     folded.unpersist()
-    return score_model(meta, scored, meta_cols)
+    return out
 
 
 # --------------------------------------------------------------------------- SMOTE

@@ -128,11 +128,14 @@ def kmeans_fit(df: DataFrame, cols: list[str] | None = None, k: int = 4, restart
     training cost wins. Returns (labelled DataFrame, model)."""
     from pyspark.ml.clustering import KMeans
     cols = cols or SCALED_FEATURES
+    from rfmspark.operators.learn import run_parallel
     vec = _vectors(df, cols).persist()
+
+    def fit(i):
+        return lambda: KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", featuresCol="features",
+                              predictionCol=out).fit(vec)
     best = None
-    for i in range(restarts):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", featuresCol="features",
-                   predictionCol=out).fit(vec)
+    for m in run_parallel([fit(i) for i in range(restarts)]):  # independent restarts, fitted concurrently
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
     res = best.transform(vec).drop("features")
@@ -146,12 +149,16 @@ def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, ks=range(2, 11),
     from pyspark.ml.evaluation import ClusteringEvaluator
     cols = cols or SCALED_FEATURES
     spark = df.sparkSession
-    rows = []
-    for k in ks:
-        res, model = kmeans_fit(df, cols, k=k, restarts=restarts, seed=seed, out="prediction")
-        sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                  distanceMeasure="squaredEuclidean").evaluate(_vectors(res, cols))
-        rows.append((int(k), float(model.summary.trainingCost), float(sil)))
+    from rfmspark.operators.learn import run_parallel
+
+    def one(k):
+        def run():
+            res, model = kmeans_fit(df, cols, k=k, restarts=restarts, seed=seed, out="prediction")
+            sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
+                                      distanceMeasure="squaredEuclidean").evaluate(_vectors(res, cols))
+            return int(k), float(model.summary.trainingCost), float(sil)
+        return run
+    rows = run_parallel([one(k) for k in ks])  # one independent fit per k
     return spark.createDataFrame(rows, "k int, inertia double, silhouette_sq_euclidean double")
 
 

@@ -1066,11 +1066,12 @@ from rfmspark.streaming import stream as st  # noqa: E402
 
 def _replay_stream(ctx: Ctx):
     """The hold-out customers (feature period, with labels) laid out as four files in
-    replay order, read back as a file-source stream one file per micro-batch."""
+    replay order, read back as a file-source stream in four micro-batches."""
     rows = (ctx.supervised.join(ctx.split_flags.where(F.col("is_test")).select("CustomerID"), "CustomerID", "left_semi")
             .withColumn("seq", F.col("CustomerID").cast("bigint")))
-    src = st.write_replay_files(rows, files.scratch_table(ctx.spark, "replay_src"), "seq", files=4)
-    return st.replay_source(ctx.spark, src, rows.schema, files_per_trigger=1)
+    n_files, per_trigger = st.replay_layout(ctx.spark, batches=4)
+    src = st.write_replay_files(rows, files.scratch_table(ctx.spark, "replay_src"), "seq", files=n_files)
+    return st.replay_source(ctx.spark, src, rows.schema, files_per_trigger=per_trigger)
 
 
 def _scored_stream(ctx: Ctx):
@@ -1111,8 +1112,9 @@ SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL
 def q_stream_throughput(ctx: Ctx) -> DataFrame:
     """Events replayed as a stream in time order: records per one-minute event-time window."""
     ev = ctx.table("events", ["event_id", "ts", "event_type"])
-    src = st.write_replay_files(ev, files.scratch_table(ctx.spark, "events_src"), "ts", files=4)
-    s = st.replay_source(ctx.spark, src, ev.schema, files_per_trigger=1)
+    n_files, per_trigger = st.replay_layout(ctx.spark, batches=4)
+    src = st.write_replay_files(ev, files.scratch_table(ctx.spark, "events_src"), "ts", files=n_files)
+    s = st.replay_source(ctx.spark, src, ev.schema, files_per_trigger=per_trigger)
     out = files.scratch_table(ctx.spark, "stream_throughput")
     st.run_to_table(st.stream_throughput(s, "ts", "1 minute", "10 minutes"), out, out + "_ckpt", "complete")
     return files.read_parquet(ctx.spark, out)

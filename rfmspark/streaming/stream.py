@@ -22,11 +22,19 @@ def replay_source(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def write_replay_files(df: DataFrame, path: str, seq_col: str, files: int = 4) -> str:
-    """Lay a table out as ``files`` Parquet files in sequence order (range-partitioned)."""
+    """Lay a table out as ``files`` Parquet files in sequence order (range-partitioned).
+    Keep ``files`` proportional to the cluster (see ``replay_layout``), not fixed."""
     df.repartitionByRange(files, seq_col).sortWithinPartitions(seq_col).write.mode("overwrite").parquet(path)
     return path
 
 
+def replay_layout(spark: SparkSession, batches: int = 4) -> tuple[int, int]:
+    """(files, files per trigger) for replaying a table in ``batches`` micro-batches: every
+    batch spans one file per core, so neither the write nor a batch runs in a few tasks."""
+    per_batch = max(1, spark.sparkContext.defaultParallelism)
+    return batches * per_batch, per_batch
+
+
 def stream_score(stream: DataFrame, seg_params: DataFrame, centroids: DataFrame, model_params: DataFrame,
                  weights: DataFrame) -> DataFrame:
     """Score records as they arrive (segment, label, probability) plus a correctness flag

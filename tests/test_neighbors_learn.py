@@ -170,3 +170,10 @@ def test_polynomial_tree_shap_equals_subset_enumeration():
         assert np.allclose(phi, _brute_shap(tree, X, m), atol=1e-9)
         assert np.isclose(base, _brute_expected(tree, X, set())[0])
         assert np.allclose(margin, _brute_expected(tree, X, set(range(m))))
+
+
+def test_parallel_fits_keep_task_order(spark):
+    from rfmspark.operators.learn import run_parallel
+    tasks = [(lambda i=i: spark.range(i + 1).count()) for i in range(6)]
+    assert run_parallel(tasks, parallelism=3) == [1, 2, 3, 4, 5, 6]
+    assert run_parallel(tasks, parallelism=1) == [1, 2, 3, 4, 5, 6]
