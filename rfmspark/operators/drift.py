@@ -2,13 +2,14 @@
 
 All features are handled in one pass over an unpivoted (feature, value) table:
 bin edges are exact per-feature percentiles of the reference sample (one
-bounded array per feature, broadcast), each value finds its bin with an array
-expression, and the counts of both samples meet on a generated bin grid.
+bounded array per feature, broadcast), each value of both samples finds its bin
+with an array expression in the same pass, and PSI is array arithmetic over the
+small per-feature count table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rfmspark.functions.scalar import fn_psi_status, fn_psi_term
@@ -34,48 +35,77 @@ def histogram_by_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
     values outside the edges are dropped. Also returns the sample size n per feature
     (values outside still count in n)."""
     j = long.join(F.broadcast(edges), "feature")  # one row per feature, <= bins+1 edges each
-    m = F.col("n_edges")
-    idx = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1
-    idx = F.when(F.col("value") == F.element_at("edges", -1), m - 2).otherwise(idx)
-    valid = (m >= 2) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
-    b = j.select("feature", F.when(valid, idx).otherwise(F.lit(-1)).alias("bin"))  # -1: outside the edges
+    b = j.select("feature", _bin_index(F.col("n_edges"), F.col("value")).alias("bin"))  # -1: outside the edges
     return b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _bin_index(m, value) -> Column:
+    """Bin of ``value`` for the broadcast ``edges``/``n_edges`` columns: half-open bins,
+    the last one closed, -1 outside the edges (or when there are fewer than two)."""
+    idx = F.size(F.filter("edges", lambda e: e <= value)) - 1
+    idx = F.when(value == F.element_at("edges", -1), m - 2).otherwise(idx)
+    valid = (m >= 2) & (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
+    return F.when(valid, idx).otherwise(F.lit(-1))
+
+
+def psi_summary(ref: DataFrame, prod: DataFrame, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """One row per feature with reference edges: (feature, psi_value, training_mean,
+    production_mean, n_a). Both samples are binned in a single pass (the edges, at most
+    bins+1 per feature, are broadcast) into a count table of at most
+    features x 2 x (bins+1) rows; shares, the 1e-4 floor for empty bins, the
+    renormalisation and the PSI sum are array expressions on that feature's row."""
+    cols = cols or FEATURES
+    edges = psi_bin_edges(stack_columns(ref, cols), bins)
+    both = stack_columns(ref, cols).withColumn("side", F.lit("e")).unionByName(
+        stack_columns(prod, cols).withColumn("side", F.lit("a")))
+    counts = (both.join(F.broadcast(edges), "feature")
+              .select("feature", "side", "value", _bin_index(F.col("n_edges"), F.col("value")).alias("bin"))
+              .groupBy("feature", "side", "bin")
+              .agg(F.count(F.lit(1)).alias("c"), F.sum("value").alias("s"), F.count("value").alias("nv")))
+
+    def on(side, c):
+        return F.when(F.col("side") == side, F.col(c))
+
+    def bin_counts(side):
+        return F.map_from_entries(F.collect_list(F.when((F.col("side") == side) & (F.col("bin") >= 0),
+                                                        F.struct(F.col("bin"), F.col("c")))))
+    per = counts.groupBy("feature").agg(
+        F.sum(on("e", "c")).alias("n_e"), F.sum(on("a", "c")).alias("n_a"),
+        F.try_divide(F.sum(on("e", "s")), F.sum(on("e", "nv"))).alias("training_mean"),
+        F.try_divide(F.sum(on("a", "s")), F.sum(on("a", "nv"))).alias("production_mean"),
+        bin_counts("e").alias("m_e"), bin_counts("a").alias("m_a"))
+    j = per.join(F.broadcast(edges.select("feature", "n_edges")), "feature")
+    grid = F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0)))
+
+    def shares(m, n, floor_null):
+        def one(b):
+            sh = F.coalesce(F.try_element_at(F.col(m), b), F.lit(0)) / F.col(n)
+            test = F.coalesce(sh, F.lit(0.0)) if floor_null else sh
+            return F.when(test == 0, F.lit(PSI_EPS)).otherwise(sh)
+        return F.transform(grid, one)
+
+    def normalised(arr):
+        total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+        return F.transform(arr, lambda x: x / total)
+    j = j.withColumn("_e", normalised(shares("m_e", "n_e", False))).withColumn(
+        "_a", normalised(shares("m_a", "n_a", True)))
+    terms = F.zip_with("_a", "_e", lambda a, e: fn_psi_term(a, e))
+    value = F.when(F.col("n_edges") >= 2, F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
+    return j.select("feature", F.coalesce(value, F.lit(0.0)).alias("psi_value"), "training_mean", "production_mean",
+                    "n_a")
+
+
 def psi(ref: DataFrame, prod: DataFrame, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
     """(feature, psi) for every column: shares over the full sample size, empty bins
     -> 1e-4, renormalised, sum of (a - e)·ln(a / e). Fewer than two edges -> 0."""
-    cols = cols or FEATURES
-    ref_long = stack_columns(ref, cols)
-    prod_long = stack_columns(prod, cols)
-    edges = psi_bin_edges(ref_long, bins)
-    he = histogram_by_edges(ref_long, edges)
-    ha = histogram_by_edges(prod_long, edges)
-    ne = he.groupBy("feature").agg(F.sum("count").alias("n_e"))
-    na = ha.groupBy("feature").agg(F.sum("count").alias("n_a"))
-    grid = edges.select("feature", "n_edges", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0))))
-                        .alias("bin")).where(F.col("n_edges") >= 2)
-    g = (grid.join(he.where(F.col("bin") >= 0).withColumnRenamed("count", "c_e"), ["feature", "bin"], "left")
-         .join(ha.where(F.col("bin") >= 0).withColumnRenamed("count", "c_a"), ["feature", "bin"], "left")
-         .join(ne, "feature").join(na, "feature", "left"))
-    share_e = F.coalesce(F.col("c_e"), F.lit(0)) / F.col("n_e")
-    share_a = F.coalesce(F.col("c_a"), F.lit(0)) / F.col("n_a")
-    g = g.withColumn("e", F.when(share_e == 0, F.lit(PSI_EPS)).otherwise(share_e)) \
-         .withColumn("a", F.when(F.coalesce(share_a, F.lit(0.0)) == 0, F.lit(PSI_EPS)).otherwise(share_a))
-    per_feature = Window.partitionBy("feature")  # <= bins rows per feature
-    g = g.withColumn("e", F.col("e") / F.sum("e").over(per_feature)).withColumn("a", F.col("a") / F.sum("a").over(per_feature))
-    value = g.groupBy("feature").agg(F.sum(fn_psi_term(F.col("a"), F.col("e"))).alias("psi_value"))
-    return edges.select("feature").join(value, "feature", "left").select(
-        "feature", F.coalesce(F.col("psi_value"), F.lit(0.0)).alias("psi_value"))
+    return psi_summary(ref, prod, cols, bins).select("feature", "psi_value")
 
 
 def drift_report(ref: DataFrame, prod: DataFrame, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """(feature, psi_value, status, training_mean, production_mean, overall_status)."""
-    cols = cols or FEATURES
-    p = psi(ref, prod, cols, bins)
-    ma = stack_columns(ref, cols).groupBy("feature").agg(F.avg("value").alias("training_mean"))
-    mb = stack_columns(prod, cols).groupBy("feature").agg(F.avg("value").alias("production_mean"))
-    r = p.join(ma, "feature").join(mb, "feature").withColumn("status", fn_psi_status(F.col("psi_value")))
+    """(feature, psi_value, status, training_mean, production_mean, overall_status); the
+    means come from the same pass as the bin counts."""
+    r = psi_summary(ref, prod, cols or FEATURES, bins).where(F.col("n_a").isNotNull()) \
+        .withColumn("status", fn_psi_status(F.col("psi_value")))
     rank = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])
     names = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(v), F.lit(k))])
     worst = F.max(rank[F.col("status")]).over(Window.partitionBy())  # over <= len(cols) rows
