@@ -94,12 +94,33 @@ def pr_auc(scored: DataFrame, label: str = "Target", score: str = "probability")
     return c.agg(F.sum((rec - rec0) * (prec + prec0) / 2).alias("pr_auc"))
 
 
+def curve_areas(scored: DataFrame, label: str = "Target", score: str = "probability") -> DataFrame:
+    """One row (roc_auc, pr_auc) from a single running-sum pass in descending score
+    order: the negatives strictly below a score are N minus the running negatives, so
+    the Mann-Whitney sum needs no second (ascending) pass; the PR trapezoids are the
+    rows from the first threshold that reaches full recall, as in ``pr_auc``."""
+    c = cumulative_by_order(_score_counts(scored, label, score), "threshold", ["pos", "neg"], descending=True)
+    tot = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = c.crossJoin(F.broadcast(tot))
+    full = c.where(F.col("cum_pos") == F.col("P")).agg(F.max("threshold").alias("_tmin"))
+    c = c.crossJoin(F.broadcast(full))
+    below = (F.col("N") - F.col("cum_neg")).cast("double")
+    auc_term = (F.col("pos") * below + F.col("pos") * F.col("neg") * 0.5).cast("double")
+    tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
+    tp0, fp0 = (F.col("cum_pos") - F.col("pos")).cast("double"), (F.col("cum_neg") - F.col("neg")).cast("double")
+    rec, rec0 = tp / F.col("P"), tp0 / F.col("P")
+    prec = tp / (tp + fp)
+    prec0 = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
+    pr_term = F.when(F.col("threshold") >= F.col("_tmin"), (rec - rec0) * (prec + prec0) / 2)
+    return c.agg(F.try_divide(F.sum(auc_term), F.first("P").cast("double") * F.first("N")).alias("roc_auc"),
+                 F.sum(pr_term).alias("pr_auc"))
+
+
 def evaluate(scored: DataFrame, label: str = "Target", score: str = "probability", pred: str = "prediction") -> DataFrame:
     """One row with the published metric set (cv fields NULL: filled by cross-validation)."""
     m = classification_metrics(scored, label, pred)
-    auc = roc_auc(scored, label, score)
-    pr = pr_auc(scored, label, score)
-    return m.crossJoin(auc).crossJoin(pr).select(
+    areas = curve_areas(scored, label, score)
+    return m.crossJoin(areas).select(
         "accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc", "mcc",
         F.lit(None).cast("double").alias("cv_roc_auc_mean"), F.lit(None).cast("double").alias("cv_roc_auc_std"))
 

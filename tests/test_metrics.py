@@ -47,3 +47,14 @@ def test_leaderboard_first_wins_ties(spark):
     m = spark.createDataFrame([("a", 0, 0.7, 0.8), ("b", 1, 0.8, 0.0), ("c", 2, 0.8, None)],
                               "model string, model_order int, cv_roc_auc_mean double, roc_auc double")
     assert ev.model_leaderboard(m).first().recommended_model == "b"
+
+
+def test_single_pass_areas_equal_separate_areas(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    s = np.round(rng.random(400) * 0.5 + 0.3 * y, 2)  # many tied scores
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "Target int, probability double")
+    both = ev.curve_areas(df).first()
+    assert abs(both.roc_auc - ev.roc_auc(df).first().roc_auc) < 1e-12
+    assert abs(both.pr_auc - ev.pr_auc(df).first().pr_auc) < 1e-12
