@@ -218,23 +218,32 @@ def _border_task(eps: float):
     return fn
 
 
-def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
-    """(node, component = smallest node id reachable) by iterative min-label
-    propagation over an undirected edge list; lineage is cut by checkpoints."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component = smallest node id reachable) over an undirected edge list.
+
+    Each round takes the smallest label among a node's neighbours, then jumps pointers
+    (a node takes its label's own label), so a long chain collapses in about
+    log(diameter) rounds instead of one hop per round. Labels only ever decrease and
+    stay inside the component, so the loop runs to convergence without a round cap
+    and ends with every node labelled by its component's smallest id. The jump joins
+    through the distinct labels only (one row per label), so a giant component is
+    never one join key. Lineage is cut by a checkpoint per round."""
     e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = e.checkpoint(eager=True)
     labels = e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")) \
         .withColumnRenamed("src", "node").checkpoint(eager=True)
-    for _ in range(max_iter):
+    while True:
         msg = e.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")) \
             .agg(F.min("label").alias("m"))
         new = labels.join(msg, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        new = new.checkpoint(eager=True)
+        hop = new.select("label").distinct().join(
+            new.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label")
+        new = new.join(hop, "label", "left").select(
+            "node", F.least("label", F.coalesce("_up", "label")).alias("label")).checkpoint(eager=True)
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1)
         labels = new
         if changed.isEmpty():
-            break
-    return labels
+            return labels
 
 
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 1.2, min_samples: int = 5) -> DataFrame:

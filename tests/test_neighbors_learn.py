@@ -177,3 +177,17 @@ def test_parallel_fits_keep_task_order(spark):
     tasks = [(lambda i=i: spark.range(i + 1).count()) for i in range(6)]
     assert run_parallel(tasks, parallelism=3) == [1, 2, 3, 4, 5, 6]
     assert run_parallel(tasks, parallelism=1) == [1, 2, 3, 4, 5, 6]
+
+
+def test_connected_components_long_chain_and_stars(spark):
+    from rfmspark.operators.neighbors import connected_components
+    rng = np.random.default_rng(11)
+    chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)]            # one path of 301 nodes
+    star = [("5000", f"{5000 + i:04d}") for i in range(1, 40)]              # a star
+    pair = [("9001", "9000")]                                               # reversed edge
+    edges = [chain[i] for i in rng.permutation(len(chain))] + star + pair
+    out = dict(connected_components(spark.createDataFrame(edges, "src string, dst string")).collect())
+    assert len(out) == 301 + 40 + 2
+    assert all(out[f"{i:04d}"] == "0000" for i in range(301))
+    assert all(out[f"{5000 + i:04d}"] == "5000" for i in range(40))
+    assert out["9001"] == out["9000"] == "9000"
