@@ -99,9 +99,14 @@ def _knn_task(k: int):
     return fn
 
 
-def knn(df: DataFrame, id_col: str, cols: list[str], k: int = 5, max_rounds: int = 12) -> DataFrame:
+def knn(df: DataFrame, id_col: str, cols: list[str], k: int = 5) -> DataFrame:
     """Exact k nearest neighbours (the point itself counts as the first): one row per
-    point with ``neighbors`` = array of (dist, id) sorted by distance, then id."""
+    point with ``neighbors`` = array of (dist, id) sorted by distance, then id.
+
+    Rounds double the cell width for the points not yet settled; a point settles only
+    when its k-th distance is provably inside the searched block. There is no round
+    cap: once the block covers every point the margin grows with the width, so every
+    point settles after about log2(data diameter / first width) rounds."""
     dims = grid_dims(df, cols)
     di = [cols.index(c) for c in dims]
     pts = _points(df, id_col, cols).checkpoint(eager=True)
@@ -112,7 +117,7 @@ def knn(df: DataFrame, id_col: str, cols: list[str], k: int = 5, max_rounds: int
     width = max(max(rng[0] or 0.0, rng[1] or 0.0) / cells_per_dim, 1e-9)
     todo = pts
     done = None
-    for rnd in range(max_rounds):
+    while True:
         home, cand = _blocks(pts, di, width)
         home = home.join(todo.select("pid"), "pid", "left_semi")
         part = home.groupBy("cx", "cy", "hi", "cj").cogroup(cand.groupBy("cx", "cy", "hi", "cj")) \
@@ -131,7 +136,7 @@ def knn(df: DataFrame, id_col: str, cols: list[str], k: int = 5, max_rounds: int
             margin = e if margin is None else F.least(margin, e)
         kth = F.element_at("neighbors", -1)["d"]
         ok = (F.size("neighbors") >= F.lit(min(k, n))) & (kth <= margin)
-        m = m.withColumn("_ok", ok | F.lit(rnd == max_rounds - 1)).select("pid", "neighbors", "_ok").checkpoint(eager=True)
+        m = m.withColumn("_ok", ok).select("pid", "neighbors", "_ok").checkpoint(eager=True)
         settled = m.where("_ok").drop("_ok")
         done = settled if done is None else done.unionByName(settled)
         todo = m.where(~F.col("_ok")).select("pid").join(pts, "pid")
