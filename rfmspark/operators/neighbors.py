@@ -251,6 +251,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def dense_order(keys: DataFrame, key: str, out: str) -> DataFrame:
+    """(key, out = 1-based position of each distinct ``key`` in ascending order) without a
+    single-task window: keys are range-partitioned (written once, so both uses below see
+    the same partitions), ranked inside each range, and offset by the row counts of the
+    ranges before it (one row per partition)."""
+    ranged = keys.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))  # one row per partition
+    return local.join(F.broadcast(offs), "_p").select(key, (F.col("_r") + F.col("_o")).alias(out))
+
+
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 1.2, min_samples: int = 5) -> DataFrame:
     """DBSCAN labels: clusters numbered 0.. by their smallest point id, noise -1. A point
     is core with at least ``min_samples`` points within eps (itself included); a border
@@ -265,10 +278,7 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 1.2, min_sa
         .applyInPandas(_forest_task(eps), "pid string, root string")
     edges = forest.select(F.col("pid").alias("src"), F.col("root").alias("dst"))
     comp = connected_components(edges)
-    # number the clusters 0.. in order of their smallest point id (a window over the
-    # distinct cluster labels - one row per cluster, not per point)
-    ids = comp.select("label").distinct()
-    order = ids.select("label", F.dense_rank().over(Window.orderBy("label")).alias("cid"))
+    order = dense_order(comp.select("label").distinct(), "label", "cid")
     core_lab = comp.join(order, "label").select(F.col("node").alias("pid"), (F.col("cid") - 1).cast("long").alias("label"))
     lab_pts = pts.join(core_lab, "pid", "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
     home, cand = _blocks(lab_pts.select("pid", "x", "core", "label"), di, eps, ["core", "label"])

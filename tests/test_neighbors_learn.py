@@ -191,3 +191,11 @@ def test_connected_components_long_chain_and_stars(spark):
     assert all(out[f"{i:04d}"] == "0000" for i in range(301))
     assert all(out[f"{5000 + i:04d}"] == "5000" for i in range(40))
     assert out["9001"] == out["9000"] == "9000"
+
+
+def test_dense_order_matches_sorted_positions(spark):
+    from rfmspark.operators.neighbors import dense_order
+    keys = [f"k{i:05d}" for i in np.random.default_rng(2).permutation(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "label string").repartition(7)
+    got = dict(dense_order(df, "label", "cid").collect())
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
