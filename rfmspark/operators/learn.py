@@ -134,9 +134,12 @@ def apply_linear_scorer(df: DataFrame, weights: DataFrame, cols: list[str], prob
 
 def holdout_scores(sup: DataFrame, feature_cols: list[str] | None = None, label: str = "Target"):
     """Split -> train-only scaler -> class-mean scorer -> scored test rows
-    (CustomerID, Target, margin, probability, prediction) and the fitted pieces."""
+    (CustomerID, Target, margin, probability, prediction) and the fitted pieces. Rows
+    that already carry ``is_test`` (a stored ``stratified_split``) are not split again."""
     cols = feature_cols or MODEL_FEATURES
-    d = stratified_split(with_model_features(sup), label)
+    d = with_model_features(sup)
+    if "is_test" not in sup.columns:
+        d = stratified_split(d, label)
     train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
     params = feat.fit_scaler(train, cols)
     tr = feat.apply_scaler(train, params, cols, replace=True)

@@ -111,7 +111,7 @@ class Ctx:
     def holdout(self):
         """(scored hold-out rows, train scaler, scorer weights) of the class-mean scorer."""
         from rfmspark.operators.learn import holdout_scores
-        scored, params, weights = holdout_scores(self.supervised)
+        scored, params, weights = holdout_scores(self.split_flags)  # the stored split, not a second one
         return scored.checkpoint(eager=True), params, weights
 
     @artifact
