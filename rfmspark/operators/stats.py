@@ -32,7 +32,8 @@ MAX_ACCURACY = 10_000_000       # sketch size cap
 
 
 def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Callable[[Column], Column]]],
-                    group_cols: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    group_cols: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
+                    pre: tuple[int, int] | None = None) -> DataFrame:
     """``group_cols..., r_index, n, rank, value``: for each spec ``(p, rank_of)`` the value at
     0-based rank ``rank_of(n)`` (a Column expression of the group size ``n``) in ascending
     order of ``value_col`` (NULLs ignored), per group. ``p`` is that rank as a fraction of
@@ -43,15 +44,20 @@ def values_at_ranks(df: DataFrame, value_col: str, specs: list[tuple[float, Call
     n/accuracy, so each wanted order statistic lies in that band. Rows inside a band
     are counted per distinct value, a window over the band turns counts into ranks
     (offset by the rows below the band), and the value at the rank is read off.
-    Groups with fewer than 4·accuracy rows form a single band."""
+    Groups with fewer than 4·accuracy rows form a single band. ``pre`` = (largest group
+    size, largest approximate distinct count) skips the sizing job when the caller already
+    has upper bounds for both (e.g. from a superset of the rows)."""
     g = list(group_cols or [])
     d = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     # One small job first: the largest group size and distinct count. Groups with at most
     # HIST_MAX_DISTINCT distinct values are ranked on their distinct-value histogram directly
     # (a window partition holds that many rows at most). Otherwise the sketch accuracy is
     # raised with n so that each exact band stays near BAND_TARGET rows at any scale.
-    pre = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_x").alias("_nd")) \
-        .agg(F.max("_n").alias("n"), F.max("_nd").alias("nd")).first()
+    if pre is None:
+        row = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_x").alias("_nd")) \
+            .agg(F.max("_n").alias("n"), F.max("_nd").alias("nd")).first()
+        pre = (row["n"], row["nd"])
+    pre = {"n": pre[0], "nd": pre[1]}
     if pre["nd"] is None or pre["nd"] <= HIST_MAX_DISTINCT:
         return _histogram_ranks(d, g, specs)
     accuracy = int(min(MAX_ACCURACY, max(accuracy, -(-8 * pre["n"] // BAND_TARGET))))
@@ -104,7 +110,7 @@ def _histogram_ranks(d: DataFrame, g: list[str], specs) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY, pre: tuple[int, int] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (NumPy default, SQL ``percentile_cont``):
     ``group_cols..., p_index, p, n, q``. Between order statistics floor(h) and
     floor(h)+1 with h = (n-1)·p."""
@@ -114,7 +120,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     for p in probs:
         specs.append((p, lambda n, p=p: F.floor((n - 1).cast("double") * F.lit(p))))
         specs.append((p, lambda n, p=p: F.floor((n - 1).cast("double") * F.lit(p)) + 1))
-    v = values_at_ranks(df, value_col, specs, g, accuracy)
+    v = values_at_ranks(df, value_col, specs, g, accuracy, pre)
     wide = v.groupBy(*g).agg(F.first("n").alias("n"), *[
         F.max(F.when(F.col("r_index") == i, F.col("value"))).alias(f"_v{i}") for i in range(2 * len(probs))])
     rows = []
@@ -128,9 +134,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
 
 
 def quantile_row(df: DataFrame, value_col: str, probs: list[float], names: list[str],
-                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                 accuracy: int = DEFAULT_ACCURACY, pre: tuple[int, int] | None = None) -> DataFrame:
     """Global quantiles as a single row with one named column per probability."""
-    q = exact_quantiles(df, value_col, probs, None, accuracy)
+    q = exact_quantiles(df, value_col, probs, None, accuracy, pre)
     return q.groupBy().agg(*[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
