@@ -7,22 +7,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rfmspark.llm import html_text, pii, quality_gam, quality_rules
 from rfmspark.llm.bpe import encode_documents
 from rfmspark.llm.common import table
 from rfmspark.llm.packing import pack_documents
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pack_documents(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_gam.score(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return encode_documents(docs, full=False)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 REGISTRY = {
+    "op2_pii": (op2_pii, None),
+    "op3_html": (op3_html, None),
     "op4_packing": (op4_packing, None),
+    "op6_quality_gam": (op6_quality_gam, None),
     "op7_bpe": (op7_bpe, None),
+    "op10_quality_rules": (op10_quality_rules, None),
 }
