@@ -1,7 +1,7 @@
 """Operator 10: base rules, and a length-normalised log-likelihood ratio between two hashed n-gram multinomials.
 
-One multinomial is counted over the trusted documents (labelled of good quality and not toxic),
-the other over the whole raw corpus, both over words and word pairs hashed into ``BUCKETS`` cells.
+One multinomial is fitted on a bounded sample of trusted documents (labelled of good quality and not
+toxic, ``TRUSTED_ROWS``), the other is counted over the whole raw corpus, both over words and word pairs hashed into ``BUCKETS`` cells.
 A document's verdict is the mean of its n-grams' log ratios against a fixed threshold, so every
 document is judged alike. Counting sums a fixed-size table in each task and the tables by cell;
 the model that scoring tasks carry has ``BUCKETS`` numbers whatever the corpus.
@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 #: Pseudo-counts that pull the target's cells towards the raw corpus, so that cells seldom met say nothing.
 PRIOR = 50.0
 THRESHOLD = -0.1
+#: Trusted documents that the target is fitted on at most (by hash order of doc_id); the raw corpus is always counted whole.
+TRUSTED_ROWS = 50_000
 
 
 def _cells(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +48,9 @@ def _count(batches):
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratio of every cell; ``trusted`` holds the doc_ids of the target."""
     setup(docs.sparkSession)
-    marks = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marks = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
+    # at most TRUSTED_ROWS ids, so they can be broadcast at any size of the corpus; the texts aren't shuffled
+    marked = docs.select("doc_id", "text").join(F.broadcast(marks.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = marked.mapInArrow(_count, "cell long, target long, raw long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     rows = sums.toPandas()  # at most BUCKETS rows
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
