@@ -196,3 +196,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text") \
         .mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def _keeper(model: Model):
+    def fn(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = model.score(features(Texts(*utf8(part.column("text")))))
+                yield part.filter(pa.array(s >= CUT))
+    return fn
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be of good quality, with all their columns."""
+    setup(docs.sparkSession)
+    return docs.mapInArrow(_keeper(model), docs.schema)

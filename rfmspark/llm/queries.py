@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmspark.llm import html_text, pii, quality_gam, quality_rules
+from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, suffix_dedup
 from rfmspark.llm.bpe import encode_documents
 from rfmspark.llm.common import table
 from rfmspark.llm.packing import pack_documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -36,16 +40,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, full=False)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 REGISTRY = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_pii": (op2_pii, None),
     "op3_html": (op3_html, None),
     "op4_packing": (op4_packing, None),
     "op6_quality_gam": (op6_quality_gam, None),
     "op7_bpe": (op7_bpe, None),
+    "op8_minhash": (op8_minhash, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
