@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, suffix_dedup
+from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, rp_forest, suffix_dedup, window_dedup
 from rfmspark.llm.bpe import encode_documents
 from rfmspark.llm.common import table
 from rfmspark.llm.packing import pack_documents
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.dedup_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_gam.score(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
@@ -44,6 +48,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return rp_forest.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -54,8 +63,10 @@ REGISTRY = {
     "op2_pii": (op2_pii, None),
     "op3_html": (op3_html, None),
     "op4_packing": (op4_packing, None),
+    "op5_window_dedup": (op5_window_dedup, None),
     "op6_quality_gam": (op6_quality_gam, None),
     "op7_bpe": (op7_bpe, None),
     "op8_minhash": (op8_minhash, None),
+    "op9_rp_forest": (op9_rp_forest, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
