@@ -92,9 +92,9 @@ def near_copies(rng):
     return texts
 
 
-@pytest.mark.parametrize("hubs", [M.HUBS, 1])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, hubs):
-    monkeypatch.setattr(M, "HUBS", hubs)
+@pytest.mark.parametrize("pairs", [M.BUCKET_PAIRS, 8])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(M, "BUCKET_PAIRS", pairs)
     texts = near_copies(random.Random(6))
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, class_id int, bucket string").repartition(6)
     common = M.common_shingles(docs)
