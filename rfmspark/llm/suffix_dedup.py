@@ -213,7 +213,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     setup(docs.sparkSession)
     texts = keyed(docs)
     rows = texts.select("rid", "text").mapInArrow(_anchor_rows, "h long, seg long, rid long, at long, left int, right int")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("g"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
+        .select(F.col("h").bitwiseXOR(F.lit(0).cast("long")).alias("g"))  # a value anew, so both sides are shuffled for the join and a hot gram is split
     live = rows.join(often, F.col("h") == F.col("g")).drop("g").checkpoint()
     segs = live.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at", "left", "right")).alias("one")).checkpoint()
     same = segs.where("n > 1").select("h", "seg", F.col("one.left").alias("left"), F.col("one.right").alias("right"), F.xxhash64("h", "seg").alias("repeat"))
