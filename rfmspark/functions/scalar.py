@@ -82,14 +82,15 @@ def try_to_double(c) -> Column:
     return F.trim(_c(c).cast("string")).try_cast("double")
 
 
-# Accepted textual timestamp layouts for uploads, tried in order.
-TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-                     "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy", "dd/MM/yyyy HH:mm"]
+# Accepted textual timestamp layouts for uploads, tried in order (month first where both readings fit).
+TIMESTAMP_FORMATS = ["yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS][XXX]", "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS][XXX]", "yyyy-MM-dd",
+                     "yyyy/M/d H:mm[:ss]", "yyyy/M/d", "M/d/yyyy H:mm[:ss]", "M/d/yyyy", "d/M/yyyy H:mm[:ss]", "d/M/yyyy",
+                     "M/d/yy H:mm[:ss]", "M/d/yy", "d-MMM-yyyy H:mm[:ss]", "d-MMM-yyyy", "d.M.yyyy H:mm[:ss]", "d.M.yyyy"]
 
 
 def fn_to_timestamp_safe(c, formats=None) -> Column:
     """Parse text with the first matching format; unparseable -> NULL."""
-    col = _c(c).cast("string")
+    col = F.trim(_c(c).cast("string"))
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in (formats or TIMESTAMP_FORMATS)]).cast("timestamp_ntz")
 
 
@@ -172,15 +173,6 @@ def fn_sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(z)))
 
 
-ROUND_NUDGE = 1e-4  # fraction of the last kept digit
-
-
 def fn_round_half_up(c, digits: int = 4) -> Column:
-    """Half-up rounding as plain IEEE arithmetic, ``floor(x * 10^d + 0.5 + nudge) / 10^d``.
-
-    Values whose exact decimal form is a tie (e.g. a cent amount divided by 8) are
-    held by different engines one ulp above or below the tie, depending on summation
-    order; the small nudge moves the rounding boundary away from such ties, so every
-    engine holding (nearly) the same double prints the same rounded value."""
-    scale = float(10 ** digits)
-    return F.floor(_c(c) * F.lit(scale) + F.lit(0.5 + ROUND_NUDGE)).cast("double") / F.lit(scale)
+    """Half-up rounding of the number's shortest decimal form."""
+    return F.round(_c(c), digits)

@@ -34,17 +34,22 @@ def money_sum(c) -> Column:
 
 
 def rfm_core(tx: DataFrame) -> DataFrame:
-    """Per customer: last/first purchase, distinct invoices, spend, quantity, distinct products."""
-    return (tx.groupBy("CustomerID")
-            .agg(F.max("InvoiceDate").alias("LastPurchase"), F.min("InvoiceDate").alias("FirstPurchase"),
-                 F.countDistinct("InvoiceNo").alias("Frequency"), money_sum("TotalPrice").alias("Monetary"),
-                 F.sum("Quantity").cast("bigint").alias("TotalQuantity"),
-                 F.countDistinct("StockCode").alias("UniqueProducts")))
+    """Per customer: last/first purchase, distinct invoices, spend, quantity, distinct products.
+    Two two-level aggregates (per invoice, per product), so no row is copied for a second distinct count."""
+    invoices = tx.groupBy("CustomerID", "InvoiceNo").agg(
+        F.max("InvoiceDate").alias("_last"), F.min("InvoiceDate").alias("_first"),
+        F.sum(F.col("TotalPrice").cast(MONEY)).alias("_spend"), F.sum("Quantity").alias("_quantity"))
+    core = invoices.groupBy("CustomerID").agg(
+        F.max("_last").alias("LastPurchase"), F.min("_first").alias("FirstPurchase"), F.count("InvoiceNo").alias("Frequency"),
+        F.sum("_spend").cast("double").alias("Monetary"), F.sum("_quantity").cast("bigint").alias("TotalQuantity"))
+    products = unique_products(tx).withColumnRenamed("CustomerID", "_customer")
+    return core.join(products, F.col("CustomerID").eqNullSafe(F.col("_customer"))).drop("_customer")
 
 
 def unique_products(tx: DataFrame, approximate: bool = False) -> DataFrame:
-    agg = F.approx_count_distinct("StockCode") if approximate else F.countDistinct("StockCode")
-    return tx.groupBy("CustomerID").agg(agg.alias("UniqueProducts"))
+    if approximate:
+        return tx.groupBy("CustomerID").agg(F.approx_count_distinct("StockCode").alias("UniqueProducts"))
+    return tx.select("CustomerID", "StockCode").distinct().groupBy("CustomerID").agg(F.count("StockCode").alias("UniqueProducts"))
 
 
 def return_rate(raw: DataFrame, before=None) -> DataFrame:
@@ -54,9 +59,10 @@ def return_rate(raw: DataFrame, before=None) -> DataFrame:
     if before is not None:
         r = r.where(F.col("InvoiceDate") < (before if isinstance(before, Column) else F.lit(before)))
     inv = F.trim(F.col("InvoiceNo"))
-    return (r.groupBy("CustomerID")
-            .agg(F.countDistinct(F.when(fn_is_cancelled(inv), inv)).alias("_cancelled"),
-                 F.countDistinct(inv).alias("_invoices"))
+    per_invoice = r.select("CustomerID", inv.alias("_inv")).distinct()
+    return (per_invoice.groupBy("CustomerID")
+            .agg(F.count(F.when(fn_is_cancelled(F.col("_inv")), F.col("_inv"))).alias("_cancelled"),
+                 F.count("_inv").alias("_invoices"))
             .select("CustomerID", F.coalesce(F.try_divide(F.col("_cancelled").cast("double"), F.col("_invoices")),
                                              F.lit(0.0)).alias("ReturnRate")))
 

@@ -39,7 +39,7 @@ def semi_join_target(feats: DataFrame, target_rows: DataFrame, anti: bool = Fals
     return feats.join(target_rows.select("CustomerID"), "CustomerID", "left_anti" if anti else "left_semi")
 
 
-def supervised_dataset(tx: DataFrame, raw: DataFrame, feature_months: int = 70) -> DataFrame:
+def supervised_dataset(tx: DataFrame, raw: DataFrame, feature_months: int = 9) -> DataFrame:
     """T6: F9 over the first ``feature_months`` (Recency against the split date,
     ReturnRate from raw rows before it) and Target = buys again on/after the split."""
     split = split_date_value(tx, feature_months)
@@ -57,15 +57,11 @@ def with_model_features(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- splits
 
-MINSTD_MOD = 2147483647
-MINSTD_MUL = 48271
-
-
 def key_hash(id_col: str, seed: int = 42) -> Column:
-    """Deterministic per-key pseudo-random order for integer-like ids: one step of the
-    MINSTD generator on (id + seed); a permutation of ids below 2^31 - 1."""
-    k = F.pmod(F.col(id_col).cast("bigint") + F.lit(seed), F.lit(MINSTD_MOD))
-    return F.pmod(k * F.lit(MINSTD_MUL), F.lit(MINSTD_MOD))
+    """Deterministic pseudo-random order for ids of any kind: the first 13 hex digits of the MD5 of
+    id and seed, 52 bits that a double holds exactly."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
 def stratified_split(df: DataFrame, label: str = "Target", id_col: str = "CustomerID", test: float = 0.2,

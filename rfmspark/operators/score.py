@@ -58,8 +58,7 @@ def score_batch(feats: DataFrame, seg_params: DataFrame, centroids: DataFrame, m
     out = m_in.crossJoin(F.broadcast(wide)).withColumn("_z", z)
     out = out.withColumn("Purchase_Probability", fn_sigmoid(F.col("_z"))).withColumn(
         "Predicted_Purchase_Label", (F.col("_z") > 0).cast("int"))
-    drop = [c for c in out.columns if c.startswith("_")]
-    return out.drop(*drop)
+    return out.select(*feats.columns, "Predicted_Segment", "Predicted_Purchase_Label", "Purchase_Probability")
 
 
 def prediction_log_rows(scored: DataFrame, id_col: Column, ts: Column, fanout: bool = True) -> DataFrame:

@@ -138,27 +138,22 @@ def kmeans_fit(df: DataFrame, cols: list[str] | None = None, k: int = 4, restart
     for m in run_parallel([fit(i) for i in range(restarts)]):  # independent restarts, fitted concurrently
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
-    res = best.transform(vec).drop("features")
     vec.unpersist()
-    return res, best
+    return best.transform(_vectors(df, cols)).drop("features"), best  # lazy, so from the rows, not from the dropped copy
 
 
 def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, ks=range(2, 11), seed: int = 42,
-                 restarts: int = 1) -> DataFrame:
+                 restarts: int = 10) -> DataFrame:
     """(k, inertia, silhouette) per k; silhouette by ``ClusteringEvaluator`` (squared Euclidean)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     cols = cols or SCALED_FEATURES
     spark = df.sparkSession
-    from rfmspark.operators.learn import run_parallel
-
-    def one(k):
-        def run():
-            res, model = kmeans_fit(df, cols, k=k, restarts=restarts, seed=seed, out="prediction")
-            sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                      distanceMeasure="squaredEuclidean").evaluate(_vectors(res, cols))
-            return int(k), float(model.summary.trainingCost), float(sil)
-        return run
-    rows = run_parallel([one(k) for k in ks])  # one independent fit per k
+    rows = []
+    for k in ks:  # the restarts of each k are fitted side by side
+        res, model = kmeans_fit(df, cols, k=k, restarts=restarts, seed=seed, out="prediction")
+        sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
+                                  distanceMeasure="squaredEuclidean").evaluate(_vectors(res, cols))
+        rows.append((int(k), float(model.summary.trainingCost), float(sil)))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette_sq_euclidean double")
 
 

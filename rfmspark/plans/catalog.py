@@ -1218,7 +1218,7 @@ def q_kmeans_fit(ctx: Ctx) -> DataFrame:
 @query("kmeans_sweep")
 def q_kmeans_sweep(ctx: Ctx) -> DataFrame:
     """k = 2..10: inertia and silhouette (squared Euclidean) per k."""
-    return segment.kmeans_sweep(ctx.features_scaled, SCALED_FEATURES, range(2, 11), seed=42, restarts=1)
+    return segment.kmeans_sweep(ctx.features_scaled, SCALED_FEATURES, range(2, 11), seed=42)
 
 
 @query("silhouette")

@@ -1,8 +1,9 @@
-"""Lazy, per-(session, data folder) derived tables shared by the registered queries.
+"""Derived tables shared by the registered queries.
 
-Nothing here is computed eagerly: each property returns a DataFrame plan built
-from the given tables, so Catalyst prunes columns and pushes filters into the
-Parquet scans of every query that uses it.
+Stage tables are written as Parquet into the shared checkpoint folder when a query first needs
+them, and read back: every query prunes their columns and pushes its filters into their scans.
+They are kept per application and state of the base tables' files, so a change of the data gives
+new ones.
 """
 
 from __future__ import annotations
@@ -12,30 +13,28 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmspark.functions.scalar import fn_round_half_up
 from rfmspark.operators import clean, features
 from rfmspark.schemas import MODEL_FEATURES
 
 FEATURE_MONTHS = 70  # the first nine months hold one class only in the driver data (SURVEY §7.1)
 from rfmspark.session import prepare
-from rfmspark.sources import tables
+from rfmspark.sources import files, tables
 
 
-# Stage outputs (cleaned transactions, features, segments, supervised set, hold-out scores)
-# are materialised once per application and data folder into the reliable checkpoint
-# folder and then shared by every query, as the pipeline's stage tables are.
-_ARTIFACTS: dict[tuple, object] = {}
+# Base tables that the stage tables come from.
+BASE = ["lineitem", "orders", "customer", "nation", "part"]
+_STAGES: dict[tuple, object] = {}
 
 
 def artifact(fn):
-    """Like ``cached_property`` but shared by all contexts of one application + folder."""
+    """Like ``cached_property`` but shared by all contexts of one application, folder and state of its files."""
     name = fn.__name__
 
     def get(self):
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _ARTIFACTS:
-            _ARTIFACTS[key] = fn(self)
-        return _ARTIFACTS[key]
+        key = (*self.state, name)
+        if key not in _STAGES:
+            _STAGES[key] = fn(self)
+        return _STAGES[key]
     get.__doc__ = fn.__doc__
     return property(get)
 
@@ -44,6 +43,14 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self.state = (self.spark.sparkContext.applicationId, self.sf_dir,
+                      *(tables.fingerprint(self.spark, f"{self.sf_dir}/{t}.parquet") for t in BASE))
+        for old in [k for k in _STAGES if k[:2] == self.state[:2] and k[:-1] != self.state]:
+            del _STAGES[old]  # of files that have changed since
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a stage table and read back."""
+        return self.spark.read.parquet(files.sink_parquet(df, files.scratch_table(self.spark, name)))
 
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name, columns)
@@ -56,14 +63,14 @@ class Ctx:
         """T2 without Description/Country (the feature jobs never read them). The
         row-filtered input of the two IQR passes is checkpointed once."""
         pre, bounds = self.cleaning
-        return clean.apply_bounds(pre, bounds).checkpoint(eager=True)
+        return self.stage(clean.apply_bounds(pre, bounds), "cleaned")
 
     @artifact
     def raw_tx(self) -> DataFrame:
         """The raw transactions (six columns) - the one fact-table join - written once; the
         cleaning passes and the return rate both read this copy."""
-        return self.retail(["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"]) \
-            .checkpoint(eager=True)
+        cols = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID"]
+        return self.stage(self.retail(cols), "raw_tx")
 
     @artifact
     def cleaning(self):
@@ -91,33 +98,33 @@ class Ctx:
     def features_scaled(self) -> DataFrame:
         """T4: F9 + logs + scaled model features (population std). Written once to the
         checkpoint folder: segmentation and drift read it several times."""
-        f9 = features.rfm_features(self.cleaned, self.raw_subset).checkpoint(eager=True)  # scaler fit + apply read it twice
+        f9 = self.stage(features.rfm_features(self.cleaned, self.raw_subset), "features")  # scaler fit + apply read it twice
         scaled, _ = features.standard_scale(features.add_log_features(f9), MODEL_FEATURES)
-        return scaled.checkpoint(eager=True)
+        return self.stage(scaled, "features_scaled")
 
     @artifact
     def segmented(self) -> DataFrame:
         """T5 (seeded segmentation, exact SQL twin)."""
         from rfmspark.operators.segment import seeded_segments
-        return seeded_segments(self.features_scaled).checkpoint(eager=True)
+        return self.stage(seeded_segments(self.features_scaled), "segmented")
 
     @artifact
     def supervised(self) -> DataFrame:
         """T6 with the feature period of the build plan (70 months)."""
         from rfmspark.operators.learn import supervised_dataset
-        return supervised_dataset(self.cleaned, self.raw_subset, FEATURE_MONTHS).checkpoint(eager=True)
+        return self.stage(supervised_dataset(self.cleaned, self.raw_subset, FEATURE_MONTHS), "supervised")
 
     @artifact
     def holdout(self):
         """(scored hold-out rows, train scaler, scorer weights) of the class-mean scorer."""
         from rfmspark.operators.learn import holdout_scores
         scored, params, weights = holdout_scores(self.split_flags)  # the stored split, not a second one
-        return scored.checkpoint(eager=True), params, weights
+        return self.stage(scored, "holdout"), params, weights
 
     @artifact
     def split_flags(self) -> DataFrame:
         from rfmspark.operators.learn import stratified_split
-        return stratified_split(self.supervised).checkpoint(eager=True)
+        return self.stage(stratified_split(self.supervised), "split_flags")
 
     @cached_property
     def baseline_scored(self) -> DataFrame:
@@ -132,7 +139,7 @@ class Ctx:
         m1 = ev.evaluate(self.holdout[0])
         m2 = ev.evaluate(self.baseline_scored).withColumn("cv_roc_auc_mean", F.lit(0.5)).withColumn(
             "cv_roc_auc_std", F.lit(0.0))
-        return ev.metrics_table({"class_mean_linear": m1, "baseline_majority": m2}).checkpoint(eager=True)
+        return self.stage(ev.metrics_table({"class_mean_linear": m1, "baseline_majority": m2}), "model_metrics")
 
     @artifact
     def prediction_log(self) -> DataFrame:
@@ -156,7 +163,7 @@ class Ctx:
         for run, (src, ts) in enumerate([(run1, split), (run2, snap)]):
             scored = score_batch(src, self.scaler_params, cents, model_params, weights)
             rows.append(prediction_log_rows(scored, key + run, F.lit(ts)))
-        return rows[0].unionByName(rows[1]).checkpoint(eager=True)
+        return self.stage(rows[0].unionByName(rows[1]), "prediction_log")
 
     @artifact
     def drift_log(self) -> DataFrame:
@@ -170,7 +177,7 @@ class Ctx:
         ref = self.supervised.select("CustomerID", *FEATURES)
         a = drift_log_rows(drift_report(ref, ref), split, 1)
         b = drift_log_rows(drift_report(ref, self.features), snap, 1 + len(FEATURES))
-        return a.unionByName(b).checkpoint(eager=True)
+        return self.stage(a.unionByName(b), "drift_log")
 
     @artifact
     def registry(self) -> DataFrame:
@@ -188,14 +195,22 @@ class Ctx:
         cand = m.where(F.col("model") == "class_mean_linear")
         old = m.where(F.col("model") == "baseline_majority").withColumn("model", F.lit("class_mean_linear"))
         accepted = bool(ev.model_gate(cand, old, model="class_mean_linear").first()["accepted"])
-        return ev.registry_promote(base, cand, accepted, snap).checkpoint(eager=True)
+        return self.stage(ev.registry_promote(base, cand, accepted, snap), "registry")
 
     @cached_property
     def scaler_params(self) -> DataFrame:
         return features.fit_scaler(features.add_log_features(self.features), MODEL_FEATURES)
 
 
-fround = fn_round_half_up
+COMPARE_NUDGE = 1e-4  # of the last digit compared
+
+
+def fround(c, digits: int = 4):
+    """Digits as two engines can compare them: ``floor(x * 10^d + 0.5 + nudge) / 10^d`` in plain IEEE arithmetic.
+    Sums taken in another order may hold a decimal tie one ulp above or below; the nudge moves the boundary
+    away from ties. Only registered queries use it; operators return or round (``fn_round_half_up``) as they are."""
+    col, scale = F.col(c) if isinstance(c, str) else c, float(10 ** digits)
+    return F.floor(col * F.lit(scale) + F.lit(0.5 + COMPARE_NUDGE)).cast("double") / F.lit(scale)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -215,7 +215,7 @@ FROM sup_features f LEFT JOIN sup_target t ON f.CustomerID = t.CustomerID""")
 cte("ho_flag", ["supervised"], """
 SELECT * EXCLUDE (_h), row_number() OVER (PARTITION BY Target ORDER BY _h)
                        <= floor(count(*) OVER (PARTITION BY Target) * 0.2 + 0.5) AS is_test
-FROM (SELECT *, (((CAST(CustomerID AS BIGINT) + 42) % 2147483647) * 48271) % 2147483647 AS _h FROM supervised)""")
+FROM (SELECT *, CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR) || '#42'), 1, 13) AS BIGINT) AS _h FROM supervised)""")
 cte("ho_log", ["ho_flag"], """
 SELECT *, ln(1 + Recency) AS Recency_log, ln(1 + Frequency) AS Frequency_log, ln(1 + Monetary) AS Monetary_log
 FROM ho_flag""")

@@ -22,20 +22,31 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def src_transactions_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema=None) -> DataFrame:
+#: RFC 4180: quotes inside a quoted field are doubled, and such a field may hold line ends.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
+
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8, or Latin-1 if any line is not valid UTF-8 (one scan that stops at the first such line)."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
+    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+
+
+def src_transactions_csv(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
     """Transaction CSV with a header and a declared (text) schema; malformed lines are
-    kept with NULLs (PERMISSIVE); the caller coerces types (see ``ingest_upload``)."""
-    return (spark.read.schema(schema or T1_TEXT).option("header", True).option("encoding", encoding)
+    kept with NULLs (PERMISSIVE); the caller coerces types (see ``ingest_upload``). Without
+    ``encoding`` it is UTF-8, falling back to Latin-1."""
+    return (spark.read.schema(schema or T1_TEXT).options(**CSV_DIALECT).option("encoding", encoding or csv_encoding(spark, path))
             .option("mode", "PERMISSIVE").csv(path))
 
 
 def src_customer_features_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feature CSV for scoring: header names decide the columns; the nine features are
     required and named when missing (checked before any job runs)."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = spark.read.options(**CSV_DIALECT).option("inferSchema", False).option("encoding", csv_encoding(spark, path)).csv(path)
     missing = [c for c in FEATURES if c not in df.columns]
     if missing:
-        raise ValueError(f"CSV file missing required feature columns: {missing}")
+        raise ValueError(f"these feature columns are not in the file: {missing}")
     return df.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in df.columns])
 
 
@@ -63,7 +74,7 @@ def src_tables(spark: SparkSession, names: list[str], base: str) -> dict[str, Da
 
 
 def sink_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

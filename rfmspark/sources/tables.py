@@ -23,33 +23,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-SPREAD_MIN_BYTES = 4 << 20
-_SIZE_CACHE: dict[str, int] = {}
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Through the Hadoop FileSystem API (any file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    """Total size under a path through the Hadoop FileSystem API (any file system)."""
-    if path not in _SIZE_CACHE:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        _SIZE_CACHE[path] = int(fs.getContentSummary(p).getLength())
-    return _SIZE_CACHE[path]
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Length, number of files and newest change of a table's files: differs after a write."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ()
+    total = fs.getContentSummary(p)
+    newest = max([fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))])
+    return int(total.getLength()), int(total.getFileCount()), int(newest)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan with column pruning. A large table stored with fewer splits than the
-    cluster has cores (e.g. one row group per file) is spread round-robin, so the
-    aggregation and broadcast-join work fused onto the scan is not single-threaded.
-    Tables that already split into enough tasks are left alone."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    if _path_bytes(spark, path) >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """Parquet scan with column pruning."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def retail(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,

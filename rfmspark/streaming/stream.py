@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfmspark.operators.score import prediction_log_rows, score_batch
+from rfmspark.sources.tables import path_exists
 
 
 def replay_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -102,11 +103,9 @@ def stream_feed_last50(scored: DataFrame, out_path: str, checkpoint: str, seq_co
 
     def write(batch: DataFrame, batch_id: int) -> None:
         cur = batch
-        try:
+        if path_exists(spark, f"{out_path}/current/_SUCCESS"):  # none before the first batch; a read error is an error
             prev = spark.read.parquet(f"{out_path}/current")
             cur = prev.unionByName(batch.select(*prev.columns))
-        except Exception:  # noqa: BLE001 - first batch: no feed yet
-            pass
         top = cur.dropDuplicates([seq_col]).orderBy(F.col(seq_col).desc()).limit(n)  # a retried batch adds nothing
         top.write.mode("overwrite").parquet(f"{out_path}/next")
         spark.read.parquet(f"{out_path}/next").write.mode("overwrite").parquet(f"{out_path}/current")
