@@ -7,6 +7,7 @@ drop out; around the others the windows of the next length, ``WINDOW`` words, ar
 compared. ``levels`` goes on by the same rule: windows repeated at one length alone are joined with
 their followers to twice that length, until no candidates survive.
 
+Documents whose whole word sequence is that of a smaller one go entirely and are left out before.
 A word goes if it lies in a ``WINDOW``-word window whose word sequence also starts in a document
 with a smaller doc_id. Counts are pre-aggregated by hash before any join, so a window that a third
 of all documents share is one row per task; windows are compared by 64-bit hashes.
@@ -26,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from rfmspark.llm.common import SPACE, covered, leftmost_minima, prefix_hash, rolling, setup, slices, span_hash, utf8, words
+from rfmspark.llm.common import SPACE, U64, covered, leftmost_minima, mix, prefix_hash, rolling, setup, slices, span_hash, utf8, words
 
 WINDOW = 13
 SEED = 6
@@ -44,13 +45,32 @@ def _windows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], first, chosen[first], h, seeds, at
 
 
+def _whole(batches):
+    """Two hashes of the word sequence of each text that has a window."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            buf, offs = utf8(part.column("text"))
+            start, end, at = words(buf, offs)
+            n = np.diff(at)
+            place = np.arange(len(start)) - np.repeat(at[:-1], n)
+            out = []
+            for seed in (0, 1):
+                total = np.zeros(len(start) + 1, U64)
+                np.cumsum(mix(span_hash(prefix_hash(buf, seed), start, end, seed) + mix(place.astype(U64) + U64(seed + 1))), out=total[1:])
+                out.append(mix(total[at[1:]] - total[at[:-1]] + n.astype(U64)).astype(np.int64))
+            long_ = pa.array(n >= WINDOW)
+            yield pa.RecordBatch.from_pydict({"key": part.column("key"), "h1": pa.array(out[0]), "h2": pa.array(out[1])}).filter(long_)
+
+
 def _seeds(batches):
     for batch in batches:
+        batch = batch.filter(pa.compute.invert(batch.column("copy")))
         for part in slices(batch, "text"):
             doc, _, chosen, _, seeds, at = _windows(*utf8(part.column("text")))
             new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, int)
             doc, chosen = doc[new], chosen[new]
-            yield pa.RecordBatch.from_pydict({"seed": pa.array(seeds[chosen].astype(np.int64)), "key": part.column("key").take(pa.array(doc)),
+            # 48 bits suffice to tell whether a seed may stand elsewhere
+            yield pa.RecordBatch.from_pydict({"seed": pa.array((seeds[chosen] >> U64(16)).astype(np.int64)), "key": part.column("key").take(pa.array(doc)),
                                               "pos": pa.array((chosen - at[doc]).astype(np.int32))})
 
 
@@ -73,31 +93,55 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "doc_id", "text")
 
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """Values that stand in more than one document, with the smallest."""
-    return rows.groupBy(name).agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col(name).alias("g"), "first")
+def _anew(name: str):
+    """The value as a new one: both sides of a join on it are then shuffled for the join, so a hot value is split."""
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias("g")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """The smallest document of each window."""
+    return rows.groupBy("w").agg(F.min("key").alias("first")).select(_anew("w"), "first")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """w, key (doc_id), pos (word) and first (smallest doc_id) of every window that stands in several documents."""
+def copies(docs: DataFrame) -> DataFrame:
+    """k of every document whose whole word sequence (with a window in it) is that of a document with a smaller key."""
+    whole = _texts(docs).select("key", "text").mapInArrow(_whole, "key long, h1 long, h2 long").checkpoint()
+    first = whole.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last") \
+        .select(_anew("h1"), F.col("h2").alias("g2"), "first")
+    return whole.join(first, (F.col("h1") == F.col("g")) & (F.col("h2") == F.col("g2"))).where("key > first").select(F.col("key").alias("k")).distinct()
+
+
+def _marked(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """The texts by key, with whether they are copies. All uses join in the same way, so they share one exchange of texts."""
+    return _texts(docs).join(copied.withColumn("copy", F.lit(True)), F.col("key") == F.col("k"), "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("k")
+
+
+def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """w, key (doc_id), pos (word) and first (smallest doc_id) of every window that stands in several documents.
+
+    With ``copied`` (see ``copies``) these documents are left out; what stands in them stands in a smaller one too."""
     setup(docs.sparkSession)
-    texts = _texts(docs)
-    seeds = texts.select("key", "text").mapInArrow(_seeds, "seed long, key long, pos int")
-    alive = seeds.join(_repeated(seeds, "seed").select("g"), F.col("seed") == F.col("g")).groupBy("key").agg(F.collect_list("pos").alias("seeds"))
-    # a left join that keeps all texts, so that its exchange of texts is the one that the result's join uses
-    rows = texts.join(alive.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select("key", "text", "seeds") \
+    texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
+    seeds = texts.select("key", "text", "copy").mapInArrow(_seeds, "seed long, key long, pos int")
+    often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
+    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("key").agg(F.collect_list("pos").alias("seeds")).withColumnRenamed("key", "k")
+    rows = texts.join(alive, F.col("key") == F.col("k"), "left").select("key", F.when(~F.col("copy"), F.col("text")).alias("text"), F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
         .mapInArrow(_extend, "w long, key long, pos int")
-    return rows.join(_repeated(rows, "w"), F.col("w") == F.col("g")).select("w", "key", "pos", "first")
+    return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "key", "pos", "first")
 
 
 def levels(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     """(length, its repeated windows) for WINDOW words and each doubling, as long as any window survives."""
-    length, rows, out = WINDOW, repeated_windows(docs).checkpoint(), []
+    def shared(rows):
+        both = rows.groupBy("w").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select(_anew("w"))
+        return rows.join(both, F.col("w") == F.col("g"), "left_semi").checkpoint()
+
+    length, rows, out = WINDOW, shared(repeated_windows(docs)), []
     while not rows.isEmpty():
         out.append((length, rows))
         ahead = rows.select(F.col("key").alias("k"), (F.col("pos") - length).alias("p"), F.col("w").alias("next"))
         twice = rows.join(ahead, (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p"))).select(F.xxhash64("w", "next").alias("w"), "key", "pos")
-        rows = twice.join(_repeated(twice, "w"), F.col("w") == F.col("g")).select("w", "key", "pos", "first").checkpoint()
+        rows = shared(twice.join(_first(twice), F.col("w") == F.col("g")).select("w", "key", "pos", "first"))
         length *= 2
     return out
 
@@ -111,6 +155,7 @@ def _report(batches):
             begin = np.repeat(at[:-1], pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)) \
                 + lists.flatten().to_numpy(zero_copy_only=False)
             gone = covered(len(start), begin, begin + WINDOW) if len(begin) else np.zeros(len(start), bool)
+            gone |= np.repeat(part.column("copy").to_numpy(zero_copy_only=False), np.diff(at))
             doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
             # bytes of kept words, and the first blank after each (none at the text's end)
             stay = covered(len(buf), start[~gone], end[~gone])
@@ -124,7 +169,9 @@ def _report(batches):
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = repeated_windows(docs).where("key > first").groupBy(F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
-    return _texts(docs).join(gone, F.col("key") == F.col("k"), "left").select("doc_id", "text", "gone") \
+    copied = copies(docs).checkpoint()
+    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    return _marked(docs, copied).join(gone, F.col("key") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
         .mapInArrow(_report, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
