@@ -87,6 +87,18 @@ def stratified_kfold(df: DataFrame, label: str = "Target", id_col: str = "Custom
     return c.withColumn("fold", F.pmod(F.col("cum__one") - 1, F.lit(k)).cast("int")).drop("_h", "_one", "cum__one")
 
 
+def save_model(model, path: str) -> str:
+    """Write a fitted Spark ML model of any kind."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(spark, path: str):
+    """The model that ``save_model`` wrote, whatever its class."""
+    from pyspark.ml.util import DefaultParamsReader
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
 def class_weight(df: DataFrame, label: str = "Target", out: str = "weight") -> DataFrame:
     """Weight positives by negatives/positives (scale_pos_weight), negatives 1."""
     w = feat.scale_pos_weight(df, label)

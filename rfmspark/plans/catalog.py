@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfmspark.operators import clean, features
-from rfmspark.plans.context import Ctx, fround, rounded
+from rfmspark.plans.context import FEATURE_MONTHS, Ctx, fround, rounded
 from rfmspark.plans.sqlparts import r, rnd, with_ctes
 from rfmspark.schemas import FEATURES, MODEL_FEATURES
 
@@ -142,26 +142,27 @@ def q_select_canonical(ctx: Ctx) -> DataFrame:
 
 @query("src_column_pruned", with_ctes("SELECT CustomerID, InvoiceNo FROM retail", "retail"))
 def q_src_column_pruned(ctx: Ctx) -> DataFrame:
-    return ctx.retail(["CustomerID", "InvoiceNo"])
+    path = files.sink_parquet(ctx.raw_tx, files.scratch_table(ctx.spark, "raw_tx"))
+    return files.src_column_pruned(ctx.spark, path, ["CustomerID", "InvoiceNo"])
 
 
 @query("sink_raw_subset", with_ctes("SELECT CustomerID, InvoiceNo, InvoiceDate FROM retail", "retail"))
 def q_sink_raw_subset(ctx: Ctx) -> DataFrame:
-    return ctx.raw_subset
+    return files.read_parquet(ctx.spark, files.sink_raw_subset(ctx.raw_tx, files.scratch_table(ctx.spark, "raw_subset")))
 
 
 @query("before_split", with_ctes("""
 SELECT InvoiceNo, CustomerID, InvoiceDate FROM cleaned, sup_split WHERE InvoiceDate < split""", "cleaned", "sup_split"))
 def q_before_split(ctx: Ctx) -> DataFrame:
     from rfmspark.operators.learn import split_date_value
-    return clean.before_split(ctx.cleaned, split_date_value(ctx.cleaned, 70)).select("InvoiceNo", "CustomerID", "InvoiceDate")
+    return clean.before_split(ctx.cleaned, split_date_value(ctx.cleaned, FEATURE_MONTHS)).select("InvoiceNo", "CustomerID", "InvoiceDate")
 
 
 @query("after_split", with_ctes("""
 SELECT InvoiceNo, CustomerID, InvoiceDate FROM cleaned, sup_split WHERE InvoiceDate >= split""", "cleaned", "sup_split"))
 def q_after_split(ctx: Ctx) -> DataFrame:
     from rfmspark.operators.learn import split_date_value
-    return clean.after_split(ctx.cleaned, split_date_value(ctx.cleaned, 70)).select("InvoiceNo", "CustomerID", "InvoiceDate")
+    return clean.after_split(ctx.cleaned, split_date_value(ctx.cleaned, FEATURE_MONTHS)).select("InvoiceNo", "CustomerID", "InvoiceDate")
 
 
 @query("customer_lookup", with_ctes(f"""
@@ -511,7 +512,7 @@ def q_target_label(ctx: Ctx) -> DataFrame:
 SELECT CustomerID FROM sup_features f WHERE EXISTS (SELECT 1 FROM sup_target t WHERE t.CustomerID = f.CustomerID)""",
                                      "sup_features", "sup_target"))
 def q_semi_join_target(ctx: Ctx) -> DataFrame:
-    split = learn.split_date_value(ctx.cleaned, 70)
+    split = learn.split_date_value(ctx.cleaned, FEATURE_MONTHS)
     after = clean.after_split(ctx.cleaned, split)
     return learn.semi_join_target(ctx.supervised.select("CustomerID"), after)
 
@@ -1427,16 +1428,25 @@ def q_apply_scaler(ctx: Ctx) -> DataFrame:
         "CustomerID", *SCALED_FEATURES))
 
 
+def _model_set(tr: DataFrame) -> dict:
+    """The fitted models of a training run, side by side (stacking has its own query)."""
+    weighted = learn.class_weight(tr)
+    fits = {"lr": lambda: learn.logreg(tr, MODEL_FEATURES, C=1.0),
+            "rf": lambda: learn.random_forest(tr, MODEL_FEATURES),
+            "gb": lambda: learn.gbt(tr, MODEL_FEATURES),
+            "gbt_a": lambda: learn.gbt(weighted, MODEL_FEATURES, max_iter=100, max_depth=4, step=0.1, weight_col="weight")}
+    return dict(zip(fits, learn.run_parallel(fits.values())))
+
+
 @query("score_multi_model")
 def q_score_multi_model(ctx: Ctx) -> DataFrame:
-    """Label and probability of several fitted models per hold-out customer (one column pair each)."""
+    """Label and probability of several fitted models per hold-out customer (one column pair each);
+    every model is written, loaded again and then applied."""
     tr, te = _train_test(ctx)
-    models = {"lr": learn.logreg(tr, MODEL_FEATURES, C=1.0),
-              "rf": learn.random_forest(tr, MODEL_FEATURES, n_trees=50, max_depth=10),
-              "gb": learn.gbt(tr, MODEL_FEATURES, max_iter=20, max_depth=3, step=0.05)}
     out = te.select("CustomerID", "Target")
-    for p, m in models.items():
-        s = learn.score_model(m, te, MODEL_FEATURES).select(
+    for p, m in _model_set(tr).items():
+        stored = learn.load_model(ctx.spark, learn.save_model(m, files.scratch_table(ctx.spark, f"model_{p}")))
+        s = learn.score_model(stored, te, MODEL_FEATURES).select(
             "CustomerID", F.col("prediction").alias(f"{p}_pred"), F.col("probability").alias(f"{p}_prob"))
         out = out.join(s, "CustomerID")
     return out
@@ -1551,7 +1561,7 @@ for _n, _spec in _FN_SPECS.items():
 
 @query("fn_split_date", with_ctes("SELECT split FROM sup_split", "sup_split"))
 def q_fn_split_date(ctx: Ctx) -> DataFrame:
-    return learn.split_date(ctx.cleaned, 70)
+    return learn.split_date(ctx.cleaned, FEATURE_MONTHS)
 
 
 @query("shap_values_tree")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rfmspark.functions.scalar import fn_round_half_up, fn_to_timestamp_safe
+from rfmspark.operators import learn
 from rfmspark.operators.learn import stratified_split
 from rfmspark.plans.jobs import sql_query
 from rfmspark.sources import files, tables
@@ -63,3 +64,13 @@ def test_fingerprint_follows_the_files(spark, tmp_path):
     before = tables.fingerprint(spark, path)
     spark.range(10).write.mode("append").parquet(path)
     assert tables.fingerprint(spark, path) != before
+
+
+def test_stored_models_score_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(120)], "CustomerID string, a double, b double, Target int")
+    for fit in (lambda: learn.logreg(df, ["a", "b"]), lambda: learn.gbt(df, ["a", "b"], max_iter=3)):
+        model = fit()
+        back = learn.load_model(spark, learn.save_model(model, str(tmp_path / type(model).__name__)))
+        assert type(back) is type(model)
+        one, two = ({r["CustomerID"]: r["probability"] for r in learn.score_model(m, df, ["a", "b"]).collect()} for m in (model, back))
+        assert one == two
