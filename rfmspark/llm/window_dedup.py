@@ -112,7 +112,8 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """The texts by key, with whether they are copies. All uses join in the same way, so they share one exchange of texts."""
+    """The texts by key, with whether they are copies. All uses join in the same way and read the same columns (whether
+    they need doc_id or not), so they share one exchange of texts."""
     return _texts(docs).join(copied.withColumn("copy", F.lit(True)), F.col("key") == F.col("k"), "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("k")
 
 
@@ -122,10 +123,10 @@ def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFr
     With ``copied`` (see ``copies``) these documents are left out; what stands in them stands in a smaller one too."""
     setup(docs.sparkSession)
     texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
-    seeds = texts.select("key", "text", "copy").mapInArrow(_seeds, "seed long, key long, pos int")
+    seeds = texts.mapInArrow(_seeds, "seed long, key long, pos int")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
     alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("key").agg(F.collect_list("pos").alias("seeds")).withColumnRenamed("key", "k")
-    rows = texts.join(alive, F.col("key") == F.col("k"), "left").select("key", F.when(~F.col("copy"), F.col("text")).alias("text"), F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
+    rows = texts.join(alive, F.col("key") == F.col("k"), "left").select("key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
         .mapInArrow(_extend, "w long, key long, pos int")
     return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "key", "pos", "first")
 
