@@ -125,7 +125,8 @@ def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFr
     texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
     seeds = texts.mapInArrow(_seeds, "seed long, key long, pos int")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
-    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("key").agg(F.collect_list("pos").alias("seeds")).withColumnRenamed("key", "k")
+    # rows go to their document as they are: after a join by hash a task holds few of each, so lists made there would be longer
+    alive = seeds.join(often, F.col("seed") == F.col("g")).select("key", "pos").repartition("key").groupBy("key").agg(F.collect_list("pos").alias("seeds")).withColumnRenamed("key", "k")
     rows = texts.join(alive, F.col("key") == F.col("k"), "left").select("key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
         .mapInArrow(_extend, "w long, key long, pos int")
     return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "key", "pos", "first")
@@ -173,6 +174,6 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     copied = copies(docs).checkpoint()
-    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_windows(docs, copied).where("key > first").select("key", "pos").repartition("key").groupBy(F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
     return _marked(docs, copied).join(gone, F.col("key") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
         .mapInArrow(_report, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
