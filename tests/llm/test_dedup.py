@@ -138,3 +138,25 @@ def test_samples_agree_as_often_as_the_sets_are_similar():
     a, b = s.draw(np.array([0]), h[:200], w[:200]), s.draw(np.array([0]), h[40:], w[40:])
     true = w[40:200].sum() / w.sum()
     assert abs((a == b).mean() - true) < 0.17
+
+
+def test_a_large_group_of_copies_keeps_its_links(spark):
+    rng = random.Random(9)
+    base = [f"g{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(39):
+        t = list(base)
+        for k in range(2):
+            t[rng.randrange(len(t))] = f"c{i}_{k}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"o{rng.randrange(10_000)}" for _ in range(60)) for _ in range(80)]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts[:40]]
+    sets = [M.shingles(r, np.array([0, len(r)]))[1].tobytes() for r in raws]
+    plain = [M.weighted_jaccard(sets[0], b"", x, b"") for x in sets]
+    assert all(p >= M.LEVEL for p in plain) and min(M.weighted_jaccard(a, b"", b, b"") for a in sets for b in sets) > 0.75
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    # without the base: links are only between copies, at any size of the table
+    for rows in (docs, docs.where("doc_id != 0"), docs.where("doc_id < 40 and doc_id != 0")):
+        got = {r["doc_id"]: r["class_id"] for r in M.classes(rows).collect()}
+        least = min(got)
+        assert {got[i] for i in got if i < 40} == {least} and all(got[i] == i for i in got if i >= 40)
