@@ -13,8 +13,8 @@ with a smaller doc_id. Counts are pre-aggregated by hash before any join, so a w
 of all documents share is one row per task; windows are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words; texts under ``WINDOW`` words lose nothing;
-very long texts are read whole; rows that share a doc_id are one document (they don't remove each
-other); a null doc_id counts as larger than any other; an empty table gives no rows; other columns
+very long texts are read whole; rows are told apart by a hash of doc_id and text (``rid``); rows that
+share a doc_id don't remove each other, as neither is the smaller; a null doc_id counts as larger than any other; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -59,7 +59,7 @@ def _whole(batches):
                 np.cumsum(mix(span_hash(prefix_hash(buf, seed), start, end, seed) + mix(place.astype(U64) + U64(seed + 1))), out=total[1:])
                 out.append(mix(total[at[1:]] - total[at[:-1]] + n.astype(U64)).astype(np.int64))
             long_ = pa.array(n >= WINDOW)
-            yield pa.RecordBatch.from_pydict({"key": part.column("key"), "h1": pa.array(out[0]), "h2": pa.array(out[1])}).filter(long_)
+            yield pa.RecordBatch.from_pydict({"rid": part.column("rid"), "key": part.column("key"), "h1": pa.array(out[0]), "h2": pa.array(out[1])}).filter(long_)
 
 
 def _seeds(batches):
@@ -70,7 +70,7 @@ def _seeds(batches):
             new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, int)
             doc, chosen = doc[new], chosen[new]
             # 48 bits suffice to tell whether a seed may stand elsewhere
-            yield pa.RecordBatch.from_pydict({"seed": pa.array((seeds[chosen] >> U64(16)).astype(np.int64)), "key": part.column("key").take(pa.array(doc)),
+            yield pa.RecordBatch.from_pydict({"seed": pa.array((seeds[chosen] >> U64(16)).astype(np.int64)), "rid": part.column("rid").take(pa.array(doc)),
                                               "pos": pa.array((chosen - at[doc]).astype(np.int32))})
 
 
@@ -86,11 +86,12 @@ def _extend(batches):
             on = alive[chosen]
             doc, first = doc[on], first[on]
             hashes = rolling(h, WINDOW)[first].astype(np.int64) if len(first) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"w": pa.array(hashes), "key": part.column("key").take(pa.array(doc)), "pos": pa.array((first - at[doc]).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"w": pa.array(hashes), "rid": part.column("rid").take(pa.array(doc)), "key": part.column("key").take(pa.array(doc)),
+                                              "pos": pa.array((first - at[doc]).astype(np.int32))})
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "doc_id", "text")
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "doc_id", "text")
 
 
 def _anew(name: str):
@@ -104,31 +105,31 @@ def _first(rows: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """k of every document whose whole word sequence (with a window in it) is that of a document with a smaller key."""
-    whole = _texts(docs).select("key", "text").mapInArrow(_whole, "key long, h1 long, h2 long").checkpoint()
+    """k (rid) of every row whose whole word sequence (with a window in it) is that of a row with a smaller key."""
+    whole = _texts(docs).select("rid", "key", "text").mapInArrow(_whole, "rid long, key long, h1 long, h2 long").checkpoint()
     first = whole.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last") \
         .select(_anew("h1"), F.col("h2").alias("g2"), "first")
-    return whole.join(first, (F.col("h1") == F.col("g")) & (F.col("h2") == F.col("g2"))).where("key > first").select(F.col("key").alias("k")).distinct()
+    return whole.join(first, (F.col("h1") == F.col("g")) & (F.col("h2") == F.col("g2"))).where("key > first").select(F.col("rid").alias("k")).distinct()
 
 
 def _marked(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """The texts by key, with whether they are copies. All uses join in the same way and read the same columns (whether
+    """The texts by rid, with whether they are copies. All uses join in the same way and read the same columns (whether
     they need doc_id or not), so they share one exchange of texts."""
-    return _texts(docs).join(copied.withColumn("copy", F.lit(True)), F.col("key") == F.col("k"), "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("k")
+    return _texts(docs).join(copied.withColumn("copy", F.lit(True)), F.col("rid") == F.col("k"), "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("k")
 
 
 def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
-    """w, key (doc_id), pos (word) and first (smallest doc_id) of every window that stands in several documents.
+    """w, rid (row), key (doc_id), pos (word) and first (smallest doc_id) of every window that stands in several documents.
 
-    With ``copied`` (see ``copies``) these documents are left out; what stands in them stands in a smaller one too."""
+    With ``copied`` (see ``copies``) these rows are left out; what stands in them stands in a smaller one too."""
     setup(docs.sparkSession)
     texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
-    seeds = texts.mapInArrow(_seeds, "seed long, key long, pos int")
+    seeds = texts.mapInArrow(_seeds, "seed long, rid long, pos int")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
-    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("key").agg(F.collect_list("pos").alias("seeds")).withColumnRenamed("key", "k")
-    rows = texts.join(alive, F.col("key") == F.col("k"), "left").select("key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
-        .mapInArrow(_extend, "w long, key long, pos int")
-    return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "key", "pos", "first")
+    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("rid").agg(F.collect_set("pos").alias("seeds")).withColumnRenamed("rid", "k")
+    rows = texts.join(alive, F.col("rid") == F.col("k"), "left").select("rid", "key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
+        .mapInArrow(_extend, "w long, rid long, key long, pos int")
+    return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "rid", "key", "pos", "first")
 
 
 def levels(docs: DataFrame) -> list[tuple[int, DataFrame]]:
@@ -140,9 +141,9 @@ def levels(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     length, rows, out = WINDOW, shared(repeated_windows(docs)), []
     while not rows.isEmpty():
         out.append((length, rows))
-        ahead = rows.select(F.col("key").alias("k"), (F.col("pos") - length).alias("p"), F.col("w").alias("next"))
-        twice = rows.join(ahead, (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p"))).select(F.xxhash64("w", "next").alias("w"), "key", "pos")
-        rows = shared(twice.join(_first(twice), F.col("w") == F.col("g")).select("w", "key", "pos", "first"))
+        ahead = rows.select(F.col("rid").alias("k"), (F.col("pos") - length).alias("p"), F.col("w").alias("next"))
+        twice = rows.join(ahead, (F.col("rid") == F.col("k")) & (F.col("pos") == F.col("p"))).select(F.xxhash64("w", "next").alias("w"), "rid", "key", "pos").distinct()
+        rows = shared(twice.join(_first(twice), F.col("w") == F.col("g")).select("w", "rid", "key", "pos", "first"))
         length *= 2
     return out
 
@@ -173,6 +174,6 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     copied = copies(docs).checkpoint()
-    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
-    return _marked(docs, copied).join(gone, F.col("key") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
+    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("rid").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    return _marked(docs, copied).join(gone, F.col("rid") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
         .mapInArrow(_report, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -48,6 +48,18 @@ def test_windows_against_brute_force(spark):
     assert W.dedup_report(docs.where("false")).count() == 0
 
 
+def test_null_and_repeated_ids_with_different_texts(spark):
+    rng = random.Random(5)
+    make = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = make(40), make(60), make(30)
+    rows = [(1, a), (2, b), (None, a), (None, make(50)), (None, make(20) + " " + b), (None, make(3)), (None, make(14)), (None, c), (None, c),
+            (7, a), (7, make(45)), (7, make(30) + " " + b), (7, make(13)), (7, "x"), (7, c), (7, c), (9, make(25) + " " + c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 4):
+        got = sorted((tuple(r) for r in W.dedup_report(docs.coalesce(1).repartition(n)).collect()), key=str)
+        assert got == sorted(brute(rows), key=str)
+
+
 def test_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
