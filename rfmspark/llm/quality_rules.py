@@ -1,7 +1,8 @@
 """Operator 10: base rules, and a length-normalised log-likelihood ratio between two hashed n-gram multinomials.
 
-One multinomial is fitted on a bounded sample of trusted documents (labelled of good quality and not
-toxic, ``TRUSTED_ROWS``), the other is counted over the whole raw corpus, both over words and word pairs hashed into ``BUCKETS`` cells.
+One multinomial is counted over all trusted documents (labelled of good quality and not toxic), the
+other over the whole raw corpus, both over words and word pairs hashed into ``BUCKETS`` cells. Rare cells
+are pulled together by a share of the target's mass, so a larger corpus of the same kind gives the same ratios.
 A document's verdict is the mean of its n-grams' log ratios against a fixed threshold, so every
 document is judged alike. Counting sums a fixed-size table in each task and the tables by cell;
 the model that scoring tasks carry has ``BUCKETS`` numbers whatever the corpus.
@@ -21,11 +22,9 @@ from rfmspark.llm.common import U64, setup, slices, utf8
 from rfmspark.llm.textstats import Texts
 
 BUCKETS = 1 << 16
-#: Pseudo-counts that pull the target's cells towards the raw corpus, so that cells seldom met say nothing.
-PRIOR = 50.0
+#: Pseudo-count of a cell as a share of the target's n-grams (50 in the 2.4 million of sf0.1), so that cells seldom met say nothing.
+PRIOR = 2e-5
 THRESHOLD = -0.1
-#: Trusted documents that the target is fitted on at most (by hash order of doc_id); the raw corpus is always counted whole.
-TRUSTED_ROWS = 50_000
 
 
 def _cells(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -34,31 +33,31 @@ def _cells(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches):
-    target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            cells, doc = _cells(Texts(*utf8(part.column("text"))))
-            raw += np.bincount(cells, minlength=BUCKETS)
-            trusted = part.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            target += np.bincount(cells[trusted[doc]], minlength=BUCKETS)
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(used, pa.int64()), "target": pa.array(target[used]), "raw": pa.array(raw[used])})
+            total += np.bincount(_cells(Texts(*utf8(part.column("text"))))[0], minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(used, pa.int64()), "n": pa.array(total[used])})
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratio of every cell; ``trusted`` holds the doc_ids of the target."""
     setup(docs.sparkSession)
-    marks = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    # at most TRUSTED_ROWS ids, so they can be broadcast at any size of the corpus; the texts aren't shuffled
-    marked = docs.select("doc_id", "text").join(F.broadcast(marks.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = marked.mapInArrow(_count, "cell long, target long, raw long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    marks = trusted.select("doc_id").where("doc_id is not null").distinct()
+    # the ids grow with the corpus, so they are never broadcast; hashed, not sorted: the texts don't spill
+    target = docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    counts = [rows.mapInArrow(_count, "cell long, n long").withColumn("trusted", F.lit(t)) for rows, t in ((docs.select("text"), False), (target, True))]
+    n = lambda t: F.sum(F.when(F.col("trusted") == t, F.col("n")).otherwise(0))
+    sums = counts[0].union(counts[1]).groupBy("cell").agg(n(True).alias("target"), n(False).alias("raw"))
     rows = sums.toPandas()  # at most BUCKETS rows
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[rows["cell"]], raw[rows["cell"]] = rows["target"], rows["raw"]
     if not target.sum():
         return np.zeros(BUCKETS, np.float32)
     expected = raw * (target.sum() / raw.sum())
-    return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
+    prior = PRIOR * target.sum()
+    return np.log((target + prior) / (expected + prior)).astype(np.float32)
 
 
 def _judge(ratio: np.ndarray, threshold: float):

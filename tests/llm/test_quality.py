@@ -53,6 +53,23 @@ def test_ratio_separates_junk(spark):
     assert min(score[i] for i, _ in rows if i % 4) > max(score[i] for i, _ in rows if i % 4 == 0)
 
 
+def test_target_is_counted_whole_and_ratios_do_not_depend_on_size(spark):
+    rows = _corpus(random.Random(6), 60)
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    copies = spark.createDataFrame([(i + 1000 * k, t) for k in range(40) for i, t in rows], "doc_id long, text string")
+    ids = lambda df: df.where("doc_id % 4 != 0").select("doc_id")
+    assert not hasattr(R, "TRUSTED_ROWS")
+    assert np.allclose(R.fit(once, ids(once)), R.fit(copies, ids(copies)), atol=1e-5)
+    target, raw = np.zeros(R.BUCKETS), np.zeros(R.BUCKETS)
+    for i, t in rows:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        n = np.bincount(R._cells(R.Texts(buf, np.array([0, len(buf)])))[0], minlength=R.BUCKETS)
+        raw += n
+        target += n * (i % 4 != 0)
+    expected, prior = raw * target.sum() / raw.sum(), R.PRIOR * target.sum()
+    assert np.allclose(R.fit(once, ids(once)), np.log((target + prior) / (expected + prior)), atol=1e-5)
+
+
 def test_gam_learns_held_out_labels_and_is_repeatable(spark):
     rows = _corpus(random.Random(4), 400) + [(400, None), (401, "")]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
