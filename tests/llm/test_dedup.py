@@ -121,6 +121,20 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs):
     assert M.classes(docs.where("false")).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_deduplicated_one_by_one(spark):
+    rng = random.Random(11)
+    make = lambda: [f"q{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d = make(), make(), make(), make()
+    near = [*c]
+    near[30] = "other"
+    a, b, c, d, near = (" ".join(x) for x in (a, b, c, d, near))
+    # a null-id copy goes, near copies without ids leave one, and the unique text that shares its id with a copy stays
+    rows = [(1, a), (None, a), (None, c), (None, near), (5, b), (6, b), (6, d), (None, ""), (None, "")]
+    got = [tuple(r) for r in M.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len([t for _, t in got if t in (c, near)]) == 1
+    assert sorted((x for x in got if x[1] not in (c, near)), key=str) == sorted([(1, a), (5, b), (6, d), (None, "")], key=str)
+
+
 def test_common_shingles_are_counted_exactly(spark):
     line = "this very common line stands"
     texts = [line + f" here {i} {i * 7} {i * 3} and more" if i % 5 == 0 else f"text number {i} is of its own kind {i}" for i in range(300)]
