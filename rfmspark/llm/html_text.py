@@ -3,9 +3,12 @@
 Each page is read once into text blocks with their root-to-leaf tag path (block elements and their
 first class). Text length and punctuation are added up per path and divided by the path's number
 of blocks; both ratios are smoothed along the order in which paths appear, scaled, fused, lowered
-by the share of text in links, and cut at the page's mean. The smallest element that holds nearly
-all the text of the chosen paths is the article; its blocks are the result, save those in elements
-that by their tag, class or id are menus, notices, adverts, forms, comments and the like.
+by the share of text in links and of blocks in elements that by class or id are menus, notices,
+adverts, comments and the like, and cut at the page's mean. The article is the smallest element that
+holds all blocks of the chosen paths, or the <article> or <main> around it. Its chosen blocks are the
+result, with the others beside them that are neither mostly links nor so named, and with headings
+and paragraphs that stand right beside the article or the elements around it, below <body>.
+Menus, footers, forms and hidden elements are left out by their tags and roles.
 
 Defined results: null, empty and text-free pages give an empty text; broken markup is closed the
 way browsers do for paragraphs, list items and table cells; very long pages take one linear pass;
@@ -47,15 +50,17 @@ OUTSIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "header"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 KEEP_TAGS = {"html", "body", "article", "main"}
-HOLDS = 0.9
+BESIDE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"}
+#: What is left of the score of a path whose blocks all are in elements named as no part of the article.
+NAMED = 0.1
 
 
 class Element:
-    __slots__ = ("name", "path", "outside", "block", "article")
+    __slots__ = ("name", "path", "outside", "named", "block", "article")
 
     def __init__(self, name, parent, number, attrs, page):
         self.name = name
-        first, outside = "", parent.outside if parent else False
+        first, outside, named = "", parent.outside if parent else False, parent.named if parent else False
         self.article = (parent.article if parent else False) or name in ("article", "main")
         if name in OUTSIDE_TAGS or name == "header" and not self.article:
             outside = True
@@ -63,24 +68,29 @@ class Element:
             known = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             first = known.get("class", "").split(" ")[0]
             names = set(_CLEAN.split(f"{known.get('class', '')} {known.get('id', '')}".lower()))
-            if name not in KEEP_TAGS and (names & OUTSIDE_NAMES or known.get("role", "").lower() in OUTSIDE_ROLES) or "hidden" in known \
+            if self.article:
+                names.discard("header")  # an article's own
+            named |= name not in KEEP_TAGS and bool(names & OUTSIDE_NAMES)
+            if name not in KEEP_TAGS and known.get("role", "").lower() in OUTSIDE_ROLES or "hidden" in known \
                     or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower():
                 outside = True
-        self.outside = outside
+        self.outside, self.named = outside, named
         if name in INLINE and parent:
             self.path, self.block = parent.path, parent.block
         else:
             self.path = page.path(parent.path if parent else -1, f"{name}.{first}" if first else name)
             self.block = number
             page.parents.append(parent.block if parent else -1)
+            page.names.append(name)
 
 
 class Page:
     """Text blocks in page order, the parent of every block element (numbered in page order) and the paths met."""
 
     def __init__(self):
-        self.found: list[tuple[int, int, bool, str, int]] = []  # path, element, outside, text, characters in links
+        self.found: list[tuple[int, int, bool, str, int, bool]] = []  # path, element, outside, text, characters in links, named
         self.parents: list[int] = []
+        self.names: list[str] = []
         self.paths: dict[tuple[int, str], int] = {}
 
     def path(self, above: int, step: str) -> int:
@@ -116,7 +126,7 @@ def blocks(page: str) -> Page:
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1]
-            out.found.append((top.path, top.block, top.outside, text, min(linked, len(text))))
+            out.found.append((top.path, top.block, top.outside, text, min(linked, len(text)), top.named))
         parts.clear()
         linked = 0
 
@@ -124,7 +134,7 @@ def blocks(page: str) -> Page:
         nonlocal linked
         if raw:
             t = entities.unescape(raw) if "&" in raw else raw
-            if stack[-1].outside and not stack[-2].outside and stack[-1].name in INLINE:
+            if stack[-1].name in INLINE and (stack[-1].outside and not stack[-2].outside or stack[-1].named and not stack[-2].named):
                 return  # a hidden or marked inline element inside a kept block
             parts.append(t)
             if links:
@@ -188,16 +198,17 @@ def blocks(page: str) -> Page:
     return out
 
 
-def path_scores(found: list[tuple[int, int, bool, str, int]]) -> dict[int, float]:
-    """Fused score of every path: smoothed text and punctuation per block, lowered by the share of link text."""
+def path_scores(found: list[tuple[int, int, bool, str, int, bool]]) -> dict[int, float]:
+    """Fused score of every path: smoothed text and punctuation per block, lowered by the shares of link text and of named blocks."""
     stats: dict[int, list[int]] = {}
-    for path, _, outside, text, linked in found:
-        s = stats.setdefault(path, [0, 0, 0, 0, 0])
+    for path, _, outside, text, linked, named in found:
+        s = stats.setdefault(path, [0, 0, 0, 0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_MARKS.findall(text))
         s[3] += linked
         s[4] |= not outside
+        s[5] += named
     if not stats:
         return {}
     v = np.array(list(stats.values()), float)
@@ -208,7 +219,7 @@ def path_scores(found: list[tuple[int, int, bool, str, int]]) -> dict[int, float
         own = v[:, k] / v[:, 0]
         smooth = np.minimum(smooth, 2 * own + 1)  # a rich neighbour lifts a path, but doesn't make it rich
         fused += smooth / max(smooth.max(), 1e-9) / 2
-    fused *= (1 - v[:, 3] / np.maximum(v[:, 1], 1)) * v[:, 4]
+    fused *= (1 - v[:, 3] / np.maximum(v[:, 1], 1)) * v[:, 4] * (1 - (1 - NAMED) * v[:, 5] / v[:, 0])
     return dict(zip(stats, fused))
 
 
@@ -221,14 +232,30 @@ def main_text(page: str) -> str:
     cut = np.mean([scores[p] for p in {b[0] for b in inner}])
     chosen = [b for b in inner if scores[b[0]] >= cut]
     weight: dict[int, int] = {}
-    for _, e, _, text, _ in chosen:
-        weight[e] = weight.get(e, 0) + len(text)
+    for b in chosen:
+        weight[b[1]] = weight.get(b[1], 0) + 1
     held = tree.held(weight)
-    best = max(e for e, w in enumerate(held) if w >= HOLDS * held[0])  # they lie in each other, so the last is the deepest
-    inside = tree.within(best)
+    best = max(e for e, w in enumerate(held) if w == held[0])  # they lie in each other, so the last is the deepest
     if best in weight and tree.parents[best] >= 0:
-        inside = tree.within(tree.parents[best])  # a single block outweighs all: what stands beside it belongs to the article too
-    return "\n".join([b[3] for b in inner if inside[b[1]]])
+        best = tree.parents[best]  # a single block outweighs all: what stands beside it belongs to the article too
+    above, e = [], best
+    while e >= 0:
+        above.append(e)
+        e = tree.parents[e]
+    best = max((e for e in above if tree.names[e] in ("article", "main")), key=lambda e: -e, default=best)
+    inside = tree.within(best)
+    around = {e for e in above if e <= best and tree.names[e] not in ("#root", "html", "body")}
+    cut_ids = {id(b) for b in chosen}
+
+    def stays(b) -> bool:
+        _, e, _, text, linked, named = b
+        name, up = tree.names[e], tree.parents[e]
+        if inside[e]:
+            return id(b) in cut_ids or name == "h1" or not named and (2 * linked <= len(text) or name in BESIDE)
+        if name == "h1":
+            return up in around or up >= 0 and tree.parents[up] in around
+        return name in BESIDE and up in around and not named and 2 * linked <= len(text)
+    return "\n".join([b[3] for b in inner if stays(b)])
 
 
 def _extract(batches):

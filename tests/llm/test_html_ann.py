@@ -28,6 +28,19 @@ def test_odd_pages():
     assert H.main_text("<article><header><h1>Head</h1></header><p>Text, one two.</p><footer>by</footer></article>") == "Head\nText, one two."
 
 
+def test_heading_lead_sections_and_named_wrappers_stay():
+    text = "".join(f"<p>Sentence {i}, which is long enough, as sentences in articles are; it goes on and on.</p>" for i in range(30))
+    whole = "\n".join(f"Sentence {i}, which is long enough, as sentences in articles are; it goes on and on." for i in range(30))
+    nav, foot = "<nav><a href=a>One</a></nav>", "<div class=comments><p>A reader says, well, that this is great.</p></div><footer>by</footer>"
+    for open_, close in (("<article>", "</article>"), ("<div class=post>", "</div>")):
+        assert H.main_text(f"<body>{nav}{open_}<h1>Head</h1><p>Lead, short.</p><div class=body>{text}</div>{close}{foot}") == f"Head\nLead, short.\n{whole}"
+        assert H.main_text(f"<body>{nav}{open_}<div class=entry-header><h1>Head</h1></div><div class=body>{text}</div>{close}{foot}") == f"Head\n{whole}"
+    two = f"<article><section class=a>{text}</section><section class=b><p>The rest, which is short, ends here.</p></section></article>"
+    assert H.main_text(f"<body>{nav}{two}{foot}") == f"{whole}\nThe rest, which is short, ends here."
+    for name in ("paywall", "category-social"):
+        assert H.main_text(f"<body>{nav}<div class='{name}'>{text}</div>{foot}") == whole
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, 0), (2, None, None, 0), (2, None, None, 0), (None, "u", "<p>x</p>", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
