@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, rp_forest, suffix_dedup, window_dedup
+from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, rp_forest, suffix_dedup, token_align, window_dedup
 from rfmspark.llm.bpe import encode_documents
 from rfmspark.llm.common import table
 from rfmspark.llm.packing import pack_documents
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_pii": (op2_pii, None),
@@ -69,4 +73,5 @@ REGISTRY = {
     "op8_minhash": (op8_minhash, None),
     "op9_rp_forest": (op9_rp_forest, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op13_token_align": (op13_token_align, None),
 }
