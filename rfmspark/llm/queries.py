@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmspark.llm import html_text, minhash, pii, quality_gam, quality_rules, rp_forest, suffix_dedup, token_align, window_dedup
+from rfmspark.llm import exact_topk, html_text, lexical, minhash, pii, quality_gam, quality_rules, rp_forest, suffix_dedup, token_align, window_dedup
 from rfmspark.llm.bpe import encode_documents
 from rfmspark.llm.common import table
 from rfmspark.llm.packing import pack_documents
@@ -58,6 +58,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op11_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return exact_topk.top_products(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignment_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -73,5 +82,7 @@ REGISTRY = {
     "op8_minhash": (op8_minhash, None),
     "op9_rp_forest": (op9_rp_forest, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_tiled_topk": (op11_tiled_topk, exact_topk.SQL),
+    "op12_lexical_scan": (op12_lexical_scan, lexical.SQL),
     "op13_token_align": (op13_token_align, None),
 }
