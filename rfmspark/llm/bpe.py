@@ -19,10 +19,11 @@ import json
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rfmspark.llm.common import TOKENIZERS, setup
+from rfmspark.llm.common import setup
 
 CACHE_WORDS = 600_000
 # White space by Unicode's property; no pre-token spans it.
@@ -197,4 +198,4 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, full: bool =
     setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + "ids array<long>, decoded string, " * full + "ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(_coder(tokenizer or f"{TOKENIZERS}/word_bpe_49k.json", full), schema)
+    return docs.select("doc_id", "text").mapInArrow(_coder(tokenizer or public_tokenizers.path("word_bpe_49k.json"), full), schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rfmspark.session import prepare
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 U64 = np.uint64
 #: Text bytes that one numpy kernel call handles; a longer single text is handled whole.
 SLICE_BYTES = 1 << 20

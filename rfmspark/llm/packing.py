@@ -2,19 +2,18 @@
 
 Every document is tokenised whole, closed with an end id, and cut into full windows of
 ``capacity`` ids; the remainder (shorter than a window) is what gets packed. Remainders are dealt
-by a hash of their document into shards of about ``SHARD_ROWS`` rows (the number of shards follows
+by a hash of their row number into shards of about ``SHARD_ROWS`` rows (the number of shards follows
 the row count, the size of a shard doesn't), and each shard is packed by itself: lengths in
 decreasing order, each into the tightest open window found with a segment tree over remaining
-capacities. Only (doc_id, start, length) rows are shuffled, never texts or ids.
+capacities. Only (doc_id, start, length) rows are shuffled, never texts; equal rows are dealt as evenly as others.
 
 Defined results: a null or empty text is one piece that holds only the end id; very long texts
 give several full windows; repeated rows or repeated doc_ids are packed row by row (their pieces
-share a doc_id); an empty table gives no pieces; other columns of the input are ignored.
+share a doc_id); pieces of equal length are taken by doc_id, start and checksum; an empty table gives no pieces; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -22,88 +21,30 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rfmspark.llm.common import TOKENIZERS, setup
+from rfmspark.llm.byte_level import byte_level
+from rfmspark.llm.common import setup
 
 CAPACITY = 2048
 END_ID = 1
 SHARD_ROWS = 32768
-#: Words whose ids a worker keeps at once; a full store is emptied, nothing else changes.
-CACHE_WORDS = 600_000
-# Texts of plain Latin letters, digits, ASCII signs, blanks and line ends are split here by the vocabulary's own
-# pattern (restricted to that alphabet); any other text, or one that may hold a special token, is encoded whole.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-_RARE = re.compile(f"[^\n\x20-\x7e{_LETTERS}]")
-_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
-
-
-class IdStore(dict):
-    """Word -> its ids as little-endian bytes, filled by the tokenizer on a miss."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words)
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-        # One text of all words, a line each: a line end is a token of its own before a word with or without its blank.
-        plain = [w for w in new if "\n" not in w and w.strip(" ")]
-        if plain:
-            ids = np.frombuffer(self.encode(["\n".join(["", *plain, ""])])[0], "<u4")
-            at = np.flatnonzero(ids == self.line_end)
-            self.update(zip(plain, [ids[a + 1:b].tobytes() for a, b in zip(at[:-1], at[1:])]))
-        rest = [w for w in new if "\n" in w or not w.strip(" ")]
-        self.update(zip(rest, self.encode(rest)))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [_TOKEN.findall(t) if not _RARE.search(t) and "<|" not in t else None for t in texts]
-        whole = iter(self.encode([t for t, p in zip(texts, parts) if p is None]))
-        got = [None if p is None else list(map(self.get, p)) for p in parts]
-        self.learn({w for p, g in zip(parts, got) if g and None in g for w, x in zip(p, g) if x is None})
-        # a full store may have been emptied meanwhile: what it gave before still stands
-        return [next(whole) if p is None else b"".join([self[w] if x is None else x for w, x in zip(p, g)] if None in g else g)
-                for p, g in zip(parts, got)]
-
-
-_STORES: dict[str, IdStore] = {}
-
-
-def _store(path: str) -> IdStore:
-    """A worker's store lasts over its tasks."""
-    if path not in _STORES:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _STORES[path] = IdStore(path)
-    return _STORES[path]
-
-
-def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
 
+
+def _cutter(path: str | None, capacity: int, end_id: int, with_ids: bool):
     def fn(batches):
-        store = _store(path)
+        encoder = byte_level(path)
         for batch in batches:
-            doc, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for lo in range(0, len(texts), 256):
-                for d, ids in zip(doc[lo:lo + 256], store.texts(texts[lo:lo + 256])):
-                    ids += end
-                    n = len(ids) // 4
-                    for s in range(0, n, capacity):
-                        piece = ids[4 * s:4 * (s + capacity)]
-                        rows["doc_id"].append(d)
-                        rows["start"].append(s)
-                        rows["length"].append(len(piece) // 4)
-                        rows["ids_crc32"].append(zlib.crc32(piece))
-                        rows["doc_tokens"].append(n)
+            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.array([*encoder.encode(text.as_py() or ""), end_id], "<u4").tobytes()
+                n = len(ids) // 4
+                for s in range(0, n, capacity):
+                    piece = ids[4 * s:4 * (s + capacity)]
+                    rows["doc_id"].append(d)
+                    rows["start"].append(s)
+                    rows["length"].append(len(piece) // 4)
+                    rows["ids_crc32"].append(zlib.crc32(piece))
+                    rows["doc_tokens"].append(n)
+                    if with_ids:
                         rows["ids"].append(piece)
             types = {"doc_id": batch.schema.field("doc_id").type, "ids": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in rows.items() if with_ids or k != "ids"})
@@ -113,10 +54,9 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
 def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and the ids as little-endian unsigned 32-bit)."""
     setup(docs.sparkSession)
-    path = tokenizer or f"{TOKENIZERS}/byte_bpe_50k.json"
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, end_id, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, end_id, with_ids), schema)
 
 
 class CapacityTree:
@@ -176,16 +116,18 @@ def _shard_packer(capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset; any further columns stay."""
+    """``pieces`` with sequence_id and offset; any further columns stay.
+
+    The pieces (never texts) are written once, so that every row has a fixed number of its own to be dealt by."""
     setup(pieces.sparkSession)
-    n = pieces.count()  # one pass for the size; a shard's size doesn't depend on it
+    pieces = pieces.checkpoint()
+    n = pieces.count()  # a shard's size doesn't depend on it
     shards = max(1, -(-n // SHARD_ROWS))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     return dealt.groupBy("shard").applyInPandas(_shard_packer(capacity), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack whole documents; the pieces (not the texts) are cut off from their lineage once."""
-    pieces = cut(docs, tokenizer, capacity, end_id, with_ids).checkpoint()
-    return pack(pieces, capacity)
+    """Tokenise, cut and pack whole documents."""
+    return pack(cut(docs, tokenizer, capacity, end_id, with_ids), capacity)

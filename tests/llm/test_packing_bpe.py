@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from rfmspark.llm import bpe, packing
-from rfmspark.llm.common import TOKENIZERS
+from rfmspark.llm.byte_level import byte_level
 
 POOL = "aAbBéİΣς '’\n\t \x85 ́.,!1２<|endoftext|>漢😀'sll"
 
@@ -21,7 +22,7 @@ def texts():
 
 def library(name):
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(f"{TOKENIZERS}/{name}.json")
+    t = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     t.no_truncation()
     t.no_padding()
     return t
@@ -32,7 +33,7 @@ def test_bpe_is_the_librarys(spark, texts):
     docs = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
     rows = {r["doc_id"]: r for r in bpe.encode_documents(docs).collect()}
     assert len(rows) == len(texts)
-    coder = bpe.PairIndexEncoder(f"{TOKENIZERS}/word_bpe_49k.json")
+    coder = bpe.PairIndexEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for i, x in enumerate(texts):
         ids = t.encode(x or "", add_special_tokens=False).ids
         shown = t.decode(ids, skip_special_tokens=False)
@@ -44,15 +45,13 @@ def test_bpe_is_the_librarys(spark, texts):
 
 def test_full_store_is_emptied_without_harm(monkeypatch, texts):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
-    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
     plain = [x or "" for x in texts[:200]]
     t, b = library("word_bpe_49k"), library("byte_bpe_50k")
-    got = bpe.PairIndexEncoder(f"{TOKENIZERS}/word_bpe_49k.json")
-    store = packing.IdStore(f"{TOKENIZERS}/byte_bpe_50k.json")
+    got = bpe.PairIndexEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for lo in range(0, 200, 7):
         part = plain[lo:lo + 7]
         assert [x for x, _ in got.encode(part)] == [np.array(t.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in part]
-        assert store.texts(part) == [np.array(b.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in part]
+        assert [byte_level().encode(p) for p in part] == [b.encode(p, add_special_tokens=False).ids for p in part]
 
 
 def test_packing_holds_every_id_once(spark, texts):
@@ -95,3 +94,13 @@ def test_best_fit_against_a_plain_search():
                 assert rooms[w] == min(fit)
             assert o == 64 - rooms[w]
             rooms[w] -= n
+
+
+def test_equal_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 64)
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i % 5, "same text") for i in range(900)], "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs).collect()
+    shards = {}
+    for r in rows:
+        shards[r["sequence_id"] >> 32] = shards.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 900 and max(shards.values()) < 120 and sum(r["doc_id"] is None for r in rows) == 300
