@@ -22,6 +22,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -38,22 +39,43 @@ LANE = 64
 HOT_PAIRS = 1 << 20
 #: Pairs that a task counts before it passes their counts on.
 HELD_PAIRS = 1 << 21
+#: Words whose ids a worker keeps from one slice to the next; a full store is emptied, nothing else changes.
+STORE_WORDS = 400_000
+OTHER = 0xFFFFFFFF
 SHIFT = 32
 
 
 class PieceModel:
-    """Sentence-piece vocabulary: an encoder, and each id's bytes in space + text."""
+    """Sentence-piece vocabulary: an encoder, and each id's bytes in space + text.
+
+    No piece holds a blank after another character (checked), so no merge crosses the place where blanks follow a word:
+    texts are cut there and every distinct word with the blanks before it is encoded once, as long as the store holds it."""
 
     def __init__(self, path: str):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            self.pieces.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
-
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        crossing = any("▁" in p.lstrip("▁") for p in names)
+        self.words = re.compile(" .*" if crossing else " +[^ ]*", re.S)
+        self.store: dict[str, bytes] = {}
+
+    def encode(self, wholes: list[str]) -> list[np.ndarray]:
+        """Ids of each space + text; ``OTHER`` for a word whose pieces' bytes are not its own."""
+        parts = [self.words.findall(w) for w in wholes]
+        if len(self.store) > STORE_WORDS:
+            self.store.clear()
+        self._learn(list(set().union(*parts).difference(self.store)))
+        return [np.frombuffer(b"".join(map(self.store.__getitem__, p)), "<u4") for p in parts]
+
+    def _learn(self, words: list[str]) -> None:
+        blank = [self.model.piece_to_id("▁")]
+        lists = [blank if w == " " else own for w, own in zip(words, self.model.encode([w[1:] for w in words], num_threads=1))]
+        if b"".join([self.pieces[i] for own in lists for i in own]) != "".join(words).encode():
+            lists = [own if b"".join([self.pieces[i] for i in own]) == w.encode() else [OTHER] for w, own in zip(words, lists)]
+        ends = (4 * np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))).tolist()
+        raw = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+        self.store.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -99,13 +121,29 @@ def _dealt(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+_DIGITS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right-aligned decimal digits of 0 to n - 1 (or further), each followed by a comma, and which of them are shown."""
+    if not _DIGITS or len(_DIGITS[0][0]) < n:
+        numbers = np.arange(max(n, 1 << 16))
+        power = 10 ** np.arange(len(str(len(numbers) - 1)) - 1, -1, -1)
+        digits = np.full((len(numbers), len(power) + 1), ord(","), np.uint8)
+        digits[:, :-1] = numbers[:, None] // power % 10 + ord("0")
+        valid = np.ones(digits.shape, bool)
+        valid[:, :len(power) - 1] = numbers[:, None] >= power[:-1]
+        _DIGITS[:] = [(digits, valid)]
+    return _DIGITS[0]
+
+
 class Alignment:
     """Groups and links of a run of documents, given each one's ids by both tokenizers."""
 
-    def __init__(self, ids_a: list[list[int]], ids_b: list[list[int]], sizes_a: np.ndarray, sizes_b: np.ndarray):
-        def flat(lists):
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            return n, np.fromiter(chain.from_iterable(lists), np.int64, n.sum())
+    def __init__(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray):
+        def flat(arrays):
+            n = np.fromiter(map(len, arrays), np.int64, len(arrays))
+            return n, np.concatenate([np.zeros(0, np.int64), *arrays], dtype=np.int64)
 
         self.n_a, self.a = flat(ids_a)
         self.n_b, self.b = flat(ids_b)
@@ -152,29 +190,30 @@ class Alignment:
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ``a1,a2|b1;a3|b2`` of all documents, and where each document begins (with the end)."""
-        ids = np.concatenate([self.a, self.b])
-        order = np.argsort(np.concatenate([2 * self.group_a, 2 * self.group_b + 1]), kind="stable")
-        side = np.concatenate([2 * self.group_a, 2 * self.group_b + 1])[order]
-        doc, ids = np.concatenate([self.doc_a, self.doc_b])[order], ids[order]
-        width = len(str(int(ids.max()))) if len(ids) else 1
-        cells = np.full((len(ids), width + 1), ord(","), np.uint8)
-        power = 10 ** np.arange(width - 1, -1, -1)
-        cells[:, :width] = ids[:, None] // power % 10 + ord("0")
-        shown = np.ones(cells.shape, bool)
-        shown[:, :width - 1] = ids[:, None] >= power[:-1]
-        turn = side[1:] != side[:-1]
-        cells[:-1, width][turn] = np.where(side[:-1][turn] & 1, ord(";"), ord("|"))
-        last = np.r_[doc[1:] != doc[:-1], np.ones(min(1, len(doc)), bool)]
-        shown[last, width] = False
-        length = np.bincount(doc, weights=shown.sum(1), minlength=len(self.n_a)).astype(np.int64)
-        return cells[shown], np.r_[0, np.cumsum(length)]
+        n_groups = int(self.n_groups.sum())
+        in_a, in_b = (np.bincount(g, minlength=n_groups) for g in (self.group_a, self.group_b))
+        end_a, end_b = np.cumsum(in_a), np.cumsum(in_b)
+        ids = np.zeros(len(self.a) + len(self.b), np.int64)
+        ids[np.arange(len(self.a)) + np.repeat(end_b - in_b, in_a)] = self.a
+        ids[np.arange(len(self.b)) + np.repeat(end_a, in_b)] = self.b
+        digits, valid = _decimals(int(ids.max(initial=0)) + 1)
+        cells, shown = digits[ids], valid[ids]
+        cells[end_a + end_b - in_b - 1, -1] = ord("|")
+        cells[end_a + end_b - 1, -1] = ord(";")
+        last = np.cumsum(self.n_a + self.n_b) - 1  # of each document; no separator follows
+        shown[last[self.n_a > 0], -1] = False
+        size = np.r_[0, np.cumsum(valid.sum(1)[ids])][last + 1] - np.cumsum(self.n_a > 0)
+        return cells[shown], np.r_[0, size]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct id pairs of each document in order, how often each is linked there, and where each document begins (with the end)."""
-        order = np.lexsort((self.link_b, self.link_a, self.link_doc))
-        doc, key = self.link_doc[order], (self.link_a << SHIFT | self.link_b)[order]
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, np.int64)
-        return key[new], np.diff(np.r_[new, len(key)]), np.searchsorted(doc[new], np.arange(len(self.n_a) + 1))
+        bits = int(self.b.max(initial=0)).bit_length()
+        wide = bits + int(self.a.max(initial=0)).bit_length()
+        both = np.sort(self.link_doc << wide | self.link_a << bits | self.link_b)
+        new = np.flatnonzero(np.diff(both, prepend=-1))
+        one = both[new]
+        key = (one >> bits & (1 << wide - bits) - 1) << SHIFT | one & (1 << bits) - 1
+        return key, np.diff(np.r_[new, len(both)]), np.searchsorted(one >> wide, np.arange(len(self.n_a) + 1))
 
 
 def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
@@ -201,12 +240,13 @@ def _aligner(path_a: str | None, path_b: str | None):
         for batch in batches:
             for part in slices(batch, "text"):
                 kept, ids_a, ids_b = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    if not text:
+                wholes = [" " + t if t else "" for t in part.column("text").to_pylist()]
+                for i, (whole, y) in enumerate(zip(wholes, b.encode(wholes))):
+                    if not whole:
                         continue
-                    whole = " " + text
-                    x, y, want = a.encode(whole), b.encode(text), whole.encode()
-                    if b"".join(map(a.pieces.__getitem__, x)) == want and b"".join(map(b.pieces.__getitem__, y)) == want:
+                    x = np.array(a.encode(whole), np.uint32)
+                    # byte-level pieces are the text's own bytes, so their number tells whether all are there
+                    if not (y == OTHER).any() and sizes[0][x].sum() == len(whole.encode()):
                         kept.append(i)
                         ids_a.append(x)
                         ids_b.append(y)
@@ -279,31 +319,23 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def _hot_scorer(shared):
+def _scorer(shared):
+    """Sums over a document's hot pairs; its other pairs and how often each is linked."""
     def fn(batches):
         keys, n, best = shared.value
         for batch in batches:
-            sums = np.zeros((2, batch.num_rows), np.int64)
-            for i, raw in enumerate(batch.column("pairs").to_pylist()):
+            rows = {"hot_best": [], "hot_sum": [], "cold": [], "times": []}
+            for raw in batch.column("pairs").to_pylist():
                 key, times = _unpacked(raw)
                 at, there = _found(keys, key)
-                at, times = at[there], times[there]
-                sums[0, i], sums[1, i] = times[best[at]].sum() if len(at) else 0, (times * n[at]).sum() if len(at) else 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in batch.schema.names if k != "pairs"), pa.array(sums[0]), pa.array(sums[1])],
-                                             names=[*(k for k in batch.schema.names if k != "pairs"), "hot_best", "hot_sum"])
-    return fn
-
-
-def _cold_rows(shared):
-    def fn(batches):
-        keys = shared.value[0]
-        for batch in batches:
-            rid = batch.column("rid").to_numpy()
-            for i, raw in enumerate(batch.column("pairs").to_pylist()):
-                key, times = _unpacked(raw)
-                rest = ~_found(keys, key)[1]
-                if rest.any():
-                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(rest.sum(), rid[i])), "pair": pa.array(key[rest]), "times": pa.array(times[rest])})
+                rest, at = ~there, at[there]
+                rows["cold"].append(key[rest])
+                rows["times"].append(times[rest])
+                rows["hot_best"].append(int(times[there][best[at]].sum()) if len(at) else 0)
+                rows["hot_sum"].append(int((times[there] * n[at]).sum()) if len(at) else 0)
+            kept = [k for k in batch.schema.names if k != "pairs"]
+            types = {"cold": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(v, types.get(k, pa.int64())) for k, v in rows.items())], names=[*kept, *rows])
     return fn
 
 
@@ -316,8 +348,8 @@ def score(aligned: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIRS) ->
     shared = spark.sparkContext.broadcast(tuple(hot.column(k).to_numpy() for k in ("pair", "n", "best")))
     plain = [f for f in aligned.schema if f.name != "pairs"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
-    docs = aligned.mapInArrow(_hot_scorer(shared), f"{schema}, hot_best long, hot_sum long")
-    cold = aligned.select("rid", "pairs").mapInArrow(_cold_rows(shared), "row long, pair long, times long") \
+    docs = aligned.mapInArrow(_scorer(shared), f"{schema}, hot_best long, hot_sum long, cold array<long>, times array<long>").checkpoint()
+    cold = docs.select(F.col("rid").alias("row"), F.explode(F.arrays_zip("cold", "times")).alias("x")).select("row", F.col("x.cold").alias("pair"), "x.times") \
         .join(counts.where(~often), "pair") \
         .groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("cold_best"), F.sum(F.col("times") * F.col("n")).alias("cold_sum"))
     return docs.join(cold, F.col("rid") == F.col("row"), "left").select(

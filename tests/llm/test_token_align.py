@@ -112,3 +112,15 @@ def test_rank_encoder_is_the_library(tokenizers):
         assert encoder.encode(text) == tokenizers[0].encode(text, add_special_tokens=False).ids
     as_token = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert byte_level(None).encode("a<|endoftext|>b") == as_token.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_words_encode_as_the_whole(tokenizers, monkeypatch):
+    monkeypatch.setattr(token_align, "STORE_WORDS", 50)
+    model = token_align.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    texts = [t for t in TEXTS if t and "▁" not in t] + ["".join(rng.choice(list("ab  eñ,.\n東0\u3000\xa0é"), 80)) for _ in range(300)]
+    texts += [f"a{chr(c)} b {chr(c)}{chr(c)}  1{chr(c)}x" for c in range(1, 0x3000) if c != 0x2581]
+    for lo in range(0, len(texts), 100):
+        part = texts[lo:lo + 100]
+        assert [x.tolist() for x in model.encode([" " + t for t in part])] == tokenizers[1].encode(part)
+    assert token_align.OTHER in model.encode([" a ▁ b"])[0]
