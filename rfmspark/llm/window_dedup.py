@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from rfmspark.llm.common import SPACE, U64, covered, leftmost_minima, mix, prefix_hash, rolling, setup, slices, span_hash, utf8, words
+from rfmspark.llm.common import SPACE, U64, covered, leftmost_minima, mix, prefix_hash, release, rolling, setup, slices, span_hash, utf8, words
 
 WINDOW = 13
 SEED = 6
@@ -126,7 +126,9 @@ def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFr
     texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
     seeds = texts.mapInArrow(_seeds, "seed long, rid long, pos int")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
-    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("rid").agg(F.collect_set("pos").alias("seeds")).withColumnRenamed("rid", "k")
+    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("rid").agg(F.collect_set("pos").alias("seeds")).withColumnRenamed("rid", "k").checkpoint()
+    del seeds, often
+    release(docs.sparkSession)  # the seeds' files go before those of the windows come
     rows = texts.join(alive, F.col("rid") == F.col("k"), "left").select("rid", "key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
         .mapInArrow(_extend, "w long, rid long, key long, pos int")
     return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "rid", "key", "pos", "first")
@@ -174,6 +176,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     copied = copies(docs).checkpoint()
-    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("rid").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("rid").alias("k")).agg(F.collect_set("pos").alias("gone")).checkpoint()
+    release(docs.sparkSession)
     return _marked(docs, copied).join(gone, F.col("rid") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
         .mapInArrow(_report, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
