@@ -180,6 +180,6 @@ def test_deduplicate_keeps_clashing_columns_and_wordless_rows(spark):
     text = "one two three four five six seven eight"
     rows = [(1, text, "a", 1, 2), (2, text, "b", 3, 4), (2, text, "b", 3, 4), (None, None, "c", 5, 6), (None, None, "c", 5, 6), (7, " ", "d", 7, 8), (7, " ", "d", 7, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _rid string, _gone int, label int")
-    left = minhash.deduplicate(docs)
+    left = M.deduplicate(docs)
     assert left.columns == docs.columns
     assert sorted(map(str, left.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id != 2").collect()))
