@@ -34,6 +34,23 @@ def linear_margin(weights: DataFrame, value_cols: list[str], names: list[str]) -
     return wide, z
 
 
+def with_segment(feats: DataFrame, seg_params: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Input rows with F9 -> + Predicted_Segment: the nearest centroid in the space that the centroids were built in."""
+    d = require_features(feats)
+    own = [f"_seg_{c}" for c in MODEL_FEATURES]
+    d = d.withColumns({s: fn_log1p(c.removesuffix("_log")) if c.endswith("_log") else F.col(c) for s, c in zip(own, MODEL_FEATURES)})
+    d = apply_scaler(d, seg_params.withColumn("feature", F.concat(F.lit("_seg_"), "feature")), own, replace=True)
+    seg = nearest_centroid(d, centroids.select("Segment", *[F.col(s).alias(o) for s, o in zip(SCALED_FEATURES, own)]), own,
+                           out="Predicted_Segment", dist_out=None)
+    return seg.select(*feats.columns, "Predicted_Segment")
+
+
+def score_stored(feats: DataFrame, seg_params: DataFrame, centroids: DataFrame, model) -> DataFrame:
+    """``score_batch`` with a model of the store (a fitted pipeline that brings its own scaler)."""
+    from rfmspark.operators.model_store import predict
+    return predict(model, with_segment(feats, seg_params, centroids), "Purchase_Probability", "Predicted_Purchase_Label")
+
+
 def score_batch(feats: DataFrame, seg_params: DataFrame, centroids: DataFrame, model_params: DataFrame,
                 weights: DataFrame) -> DataFrame:
     """Input rows with F9 -> + Predicted_Segment (nearest centroid in the space the

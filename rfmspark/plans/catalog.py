@@ -716,8 +716,8 @@ def _seg_pieces(ctx: Ctx):
 SELECT CustomerID, Predicted_Segment, Predicted_Purchase_Label, {r('Purchase_Probability')} AS Purchase_Probability
 FROM ({score_sql('features')})""", "features", "scaler", "seg_cents", "ho_scaler", "ho_w"))
 def q_score_batch(ctx: Ctx) -> DataFrame:
-    """Every customer's current features: segment, purchase label and probability."""
-    s = score_ops.score_batch(ctx.features, *_seg_pieces(ctx))
+    """Every customer's current features: segment, purchase label and probability by the store's active model."""
+    s = score_ops.score_stored(ctx.features, *_seg_pieces(ctx)[:2], ctx.scorer_store.active_model())
     return rounded(s.select("CustomerID", "Predicted_Segment", "Predicted_Purchase_Label", "Purchase_Probability"))
 
 
@@ -726,7 +726,7 @@ def q_score_batch(ctx: Ctx) -> DataFrame:
 def q_assign_segment(ctx: Ctx) -> DataFrame:
     """Feature-period customers placed in the current segments (nearest centroid with the
     scaler the centroids were made with)."""
-    s = score_ops.score_batch(ctx.supervised.select("CustomerID", *FEATURES), *_seg_pieces(ctx))
+    s = score_ops.with_segment(ctx.supervised.select("CustomerID", *FEATURES), *_seg_pieces(ctx)[:2])
     return s.select("CustomerID", "Predicted_Segment")
 
 
@@ -1083,11 +1083,11 @@ def _scored_stream(ctx: Ctx):
 SELECT CustomerID, seq, Target, Predicted_Segment, Predicted_Purchase_Label, {r('Purchase_Probability')} AS Purchase_Probability,
        correct FROM replay_scored""", "replay_scored"))
 def q_stream_score(ctx: Ctx) -> DataFrame:
+    """The replayed stream, every micro-batch scored by the model that is active at its begin."""
     out = files.scratch_table(ctx.spark, "stream_scored")
-    s = _scored_stream(ctx).select("CustomerID", "seq", "Target", "Predicted_Segment", "Predicted_Purchase_Label",
-                                   "Purchase_Probability", "correct")
-    st.run_to_table(s, out, out + "_ckpt", "append")
-    return rounded(files.read_parquet(ctx.spark, out))
+    st.stream_score_active(_replay_stream(ctx), ctx.scorer_store, "class_mean_linear", *_seg_pieces(ctx)[:2], out, out + "_ckpt")
+    return rounded(files.read_parquet(ctx.spark, out, ["CustomerID", "seq", "Target", "Predicted_Segment", "Predicted_Purchase_Label",
+                                                       "Purchase_Probability", "correct"]))
 
 
 @query("stream_running_accuracy", with_ctes(f"""
@@ -1128,7 +1128,8 @@ SELECT CAST(CustomerID AS BIGINT) AS id, CustomerID AS customer_id, {", ".join(f
        {r('Purchase_Probability')} AS stacking_prob FROM replay_scored""", "replay_scored"))
 def q_stream_log(ctx: Ctx) -> DataFrame:
     out = files.scratch_table(ctx.spark, "stream_log")
-    st.stream_log(_scored_stream(ctx), out, out + "_ckpt", "seq")
+    st.stream_score_active(_replay_stream(ctx), ctx.scorer_store, "class_mean_linear", *_seg_pieces(ctx)[:2], out, out + "_ckpt",
+                           lambda scored: score_ops.prediction_log_rows(scored, F.col("seq"), F.current_timestamp()))
     log = files.read_parquet(ctx.spark, out)
     return rounded(log.select("id", "customer_id", *_LOGF, "predicted_segment", "stacking_pred", "stacking_prob"))
 

@@ -148,10 +148,9 @@ class Ctx:
         the snapshot. id = 2·customer key + run, so a customer's newest row has the
         highest id."""
         from rfmspark.operators.learn import split_date_value
-        from rfmspark.operators.score import prediction_log_rows, score_batch
+        from rfmspark.operators.score import prediction_log_rows, score_stored
         from rfmspark.operators.segment import segment_centroids
         from rfmspark.schemas import FEATURES, SCALED_FEATURES
-        _, model_params, weights = self.holdout
         cents = segment_centroids(self.segmented, SCALED_FEATURES)
         split = split_date_value(self.cleaned, FEATURE_MONTHS)
         snap = features.snapshot_date(self.cleaned).first()["snapshot"]
@@ -161,7 +160,7 @@ class Ctx:
         key = F.col("CustomerID").cast("bigint") * 2
         rows = []
         for run, (src, ts) in enumerate([(run1, split), (run2, snap)]):
-            scored = score_batch(src, self.scaler_params, cents, model_params, weights)
+            scored = score_stored(src, self.scaler_params, cents, self.scorer_store.active_model())
             rows.append(prediction_log_rows(scored, key + run, F.lit(ts)))
         return self.stage(rows[0].unionByName(rows[1]), "prediction_log")
 
@@ -179,23 +178,45 @@ class Ctx:
         b = drift_log_rows(drift_report(ref, self.features), snap, 1 + len(FEATURES))
         return self.stage(a.unionByName(b), "drift_log")
 
-    @artifact
-    def registry(self) -> DataFrame:
-        """T9: the baseline registered (active) at the split date, then the class-mean
-        scorer proposed at the snapshot and promoted only if it passes the gate."""
-        from rfmspark.operators import evaluate as ev
+    def _first_registration(self, store, name: str, model):
+        """Store ``model`` as the first active one, as of the split date (there is no other to hold it against)."""
         from rfmspark.operators.learn import split_date_value
-        m = self.model_metrics
         split = split_date_value(self.cleaned, FEATURE_MONTHS)
-        snap = features.snapshot_date(self.cleaned).first()["snapshot"]
-        base = m.where(F.col("model") == "baseline_majority").select(
+        path = store.save(model, f"models/{name}.pkl")
+        store.commit(self.model_metrics.where(F.col("model") == name).select(
             F.lit(1).cast("bigint").alias("id"), F.lit(split).cast("timestamp_ntz").alias("timestamp"),
-            F.col("model").alias("model_name"), F.lit("models/baseline_majority.pkl").alias("filepath"),
-            "accuracy", "roc_auc", "f1_score", "mcc", F.lit(1).alias("is_active"))
-        cand = m.where(F.col("model") == "class_mean_linear")
+            F.col("model").alias("model_name"), F.lit(path).alias("filepath"),
+            "accuracy", "roc_auc", "f1_score", "mcc", F.lit(1).alias("is_active")))
+        return store
+
+    @artifact
+    def scorer_store(self):
+        """The store that scoring reads: the class-mean scorer is its first model."""
+        from rfmspark.operators.model_store import ModelStore, linear_pipeline
+        store = ModelStore(self.spark, files.scratch_table(self.spark, "scorer_store"))
+        return self._first_registration(store, "class_mean_linear", linear_pipeline(*self.holdout[1:]))
+
+    @artifact
+    def model_store(self):
+        """The store behind the registry: the baseline first, then the class-mean scorer proposed at the snapshot,
+        stored and promoted only if it passes the gate."""
+        from rfmspark.operators import evaluate as ev
+        from rfmspark.operators.model_store import ConstantScorer, ModelStore, PipelineModel, linear_pipeline
+        m = self.model_metrics
+        share = self.split_flags.where(~F.col("is_test")).agg(F.avg("Target")).first()[0]
+        store = ModelStore(self.spark, files.scratch_table(self.spark, "model_store"))
+        self._first_registration(store, "baseline_majority", PipelineModel([ConstantScorer(float(share))]))
         old = m.where(F.col("model") == "baseline_majority").withColumn("model", F.lit("class_mean_linear"))
+        cand = m.where(F.col("model") == "class_mean_linear")
         accepted = bool(ev.model_gate(cand, old, model="class_mean_linear").first()["accepted"])
-        return self.stage(ev.registry_promote(base, cand, accepted, snap), "registry")
+        snap = features.snapshot_date(self.cleaned).first()["snapshot"]
+        store.publish({"class_mean_linear": linear_pipeline(*self.holdout[1:])}, cand, accepted, snap)
+        return store
+
+    @property
+    def registry(self) -> DataFrame:
+        """T9: the store's manifest."""
+        return self.model_store.registry()
 
     @cached_property
     def scaler_params(self) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfmspark.operators.score import prediction_log_rows, score_batch
+from rfmspark.operators.score import prediction_log_rows, score_batch, score_stored
 from rfmspark.sources.tables import path_exists
 
 
@@ -46,6 +46,23 @@ def stream_score(stream: DataFrame, seg_params: DataFrame, centroids: DataFrame,
     return s
 
 
+def stream_score_active(stream: DataFrame, store, name: str, seg_params: DataFrame, centroids: DataFrame, out_path: str,
+                        checkpoint: str, rows_of=None) -> str:
+    """Score every micro-batch with the model that is active when it begins, so a promotion takes effect without a restart.
+    Records carry the registry id of their model; ``rows_of`` turns the scored batch into other rows (a log's).
+    Each batch replaces its own folder, so a retried one leaves no second copy."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        row = store.active(name)
+        scored = score_stored(batch, seg_params, centroids, store.load(row["filepath"]))
+        if "Target" in scored.columns:
+            scored = scored.withColumn("correct", (F.col("Predicted_Purchase_Label") == F.col("Target")).cast("int"))
+        scored = (rows_of(scored) if rows_of else scored).withColumn("model_id", F.lit(row["id"]))
+        scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return out_path
+
+
 def stream_running_accuracy(scored: DataFrame) -> DataFrame:
     """Global running totals: processed, correct, accuracy (%) - complete-mode state."""
     return scored.agg(F.count(F.lit(1)).alias("total_processed"), F.sum("correct").cast("bigint").alias("correct"),
