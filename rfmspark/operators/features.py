@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rfmspark.functions.scalar import (fn_avg_order_value, fn_avg_qty_per_order, fn_day_diff, fn_is_cancelled,
                                        fn_log1p, fn_purchase_freq_monthly)
-from rfmspark.operators.stats import DEFAULT_ACCURACY, exact_quantiles, stack_columns
+from rfmspark.operators.stats import exact_quantiles, stack_columns
 from rfmspark.schemas import FEATURES, LOG_FEATURES, MODEL_FEATURES
 
 # --------------------------------------------------------------------------- RFM
@@ -163,13 +163,13 @@ def customer_features(tx: DataFrame, raw: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- descriptive statistics
 
 
-def summary_describe(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def summary_describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column (long form)."""
     long = stack_columns(df, cols)
     base = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
                                        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                        F.max("value").alias("max"))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["feature"], accuracy)
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["feature"])
     qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(n)
                                     for i, n in enumerate(["q25", "q50", "q75"])])
     return base.join(qw, "feature")
