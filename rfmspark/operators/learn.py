@@ -219,7 +219,7 @@ def feature_importance(model, cols: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-# --------------------------------------------------------------------------- cross-validation, search, stacking
+# --------------------------------------------------------------------------- cross-validation (search and stacking: training.py)
 
 def _auc(scored: DataFrame, label: str = "Target") -> float:
     """Exact ROC-AUC of a fold (Spark's evaluator, unbinned; ties averaged)."""
@@ -275,79 +275,6 @@ def cv_score(train: DataFrame, fit, cols: list[str], k: int = 3, label: str = "T
         [(mean, std, aucs)], "cv_roc_auc_mean double, cv_roc_auc_std double, fold_auc array<double>")
 
 
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [6, 10, 15], "minInstancesPerNode": [2, 5, 10]}
-
-
-def random_search_forest(train: DataFrame, cols: list[str], n_iter: int = 5, k: int = 3, seed: int = 42,
-                         label: str = "Target") -> DataFrame:
-    """Seeded sample of ``n_iter`` grid points, each scored by k-fold ROC-AUC; all
-    (point, fold) fits share one pool of parallel fits."""
-    import itertools
-    import random
-    points = list(itertools.product(*FOREST_GRID.values()))
-    picks = random.Random(seed).sample(points, min(n_iter, len(points)))
-    folded = stratified_kfold(train, label, k=k).persist()
-
-    def one(n_trees, depth, min_inst, f):
-        def run():
-            model = random_forest(folded.where(F.col("fold") != f), cols, label, n_trees, depth, min_inst)
-            return _auc(score_model(model, folded.where(F.col("fold") == f), cols), label)
-        return run
-    aucs = run_parallel([one(*p, f) for p in picks for f in range(k)])
-    folded.unpersist()
-    rows = []
-    for i, (n_trees, depth, min_inst) in enumerate(picks):
-        mean, std = _mean_std(aucs[i * k:(i + 1) * k])
-        rows.append((n_trees, depth, min_inst, mean, std))
-    rows.sort(key=lambda t: -t[3])
-    return train.sparkSession.createDataFrame(
-        rows, "num_trees int, max_depth int, min_instances int, cv_roc_auc_mean double, cv_roc_auc_std double")
-
-
-STACK_ROUNDS = 20  # trees / boosting rounds per stacked base learner (20 fits per stacking run)
-
-
-def _base_learners(cols: list[str], label: str):
-    return {
-        "rf": lambda d: random_forest(d, cols, label, STACK_ROUNDS, 10),
-        "gbt_a": lambda d: gbt(class_weight(d, label), cols, label, STACK_ROUNDS, 4, 0.1, weight_col="weight"),
-        "gbt_b": lambda d: gbt(d, cols, label, STACK_ROUNDS, 5, 0.05),
-        "lr_c01": lambda d: logreg(d, cols, label, C=0.1),
-        "gb": lambda d: gbt(d, cols, label, STACK_ROUNDS, 3, 0.05),
-    }
-
-
-def stacking(train: DataFrame, test: DataFrame, cols: list[str], k: int = 3, label: str = "Target",
-             id_col: str = "CustomerID") -> DataFrame:
-    """Out-of-fold probabilities of the base learners (k folds) train a logistic
-    meta-learner; the bases are refit on all training rows to score the test rows."""
-    bases = _base_learners(cols, label)
-    folded = stratified_kfold(train, label, k=k).persist()
-
-    def oof_fit(f, fit):
-        return lambda: fit(folded.where(F.col("fold") != f))
-    fold_models = run_parallel([oof_fit(f, fit) for f in range(k) for fit in bases.values()])
-    full_models = run_parallel([(lambda fit=fit: fit(train)) for fit in bases.values()])
-    oof = None
-    for f in range(k):
-        held = folded.where(F.col("fold") == f).select(id_col, label, *cols)
-        part = held
-        for j, name in enumerate(bases):
-            p = score_model(fold_models[f * len(bases) + j], held, cols).select(
-                id_col, F.col("probability").alias(f"p_{name}"))
-            part = part.join(p, id_col)
-        oof = part if oof is None else oof.unionByName(part)
-    meta_cols = [f"p_{n}" for n in bases]
-    meta = logreg(oof, meta_cols, label, C=1.0)
-    scored = test.select(id_col, label, *cols)
-    for j, name in enumerate(bases):
-        p = score_model(full_models[j], test, cols).select(id_col, F.col("probability").alias(f"p_{name}"))
-        scored = scored.join(p, id_col)
-    out = score_model(meta, scored, meta_cols)
-    folded.unpersist()
-    return out
-
-
 # --------------------------------------------------------------------------- SMOTE
 
 def smote(train: DataFrame, cols: list[str], label: str = "Target", id_col: str = "CustomerID", k: int = 5,

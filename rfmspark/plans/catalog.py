@@ -1250,9 +1250,22 @@ def q_logreg(ctx: Ctx) -> DataFrame:
     return _fit_and_score(ctx, lambda tr: learn.logreg(tr, MODEL_FEATURES, C=1.0))
 
 
+def _held_out(ctx: Ctx, name: str) -> DataFrame:
+    from rfmspark.operators.model_store import predict
+    test = ctx.split_flags.where(F.col("is_test"))
+    return predict(ctx.trained[1].active_model(name), test).select("CustomerID", "Target", "prediction", "probability")
+
+
+@query("trained_metrics")
+def q_trained_metrics(ctx: Ctx) -> DataFrame:
+    """Hold-out metrics and fold areas of the five trained models."""
+    return ctx.trained[0].metrics.drop("model_order")
+
+
 @query("random_forest")
 def q_random_forest(ctx: Ctx) -> DataFrame:
-    return _fit_and_score(ctx, lambda tr: learn.random_forest(tr, MODEL_FEATURES, n_trees=100, max_depth=10))
+    """The tuned forest of the training run, loaded from the store, on the hold-out."""
+    return _held_out(ctx, "random_forest")
 
 
 @query("gbt_base")
@@ -1263,15 +1276,14 @@ def q_gbt_base(ctx: Ctx) -> DataFrame:
 
 @query("gbt_a")
 def q_gbt_a(ctx: Ctx) -> DataFrame:
-    """Boosted trees with positive-class weighting (negatives/positives of the train set)."""
-    def fit(tr):
-        return learn.gbt(learn.class_weight(tr), MODEL_FEATURES, max_iter=100, max_depth=4, step=0.1, weight_col="weight")
-    return _fit_and_score(ctx, fit)
+    """Tuned boosted trees with positive-class weighting, loaded from the store, on the hold-out."""
+    return _held_out(ctx, "xgboost")
 
 
 @query("gbt_b")
 def q_gbt_b(ctx: Ctx) -> DataFrame:
-    return _fit_and_score(ctx, lambda tr: learn.gbt(tr, MODEL_FEATURES, max_iter=100, max_depth=5, step=0.05))
+    """Tuned boosted trees without weights, loaded from the store, on the hold-out."""
+    return _held_out(ctx, "lightgbm")
 
 
 @query("class_weight")
@@ -1295,16 +1307,14 @@ def q_cv_score(ctx: Ctx) -> DataFrame:
 
 @query("random_search")
 def q_random_search(ctx: Ctx) -> DataFrame:
-    """5 seeded draws from the forest grid, 3-fold ROC-AUC each (best first)."""
-    tr, _ = _train_test(ctx)
-    return learn.random_search_forest(tr, MODEL_FEATURES, n_iter=5, k=3, seed=42)
+    """Every point that the training run tried on the three grids: 3-fold ROC-AUC, balanced inside the folds (place 1 is best)."""
+    return ctx.trained[0].search
 
 
 @query("stacking")
 def q_stacking(ctx: Ctx) -> DataFrame:
-    """Five base learners -> out-of-fold probabilities (3 folds) -> logistic meta-learner."""
-    tr, te = _train_test(ctx)
-    return learn.stacking(tr, te, MODEL_FEATURES, k=3).select("CustomerID", "Target", "prediction", "probability")
+    """Five base learners -> out-of-fold probabilities (3 folds) -> logistic meta-learner; one stored pipeline, loaded and applied."""
+    return _held_out(ctx, "stacking_ensemble")
 
 
 @query("feature_importance")
@@ -1429,28 +1439,15 @@ def q_apply_scaler(ctx: Ctx) -> DataFrame:
         "CustomerID", *SCALED_FEATURES))
 
 
-def _model_set(tr: DataFrame) -> dict:
-    """The fitted models of a training run, side by side (stacking has its own query)."""
-    weighted = learn.class_weight(tr)
-    fits = {"lr": lambda: learn.logreg(tr, MODEL_FEATURES, C=1.0),
-            "rf": lambda: learn.random_forest(tr, MODEL_FEATURES),
-            "gb": lambda: learn.gbt(tr, MODEL_FEATURES),
-            "gbt_a": lambda: learn.gbt(weighted, MODEL_FEATURES, max_iter=100, max_depth=4, step=0.1, weight_col="weight")}
-    return dict(zip(fits, learn.run_parallel(fits.values())))
-
-
 @query("score_multi_model")
 def q_score_multi_model(ctx: Ctx) -> DataFrame:
-    """Label and probability of several fitted models per hold-out customer (one column pair each);
-    every model is written, loaded again and then applied."""
-    tr, te = _train_test(ctx)
-    out = te.select("CustomerID", "Target")
-    for p, m in _model_set(tr).items():
-        stored = learn.load_model(ctx.spark, learn.save_model(m, files.scratch_table(ctx.spark, f"model_{p}")))
-        s = learn.score_model(stored, te, MODEL_FEATURES).select(
-            "CustomerID", F.col("prediction").alias(f"{p}_pred"), F.col("probability").alias(f"{p}_prob"))
-        out = out.join(s, "CustomerID")
-    return out
+    """Label and probability of the five stored models per hold-out customer (one column pair each), in one projection."""
+    from rfmspark.operators.model_store import predict
+    from rfmspark.schemas import MODEL_PREFIX
+    out = ctx.split_flags.where(F.col("is_test"))
+    for name, p in MODEL_PREFIX.items():
+        out = predict(ctx.trained[1].active_model(name), out, f"{p}_prob", f"{p}_pred")
+    return out.select("CustomerID", "Target", *[f"{p}_{x}" for p in MODEL_PREFIX.values() for x in ("pred", "prob")])
 
 
 @query("retrain_job")
