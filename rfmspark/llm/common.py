@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +21,6 @@ def setup(spark: SparkSession) -> None:
     prepare(spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle and checkpoint files of tables that nothing refers to any more.
-
-    Its cleaner acts when the driver's JVM collects garbage, which by itself may take half an hour (longer than many jobs);
-    steps that leave large files behind call this between them. It also gives the plans' memory back."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
