@@ -133,9 +133,11 @@ def latest_drift(drift_log: DataFrame) -> DataFrame:
     return rows.withColumn("overall_status", names[worst])
 
 
-def sample_production(df: DataFrame, frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Random sample of a fraction of the rows (Bernoulli, seeded)."""
-    return df.sample(withReplacement=False, fraction=frac, seed=seed)
+def sample_production(df: DataFrame, frac: float = 0.2, seed: int = 42, id_col: str = "CustomerID") -> DataFrame:
+    """Seeded sample of a fraction of the rows: those whose key hash is in the lowest ``frac`` of its 52 bits, so the
+    same rows are drawn in any partitioning."""
+    from rfmspark.operators.learn import key_hash
+    return df.where(key_hash(id_col, seed) < F.lit(int(frac * (1 << 52))))
 
 
 def drift_log_rows(report: DataFrame, ts, first_id: int = 1) -> DataFrame:

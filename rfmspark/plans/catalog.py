@@ -886,10 +886,12 @@ def q_psi_status(ctx: Ctx) -> DataFrame:
     return drift_ops.psi_status(drift_ops.psi(ctx.supervised, ctx.features, FEATURES)).select("feature", "status")
 
 
-@query("sample_production")
+@query("sample_production", with_ctes(f"""
+SELECT {_F9_SQL} FROM features
+WHERE CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR) || '#42'), 1, 13) AS BIGINT) < {int(0.2 * (1 << 52))}""", "features"))
 def q_sample_production(ctx: Ctx) -> DataFrame:
-    """A seeded 20% Bernoulli sample of the customer features (a sampling operator: rows-only)."""
-    return drift_ops.sample_production(ctx.features, 0.2, 42)
+    """A seeded 20% sample of the customer features by key hash (a sampling operator)."""
+    return rounded(drift_ops.sample_production(ctx.features, 0.2, 42))
 
 
 # ============================================================== sources and sinks (round trips through files)
@@ -1286,16 +1288,20 @@ def q_gbt_b(ctx: Ctx) -> DataFrame:
     return _held_out(ctx, "lightgbm")
 
 
-@query("class_weight")
+@query("class_weight", with_ctes(f"""
+SELECT CustomerID, Target, CASE WHEN Target = 1 THEN {r('CAST(count_if(Target = 0) OVER () AS DOUBLE) / count_if(Target = 1) OVER ()')}
+                                ELSE 1.0 END AS weight FROM ho_flag WHERE NOT is_test""", "ho_flag"))
 def q_class_weight(ctx: Ctx) -> DataFrame:
-    tr, _ = _train_test(ctx)
-    return learn.class_weight(tr).select("CustomerID", "Target", "weight")
+    tr = ctx.split_flags.where(~F.col("is_test"))
+    return rounded(learn.class_weight(tr).select("CustomerID", "Target", "weight"))
 
 
-@query("stratified_kfold")
+@query("stratified_kfold", with_ctes("""
+SELECT CustomerID, Target, CAST((row_number() OVER (PARTITION BY Target
+         ORDER BY CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR) || '#42'), 1, 13) AS BIGINT)) - 1) % 3 AS INTEGER) AS fold
+FROM ho_flag WHERE NOT is_test""", "ho_flag"))
 def q_stratified_kfold(ctx: Ctx) -> DataFrame:
-    tr, _ = _train_test(ctx)
-    return learn.stratified_kfold(tr).select("CustomerID", "Target", "fold")
+    return learn.stratified_kfold(ctx.split_flags.where(~F.col("is_test"))).select("CustomerID", "Target", "fold")
 
 
 @query("cv_score")

@@ -64,7 +64,8 @@ MODEL_PREFIX = {"logistic_regression": "lr", "random_forest": "rf", "xgboost": "
                 "lightgbm": "lgb", "stacking_ensemble": "stacking"}
 
 # ---------------------------------------------------------------------------
-# Schemas
+# Schemas. Fixed values too: column names and types of the tables T1, T7 to T9, of the
+# metrics and drift reports, and the names of the metrics.
 # ---------------------------------------------------------------------------
 
 T1_RAW = T.StructType([

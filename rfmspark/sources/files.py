@@ -22,28 +22,31 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-#: RFC 4180: quotes inside a quoted field are doubled, and such a field may hold line ends.
-CSV_DIALECT = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+#: RFC 4180: quotes inside a quoted field are doubled.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"'}
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, or Latin-1 if any line is not valid UTF-8 (one scan that stops at the first such line)."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def csv_options(spark: SparkSession, path: str, encoding: str | None = None) -> dict:
+    """Reader options of one source, from one scan of its lines: UTF-8, or Latin-1 if any line isn't valid UTF-8; and whether a
+    quoted field holds a line end. A line with an odd number of quotes begins or ends such a field; only a source that has one is
+    read as a whole per file, any other is split between tasks."""
+    seen = spark.read.text(path).agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("other"),
+        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("spans")).first()
+    return {**CSV_DIALECT, "encoding": encoding or ("ISO-8859-1" if seen["other"] else "UTF-8"), "multiLine": bool(seen["spans"])}
 
 
 def src_transactions_csv(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
     """Transaction CSV with a header and a declared (text) schema; malformed lines are
     kept with NULLs (PERMISSIVE); the caller coerces types (see ``ingest_upload``). Without
     ``encoding`` it is UTF-8, falling back to Latin-1."""
-    return (spark.read.schema(schema or T1_TEXT).options(**CSV_DIALECT).option("encoding", encoding or csv_encoding(spark, path))
-            .option("mode", "PERMISSIVE").csv(path))
+    return spark.read.schema(schema or T1_TEXT).options(**csv_options(spark, path, encoding)).option("mode", "PERMISSIVE").csv(path)
 
 
 def src_customer_features_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feature CSV for scoring: header names decide the columns; the nine features are
     required and named when missing (checked before any job runs)."""
-    df = spark.read.options(**CSV_DIALECT).option("inferSchema", False).option("encoding", csv_encoding(spark, path)).csv(path)
+    df = spark.read.options(**csv_options(spark, path)).option("inferSchema", False).csv(path)
     missing = [c for c in FEATURES if c not in df.columns]
     if missing:
         raise ValueError(f"these feature columns are not in the file: {missing}")
