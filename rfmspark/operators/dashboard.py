@@ -30,28 +30,39 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
 
 
 def dataset_stats(tx: DataFrame) -> DataFrame:
-    return tx.agg(F.count(F.lit(1)).alias("total_records"),
-                  F.countDistinct("CustomerID").alias("total_customers"),
-                  F.countDistinct("InvoiceNo").alias("total_transactions"),
+    """One row. Distinct keys are grouped first and then counted: no row is copied per counted column, and the keys of a
+    count never meet in one task."""
+    def distinct(column: str, name: str) -> DataFrame:
+        return tx.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1)).agg(F.count(F.lit(1)).alias(name))
+    rows = tx.agg(F.count(F.lit(1)).alias("total_records"),
                   fn_format_ts(F.min("InvoiceDate"), "yyyy-MM-dd").alias("start_date"),
                   fn_format_ts(F.max("InvoiceDate"), "yyyy-MM-dd").alias("end_date"))
+    return rows.crossJoin(distinct("CustomerID", "total_customers")).crossJoin(distinct("InvoiceNo", "total_transactions")) \
+        .select("total_records", "total_customers", "total_transactions", "start_date", "end_date")
 
 
-def country_breakdown(tx: DataFrame) -> DataFrame:
-    """Value counts of Country, most frequent first; NULL countries are dropped."""
-    return (tx.where(F.col("Country").isNotNull()).groupBy("Country").agg(F.count(F.lit(1)).alias("count"))
+def country_breakdown(tx: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """Value counts of Country, most frequent first; NULL countries are dropped. With ``countries`` (CustomerID, Country)
+    the rows are counted by customer before the one lookup is joined; without it the rows carry Country themselves."""
+    rows = tx.select("Country", F.lit(1).cast("bigint").alias("_n")) if countries is None else \
+        tx.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("_n")).join(countries, "CustomerID")
+    return (rows.where(F.col("Country").isNotNull()).groupBy("Country").agg(F.sum("_n").alias("count"))
             .orderBy(F.col("count").desc(), F.col("Country")))
 
 
-def top_products(tx: DataFrame, n: int = 10) -> DataFrame:
+def top_products(tx: DataFrame, n: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """Best-selling descriptions. With ``names`` (StockCode, Description) the rows are summed by code before the one lookup
+    is joined; without it the rows carry Description themselves."""
+    if names is not None:
+        tx = tx.groupBy("StockCode").agg(F.sum("Quantity").alias("Quantity"), F.sum("TotalPrice").alias("TotalPrice")).join(names, "StockCode")
     return (tx.where(F.col("Description").isNotNull()).groupBy("Description")
             .agg(F.sum("Quantity").cast("bigint").alias("quantity"), F.sum("TotalPrice").alias("revenue"))
             .orderBy(F.col("quantity").desc(), F.col("Description")).limit(n)
             .withColumnRenamed("Description", "description"))
 
 
-def top5_products(tx: DataFrame, label_len: int = 20) -> DataFrame:
-    t = top_products(tx, 5)
+def top5_products(tx: DataFrame, label_len: int = 20, names: DataFrame | None = None) -> DataFrame:
+    t = top_products(tx, 5, names)
     return t.select(fn_truncate_label(F.col("description"), label_len).alias("name"), "quantity", "revenue")
 
 
@@ -62,16 +73,21 @@ def customer_summary(tx: DataFrame, customer_id: str | None = None) -> DataFrame
                                        F.countDistinct("InvoiceNo").alias("num_invoices"))
 
 
-def customer_top_items(tx: DataFrame, customer_id: str | None = None, n: int = 10) -> DataFrame:
-    """Top ``n`` (StockCode, Description) by quantity per customer (or for one)."""
+def customer_top_items(tx: DataFrame, customer_id: str | None = None, n: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """Top ``n`` (StockCode, Description) by quantity per customer (or for one). With ``names`` (one Description per
+    StockCode) only the rows of the result are looked up; without it the rows carry Description themselves."""
     d = tx if customer_id is None else tx.where(F.col("CustomerID") == F.lit(str(customer_id).strip()))
+    if names is not None:
+        items = d.groupBy("CustomerID", "StockCode").agg(F.sum("Quantity").cast("bigint").alias("quantity"), F.sum("TotalPrice").alias("revenue"))
+        top = top_k_per_group(items, ["CustomerID"], [F.col("quantity").desc(), F.col("StockCode")], n, salt_cols=["StockCode"])
+        return top.join(names, "StockCode", "left").select("CustomerID", "StockCode", "Description", "quantity", "revenue", "rank")
     items = d.groupBy("CustomerID", "StockCode", "Description").agg(
         F.sum("Quantity").cast("bigint").alias("quantity"), F.sum("TotalPrice").alias("revenue"))
     order = [F.col("quantity").desc(), F.col("StockCode"), F.col("Description")]
     return top_k_per_group(items, ["CustomerID"], order, n, salt_cols=["StockCode"])
 
 
-def customer_report(tx: DataFrame, customer_id: str | None = None, n: int = 10) -> DataFrame:
+def customer_report(tx: DataFrame, customer_id: str | None = None, n: int = 10, names: DataFrame | None = None) -> DataFrame:
     """Per customer: summary line plus top items as text lines (customer, line_no, line)."""
     s = customer_summary(tx, customer_id)
     head = s.select("CustomerID", F.explode(F.array(
@@ -82,7 +98,7 @@ def customer_report(tx: DataFrame, customer_id: str | None = None, n: int = 10)
         F.struct(F.lit(4).alias("line_no"), F.lit("Top Purchased Products:").alias("line")),
         F.struct(F.lit(5).alias("line_no"), F.lit("StockCode | Description | Quantity | Total Revenue").alias("line")),
     )).alias("l")).select("CustomerID", "l.*")
-    items = customer_top_items(tx, customer_id, n).select(
+    items = customer_top_items(tx, customer_id, n, names).select(
         "CustomerID", (F.col("rank") + 5).alias("line_no"),
         F.format_string("%s | %s | %d | £%.2f", "StockCode", "Description", "quantity", "revenue").alias("line"))
     return head.unionByName(items)

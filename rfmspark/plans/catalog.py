@@ -358,14 +358,14 @@ def q_dataset_stats(ctx: Ctx) -> DataFrame:
 @query("country_breakdown", with_ctes("""
 SELECT Country, count(*) AS count FROM cleaned WHERE Country IS NOT NULL GROUP BY Country""", "cleaned"))
 def q_country_breakdown(ctx: Ctx) -> DataFrame:
-    return dashboard.country_breakdown(ctx.cleaned_full)
+    return dashboard.country_breakdown(ctx.cleaned, ctx.customer_countries)
 
 
 @query("top_products", with_ctes(f"""
 SELECT Description AS description, CAST(sum(Quantity) AS BIGINT) AS quantity, {r('sum(TotalPrice)')} AS revenue
 FROM cleaned WHERE Description IS NOT NULL GROUP BY Description ORDER BY quantity DESC, Description LIMIT 10""", "cleaned"))
 def q_top_products(ctx: Ctx) -> DataFrame:
-    return rounded(dashboard.top_products(ctx.cleaned_full, 10))
+    return rounded(dashboard.top_products(ctx.cleaned, 10, ctx.product_names))
 
 
 @query("top5_products", with_ctes(f"""
@@ -374,7 +374,7 @@ SELECT CASE WHEN length(description) > 20 THEN substr(description, 1, 20) || '..
   SELECT Description AS description, CAST(sum(Quantity) AS BIGINT) AS quantity, {r('sum(TotalPrice)')} AS revenue
   FROM cleaned WHERE Description IS NOT NULL GROUP BY Description ORDER BY quantity DESC, Description LIMIT 5)""", "cleaned"))
 def q_top5_products(ctx: Ctx) -> DataFrame:
-    return rounded(dashboard.top5_products(ctx.cleaned_full))
+    return rounded(dashboard.top5_products(ctx.cleaned, names=ctx.product_names))
 
 
 @query("customer_summary", with_ctes(f"""
@@ -396,7 +396,7 @@ SELECT * FROM (
 SELECT CustomerID, StockCode, Description, quantity, {r('revenue')} AS revenue, CAST(rank AS INTEGER) AS rank
 FROM ({_TOP_ITEMS_SQL})""", "cleaned"))
 def q_customer_top_items(ctx: Ctx) -> DataFrame:
-    return rounded(dashboard.customer_top_items(ctx.cleaned_full))
+    return rounded(dashboard.customer_top_items(ctx.cleaned, names=ctx.product_names))
 
 
 @query("customer_report", with_ctes(f"""
@@ -412,7 +412,7 @@ SELECT CustomerID, CAST(line_no AS INTEGER) AS line_no, line FROM (
     "FROM s", "FROM (SELECT CustomerID, sum(TotalPrice) AS total_spend, CAST(sum(Quantity) AS BIGINT) AS total_quantity, "
               "count(DISTINCT InvoiceNo) AS num_invoices FROM cleaned GROUP BY CustomerID)"), "cleaned"))
 def q_customer_report(ctx: Ctx) -> DataFrame:
-    return dashboard.customer_report(ctx.cleaned_full)
+    return dashboard.customer_report(ctx.cleaned, names=ctx.product_names)
 
 
 @query("join_segment_inner", with_ctes(f"""

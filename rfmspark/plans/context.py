@@ -87,6 +87,14 @@ class Ctx:
         cleaned rows plus the two lookup columns, which cleaning never reads."""
         return tables.add_lookups(self.spark, self.sf_dir, self.cleaned)
 
+    @property
+    def product_names(self) -> DataFrame:
+        return tables.product_names(self.spark, self.sf_dir)
+
+    @property
+    def customer_countries(self) -> DataFrame:
+        return tables.customer_countries(self.spark, self.sf_dir)
+
     @cached_property
     def raw_subset(self) -> DataFrame:
         """T3: CustomerID, InvoiceNo, InvoiceDate of every raw row (from the stored raw copy)."""

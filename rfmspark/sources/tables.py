@@ -83,17 +83,25 @@ def retail(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
     return tx.select(*[mapped[c].alias(c) for c in cols])
 
 
+def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """StockCode, Description: one row per product."""
+    return read_table(spark, sf_dir, "part", ["p_partkey", "p_name"]).select(
+        F.col("p_partkey").cast("string").alias("StockCode"), F.col("p_name").alias("Description"))
+
+
+def customer_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CustomerID, Country: one row per customer."""
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    return cust.join(nation, cust.c_nationkey == nation.n_nationkey, "left").select(
+        F.col("c_custkey").cast("string").alias("CustomerID"), F.col("n_name").alias("Country"))
+
+
 def add_lookups(spark: SparkSession, sf_dir: str, tx: DataFrame) -> DataFrame:
     """Attach Description (part name by StockCode) and Country (nation of the customer)
     to transaction rows by left key lookups - the same values the full view carries."""
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"]).select(
-        F.col("p_partkey").cast("string").alias("_pk"), F.col("p_name").alias("Description"))
-    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-    cn = cust.join(nation, cust.c_nationkey == nation.n_nationkey, "left").select(
-        F.col("c_custkey").cast("string").alias("_ck"), F.col("n_name").alias("Country"))
-    out = tx.join(part, tx.StockCode == part._pk, "left").join(cn, tx.CustomerID == cn._ck, "left")
-    return out.drop("_pk", "_ck")
+    return tx.join(product_names(spark, sf_dir), "StockCode", "left").join(customer_countries(spark, sf_dir), "CustomerID", "left") \
+        .select(*tx.columns, "Description", "Country")
 
 
 def raw_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
