@@ -930,6 +930,34 @@ def q_ingest_upload(ctx: Ctx) -> DataFrame:
     return rounded(clean.ingest_upload(raw))
 
 
+_UPLOADED = """(SELECT *, CASE WHEN Quantity = 7 THEN 'no CustomerID' WHEN Quantity = 8 THEN 'no InvoiceDate'
+                               WHEN Quantity = 9 THEN 'unreadable InvoiceDate' END AS reason FROM retail)"""
+
+
+@query("upload_append", with_ctes(f"""
+SELECT 'cleaned' AS tab, '' AS reason, count(*) AS n, {r('sum(TotalPrice)', 2)} AS total
+FROM (SELECT TotalPrice FROM cleaned UNION ALL SELECT Quantity * UnitPrice FROM {_UPLOADED} WHERE reason IS NULL)
+UNION ALL SELECT 'raw_subset', '', (SELECT count(*) FROM retail) + (SELECT count(*) FROM {_UPLOADED} WHERE reason IS NULL), 0.0
+UNION ALL SELECT 'rejected', reason, count(*), 0.0 FROM {_UPLOADED} WHERE reason IS NOT NULL GROUP BY reason""", "retail", "cleaned"))
+def q_upload_append(ctx: Ctx) -> DataFrame:
+    """Every raw row uploaded as text, some without customer, date or a readable date; the same upload is sent twice and
+    counts once in T2, T3 and the table of rejected rows."""
+    from rfmspark.sources.uploads import TransactionTables
+    q = F.col("Quantity")
+    src = ctx.retail(["InvoiceNo", "Quantity", "UnitPrice", "InvoiceDate", "CustomerID"]).select(
+        F.col("InvoiceNo").alias("Invoice_No"), q.cast("string").alias("qty"), F.col("UnitPrice").cast("string").alias("price"),
+        F.when(q == 9, "some day").when(q != 8, F.col("InvoiceDate").cast("string")).alias("date"),
+        F.when(q != 7, F.col("CustomerID")).alias("Customer ID"))
+    upload = ctx.stage(src, "upload")
+    t = TransactionTables(ctx.spark, files.scratch_table(ctx.spark, "uploads"), ctx.cleaned, ctx.raw_subset)
+    for _ in range(2):
+        t.append(upload, "first")
+    zero = F.lit(0.0).alias("total")
+    return t.cleaned().agg(F.lit("cleaned").alias("tab"), F.lit("").alias("reason"), F.count(F.lit(1)).alias("n"), fround(F.sum("TotalPrice"), 2).alias("total")) \
+        .unionByName(t.raw_subset().agg(F.lit("raw_subset").alias("tab"), F.lit("").alias("reason"), F.count(F.lit(1)).alias("n"), zero)) \
+        .unionByName(t.rejected().groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("tab"), "reason", "n", zero))
+
+
 @query("normalize_columns", with_ctes("SELECT InvoiceNo, Quantity, CustomerID FROM retail", "retail"))
 def q_normalize_columns(ctx: Ctx) -> DataFrame:
     src = ctx.retail(["InvoiceNo", "Quantity", "CustomerID"]).toDF(" invoice id ", "QTY", "customer_id")
