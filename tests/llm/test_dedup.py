@@ -101,7 +101,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs):
     sets = []
     for t in texts:
         raw = np.frombuffer((t or "").encode(), np.uint8)
-        _, h, tf, _, _ = M.shingles(raw, np.array([0, len(raw)]))
+        _, h, tf = M.shingles(raw, np.array([0, len(raw)]))
         sets.append((h, M.weigh(h, tf, common).astype("<f4")))
     part = list(range(len(texts)))
 
@@ -132,7 +132,7 @@ def test_rows_with_null_or_repeated_ids_are_deduplicated_one_by_one(spark):
     rows = [(1, a), (None, a), (None, c), (None, near), (5, b), (6, b), (6, d), (None, ""), (None, "")]
     got = [tuple(r) for r in M.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len([t for _, t in got if t in (c, near)]) == 1
-    assert sorted((x for x in got if x[1] not in (c, near)), key=str) == sorted([(1, a), (5, b), (6, d), (None, "")], key=str)
+    assert sorted((x for x in got if x[1] not in (c, near)), key=str) == sorted([(1, a), (5, b), (6, d), (None, ""), (None, "")], key=str)  # rows without words are no copies
 
 
 def test_common_shingles_are_counted_exactly(spark):
@@ -183,3 +183,15 @@ def test_deduplicate_keeps_clashing_columns_and_wordless_rows(spark):
     left = M.deduplicate(docs)
     assert left.columns == docs.columns
     assert sorted(map(str, left.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id != 2").collect()))
+
+
+def test_closure_of_long_chains_and_stars(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(-10**6, 10**6), 400)
+    edges = {tuple(sorted(names[i:i + 2])) for i in range(150)} | {tuple(sorted((names[200], names[i]))) for i in range(201, 330)} | {tuple(sorted(names[398:400]))}
+    part = {n: n for e in edges for n in e}
+    for _ in part:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    links = spark.createDataFrame(sorted(edges), "a long, b long").repartition(5).checkpoint()
+    assert {r["old"]: r["new"] for r in M._closure(links).collect()} == part
