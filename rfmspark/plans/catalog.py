@@ -1151,6 +1151,22 @@ def q_stream_throughput(ctx: Ctx) -> DataFrame:
     return files.read_parquet(ctx.spark, out)
 
 
+@query("stream_throughput_closed", """
+SELECT window_start, window_start + INTERVAL 1 SECOND AS window_end, count(*) AS records
+FROM (SELECT time_bucket(INTERVAL 1 SECOND, ts) AS window_start FROM events)
+WHERE window_start + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events) GROUP BY 1""")
+def q_stream_throughput_closed(ctx: Ctx) -> DataFrame:
+    """Events replayed in time order: records of each one-second window, written once when the watermark (10 seconds) has
+    passed it, then dropped from the state; the windows of the last 10 seconds are open still."""
+    ev = ctx.table("events", ["event_id", "ts", "event_type"])
+    _, per_trigger = st.replay_layout(ctx.spark, batches=4)
+    src = st.write_replay_batches(ev, files.scratch_table(ctx.spark, "events_batches"), "ts", 4, per_trigger)
+    s = st.replay_source(ctx.spark, src, ev.schema, files_per_trigger=per_trigger)
+    out = files.scratch_table(ctx.spark, "stream_throughput_closed")
+    st.run_to_table(st.stream_throughput(s, "ts", "1 second", "10 seconds"), out, out + "_ckpt", "append")
+    return files.read_parquet(ctx.spark, out)
+
+
 @query("stream_log", with_ctes(f"""
 SELECT CAST(CustomerID AS BIGINT) AS id, CustomerID AS customer_id, {", ".join(f"{r(f'CAST({k} AS DOUBLE)')} AS {v}"
                                                                             for k, v in LOG_FEATURE_COLUMNS.items())},
@@ -1491,6 +1507,19 @@ def q_retrain_job(ctx: Ctx) -> DataFrame:
     return jobs.retrain(ctx)
 
 
+@query("retrain_pipeline", with_ctes("""
+SELECT * FROM (VALUES (1, 'raw_subset', (SELECT count(*) FROM lineitem)), (2, 'clean', (SELECT count(*) FROM cleaned)),
+    (3, 'features', (SELECT count(*) FROM features)), (4, 'segments', (SELECT count(*) FROM features)),
+    (5, 'supervised', (SELECT count(*) FROM supervised)), (6, 'train', 2), (7, 'gate', 1), (8, 'registry', 2),
+    (9, 'drift', (SELECT count(*) FROM drift_report))) t(phase_no, phase, rows), (SELECT 'completed' AS status)""",
+                                     "cleaned", "features", "supervised", "drift_report"))
+def q_retrain_pipeline(ctx: Ctx) -> DataFrame:
+    """The resumable retraining run over the raw transactions, with the class-mean scorer and the baseline as candidates."""
+    from rfmspark.operators import retrain
+    return retrain.retrain_pipeline(ctx.raw_tx, files.scratch_table(ctx.spark, "retrain"), feature_months=FEATURE_MONTHS,
+                                    train=retrain.linear_training, judged="class_mean_linear")
+
+
 # ============================================================== one query per scalar function
 
 from rfmspark.plans.sqlparts import _days  # noqa: E402

@@ -29,6 +29,20 @@ def write_replay_files(df: DataFrame, path: str, seq_col: str, files: int = 4) -
     return path
 
 
+def write_replay_batches(df: DataFrame, path: str, time_col: str, batches: int, files: int) -> str:
+    """Lay a table out for an append-mode replay: ``batches`` ranges of time, written one after the other with ``files``
+    Parquet files each. A file source takes files by age, so a trigger of ``files`` files never gets rows that are older than
+    an earlier trigger's (the watermark would drop them). Rows without a time come with the first range."""
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    cuts = df.select(at.alias("t")).approxQuantile("t", [i / batches for i in range(1, batches)], 0.01)
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = df.where((at < int(hi)) | at.isNull() if lo is None and hi is not None else F.lit(True) if lo is None else
+                        at >= int(lo) if hi is None else (at >= int(lo)) & (at < int(hi)))
+        part.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
 def replay_layout(spark: SparkSession, batches: int = 4) -> tuple[int, int]:
     """(files, files per trigger) for replaying a table in ``batches`` micro-batches: every
     batch spans one file per core, so neither the write nor a batch runs in a few tasks."""
