@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rfmspark.llm import minhash as M
@@ -92,9 +93,10 @@ def near_copies(rng):
     return texts
 
 
-@pytest.mark.parametrize("pairs", [M.BUCKET_PAIRS, 8])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs):
-    monkeypatch.setattr(M, "BUCKET_PAIRS", pairs)
+@pytest.mark.parametrize("pairs, chunk", [(M.PAIRS, M.CHUNK), (1, 8)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs, chunk):
+    monkeypatch.setattr(M, "PAIRS", pairs)
+    monkeypatch.setattr(M, "CHUNK", chunk)
     texts = near_copies(random.Random(6))
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, class_id int, bucket string").repartition(6)
     common = M.common_shingles(docs)
@@ -154,6 +156,45 @@ def test_samples_agree_as_often_as_the_sets_are_similar():
     assert abs((a == b).mean() - true) < 0.17
 
 
+def test_blocks_give_every_pair_that_reaches_the_level():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        h = np.unique(rng.choice(pool[(i % 3) * 100:(i % 3) * 100 + 120], 100 if i % 2 else 60, replace=False))
+        sets.append((h, rng.choice([0.3, 1.0, 1.0, 2.0], len(h)).astype("<f4") if i % 5 else np.ones(len(h), "<f4")))
+    sets += [(h, w * np.float32(1.1)) for h, w in sets[:20]] + [(np.arange(1, 90_000, dtype=np.uint64), np.ones(89_999, "<f4"))] * 2
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(sets)), pa.int64()), "h": [h.tobytes() for h, _ in sets], "w": [w.tobytes() for _, w in sets]})
+    out = next(iter(M._sketch([batch])))
+    assert [t is None for t in out.column("total").to_pylist()] == [False] * 80 + [True] * 2
+    total = out.column("total").to_numpy(zero_copy_only=False).astype(float)
+    sketch = np.frombuffer(b"".join(out.column("sketch").to_pylist()), np.uint8).reshape(-1, M.GROUPS)
+    node = label = np.arange(len(sets))
+    like = {(i, j): M.weighted_jaccard(*(x.tobytes() for x in (*sets[i], *sets[j]))) for j in range(len(sets)) for i in range(j)}
+    reach = {p for p, v in like.items() if v >= M.LEVEL}
+    x, y, more = M._block(node, label, total, sketch, np.zeros(len(sets), int), 10**6)
+    assert reach and reach <= set(zip(x.tolist(), y.tolist())) and not more and len(x) < len(like) / 2
+    side = np.arange(len(sets)) % 2
+    x, y, _ = M._block(node, label, total, sketch, side, 10**6)
+    assert {p for p in reach if side[p[0]] != side[p[1]]} <= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
+    same = np.arange(len(sets)) % 2
+    x, y, more = M._block(node, same, total, sketch, np.zeros(len(sets), int), 1)
+    assert len(x) == 1 and more and same[x[0]] != same[y[0]]
+
+
+def test_blocks_are_told_apart_across_batches():
+    h = np.arange(50, dtype=np.uint64) << np.uint64(50)
+    own = next(iter(M._sketch([pa.RecordBatch.from_pydict({"node": pa.array([0], pa.int64()), "h": [h.tobytes()], "w": pa.array([b""], pa.binary())})])))
+    rows = [(1, 0, 0), (1, 0, 0), (1, 0, 0), (1, 0, 1), (2, 0, 1), (2, 0, 1)]
+    table = pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "i": pa.array([r[1] for r in rows], pa.int32()), "j": pa.array([r[2] for r in rows], pa.int32()),
+                      "side": pa.array([0] * 6, pa.int32()), "node": pa.array(range(6), pa.int64()), "label": pa.array(range(6), pa.int64()),
+                      "total": [own.column("total")[0].as_py()] * 6, "sketch": [own.column("sketch")[0].as_py()] * 6})
+    for size in (1, 2, 4, 6):
+        got = [r for b in M._near(9)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert {(r["bucket"], r["src"], r["dst"]) for r in got} == {(1, 0, 1), (1, 0, 2), (1, 1, 2), (2, 4, 5)}
+    assert list(M._near(9)(iter([]))) == []
+
+
 def test_a_large_group_of_copies_keeps_its_links(spark):
     rng = random.Random(9)
     base = [f"g{i}" for i in range(200)]
