@@ -168,7 +168,7 @@ def test_blocks_give_every_pair_that_reaches_the_level():
     out = next(iter(M._sketch([batch])))
     assert [t is None for t in out.column("total").to_pylist()] == [False] * 80 + [True] * 2
     total = out.column("total").to_numpy(zero_copy_only=False).astype(float)
-    sketch = np.frombuffer(b"".join(out.column("sketch").to_pylist()), np.uint8).reshape(-1, M.GROUPS)
+    sketch = np.frombuffer(b"".join(out.column("sketch").to_pylist()), "<u2").reshape(-1, M.GROUPS)
     node = label = np.arange(len(sets))
     like = {(i, j): M.weighted_jaccard(*(x.tobytes() for x in (*sets[i], *sets[j]))) for j in range(len(sets)) for i in range(j)}
     reach = {p for p, v in like.items() if v >= M.LEVEL}
