@@ -63,6 +63,41 @@ def test_dbscan_matches_brute_force(spark, monkeypatch):  # D14
     assert set(got.DBSCAN_Cluster) == {-1, 0, 1}
 
 
+def crowd(spark, n=1500, d=9, seed=3):
+    """Points of one crowded spot, some of them equal."""
+    x = np.round(np.random.default_rng(seed).normal(0, 0.5, (n, d)), 1)
+    x[: n // 5] = x[0]
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(d)])
+    pdf.insert(0, "id", [f"{i:04d}" for i in range(n)])
+    return spark.createDataFrame(pdf).repartition(2), x, list(pdf.columns[1:])
+
+
+def test_eps_pairs_ship_packed_tiles_not_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CHUNK_ROWS", 16)
+    df, x, cols = crowd(spark)
+    met = []
+    meet = neighbors._meet
+    monkeypatch.setattr(neighbors, "_meet", lambda pairs, left, right, *rest: met.append((pairs.count(), left.count())) or meet(pairs, left, right, *rest))
+    got = neighbors.eps_neighbor_counts(df, "id", cols, 1.2).toPandas().sort_values("id").neighbors.to_numpy()
+    assert (got == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 1.2).sum(axis=1)).all()
+    (pairs, tiles), = met
+    assert tiles <= len(x) / 32 and pairs <= tiles * (tiles + 1) / 2  # rows of pairs, not copies of points for each
+
+
+def test_knn_asks_only_tiles_within_reach_and_breaks_ties_by_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CHUNK_ROWS", 64)
+    df, x, cols = crowd(spark)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {r["id"]: [n["i"] for n in r["neighbors"]] for r in neighbors.knn(df, "id", cols, 5).collect()}
+    assert got == {f"{i:04d}": [f"{j:04d}" for j in np.argsort(d[i], kind="stable")[:5]] for i in range(len(x))}
+
+
+def test_points_without_all_coordinates_take_no_part(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0), ("c", None, 0.0), ("d", 0.5, float("nan"))], "id string, p double, q double")
+    assert {r["id"]: r["k_distance"] for r in neighbors.k_distance(df, "id", ["p", "q"], 2).collect()} == {"a": 1.0, "b": 1.0}
+    assert {r["id"]: r["neighbors"] for r in neighbors.eps_neighbor_counts(df, "id", ["p", "q"], 1.0).collect()} == {"a": 2, "b": 2}
+
+
 def test_stratified_split_exact_and_folds_disjoint(spark):
     df = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(1, 301)], "CustomerID string, Target int")
     s = learn.stratified_split(df).groupBy("Target").agg(F.sum(F.col("is_test").cast("int")).alias("t"),
