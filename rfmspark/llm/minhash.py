@@ -3,12 +3,12 @@
 Shingles are five consecutive words (a shorter text is one shingle of all its words), weighted by
 term frequency times inverse document frequency. Copies of one text must not make it common, so a
 first pass with flat weights finds classes, and documents are counted by one text of each class.
-The inverse document frequency is flat up to ``COMMON`` (a shingle in a smaller share of them weighs
-1) and falls as log(share) beyond, so only the shingles that are common need counts: at most
-2 / ``COMMON`` times the mean number of shingles of a document (bounded lossy counting in each task
-nominates them without loss, a second pass counts them exactly), a table small enough to travel with
-every task. Texts that hold a common shingle are sampled again with these weights; the others, and
-the classes without them, stay as they are.
+Every shingle of every text gets its document frequency df: the texts are cut into slices, and the
+shingles of each slice are dealt by hash to parts of about ``PART`` text bytes. A part counts its
+shingles, and those of df 2 or more go back to the texts that hold them. A shingle weighs
+log(n / df) / log(n), n being the number of classes (at least ``FLOOR``), so one of df 1 or less (it stands
+in no class's counted text) weighs 1. Only texts that hold a shingle of df 2 or more are sampled
+again with these weights; the others, and the classes without such texts, stay as they are.
 
 Identical word sequences are one node. Each node draws ``BANDS * ROWS`` weighted samples, banded
 into buckets. In a bucket all nodes are held against one hub, the node that shares most buckets with
@@ -38,7 +38,10 @@ from rfmspark.llm.common import U64, mix, prefix_hash, setup, slices, span_hash,
 WIDTH = 5
 LEVEL = 0.8
 BANDS, ROWS = 16, 4
-COMMON = 0.05
+#: Least weight of a shingle, and the base of the logarithms that ``common_shingles`` gives is 1 / COMMON.
+FLOOR, COMMON = 1e-3, 0.05
+#: Text bytes whose shingles make one part of the document frequencies (about a fourth as many shingles).
+PART = 1 << 22
 #: Pairs that a block gives of each two components, and of each component beyond its partners', in its first round; 16 times as many in each further round, until none is left.
 PAIRS = 4
 CHUNK = 4096
@@ -70,7 +73,8 @@ def raw_shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, term frequency) of each distinct shingle of each text."""
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16) if len(doc) and doc[-1] < 65536 else doc[order], kind="stable")]
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -105,68 +109,110 @@ def among(h: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wanted[at] == h, at
 
 
-def _nominate(batches):
-    """Lossy counting: shingles that may be common in this task's documents, with counts that miss at most COMMON / 4 of them."""
-    keys, counts, missed, seen = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            _, h, _ = shingles(*utf8(part.column("text")))
-            k, c = np.unique(h, return_counts=True)
-            both = np.concatenate([keys, k])
-            uniq, inv = np.unique(both, return_inverse=True)
-            old = np.full(len(uniq), COMMON / 4 * seen)
-            old[inv[:len(keys)]] = missed
-            total = np.bincount(inv, np.concatenate([counts, c]), len(uniq)).astype(np.int64)
-            seen += part.num_rows
-            stay = total + old > COMMON / 4 * seen
-            keys, counts, missed = uniq[stay], total[stay], old[stay]
-    stay = counts >= COMMON / 4 * seen
-    yield pa.RecordBatch.from_pydict({"h": pa.array([None, *keys[stay].astype(np.int64).tolist()], pa.int64()),
-                                      "df": pa.array([0, *counts[stay].tolist()], pa.int64()), "n": pa.array([seen] * (1 + int(stay.sum())), pa.int64())})
-
-
-def _hits(wanted: np.ndarray):
-    """Places in ``wanted`` of the shingles of each text that holds any."""
+def _deal(parts: int):
+    """Shingles of each slice of texts (batch, its first rid) by part, those of counted texts (``ones`` of them) first: the
+    place of the text in the slice, and 48 bits of the shingle beside those that make its part. Part 0 names the texts."""
     def fn(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                doc, h = raw_shingles(*utf8(part.column("text")))
-                hit, at = among(h, wanted)
-                both = np.unique(doc[hit] * len(wanted) + at[hit])  # once a text
-                yield pa.RecordBatch.from_pydict({"rid": part.column("rid").take(pa.array(both // len(wanted))), "at": pa.array((both % len(wanted)).astype(np.int32))})
+            for piece in (p.slice(i, 1 << 16) for p in slices(batch, "text") for i in range(0, p.num_rows, 1 << 16)):
+                doc, h, _ = shingles(*utf8(piece.column("text")))
+                other = ~piece.column("one").to_numpy(zero_copy_only=False).astype(bool)[doc]
+                part = (h & U64(parts - 1)).astype(np.uint16)
+                order = np.argsort(other, kind="stable")
+                order = order[np.argsort(part[order], kind="stable")]
+                key = h[order] >> U64(16)
+                blobs = {"doc": doc[order].astype("<u2"), "high": (key >> U64(16)).astype("<u4"), "low": (key & U64(0xFFFF)).astype("<u2")}
+                ones = np.bincount(part[~other], minlength=parts).tolist()
+                ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts))).tolist()
+                held = [p for p in range(parts) if p == 0 or ends[p + 1] > ends[p]]
+                rids = piece.column("rid").to_numpy().astype("<i8")
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(held, pa.int32()), "batch": pa.array([int(rids[0])] * len(held), pa.int64()),
+                    "rids": pa.array([None if p else rids.tobytes() for p in held], pa.binary()), "ones": pa.array([ones[p] for p in held], pa.int64()),
+                    **{c: pa.array([v[ends[p]:ends[p + 1]].tobytes() for p in held], pa.binary()) for c, v in blobs.items()}})
     return fn
 
 
-def _common(texts: DataFrame, ones: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles in more than COMMON of the texts of ``ones`` (rid), and their weights (under 1)."""
-    chosen = texts.join(ones, "rid", "left_semi").dropDuplicates(["rid"]).select("text")
-    sums = chosen.mapInArrow(_nominate, "h long, df long, n long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).checkpoint()
-    total = sums.where("h is null").select("n").collect()
-    n = total[0]["n"] if total else 0
-    # what no task nominated is at most COMMON / 2 of its documents; so these are few (see above) and none is missed
-    may = sums.where(F.col("h").isNotNull() & (F.col("df") + F.col("n") * (COMMON / 4) + (F.lit(n) - F.col("n")) * (COMMON / 2) >= n * COMMON)).select("h").collect()
-    wanted = np.sort(np.array([r["h"] for r in may], np.int64).astype(U64))
-    if not len(wanted):
-        return wanted, np.zeros(0)
-    hits = texts.select("rid", "text").mapInArrow(_hits(wanted), "rid long, at int").distinct()
-    rows = hits.join(ones, "rid", "left_semi").groupBy("at").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > n * COMMON) & (F.col("df") > 1)).collect()  # one class alone makes nothing common
-    got = sorted((int(wanted[r["at"]]), r["df"]) for r in rows)
-    return np.array([h for h, _ in got], U64), np.array([np.log(n / df) / np.log(1 / COMMON) for _, df in got])
+def _joined_bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _count(rows: pa.Table) -> pa.Table:
+    """Shingles of one part that stand in two or more counted texts: for each slice the place of the text in it, the 48 bits and df."""
+    key = _joined_bytes(rows.column("high"), "<u4").astype(U64) << U64(16) | _joined_bytes(rows.column("low"), "<u2").astype(U64)
+    doc = _joined_bytes(rows.column("doc"), "<u2")
+    n = np.array([len(x) // 2 for x in rows.column("doc").to_pylist()])
+    place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+    _, same = np.unique(key, return_inverse=True)
+    df = np.bincount(same, place < np.repeat(rows.column("ones").to_numpy(), n)).astype("<u4")[same] if len(key) else np.zeros(0, "<u4")
+    hit = np.flatnonzero(df > 1)
+    at = np.searchsorted(hit, np.append(0, np.cumsum(n))).tolist()
+    found = {"doc": doc[hit], "keys": key[hit], "df": df[hit]}
+    out = pa.table({"batch": rows.column("batch"), "rids": rows.column("rids"),
+                    **{c: pa.array([v[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()) for c, v in found.items()}})
+    return out.filter(pa.array([a < b or r is not None for a, b, r in zip(at[:-1], at[1:], rows.column("rids").to_pylist())], pa.bool_()))
+
+
+def _by_text(rows: pa.Table) -> pa.Table:
+    """One slice's shingles of df 2 or more by text, in order; texts without any are left out."""
+    rids = np.frombuffer(next(r for r in rows.column("rids").to_pylist() if r is not None), "<i8")
+    doc, key, df = _joined_bytes(rows.column("doc"), "<u2"), _joined_bytes(rows.column("keys"), "<u8"), _joined_bytes(rows.column("df"), "<u4")
+    order = np.lexsort((key, doc))
+    doc, key, df = doc[order], key[order], df[order]
+    at = np.searchsorted(doc, np.arange(len(rids) + 1))
+    held = np.flatnonzero(np.diff(at)).tolist()
+    return pa.table({"node": pa.array(rids[held], pa.int64()), "keys": pa.array([key[at[i]:at[i + 1]].tobytes() for i in held], pa.binary()),
+                     "df": pa.array([df[at[i]:at[i + 1]].tobytes() for i in held], pa.binary())})
+
+
+def _frequencies(texts: DataFrame, nodes: DataFrame, label: DataFrame) -> tuple[int, DataFrame]:
+    """Number of classes, and of each node that holds shingles of df 2 or more (node) these shingles (see ``_deal``) and df."""
+    marked = nodes.select("node").join(label, "node", "left") \
+        .select(F.col("node").alias("rid"), F.coalesce(F.col("label") == F.col("node"), F.lit(True)).alias("one")).checkpoint()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << min(16, max(0, (size - 1) // PART).bit_length())
+    chosen = texts.select("rid", "text").join(marked, "rid").dropDuplicates(["rid"])
+    dealt = chosen.mapInArrow(_deal(parts), "part int, batch long, rids binary, ones long, doc binary, high binary, low binary")
+    found = dealt.groupBy("part").applyInArrow(_count, "batch long, rids binary, doc binary, keys binary, df binary") \
+        .groupBy("batch").applyInArrow(_by_text, "node long, keys binary, df binary")
+    return marked.where("one").count(), found.checkpoint()
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles in more than COMMON of all classes (by flat weights), and their weights (under 1)."""
+    """Sorted hashes of all shingles and their inverse document frequencies, log(n / df) to the base 1 / COMMON. Both are
+    collected, so this is for a look at small tables; ``classes`` and ``deduplicate`` keep them in the cluster."""
     setup(docs.sparkSession)
     texts = _keyed(docs)
-    return _common(texts, _ones(*_flat(texts)[1:3]))
+    signed, nodes, label, _ = _flat(texts)
+    n, found = _frequencies(texts, nodes, label)
+    once = np.log(n) / np.log(1 / COMMON) if n else 0.0
+    sets = texts.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("text", "keys", "df").collect()
+    out: dict[int, float] = {}
+    for text, keys, df in sets:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        _, h, _ = shingles(raw, np.array([0, len(raw)]))
+        if keys is not None:
+            out.update(zip(h.tolist(), (weigh(h >> U64(16), np.ones(len(h)), idf(keys, df, n)) * once).tolist()))
+        else:
+            out |= {x: once for x in h.tolist() if x not in out}
+    got = sorted(out.items())
+    return np.array([h for h, _ in got], U64), np.array([w for _, w in got])
+
+
+def idf(keys: bytes | None, df: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles of df 2 or more (see ``_deal``) and their weights, in units of a shingle of df 1."""
+    if not keys:
+        return np.zeros(0, U64), np.zeros(0)
+    return np.frombuffer(keys, "<u8"), np.log(n / np.frombuffer(df, "<u4")) / np.log(n)
 
 
 def weigh(h: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Term frequencies times inverse document frequencies: ``common`` has sorted shingles and theirs, any other's is 1."""
     w = tf.astype(np.float64)
-    keys, idf = common
+    keys, weight = common
     if len(keys):
         hit, at = among(h, keys)
-        w[hit] *= np.maximum(idf[at[hit]], 1e-3)
+        w[hit] *= np.maximum(weight[at[hit]], FLOOR)
     return w
 
 
@@ -191,49 +237,68 @@ class Sampler:
     def draw(self, doc_at: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """(samples, texts) keys; ``doc_at`` are the places at which the texts' shingles begin (none is empty)."""
         low = h >> U64(32)
-        other = np.flatnonzero(w != 1)
-        ln_w = np.log(w[other])
+        more, less = np.flatnonzero(w > 1), np.flatnonzero(w < 1)
+        owner = np.repeat(np.arange(len(doc_at)), np.diff(np.append(doc_at, len(h)))) if len(less) else None
         out = np.empty((BANDS * ROWS, len(doc_at)), U64)
+
+        def weighted(which, a):
+            r, beta = self.r[a], self.beta[a]
+            t = np.floor(np.log(w[which]) / r + beta)
+            own = low[which] ^ (mix(t.astype(np.int64).astype(U64)) >> U64(32))
+            return _ordered(self.ln_c[a] - r * (t - beta + 1)).astype(U64) << U64(32) | own
         for k, odd in enumerate(self.odd):
             at = (h * U64(odd)) >> U64(64 - DRAW_BITS)
             v = self.unit[at] | low
-            if len(other):
-                a = at[other]
-                r, beta = self.r[a], self.beta[a]
-                t = np.floor(ln_w / r + beta)
-                own = low[other] ^ (mix(t.astype(np.int64).astype(U64)) >> U64(32))
-                v[other] = _ordered(self.ln_c[a] - r * (t - beta + 1)).astype(U64) << U64(32) | own
+            if len(more):
+                v[more] = weighted(more, at[more])
+            if len(less):
+                flat = v[less]
+                v[less] = U64(0xFFFFFFFFFFFFFFFF)
             out[k] = np.minimum.reduceat(v, doc_at)
+            if len(less):  # a weight under 1 never draws less than a weight of 1 does
+                near = less[flat >> U64(32) <= out[k][owner[less]] >> U64(32)]
+                np.minimum.at(out[k], owner[near], weighted(near, at[near]))
         return out
 
 
-def _signer(common: tuple[np.ndarray, np.ndarray] | None):
-    """Bands of every text by flat weights, or, with ``common``, of the texts that hold a common shingle."""
+def _bands(sampler: Sampler, doc: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> list[list[int] | None]:
+    """Bands of each of ``n`` texts; null without words."""
+    bands: list[list[int] | None] = [None] * n
+    if len(doc):
+        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        got = sampler.draw(at, h, w)
+        keys = np.zeros((BANDS, len(at)), U64)
+        for b in range(BANDS):
+            for r in range(ROWS):
+                keys[b] = mix(keys[b] * U64(31) + got[b * ROWS + r] + U64(b + 1))
+        for d, row in zip(doc[at], keys.T.astype(np.int64).tolist()):
+            bands[d] = row
+    return bands
+
+
+def _signer(batches):
+    """Bands of every text by flat weights."""
+    sampler = Sampler()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            word, begin, k1, k2 = keyed_words(*utf8(part.column("text")))
+            doc, h, tf = counted(*occurrences(word, begin))
+            bands = _bands(sampler, doc, h, tf.astype(np.float64), part.num_rows)
+            yield pa.RecordBatch.from_pydict({"rid": part.column("rid"), "k1": pa.array(k1.astype(np.int64)), "k2": pa.array(k2.astype(np.int64)),
+                                              "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+
+def _weighed_signer(n: int):
+    """Bands of every text by term frequency times inverse document frequency."""
     def fn(batches):
         sampler = Sampler()
         for batch in batches:
             for part in slices(batch, "text"):
-                word, begin, k1, k2 = keyed_words(*utf8(part.column("text")))
-                doc, h = occurrences(word, begin)
-                n = part.num_rows
-                if common is not None:
-                    holds = np.zeros(n, bool)
-                    holds[doc[among(h, common[0])[0]]] = True
-                    doc, h = doc[holds[doc]], h[holds[doc]]
-                doc, h, tf = counted(doc, h)
-                bands: list[list[int] | None] = [None] * n
-                if len(doc):
-                    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    got = sampler.draw(at, h, weigh(h, tf, common or (np.zeros(0, U64), np.zeros(0))))
-                    keys = np.zeros((BANDS, len(at)), U64)
-                    for b in range(BANDS):
-                        for r in range(ROWS):
-                            keys[b] = mix(keys[b] * U64(31) + got[b * ROWS + r] + U64(b + 1))
-                    for d, row in zip(doc[at], keys.T.astype(np.int64).tolist()):
-                        bands[d] = row
-                out = pa.RecordBatch.from_pydict({"rid": part.column("rid"), "k1": pa.array(k1.astype(np.int64)), "k2": pa.array(k2.astype(np.int64)),
-                                                  "bands": pa.array(bands, pa.list_(pa.int64()))})
-                yield out if common is None else out.filter(pa.array(holds))
+                doc, h, tf = shingles(*utf8(part.column("text")))
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                w = np.concatenate([weigh(h[a:b] >> U64(16), tf[a:b], idf(keys, df, n))
+                                    for a, b, keys, df in zip(at[:-1], at[1:], part.column("keys").to_pylist(), part.column("df").to_pylist())])
+                yield pa.RecordBatch.from_pydict({"rid": part.column("rid"), "bands": pa.array(_bands(sampler, doc, h, w, part.num_rows), pa.list_(pa.int64()))})
     return fn
 
 
@@ -250,14 +315,14 @@ def _sets(batches):
                                               "w": pa.array(ws, pa.binary())})
 
 
-def _weighed(common: tuple[np.ndarray, np.ndarray]):
+def _weighed(n: int):
     """Sets of term frequencies as sets of weights."""
     def fn(batches):
         for batch in batches:
             ws = []
-            for h, w in zip(batch.column("h").to_pylist(), batch.column("w").to_pylist()):
-                keys = np.frombuffer(h, "<u8")
-                new = weigh(keys, np.frombuffer(w, "<f4") if w else np.ones(len(keys)), common).astype("<f4")
+            for h, w, keys, df in zip(*(batch.column(c).to_pylist() for c in ("h", "w", "keys", "df"))):
+                all_ = np.frombuffer(h, "<u8")
+                new = weigh(all_ >> U64(16), np.frombuffer(w, "<f4") if w else np.ones(len(all_)), idf(keys, df, n)).astype("<f4")
                 ws.append(b"" if (new == 1).all() else new.tobytes())
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "h": batch.column("h"), "w": pa.array(ws, pa.binary())})
     return fn
@@ -483,7 +548,7 @@ def _components(active: DataFrame, sets: DataFrame, label: DataFrame, alone: boo
 
 def _flat(texts: DataFrame) -> tuple[DataFrame, ...]:
     """By flat weights: signed rows, nodes (one row of each word sequence), labels of the nodes in shared buckets, and their sets."""
-    signed = texts.select("rid", "text").mapInArrow(_signer(None), "rid long, k1 long, k2 long, bands array<long>").checkpoint()
+    signed = texts.select("rid", "text").mapInArrow(_signer, "rid long, k1 long, k2 long, bands array<long>").checkpoint()
     nodes = signed.where("bands is not null").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.first("bands").alias("bands")).checkpoint()
     active = _shared(nodes)
     ids = active.select("node").distinct()
@@ -491,27 +556,23 @@ def _flat(texts: DataFrame) -> tuple[DataFrame, ...]:
     return signed, nodes, _components(active, sets, sets.select("node", F.col("node").alias("label")), True), sets
 
 
-def _ones(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """One row (rid) of each class: labels are the smallest node of theirs."""
-    return nodes.select("node").join(label.where("label != node").select("node"), "node", "left_anti").withColumnRenamed("node", "rid").checkpoint()
-
-
 def _labels(docs: DataFrame) -> DataFrame:
     """rid, doc_id and label (null without words) of every row."""
     setup(docs.sparkSession)
     texts = _keyed(docs)
     signed, nodes, label, sets = _flat(texts)
-    common = _common(texts, _ones(nodes, label))
-    if len(common[0]):
-        again = texts.select("rid", "text").mapInArrow(_signer(common), "rid long, k1 long, k2 long, bands array<long>") \
-            .groupBy("k1", "k2").agg(F.first("bands").alias("new")).select(F.col("k1").alias("a"), F.col("k2").alias("b"), "new")
-        both = nodes.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left") \
+    n, found = _frequencies(texts, nodes, label)
+    if n > 1 and not found.isEmpty():  # else all weights are the same
+        again = texts.select("rid", "text").join(found.withColumnRenamed("node", "rid"), "rid") \
+            .mapInArrow(_weighed_signer(n), "rid long, bands array<long>").groupBy("rid").agg(F.first("bands").alias("new"))
+        both = nodes.join(again.withColumnRenamed("rid", "node"), "node", "left") \
             .select("k1", "k2", "node", F.coalesce("new", "bands").alias("bands"), F.col("new").isNotNull().alias("changed")).checkpoint()
         active = _shared(both)
         ids = active.select("node").distinct().checkpoint()
         more = _texts_of(texts, ids.join(sets.select("node"), "node", "left_anti"))
-        weighed = sets.join(ids, "node", "left_semi").union(more).mapInArrow(_weighed(common), "node long, h binary, w binary").checkpoint()
-        # classes without common shingles hold as they are, the others begin anew
+        weighed = sets.join(ids, "node", "left_semi").union(more).join(found, "node", "left") \
+            .mapInArrow(_weighed(n), "node long, h binary, w binary").checkpoint()
+        # classes without shingles of df 2 or more hold as they are, the others begin anew
         touched = label.join(both.where("changed").select("node"), "node", "left_semi").select("label").distinct()
         begin = ids.join(label.join(touched, "label", "left_anti"), "node", "left").select("node", F.coalesce("label", "node").alias("label")).checkpoint()
         label = _components(active, weighed, begin, False)

@@ -236,3 +236,38 @@ def test_closure_of_long_chains_and_stars(spark):
             part[a] = part[b] = min(part[a], part[b])
     links = spark.createDataFrame(sorted(edges), "a long, b long").repartition(5).checkpoint()
     assert {r["old"]: r["new"] for r in M._closure(links).collect()} == part
+
+
+def test_every_shingle_weighs_by_its_document_frequency(spark):
+    rng = random.Random(12)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(100)
+    # one passage in 5 texts of 200, far under COMMON: the first two are near copies by flat weights only
+    texts = [passage + own(10), passage + own(10)] + [passage + own(200) for _ in range(3)] + [own(40) for _ in range(195)]
+    near = own(150)
+    texts += [near, near[:-3] + own(3), near]
+    grams = [{tuple(t[i:i + M.WIDTH]) for i in range(len(t) - M.WIDTH + 1)} for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    classes = [{0, 1}, {200, 201, 202}] + [{i} for i in range(2, 200)]  # by flat weights
+    df = Counter(g for c in classes for g in set().union(*(grams[i] for i in c)))
+    weight = {g: np.log(len(classes) / n) for g, n in df.items()}
+    like = lambda a, b, w: sum(w(g) for g in grams[a] & grams[b]) / sum(w(g) for g in grams[a] | grams[b])
+    assert like(0, 1, lambda g: 1) >= M.LEVEL > like(0, 1, weight.get) and like(200, 201, weight.get) >= M.LEVEL
+    got = {r["doc_id"]: r["class_id"] for r in M.classes(docs).collect()}
+    assert got == {i: 200 if i > 200 else i for i in range(len(texts))}
+
+
+def test_frequencies_come_back_to_the_texts_that_hold_them():
+    texts = ["a b c d e f", "a b c d e g", "x a b c d e", "k l m n o", ""]
+    rows = [pa.RecordBatch.from_pydict({"rid": pa.array([10 * i + j for j in range(len(texts))], pa.int64()), "text": texts, "one": [True, True, True, False, True]}) for i in (1, 2)]
+    dealt = pa.Table.from_batches(list(M._deal(4)(iter(rows))))
+    counted = pa.concat_tables([M._count(dealt.filter(pa.array([p == q for q in dealt.column("part").to_pylist()]))) for p in set(dealt.column("part").to_pylist())])
+    for i in (1, 2):
+        found = {r["node"]: r for r in M._by_text(counted.filter(pa.array([b == 10 * i for b in counted.column("batch").to_pylist()]))).to_pylist()}
+        assert set(found) == {10 * i, 10 * i + 1, 10 * i + 2}  # uncounted texts' shingles and lone ones are left out
+        for node, r in found.items():
+            raw = np.frombuffer(texts[node % 10].encode(), np.uint8)
+            h = M.shingles(raw, np.array([0, len(raw)]))[1] >> np.uint64(16)
+            # in both slices: 3 texts each hold "a b c d e", the others' shingles stand once a slice
+            df = dict(zip(np.frombuffer(r["keys"], "<u8").tolist(), np.frombuffer(r["df"], "<u4").tolist()))
+            assert set(df) == set(h.tolist()) and sorted(df.values()) == [2, 6]
