@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rfmspark.llm.common import U64, mix, prefix_hash, setup, slices, span_hash, utf8, words
+from rfmspark.llm.common import U64, mix, prefix_hash, releasing, setup, slices, span_hash, utf8, words
 
 WIDTH = 5
 LEVEL = 0.8
@@ -584,14 +584,16 @@ def _labels(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
-    rows = _labels(docs).checkpoint()
+    with releasing(docs.sparkSession):
+        rows = _labels(docs).checkpoint()
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "l")
     return rows.join(least, F.col("label") == F.col("l"), "left").select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with the smallest doc_id (null last), once. Rows are told apart by rid; rows without words all stay."""
-    rows = _labels(docs).checkpoint()
+    with releasing(docs.sparkSession):
+        rows = _labels(docs).checkpoint()
     worded = rows.where("label is not null")
     best = worded.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("label").alias("l"), F.col("best.rid").alias("stays"))
     gone = worded.join(best, F.col("label") == F.col("l")).where("rid != stays").select(F.col("rid").alias("_gone")).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from rfmspark.llm.common import SPACE, U64, covered, leftmost_minima, mix, prefix_hash, rolling, setup, slices, span_hash, utf8, words
+from rfmspark.llm.common import SPACE, U64, covered, leftmost_minima, mix, prefix_hash, releasing, rolling, setup, slices, span_hash, utf8, words
 
 WINDOW = 13
 SEED = 6
@@ -113,20 +113,21 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """The texts by rid, with whether they are copies. All uses join in the same way and read the same columns (whether
-    they need doc_id or not), so they share one exchange of texts."""
+    """The texts by rid, with whether they are copies."""
     return _texts(docs).join(copied.withColumn("copy", F.lit(True)), F.col("rid") == F.col("k"), "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("k")
 
 
 def repeated_windows(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
     """w, rid (row), key (doc_id), pos (word) and first (smallest doc_id) of every window that stands in several documents.
 
-    With ``copied`` (see ``copies``) these rows are left out; what stands in them stands in a smaller one too."""
+    With ``copied`` (see ``copies``) these rows are left out; what stands in them stands in a smaller one too. The seeds that
+    survive are kept before the windows are formed, so the shuffles of both don't lie on disk together."""
     setup(docs.sparkSession)
     texts = _marked(docs, copied if copied is not None else docs.sparkSession.createDataFrame([], "k long"))
     seeds = texts.mapInArrow(_seeds, "seed long, rid long, pos int")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("seed"))
-    alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("rid").agg(F.collect_set("pos").alias("seeds")).withColumnRenamed("rid", "k")
+    with releasing(docs.sparkSession):
+        alive = seeds.join(often, F.col("seed") == F.col("g")).groupBy("rid").agg(F.collect_set("pos").alias("seeds")).withColumnRenamed("rid", "k").checkpoint()
     rows = texts.join(alive, F.col("rid") == F.col("k"), "left").select("rid", "key", "doc_id", "text", F.when(~F.col("copy"), F.col("seeds")).alias("seeds")) \
         .mapInArrow(_extend, "w long, rid long, key long, pos int")
     return rows.join(_first(rows), F.col("w") == F.col("g")).select("w", "rid", "key", "pos", "first")
@@ -173,7 +174,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    copied = copies(docs).checkpoint()
-    gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("rid").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    with releasing(docs.sparkSession):
+        copied = copies(docs).checkpoint()
+        gone = repeated_windows(docs, copied).where("key > first").groupBy(F.col("rid").alias("k")).agg(F.collect_set("pos").alias("gone")).checkpoint()
     return _marked(docs, copied).join(gone, F.col("rid") == F.col("k"), "left").select("doc_id", "text", "copy", "gone") \
         .mapInArrow(_report, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -1,7 +1,12 @@
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from rfmspark.llm.common import RELEASE, releasing
 from rfmspark.llm import window_dedup as W
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -72,3 +77,21 @@ def test_levels_double_until_none_survives(spark):
     got = W.levels(docs)
     assert [n for n, _ in got] == [13, 26, 52]
     assert {n: df.where("key = 1").count() for n, df in got} == {13: 48, 26: 35, 52: 9}
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    folders = [Path(p) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f.name for p in folders for f in p.rglob("shuffle_*.data")}
+
+    def gone():  # Spark deletes them in the background
+        end = time.monotonic() + 30
+        while files() - before and time.monotonic() < end:
+            time.sleep(0.2)
+        return not files() - before
+    before = files()
+    with releasing(spark):
+        kept = spark.range(5000).groupBy(F.col("id") % 700).count().checkpoint()
+    assert gone() and kept.count() == 700 and spark.conf.get(RELEASE, None) is None
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2 * 50 + k) % 3000}" for k in range(60))) for i in range(200)], "doc_id long, text string").repartition(5)
+    report = W.dedup_report(docs)
+    assert gone() and report.where("n_removed > 0").count() >= 100
