@@ -14,11 +14,12 @@ Identical word sequences are one node. Each node draws ``BANDS * ROWS`` weighted
 into buckets. In a bucket all nodes are held against one hub, the node that shares most buckets with
 most others; verified pairs (weighted Jaccard of
 at least ``LEVEL`` on whole sets) join components. Buckets that still hold several components go
-on in blocks of at most two chunks of about ``CHUNK`` nodes: a task holds all pairs of a block that lie in
-different components against an upper bound of their similarity (weights summed in ``GROUPS`` groups of
-shingles, which can only overstate what two sets share) and gives those that may reach ``LEVEL``, of
-each two components the likeliest first (see ``PAIRS``). These are verified on whole sets and join
-components, and blocks that had more to give go on if they still hold several. So no link
+on in blocks of at most two chunks of about ``CHUNK`` nodes or ``CHUNK_BYTES`` bytes of sets. A block holds the
+whole sets of its nodes, and its task settles it: all pairs that lie in different components are held against
+an upper bound of their similarity (weights summed in ``GROUPS`` groups of shingles, which can only overstate
+what two sets share), those that may reach ``LEVEL`` are verified, of each two components the likeliest first (see
+``PAIRS``), and join components at once. A block gives links only, fewer than it has nodes, so no
+rows are made per pair. Nodes that share several buckets are held against each other in the first of them. So no link
 is lost within buckets, and nodes that a chain of links joins already aren't paired.
 
 Defined results: every row gets a row; class_id is the smallest doc_id of the component; texts
@@ -42,9 +43,10 @@ BANDS, ROWS = 16, 4
 FLOOR, COMMON = 1e-3, 0.05
 #: Text bytes whose shingles make one part of the document frequencies (about a fourth as many shingles).
 PART = 1 << 22
-#: Pairs that a block gives of each two components, and of each component beyond its partners', in its first round; 16 times as many in each further round, until none is left.
+#: Pairs that a block tries first of each two components, and of each component beyond its partners'; then it tries all that are left, row by row.
 PAIRS = 4
-CHUNK = 4096
+#: Nodes, and bytes of their sets, of a chunk.
+CHUNK, CHUNK_BYTES = 4096, 1 << 25
 #: Groups of shingles in a sketch, and its units in a weight of 1.
 GROUPS, UNITS = 256, 4
 DRAW_BITS = 18
@@ -414,15 +416,87 @@ def _likeliest(best: list[np.ndarray], label: np.ndarray, limit: int) -> tuple[l
     return [v[stay] for v in best], len(stay) < len(x)
 
 
+class _Sets:
+    """The whole sets of a block's nodes, and the components that verified pairs of them make."""
+
+    def __init__(self, h: list[bytes], w: list[bytes], label: np.ndarray):
+        self.h, self.w = h, w
+        self.at = np.append(0, np.cumsum([len(x) // 8 for x in h]))
+        _, self.col = np.unique(np.frombuffer(b"".join(h), "<u8"), return_inverse=True)
+        self.weight = np.concatenate([np.frombuffer(x, "<f4") if x else np.ones(len(y) // 8, "<f4") for x, y in zip(w, h)]).astype(float)
+        self.total = np.add.reduceat(np.append(self.weight, 0.0), self.at[:-1])
+        self.row = np.zeros(self.col.max(initial=-1) + 1)
+        _, self.part = np.unique(label, return_inverse=True)
+
+    def reach(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Whether the set ``x`` and each of the sets ``y`` are alike by LEVEL (as ``weighted_jaccard`` says)."""
+        own = slice(self.at[x], self.at[x + 1])
+        self.row[self.col[own]] = self.weight[own]
+        size = self.at[y + 1] - self.at[y]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(self.at[y] - begin, size)
+        shared = np.add.reduceat(np.minimum(self.row[self.col[place]], self.weight[place]), begin)
+        self.row[self.col[own]] = 0
+        like = shared / (self.total[x] + self.total[y] - shared)
+        ok = like >= LEVEL
+        for i in np.flatnonzero(np.abs(like - LEVEL) < 1e-9).tolist():  # sums differ in their last digits
+            ok[i] = weighted_jaccard(self.h[x], self.w[x], self.h[y[i]], self.w[y[i]]) >= LEVEL
+        return ok
+
+    def link(self, x: int, y: np.ndarray) -> list[tuple[int, int]]:
+        """Verified pairs of ``x`` with ``y``, one for each component that it joins; after each step those that are joined by then are left out."""
+        out, step = [], 16
+        while len(y):
+            now, y = y[:step], y[step:]
+            for z in now[self.reach(x, now)].tolist():
+                if self.part[z] != self.part[x]:
+                    out.append((x, z))
+                    self.part[self.part == self.part[z]] = self.part[x]
+            y, step = y[self.part[y] != self.part[x]], min(4096, 4 * step)
+        return out
+
+
+def _settle(sets: _Sets, bands: np.ndarray, bucket: int, total: np.ndarray, sketch: np.ndarray, side: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Verified pairs (places) that join all components of a block that links between its sides join (of a block of one chunk, all links).
+    Pairs that share an earlier band are left to its bucket."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    one = not side.any()
+    x, y, more = _block(np.arange(len(total)), sets.part.copy(), total, sketch, side, limit)
+    out = []
+    for i in np.unique(x).tolist():
+        out += sets.link(i, y[x == i])
+    if not more:
+        return out
+    band = (bands == bucket).argmax(axis=1)
+    for n, i in enumerate(left.tolist()):
+        j = right[n + 1:] if one else right
+        j = j[sets.part[j] != sets.part[i]]
+        j = j[~((total[j] < total[i] * LEVEL - 1e-6) | (total[i] < total[j] * LEVEL - 1e-6))]  # kept where a total is missing
+        j = j[~(bands[j, :band[i]] == bands[i, :band[i]]).any(axis=1)]
+        score = np.concatenate([np.zeros(0), *(may_reach(total, sketch, np.full(len(k), i), k) for k in (j[m:m + 4096] for m in range(0, len(j), 4096)))])
+        j, score = j[score >= 1], score[score >= 1]
+        out += sets.link(i, j[np.argsort(-score, kind="stable")])
+    return out
+
+
 def _near(limit: int):
-    """Pairs to verify of each block (rows of a block stand together); one more row, without nodes, tells that a block has more."""
+    """Of each block (its rows stand together) the pairs to verify; one more row, without nodes, tells that a block has more.
+    Rows that hold their sets are verified here: of such a block the links that join its components."""
     def solve(rows: pa.Table) -> pa.RecordBatch:
         node, label = (rows.column(c).to_numpy() for c in ("node", "label"))
-        total = rows.column("total").to_numpy()
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, GROUPS)
-        x, y, more = _block(node, label, total, sketch, rows.column("side").to_numpy(), limit)
+        bucket, whole = rows.column("bucket")[0].as_py(), "h" in rows.column_names
+        drawn = pa.Table.from_batches(list(_sketch(rows.to_batches()))) if whole else rows
+        total = drawn.column("total").to_numpy().astype(float)
+        sketch = np.frombuffer(b"".join(drawn.column("sketch").to_pylist()), "<u2").reshape(-1, GROUPS)
+        side, more = rows.column("side").to_numpy(), False
+        if whole:
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+            sets = _Sets(rows.column("h").to_pylist(), rows.column("w").to_pylist(), label)
+            x, y = np.array(_settle(sets, bands, bucket, total, sketch, side, limit), np.int64).reshape(-1, 2).T
+        else:
+            x, y, more = _block(node, label, total, sketch, side, limit)
         x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
-        bucket = rows.column("bucket")[0].as_py()
         tail = [None] if more else []
         out = {c: pa.array([*v.tolist(), *tail], pa.int64()) for c, v in (("src", node[x]), ("dst", node[y]), ("a", label[x]), ("b", label[y]))}
         return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(out["src"]), pa.int64()), **out})
@@ -512,8 +586,8 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return scored.join(hubs, F.col("bucket") == F.col("b")).select("bucket", "node", "score", "hub").checkpoint()
 
 
-def _components(active: DataFrame, sets: DataFrame, label: DataFrame, alone: bool) -> DataFrame:
-    """``label`` after all links in the buckets; ``alone``: every node is its own label still."""
+def _components(active: DataFrame, sets: DataFrame, label: DataFrame, alone: bool, nodes: DataFrame) -> DataFrame:
+    """``label`` after all links in the buckets; ``alone``: every node is its own label still; ``nodes`` has the bands."""
     pairs = active.where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
     if alone:
         pairs = pairs.select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -521,29 +595,22 @@ def _components(active: DataFrame, sets: DataFrame, label: DataFrame, alone: boo
         a, b = (label.select(F.col("node").alias(node), F.col("label").alias(tag)) for node, tag in (("src", "a"), ("dst", "b")))
         pairs = pairs.join(a, "src").join(b, "dst").where("a != b").select("src", "dst", "a", "b")
     label = _joined(label, _links(pairs, sets))
-    rest = active.where("node != hub").select("bucket", "node")  # the hub met everyone in its bucket
-    limit = PAIRS
-    while True:
-        tagged = rest.join(label, "node").select("bucket", "node", "label")
-        per = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")) \
-            .groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1") \
-            .select(F.col("bucket").alias("b"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        still = tagged.join(per, F.col("bucket") == F.col("b")).drop("b").checkpoint()
-        if still.isEmpty():
-            return label
-        own = sets.join(still.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, total double, sketch binary")
-        chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
-        dealt = still.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        blocks = dealt.join(own, "node").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-                                                (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "label", "total", "sketch")
-        found = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
-            .mapInArrow(_near(limit), "bucket long, src long, dst long, a long, b long").checkpoint()
-        label = _joined(label, _links(found.where("src is not null").select("src", "dst", "a", "b").distinct(), sets))
-        more = found.where("src is null").select("bucket").distinct()
-        if more.isEmpty():
-            return label
-        rest = still.select("bucket", "node").join(more, "bucket", "left_semi")
-        limit *= 16
+    # the hub met everyone in its bucket
+    tagged = active.where("node != hub").select("bucket", "node").join(label, "node") \
+        .join(sets.select("node", (F.octet_length("h") + F.octet_length("w")).alias("bytes")), "node").select("bucket", "node", "label", "bytes")
+    per = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("top")) \
+        .where("least < top").select(F.col("bucket").alias("b"), F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    still = tagged.drop("bytes").join(per, F.col("bucket") == F.col("b")).drop("b").checkpoint()
+    if still.isEmpty():
+        return label
+    own = sets.join(still.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "bands"), "node")
+    chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    dealt = still.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.join(own, "node").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+                                            (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "label", "h", "w", "bands")
+    found = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
+        .mapInArrow(_near(PAIRS), "bucket long, src long, dst long, a long, b long")
+    return _joined(label, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint())
 
 
 def _flat(texts: DataFrame) -> tuple[DataFrame, ...]:
@@ -553,7 +620,7 @@ def _flat(texts: DataFrame) -> tuple[DataFrame, ...]:
     active = _shared(nodes)
     ids = active.select("node").distinct()
     sets = _texts_of(texts, ids).checkpoint()
-    return signed, nodes, _components(active, sets, sets.select("node", F.col("node").alias("label")), True), sets
+    return signed, nodes, _components(active, sets, sets.select("node", F.col("node").alias("label")), True, nodes), sets
 
 
 def _labels(docs: DataFrame) -> DataFrame:
@@ -575,7 +642,7 @@ def _labels(docs: DataFrame) -> DataFrame:
         # classes without shingles of df 2 or more hold as they are, the others begin anew
         touched = label.join(both.where("changed").select("node"), "node", "left_semi").select("label").distinct()
         begin = ids.join(label.join(touched, "label", "left_anti"), "node", "left").select("node", F.coalesce("label", "node").alias("label")).checkpoint()
-        label = _components(active, weighed, begin, False)
+        label = _components(active, weighed, begin, False, both)
     named = nodes.join(label, "node", "left").select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.coalesce("label", "node").alias("label"))
     own = signed.select("rid", "k1", "k2", F.col("bands").isNotNull().alias("worded")) \
         .join(named, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")) & F.col("worded"), "left").select(F.col("rid").alias("r"), "label").distinct()

@@ -195,6 +195,58 @@ def test_blocks_are_told_apart_across_batches():
     assert list(M._near(9)(iter([]))) == []
 
 
+def joined(pairs, label):
+    part = list(label)
+    for a, b in pairs:
+        part = [part[a] if p == part[b] else p for p in part]
+    return {frozenset(i for i, p in enumerate(part) if p == q) for q in part}
+
+
+@pytest.mark.parametrize("limit", [1, M.PAIRS])
+@pytest.mark.parametrize("two", [False, True])
+def test_blocks_with_sets_give_verified_links_only(two, limit):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = []
+    for i in range(150):
+        own = base[rng.permutation(200)[:200 - int(rng.integers(9, 24))]]
+        h = np.unique(np.concatenate([own, rng.integers(0, 2**63, 200 - len(own)).astype(np.uint64)]))
+        sets.append((h, b"" if i % 3 else rng.choice([0.5, 1.0, 1.0, 2.0], len(h)).astype("<f4").tobytes()))
+    n = len(sets)
+    bands = np.stack([np.where(rng.random(n) < 0.1, 7, -1 - np.arange(n)), np.full(n, 5)], axis=1)  # some share band 0's bucket too
+    side = np.arange(n) % 2 if two else np.zeros(n, int)
+    label = np.where(np.arange(n) < 12, 0, np.arange(n))
+    rows = pa.table({"bucket": pa.array([5] * n, pa.int64()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([int(two)] * n, pa.int32()), "side": pa.array(side, pa.int32()),
+                     "node": pa.array(range(n), pa.int64()), "label": pa.array(label, pa.int64()), "h": [h.tobytes() for h, _ in sets], "w": pa.array([w for _, w in sets], pa.binary()),
+                     "bands": pa.array(bands.tolist(), pa.list_(pa.int64()))})
+    like = {(i, j): M.weighted_jaccard(sets[i][0].tobytes(), sets[i][1], sets[j][0].tobytes(), sets[j][1]) for j in range(n) for i in range(j) if not two or side[i] != side[j]}
+    reach = [p for p, v in like.items() if v >= M.LEVEL]
+    due = [(a, b) for a, b in reach if bands[a, 0] != bands[b, 0]]  # the others are band 0's
+    got = [r for b in M._near(limit)(iter(rows.to_batches(max_chunksize=40))) for r in b.to_pylist()]
+    pairs = [(r["src"], r["dst"]) for r in got]
+    assert 0 < len(due) < len(reach) < len(like) / 2 and set(pairs) <= set(reach) and len(pairs) < n
+    assert all(r["bucket"] == 5 and (r["a"], r["b"]) == (label[r["src"]], label[r["dst"]]) for r in got)
+    least, most = joined(due, label), joined(reach, label)
+    assert len(least) > 1 and joined([*pairs, *due], label) == joined(pairs, label) and joined([*pairs, *reach], label) == most
+
+
+def test_pairs_of_a_group_are_verified_inside_its_blocks(spark, monkeypatch):
+    rng, seen = random.Random(21), []
+    base = [f"g{i}" for i in range(200)]
+    texts = []
+    for i in range(80):  # nearly all pairs lie under the level, though most share buckets
+        t = list(base)
+        for k in range(4):
+            t[rng.randrange(len(t))] = f"c{i}_{k}"
+        texts.append(" ".join(t))
+    links = M._links
+    monkeypatch.setattr(M, "_links", lambda pairs, sets: (seen.append(pairs.count()), links(pairs, sets))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert M.classes(docs).count() == len(texts)
+    # one round against hubs in each pass; no pairs of the rest leave their blocks
+    assert 1 <= len(seen) <= 2 and max(seen) <= len(texts) * M.BANDS
+
+
 def test_a_large_group_of_copies_keeps_its_links(spark):
     rng = random.Random(9)
     base = [f"g{i}" for i in range(200)]
