@@ -208,8 +208,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Every occurrence of every repeat of at least ``WINDOW`` bytes: rid, start, end (bytes) and the repeat's number."""
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors whose gram repeats, and for each segment (g, s) the repeats that its anchors lie in: bytes before (l) and from the anchor on (r)."""
     setup(docs.sparkSession)
     texts = keyed(docs)
     rows = texts.select("rid", "text").mapInArrow(_anchor_rows, "h long, seg long, rid long, at long, left int, right int")
@@ -230,9 +230,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = wide.groupBy("h", "left", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("g"), F.col("left").alias("l"), F.col("window").alias("w"))
     apart = wide.join(twice, (F.col("h") == F.col("g")) & (F.col("left") == F.col("l")) & (F.col("window") == F.col("w"))) \
         .select("h", "seg", "left", (WINDOW - F.col("left")).cast("int").alias("right"), F.col("window").alias("repeat"))
-    hits = same.union(tree).union(apart).select(F.col("h").alias("g"), F.col("seg").alias("s"), F.col("left").alias("l"), F.col("right").alias("r"), "repeat")
+    return live, same.union(tree).union(apart).select(F.col("h").alias("g"), F.col("seg").alias("s"), F.col("left").alias("l"), F.col("right").alias("r"), "repeat")
+
+
+def _placed(live: DataFrame, hits: DataFrame, *more: str) -> DataFrame:
     return live.join(hits, (F.col("h") == F.col("g")) & (F.col("seg") == F.col("s"))) \
-        .select("rid", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"), "repeat")
+        .select("rid", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"), *more)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Every occurrence of every repeat of at least ``WINDOW`` bytes: rid, start, end (bytes) and the repeat's number."""
+    return _placed(*_found(docs), "repeat")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The bytes that ``repeats`` covers, with one row per anchor: rid, start, end. All repeats of an anchor hold its place, so
+    together they cover what the longest reach to either side covers, and rows don't follow the repeats of a passage."""
+    live, hits = _found(docs)
+    return _placed(live, hits.groupBy("g", "s").agg(F.max("l").alias("l"), F.max("r").alias("r")))
 
 
 def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -256,7 +271,7 @@ def _report(batches):
 
 
 def _with_spans(docs: DataFrame, *cols) -> DataFrame:
-    spans = repeats(docs).distinct().groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("rid", "r")
+    spans = repeated_runs(docs).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("rid", "r")
     return docs.select(F.xxhash64("doc_id", "text").alias("rid"), *cols).join(spans, F.col("rid") == F.col("r"), "left")
 
 

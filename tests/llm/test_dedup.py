@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rfmspark.llm import minhash as M
 from rfmspark.llm import suffix_dedup as S
@@ -57,6 +58,21 @@ def test_repeats_on_the_given_table(spark):
     assert {r[0]: tuple(r)[1:] for r in S.dedup_report(docs).collect()} == want
 
 
+def test_removed_runs_give_one_row_per_anchor(spark):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p = make(900)
+    # nested parts of one passage: its anchors lie in many repeats each
+    texts = [make(20) + p[2 * i:900 - 3 * i] + make(20) for i in range(40)] + [p] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    everything, runs = S.repeats(docs).collect(), S.repeated_runs(docs).collect()
+    assert len(runs) == len(S._found(docs)[0].join(S._found(docs)[1].select("g", "s").distinct(), F.expr("h = g and seg = s")).collect())
+    assert len(runs) * 3 < len(everything)
+    bytes_of = lambda rows: {(r["rid"], i) for r in rows for i in range(r["start"], r["end"])}
+    assert bytes_of(runs) == bytes_of(everything)
+    assert Counter((r[0], tuple(r)[1:]) for r in S.dedup_report(docs).collect()) == Counter(zip(range(len(texts)), brute_bytes(texts)))
+
+
 def test_long_text_is_read_in_chunks(monkeypatch):
     monkeypatch.setattr(S, "SLICE_BYTES", 300)
     rng = np.random.default_rng(0)
