@@ -47,9 +47,12 @@ class TransactionTables:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", upload_id):
             raise ValueError(f"an upload id has letters, digits, '_', '.' and '-' only, not {upload_id!r}")
         rows = clean.ingest_upload(upload, check_empty=False)
-        parts = {"rejected": rejected_rows(upload), "raw_subset": rows.select("CustomerID", "InvoiceNo", "InvoiceDate"), "cleaned": rows}
-        for name, part in parts.items():
-            part.write.mode("overwrite").parquet(f"{self.root}/{name}/upload_id={upload_id}")
+        place = {name: f"{self.root}/{name}/upload_id={upload_id}" for name in ("rejected", "cleaned", "raw_subset")}
+        rejected_rows(upload).write.mode("overwrite").parquet(place["rejected"])
+        rows.write.mode("overwrite").parquet(place["cleaned"])
+        # from the rows as written, so that they are parsed once
+        read = self.spark.read.schema(rows.schema).parquet(place["cleaned"])
+        read.select("CustomerID", "InvoiceNo", "InvoiceDate").write.mode("overwrite").parquet(place["raw_subset"])
 
     def _read(self, name: str, schema: str) -> DataFrame:
         base = self._base.get(name)

@@ -33,6 +33,21 @@ def test_upload_coercions(spark):  # D8
     assert r[0].d is None and r[1].d == dt.datetime(2011, 1, 2, 10)
 
 
+def test_dates_are_tried_only_where_their_shape_fits(spark):
+    texts = ["2011-01-02", "2011-01-02 10:00", "2011-01-02 10:00:05.123", "2011-01-02T10:00:05", "2011-01-02t10:00:05Z", "2011-01-02 10:00+02:00", "2011-13-02",
+             "2011-02-30", "2011-1-2", "2011/1/2", "2011/01/02 7:05", "2011/2/30 7:05", "1/2/2011", "12/25/2011 7:05:09", "25/12/2011", "25/12/2011 7:05", "1/2/11", "1/2/11 10:00",
+             "13/2/11", "007/004/2011", "2-Jan-2011", "2-jan-2011 9:30", "2-January-2011", "2.1.2011", "2.1.2011 9:30:00", "2.13.2011", "some day", "", " ", " 2011-01-02 ",
+             "2011-01-02\n", "+12011-01-02", "12011-01-02", "-2011-01-02", "0000-01-02", "1/2/+12011", "1/2/12011", "1/2/011", "\uff12011-01-02", "2011-01-02 25:00", None]
+    tried = F.coalesce(*[F.try_to_timestamp(F.trim("d"), F.lit(f)) for f in fn.TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    rows = df.select("d", fn.fn_to_timestamp_safe("d").cast("string").alias("got"), tried.cast("string").alias("want")).collect()
+    assert [(r.d, r.got) for r in rows] == [(r.d, r.want) for r in rows]
+    assert sum(r.got is not None for r in rows) >= 18
+    assert all(fn.timestamp_shape(f) for f in fn.TIMESTAMP_FORMATS) and fn.timestamp_shape("yyyyMMdd") is None
+    shaped = df.select(fn.fn_to_timestamp_safe("d"))._jdf.queryExecution().analyzed().toString()
+    assert "WHEN RLIKE" in shaped
+
+
 def test_labels_and_status(spark):  # A10
     df = spark.createDataFrame([(0.05, "random_forest", "a" * 25), (0.15, "x", "short"), (0.30, "y", "b" * 20)],
                                "p double, m string, d string")
