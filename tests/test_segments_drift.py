@@ -56,3 +56,25 @@ def test_history_views(spark):  # D17, D18
     ids = spark.createDataFrame([("7",), ("8",), ("9",)], "CustomerID string")
     got = {r.CustomerID: (r.source, r.Recency) for r in latest_feature_lookup(ids, log, feats).collect()}
     assert got == {"7": ("log", 4.0), "8": ("features", 2.0), "9": ("unknown", None)}
+
+
+def test_both_runs_of_the_drift_log_share_one_reference(spark, monkeypatch):
+    import datetime as dt
+    from types import SimpleNamespace
+
+    from rfmspark.plans import context
+    from rfmspark.schemas import FEATURES
+    rng = np.random.default_rng(5)
+    table = lambda n, up: spark.createDataFrame(pd.DataFrame({"CustomerID": [str(i) for i in range(n)]} | {
+        c: rng.normal(10 + up, 3, n) for c in FEATURES}))
+    ref, now = table(80, 0), table(90, 2)
+    dates = spark.createDataFrame([(dt.datetime(2010, 1, 5),), (dt.datetime(2016, 3, 1),)], "InvoiceDate timestamp_ntz")
+    own = drift.psi_bin_edges
+    calls = []
+    monkeypatch.setattr(drift, "psi_bin_edges", lambda *a, **k: calls.append(1) or own(*a, **k))
+    monkeypatch.setattr(context, "_STAGES", {})
+    log = context.Ctx.drift_log.fget(SimpleNamespace(state=("own rows",), supervised=ref, features=now, cleaned=dates, stage=lambda df, name: df)).collect()
+    assert len(calls) == 1
+    want = [*drift.drift_report(ref, ref).collect(), *drift.drift_report(ref, now).collect()]
+    got = {(r.id > len(FEATURES), r.feature_name): (r.psi_value, r.status, r.training_mean, r.production_mean) for r in log}
+    assert got == {(i >= len(FEATURES), r.feature): (r.psi_value, r.status, r.training_mean, r.production_mean) for i, r in enumerate(want)}
