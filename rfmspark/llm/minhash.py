@@ -49,6 +49,8 @@ PAIRS = 4
 CHUNK, CHUNK_BYTES = 4096, 1 << 25
 #: Groups of shingles in a sketch, and its units in a weight of 1.
 GROUPS, UNITS = 256, 4
+#: Text bytes that are signed at once: their numbers stay in a core's cache.
+SIGNED_BYTES = 1 << 18
 DRAW_BITS = 18
 
 
@@ -60,6 +62,11 @@ def occurrences(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(n)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1], count)
     out = np.zeros(len(place), U64)
+    if len(place) and (size[n > 0] == WIDTH).all():
+        for i in range(WIDTH):
+            out *= U64(0x9FB21C651E98DF25)
+            out += h[place + i]
+        return doc, mix(out + U64(WIDTH))
     width = size[doc]
     for i in range(WIDTH):
         here = i < width
@@ -248,18 +255,22 @@ class Sampler:
             t = np.floor(np.log(w[which]) / r + beta)
             own = low[which] ^ (mix(t.astype(np.int64).astype(U64)) >> U64(32))
             return _ordered(self.ln_c[a] - r * (t - beta + 1)).astype(U64) << U64(32) | own
+        at, v = np.empty(len(h), U64), np.empty(len(h), U64)
+        places = at.view(np.int64)
         for k, odd in enumerate(self.odd):
-            at = (h * U64(odd)) >> U64(64 - DRAW_BITS)
-            v = self.unit[at] | low
+            np.multiply(h, U64(odd), out=at)
+            np.right_shift(at, U64(64 - DRAW_BITS), out=at)
+            np.take(self.unit, places, out=v, mode="clip")  # no place is outside
+            np.bitwise_or(v, low, out=v)
             if len(more):
-                v[more] = weighted(more, at[more])
+                v[more] = weighted(more, places[more])
             if len(less):
                 flat = v[less]
                 v[less] = U64(0xFFFFFFFFFFFFFFFF)
             out[k] = np.minimum.reduceat(v, doc_at)
             if len(less):  # a weight under 1 never draws less than a weight of 1 does
                 near = less[flat >> U64(32) <= out[k][owner[less]] >> U64(32)]
-                np.minimum.at(out[k], owner[near], weighted(near, at[near]))
+                np.minimum.at(out[k], owner[near], weighted(near, places[near]))
         return out
 
 
@@ -282,7 +293,7 @@ def _signer(batches):
     """Bands of every text by flat weights."""
     sampler = Sampler()
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SIGNED_BYTES):
             word, begin, k1, k2 = keyed_words(*utf8(part.column("text")))
             doc, h, tf = counted(*occurrences(word, begin))
             bands = _bands(sampler, doc, h, tf.astype(np.float64), part.num_rows)
@@ -295,7 +306,7 @@ def _weighed_signer(n: int):
     def fn(batches):
         sampler = Sampler()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SIGNED_BYTES):
                 doc, h, tf = shingles(*utf8(part.column("text")))
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 w = np.concatenate([weigh(h[a:b] >> U64(16), tf[a:b], idf(keys, df, n))
@@ -307,7 +318,7 @@ def _weighed_signer(n: int):
 def _sets(batches):
     """Shingles and their term frequencies."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SIGNED_BYTES):
             doc, h, tf = shingles(*utf8(part.column("text")))
             w = tf.astype("<f4")
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))

@@ -89,6 +89,35 @@ def test_maximal_repeats_name_all_occurrences():
     assert any(len(mem) == 3 for _, _, mem in S.maximal_repeats(before, after, 6))
 
 
+def test_bands_do_not_depend_on_the_slices(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "one two", "a b c d e"] + [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(3, 90))) for _ in range(120)]
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+    def signed(size):
+        monkeypatch.setattr(M, "SIGNED_BYTES", size)
+        got = [list(f(iter([batch]))) for f in (M._signer, M._sets)]
+        return [len(x) for x in got], [pa.Table.from_batches(x).to_pylist() for x in got]
+    parts, rows = signed(1 << 20)
+    small, same = signed(500)
+    assert parts == [1, 1] and min(small) > 5 and rows == same
+
+
+def test_draws_against_plain_numbers():
+    rng = np.random.default_rng(2)
+    s, h = M.Sampler(), rng.integers(0, 1 << 63, 60).astype(M.U64) * M.U64(2) + M.U64(1)
+    w = rng.choice([0.3, 1.0, 2.5], 60)
+    got = s.draw(np.array([0, 25, 26]), h, w)
+    for k, odd in enumerate(s.odd):
+        keys = []
+        for x, weight in zip(h.tolist(), w.tolist()):
+            a = (x * odd % (1 << 64)) >> (64 - M.DRAW_BITS)
+            t = np.floor(np.log(weight) / s.r[a] + s.beta[a]) if weight != 1 else 0.0
+            own = x >> 32 if weight == 1 else (x >> 32) ^ (int(M.mix(np.array([t]).astype(np.int64).astype(M.U64))[0]) >> 32)
+            keys.append(int(M._ordered(np.array([s.ln_c[a] - s.r[a] * (t - s.beta[a] + 1)]))[0]) << 32 | own)
+        assert got[k].tolist() == [min(keys[:25]), keys[25], min(keys[26:])]
+
+
 def near_copies(rng):
     vocab = [f"w{i}" for i in range(400)]
     make = lambda n: [rng.choice(vocab) for _ in range(n)]
