@@ -247,7 +247,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """The bytes that ``repeats`` covers, with one row per anchor: rid, start, end. All repeats of an anchor hold its place, so
     together they cover what the longest reach to either side covers, and rows don't follow the repeats of a passage."""
     live, hits = _found(docs)
-    return _placed(live, hits.groupBy("g", "s").agg(F.max("l").alias("l"), F.max("r").alias("r")))
+    widest = hits.groupBy("g", "s").agg(F.max("l").alias("l"), F.max("r").alias("r")) \
+        .withColumn("g", F.col("g").bitwiseXOR(F.lit(0).cast("long")))  # as in ``_found``: both sides are shuffled, so a hot segment is split
+    return _placed(live, widest)
 
 
 def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
