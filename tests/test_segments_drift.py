@@ -78,3 +78,26 @@ def test_both_runs_of_the_drift_log_share_one_reference(spark, monkeypatch):
     want = [*drift.drift_report(ref, ref).collect(), *drift.drift_report(ref, now).collect()]
     got = {(r.id > len(FEATURES), r.feature_name): (r.psi_value, r.status, r.training_mean, r.production_mean) for r in log}
     assert got == {(i >= len(FEATURES), r.feature): (r.psi_value, r.status, r.training_mean, r.production_mean) for i, r in enumerate(want)}
+
+
+def test_sweep_gives_sparks_kmeans_with_one_job_a_round_for_all_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(m, 1, (120, 3)) for m in (0, 2.5, 5)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3).checkpoint()
+    vec = segment._vectors(df, ["a", "b", "c"]).select("features").persist()
+    for r in segment.kmeans_sweep(df, ["a", "b", "c"], [2, 4], restarts=2).collect():
+        model = min((KMeans(k=r["k"], seed=42 + i, maxIter=300).fit(vec) for i in range(2)), key=lambda m: m.summary.trainingCost)
+        assert r["inertia"] == pytest.approx(model.summary.trainingCost, rel=1e-9)
+        assert r["silhouette_sq_euclidean"] == pytest.approx(ClusteringEvaluator().evaluate(model.transform(vec)), rel=1e-9)
+    blocks, first, jobs = segment._blocks(df, ["a", "b", "c"]), [x[0], x[200]], []
+    for fits in (1, 12):
+        spark.sparkContext.setJobGroup(f"lloyd {fits}", "")
+        found = segment._lloyd(blocks, [first] * fits, 300, 1e-4)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lloyd {fits}")))
+        assert all(cost == found[0][1] for _, cost in found)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+    even = segment._lloyd(segment._blocks(spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "a double"), ["a"]), [[np.array([0.0]), np.array([2.0])]], 1, 1e-4)
+    assert even[0][0].tolist() == [[0.5], [2.0]]  # the row between goes to the first
