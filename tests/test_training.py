@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rfmspark.operators import evaluate, features, learn, model_store, training
+from rfmspark.operators import evaluate, features, learn, model_store, training, trees
 from rfmspark.operators.model_store import ConstantScorer, ModelStore, PipelineModel
 from rfmspark.schemas import FEATURES, MODEL_FEATURES
 
@@ -121,3 +121,79 @@ def test_resampled_estimator_balances_what_it_is_given(spark, trained):
     from pyspark.ml.classification import LogisticRegression
     fit = model_store.Resampled(LogisticRegression(featuresCol="features", labelCol="Target"), model_store.INPUTS).fit(scaled)
     assert fit.numFeatures == 9
+
+
+def _some_rows(spark, n=500, values=20):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, values, (n, 5)).astype(float)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] / 10 + rng.normal(0, 4, n) > 20).astype(int)
+    rows = spark.createDataFrame([(int(a), *map(float, r)) for a, r in zip(y, x)], "Target int, a double, b double, c double, d double, e double")
+    return learn.assemble(rows, list("abcde")).withColumn("weight", F.when(F.col("Target") == 1, 0.6).otherwise(1.0)).repartition(3).checkpoint()
+
+
+def _chance(model, rows):
+    from pyspark.ml.functions import vector_to_array
+    return np.array([r[0] for r in model.transform(rows).select(vector_to_array("probability")[1]).collect()])
+
+
+def test_trees_are_those_of_spark_ml(spark, tmp_path):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    rows = _some_rows(spark)
+    bounds = trees.bin_bounds(rows, 5)
+    assert bounds == [[v + 0.5 for v in range(19)]] * 5
+    blocks = trees.packed(rows, bounds)
+    for weight in (1.0, 0.6):
+        grown = trees.fit("boost", blocks, bounds, {"trees": 6, "depth": 4, "step": 0.1}, weight)
+        theirs = GBTClassifier(labelCol="Target", maxIter=6, maxDepth=4, stepSize=0.1, seed=42)
+        theirs = (theirs.setWeightCol("weight") if weight != 1 else theirs).fit(rows)
+        assert _chance(trees.TreesModel(trees=grown, kind="boost", step=0.1), rows) == pytest.approx(_chance(theirs, rows), abs=1e-5)
+    point = {"trees": 60, "depth": 5, "least": 2}
+    halves = [t for r in (range(30), range(30, 60)) for t in trees.fit("forest", blocks, bounds, point, numbers=r)]
+    assert halves == trees.fit("forest", blocks, bounds, point)  # grown in parts, the same forest
+    model = trees.TreesModel(trees=halves, kind="forest")
+    ours, theirs = _chance(model, rows), _chance(RandomForestClassifier(labelCol="Target", numTrees=60, maxDepth=5, minInstancesPerNode=2).fit(rows), rows)
+    assert np.corrcoef(ours, theirs)[0, 1] > 0.98 and abs(ours - theirs).mean() < 0.05
+    model.write().save(str(tmp_path / "forest"))
+    assert (_chance(trees.TreesModel.load(str(tmp_path / "forest")), rows) == ours).all()
+
+
+def test_trees_dont_depend_on_tasks_or_counting(spark, monkeypatch):
+    rows = _some_rows(spark, 300, 200)  # more values than bins, so quantiles
+    bounds = trees.bin_bounds(rows, 5)
+    assert all(20 < len(b) < trees.BINS for b in bounds)
+    blocks, point = trees.packed(rows, bounds), {"trees": 2, "depth": 2, "step": 0.1}
+    alone = trees.fit("boost", blocks, bounds, point, 0.6)
+    assert alone == trees.fit("boost", blocks, bounds, point, 0.6, tasks=2)  # sums over barrier tasks
+    got = blocks.toArrow().to_batches()
+    one = trees._Rows(got, 5)
+    monkeypatch.setattr(trees, "PAIR_ROWS", 0)
+    monkeypatch.setattr(trees, "BLOCK", 64)
+    two = trees._Rows(got, 5)
+    assert two.pairs and not one.pairs
+    grown = [list(trees._boost(r, bounds, {"step": 0.1, "depth": 4}, 0.6, range(4), 42, lambda a: a)) for r in (one, two)]
+    assert grown[0] == grown[1] and len(grown[0]) == 4
+
+
+def test_registered_training_run_is_the_whole_search(spark, monkeypatch, customers):
+    from rfmspark.plans.context import Ctx
+    asked = {}
+
+    def note(train, test, params, *cut, **other):
+        asked.update(cut=cut, other=other)
+        raise InterruptedError
+    monkeypatch.setattr(training, "train_models", note)
+    own = type("Own", (), {"split_flags": customers.withColumn("is_test", F.col("CustomerID") % 5 == 0)})()
+    own.state = (spark.sparkContext.applicationId, "whole search")
+    with pytest.raises(InterruptedError):
+        Ctx.trained.fget(own)
+    assert asked == {"cut": (), "other": {}}  # the library's grids, draws, rounds and folds
+    made = {n: training.draws(g, 5) for n, g in training.GRIDS.items()}
+    assert {len(p) for p in made.values()} == {5} and {q["trees"] for p in made.values() for q in p} <= {100, 200, 300}
+
+
+def test_areas_of_several_fits_at_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f, int(y), float(round(p, 1))) for f in range(3) for y, p in zip(rng.integers(0, 2, 40), rng.random(40))]
+    scored = spark.createDataFrame(rows, "fit int, Target int, probability double").checkpoint()
+    got = {r["fit"]: r["roc_auc"] for r in evaluate.roc_auc(scored, by="fit").collect()}
+    assert got == {f: pytest.approx(evaluate.roc_auc(scored.where(F.col("fit") == f)).first()[0]) for f in range(3)}
