@@ -125,7 +125,7 @@ def test_resampled_estimator_balances_what_it_is_given(spark, trained):
 
 def _some_rows(spark, n=500, values=20):
     rng = np.random.default_rng(3)
-    x = rng.integers(0, values, (n, 5)).astype(float)
+    x = rng.integers(0, values, (n, 5)) * 20.0 / values
     y = (x[:, 0] + x[:, 1] * x[:, 2] / 10 + rng.normal(0, 4, n) > 20).astype(int)
     rows = spark.createDataFrame([(int(a), *map(float, r)) for a, r in zip(y, x)], "Target int, a double, b double, c double, d double, e double")
     return learn.assemble(rows, list("abcde")).withColumn("weight", F.when(F.col("Target") == 1, 0.6).otherwise(1.0)).repartition(3).checkpoint()
@@ -171,7 +171,13 @@ def test_trees_dont_depend_on_tasks_or_counting(spark, monkeypatch):
     two = trees._Rows(got, 5)
     assert two.pairs and not one.pairs
     grown = [list(trees._boost(r, bounds, {"step": 0.1, "depth": 4}, 0.6, range(4), 42, lambda a: a)) for r in (one, two)]
-    assert grown[0] == grown[1] and len(grown[0]) == 4
+    assert grown[0] == grown[1] and len(grown[0]) == 4 and len(grown[0][0][1]) > 200
+    monkeypatch.setattr(trees, "PAIR_NODES", 2)
+    forests = []
+    for wide in (32, 1 << 20):
+        monkeypatch.setattr(trees, "WIDE_BLOCK", wide)
+        forests.append(list(trees._forest(two, bounds, {"depth": 6, "least": 1}, 1.0, range(3), 42, lambda a: a)))
+    assert forests[0] == forests[1] and len(forests[0][0][1]) > 200
 
 
 def test_registered_training_run_is_the_whole_search(spark, monkeypatch, customers):
